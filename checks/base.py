@@ -7,6 +7,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docketry.plans.sizing import spread
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
     "labels conversations"
@@ -24,11 +26,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    """A text table with at least one task per core."""
+    return spread(table(spark, sf_dir, name))
+
+
 # SQL fragments. ``{x}`` is the expression they apply to.
 WS = r"[\s\x{0B}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 WS_NUL = WS[:-1] + r"\x{00}]"
 
 
+def fill(template: str, **parts: str) -> str:
+    """Put fragments in place of ``<<name>>``."""
+    for key, value in parts.items():
+        template = template.replace(f"<<{key}>>", value)
+    return template
+
+
 def sq(x: str) -> str:
     return f"trim(regexp_replace(coalesce({x}, ''), '{WS_NUL}+', ' ', 'g'))"
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.base import Check, first_case, in_list, sq, table, trim_ws
+from checks.base import Check, fill, first_case, in_list, sq, table, texts, trim_ws
 from docketry.functions import hashing as H
 from docketry.functions import lexicon as L
 from docketry.functions import text as X
@@ -25,7 +25,7 @@ SQL_SYNONYMS = "VALUES ('der','von'), ('der','den'), ('elle','eau'), ('thon','th
 
 
 def sections(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
+    d = texts(spark, sf_dir)
     return d.select(
         F.col("doc_id").cast("string").alias("case_id"), F.col("doc_id").alias("ord"),
         F.concat(F.lit("Case "), F.col("source"), F.lit(" "), F.substring("text", 1, 24)).alias("title"),
@@ -48,18 +48,18 @@ def query_rows(spark, sf_dir):
 
 def doc_tokens(spark, sf_dir):
     t = X.tokens("text", STOP)
-    return table(spark, sf_dir, "documents").select(
+    return texts(spark, sf_dir).select(
         "doc_id", F.size(t).alias("n_tokens"), F.array_join(t, " ").alias("tokens")
     )
 
 
 def doc_token_freq(spark, sf_dir):
     freq = X.frequencies(X.without(X.words("text"), STOP))
-    return table(spark, sf_dir, "documents").select("doc_id", F.explode(freq).alias("token", "tf"))
+    return texts(spark, sf_dir).select("doc_id", F.explode(freq).alias("token", "tf"))
 
 
 def doc_windows(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(
+    return texts(spark, sf_dir).select(
         "doc_id", F.posexplode(C.windows_of("text")).alias("pos", "text")
     )
 
@@ -102,7 +102,7 @@ def bm25_top5(spark, sf_dir):
 
 def hashed_vectors(spark, sf_dir):
     t = X.tokens("text", STOP)
-    parts = table(spark, sf_dir, "documents").select(
+    parts = texts(spark, sf_dir).select(
         "doc_id",
         F.explode(
             F.concat(
@@ -175,13 +175,6 @@ def retrieval_outcomes(spark, sf_dir):
 
 
 # ---- SQL -----------------------------------------------------------------------
-def fill(template: str, **parts: str) -> str:
-    """Put fragments in place of ``<<name>>``."""
-    for key, value in parts.items():
-        template = template.replace(f"<<{key}>>", value)
-    return template
-
-
 TEXT = sq("text")
 DOC_WORDS = fill(
     r"""

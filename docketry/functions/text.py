@@ -115,23 +115,37 @@ def tokens(c: ColumnLike, stop: Sequence[str], min_len: int = 3) -> Column:
     return F.array_except(found, F.array(*[F.lit(s) for s in stop])) if stop else found
 
 
-def frequencies(arr: Column) -> Column:
-    """``MAP<token, count>`` of an array: positions of each first occurrence in the
-    sorted array, then differences. No shuffle and no quadratic loop."""
+def runs(arr: Column) -> Column:
+    """``ARRAY<STRUCT<token, n, pos>>``: each distinct item with its count and first
+    position, by one sort. Linear after the sort, so whole documents are fine."""
 
     def build(s: Column) -> Column:
-        keys = F.array_distinct(s)
-        starts = F.transform(keys, lambda t: F.array_position(s, t).cast("int"))
-
-        def counts(p: Column) -> Column:
-            ends = F.concat(F.slice(p, 2, F.size(s) + 1), F.array(F.size(s) + 1))
-            return F.zip_with(p, ends, lambda a, b: b - a)
+        marked = F.transform(s, lambda x, i: F.struct(x["w"].alias("w"), x["pos"].alias("pos"), i.alias("at")))
+        firsts = F.filter(marked, lambda x, i: (i == 0) | (F.get(s, i - 1)["w"] != x["w"]))
+
+        def close(f: Column) -> Column:
+            ends = F.concat(
+                F.slice(F.transform(f, lambda x: x["at"]), 2, 2_000_000_000), F.array(F.size(s))
+            )
+            return F.zip_with(
+                f, ends,
+                lambda x, end: F.struct(x["w"].alias("token"), (end - x["at"]).alias("n"), x["pos"].alias("pos")),
+            )
 
         return F.when(
-            F.size(s) == 0, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<int>"))
-        ).otherwise(F.map_from_arrays(keys, let(starts, counts)))
+            F.size(s) == 0, F.array().cast("array<struct<token:string,n:int,pos:int>>")
+        ).otherwise(let(firsts, close))
+
+    indexed = F.transform(arr, lambda w, i: F.struct(w.alias("w"), i.alias("pos")))
+    return let(F.array_sort(indexed), build)
 
-    return let(F.array_sort(arr), build)
+
+def frequencies(arr: Column) -> Column:
+    """``MAP<token, count>`` of an array."""
+    return let(
+        runs(arr),
+        lambda r: F.map_from_arrays(F.transform(r, lambda x: x["token"]), F.transform(r, lambda x: x["n"])),
+    )
 
 
 def initcap_words(c: ColumnLike) -> Column:

@@ -40,6 +40,10 @@ CHUNK_SCRUB = [
 ]
 
 
+# Text without any of these is left as it is by every pass, so plain prose skips them all.
+SCRUB_MARKERS = r"(?i)[:;{\[]|section|rule|case title|\(cid"
+
+
 @dataclass(frozen=True)
 class ChunkRules:
     words: int = CHUNK_WORDS
@@ -51,9 +55,15 @@ class ChunkRules:
 
 def clean_chunk(c: X.ColumnLike, prose: str = L.PROSE_MARKERS) -> Column:
     """Boilerplate scrub; empty when fewer than 60 characters remain."""
-    base = F.regexp_replace(X.squash(c), r"(?i)decision\s*:\s*\d+", "")
+    return X.let(
+        X.squash(c),
+        lambda t: F.when(t.rlike(SCRUB_MARKERS), _scrubbed(t, prose)).when(F.length(t) < 60, F.lit("")).otherwise(t),
+    )
+
+
+def _scrubbed(t: Column, prose: str) -> Column:
     listed = X.let(
-        base,
+        F.regexp_replace(t, r"(?i)decision\s*:\s*\d+", ""),
         lambda t: F.when(
             F.regexp_count(t, F.lit(";")) >= 2,
             F.array_join(
@@ -82,7 +92,8 @@ def is_low_quality(c: X.ColumnLike, prose: str = L.PROSE_MARKERS) -> Column:
     def by_clean(t: Column) -> Column:
         markers = ["case title extracted", "cited-cases metadata", "extracted from cited"]
         prefixes = r"^(?:case title|title:|source:|judges:)|https?://"
-        plain = F.size(F.filter(F.split(t, f"{X.SPACE}+"), lambda w: w.rlike("[a-z]{3,}")))
+        # Each match runs from three letters to the end of its word: one per such word.
+        plain = F.regexp_count(t, F.lit(f"[a-z]{{3,}}[^{X.SPACE_CLASS}]*"))
         return (
             X.any_contains(t, markers) | t.rlike(prefixes) | (F.length(t) < 85)
             | t.rlike(r"^decision:\s*\d+\s*cited cases:") | (plain < 12)

@@ -124,30 +124,17 @@ def with_rarity(features: DataFrame, df: DataFrame, stats: DataFrame) -> DataFra
     ).drop("dfs")
 
 
-def _vocabulary(lists: pd.Series) -> tuple[dict[str, int], list[list[int]]]:
-    """Distinct items of a column of lists, and which rows ask for each."""
-    index: dict[str, int] = {}
-    owners: list[list[int]] = []
-    for q, items in enumerate(lists):
-        for item in items:
-            at = index.setdefault(item, len(index))
-            if at == len(owners):
-                owners.append([])
-            owners[at].append(q)
-    return index, owners
-
-
 def prepare_queries(q: pd.DataFrame) -> dict:
     """Pack a block of queries for scoring."""
     rarity = {}
     for tokens, dfs in zip(q["expanded"], q["expanded_df"]):
         rarity.update(zip(tokens, dfs))
     n_chunks = float(max(1, q["n_chunks"].iloc[0])) if len(q) else 1.0
-    expanded, expanded_of = _vocabulary(q["expanded"])
+    expanded, expanded_of = P.vocabulary(q["expanded"])
     df = np.array([rarity[t] for t in expanded], float)
-    exact, exact_of = _vocabulary(q["tokens"])
-    phrases, phrases_of = _vocabulary(q["phrases"])
-    refs, refs_of = _vocabulary(q["refs"])
+    exact, exact_of = P.vocabulary(q["tokens"])
+    phrases, phrases_of = P.vocabulary(q["phrases"])
+    refs, refs_of = P.vocabulary(q["refs"])
     sizes = lambda column: q[column].map(len).to_numpy(float)
     return {
         "n": len(q),
@@ -191,18 +178,12 @@ def score_rows(state: dict, rows: pd.DataFrame) -> np.ndarray:
     row, query, _, _ = _lexical(state, rows, state["exact"], state["exact_of"])
     exact = P.add_up(row, query, shape) / state["n_tokens"]
 
-    def by_owner(row_hits: tuple, owners: list) -> np.ndarray:
-        if not len(row_hits[0]):
-            return np.zeros(shape)
-        at, query = P.expand(row_hits[1], owners)
-        return P.add_up(row_hits[0][at], query, shape)
-
-    titles = by_owner(state["titles"].rows(list(rows["title_words"])), state["exact_of"]) / state["n_tokens"]
+    titles = P.owner_counts(state["titles"].rows(list(rows["title_words"])), state["exact_of"], shape) / state["n_tokens"]
     inside = [sorted(state["phrases"].inside(t)) if state["phrases"].terms else [] for t in rows["text_low"]]
     here = P.expand(np.arange(len(rows)), inside)
-    phrase = by_owner(here, state["phrases_of"])
+    phrase = P.owner_counts(here, state["phrases_of"], shape)
     shared = [[state["refs"][r] for r in refs if r in state["refs"]] for refs in rows["refs"]]
-    refs = by_owner(P.expand(np.arange(len(rows)), shared), state["refs_of"])
+    refs = P.owner_counts(P.expand(np.arange(len(rows)), shared), state["refs_of"], shape)
 
     core = W_COSINE * cosine + W_BM25 * lexical / (lexical + BM25_HALF) + W_KEYWORD * keyword + W_TITLE * titles
     boost = np.minimum(PHRASE_CAP, PHRASE_STEP * np.minimum(phrase, state["phrase_limit"]))

@@ -46,3 +46,18 @@ def with_ordinal(df: DataFrame, order: Sequence[Column], name: str = "ordinal",
         .withColumn(name, (F.col("__local") + F.col("__before") - 1).cast("bigint"))
         .drop("__part", "__local", "__before")
     )
+
+
+def ranked_within(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "rank") -> DataFrame:
+    """1-based position inside each key group, for groups of any size.
+
+    A window would put a whole group in one task; here a hot group spans several range
+    partitions and its rank is the global position minus that of its first row.
+    """
+    numbered = pinned(with_ordinal(df, [*[F.col(k) for k in keys], *order], "__at"))
+    first = numbered.groupBy(*keys).agg(F.min("__at").alias("__first"))
+    return (
+        numbered.join(first, list(keys))
+        .withColumn(name, F.col("__at") - F.col("__first") + 1)
+        .drop("__at", "__first")
+    )

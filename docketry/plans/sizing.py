@@ -18,3 +18,12 @@ def broadcast_if_small(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
     """Broadcast hint only for a side whose size was checked; otherwise the join is
     left to shuffle (adaptive execution splits its skewed partitions)."""
     return F.broadcast(df) if fits(df, limit) else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a costly narrow job enough tasks when its input has few splits.
+
+    Large tables already have more splits than cores and pass through untouched.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
