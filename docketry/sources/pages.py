@@ -36,24 +36,27 @@ def document_links(pages: DataFrame, rules: LinkRules = LinkRules()) -> DataFram
     """``page_id, no, href, label``: fragment anchors first, then document anchors,
     each in page order."""
 
-    def anchors(pattern: str) -> Column:
-        regex = _anchor(pattern)
-        groups = regex.count("(") - regex.count("(?") - regex.count(r"\(")
+    def anchors(pattern: str, part: int, label: int) -> Column:
+        regex = F.lit(_anchor(pattern))
         return F.arrays_zip(
-            F.regexp_extract_all("html", F.lit(regex), F.lit(1)).alias("href"),
-            F.regexp_extract_all("html", F.lit(regex), F.lit(groups)).alias("label"),
+            F.regexp_extract_all("html", regex, F.lit(part)).alias("href"),
+            F.regexp_extract_all("html", regex, F.lit(label)).alias("label"),
         )
 
+    # The fragment pattern has one group of its own, the document number.
     fragments = F.transform(
-        anchors(rules.fragment),
-        lambda a: F.struct(
-            F.concat(F.lit("/doc/"), F.regexp_extract(a["href"], rules.fragment, 1), F.lit("/")).alias("href"),
-            X.markup_text(a["label"]).alias("label"),
-        ),
+        anchors(rules.fragment, 2, 3),
+        lambda a: F.when(
+            X.markup_text(a["href"]) != "",
+            F.struct(
+                F.concat(F.lit("/doc/"), X.markup_text(a["href"]), F.lit("/")).alias("href"),
+                X.markup_text(a["label"]).alias("label"),
+            ),
+        ).otherwise(F.struct(F.lit("").alias("href"), F.lit("").alias("label"))),
     )
     documents = F.filter(
         F.transform(
-            anchors(rules.document),
+            anchors(rules.document, 1, 2),
             lambda a: F.struct(X.markup_text(a["href"]).alias("href"), X.markup_text(a["label"]).alias("label")),
         ),
         lambda a: ~a["label"].rlike(rules.skip_label),
