@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docketry.functions import text as X
 
@@ -32,6 +33,18 @@ def hearing_date(c: X.ColumnLike) -> Column:
     )
 
 
+def _two(c: Column) -> Column:
+    """Pad to two characters; longer input is kept whole."""
+    return F.when(F.length(c) < 2, F.lpad(c, 2, "0")).otherwise(c)
+
+
+def millis(df: DataFrame, name: str) -> Column:
+    """Milliseconds since 1970 of a timestamp column with or without time zone."""
+    if isinstance(df.schema[name].dataType, T.TimestampNTZType):
+        return F.timestamp_diff("MILLISECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(name))
+    return F.unix_millis(name)
+
+
 def date_dmy(c: X.ColumnLike) -> Column:
     """``dd-MM-yyyy`` text from year-first or day-first input with - or /; else empty."""
     raw = X.trim_wide(c)
@@ -41,7 +54,7 @@ def date_dmy(c: X.ColumnLike) -> Column:
     day_first = (F.size(parts) == 3) & (F.length(a) >= 1) & (F.length(b) >= 1) & (F.length(y) == 4)
     return (
         F.when(year_first, F.concat_ws("-", y, b, a))
-        .when(day_first, F.concat_ws("-", F.lpad(a, 2, "0"), F.lpad(b, 2, "0"), y))
+        .when(day_first, F.concat_ws("-", _two(a), _two(b), y))
         .otherwise("")
     )
 

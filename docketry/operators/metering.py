@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docketry.functions import dates as D
 from docketry.functions import facets as A
 from docketry.plans.ordinal import pinned, with_ordinal
 
@@ -138,7 +139,7 @@ def window_starts(times: DataFrame, window_ms: int) -> DataFrame:
 def rate_limit(events: DataFrame, max_requests: int, window_ms: int) -> DataFrame:
     """``client, id, ts`` to ``allowed, retry_after_ms`` with windows that open at the first
     request after expiry. Requests at one instant count in id order."""
-    timed = events.select("client", "id", "ts", F.unix_millis("ts").alias("t"))
+    timed = events.select("client", "id", "ts", D.millis(events, "ts").alias("t"))
     starts = window_starts(timed, window_ms).select(
         "client", F.col("t").alias("start"), F.floor(F.col("t") / F.lit(window_ms)).alias("slice")
     )

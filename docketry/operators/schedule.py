@@ -89,8 +89,9 @@ def room_conflicts(hearings: DataFrame) -> DataFrame:
 
 def merge_rebookings(hearings: DataFrame, fields: Sequence[str]) -> DataFrame:
     """Same case, day and slot booked again: one row, first id, last given value of each field."""
+    order = F.struct("seq", "id")
     return hearings.groupBy("case_id", "hearing_date", "slot").agg(
-        F.min_by("id", "seq").alias("id"),
-        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c) for c in fields],
+        F.min_by("id", order).alias("id"),
+        *[F.max_by(c, F.when(F.col(c).isNotNull(), order)).alias(c) for c in fields],
         F.count(F.lit(1)).alias("bookings"),
     )
