@@ -89,9 +89,8 @@ def assembled(spark, sf_dir):
 
 
 def keywords(spark, sf_dir):
-    return K.top_keywords(texts(spark, sf_dir), 14, ("with", "that")).select(
-        "doc_id", F.posexplode("keywords").alias("place", "word")
-    )
+    found = K.top_keywords(texts(spark, sf_dir), 14, ("with", "that"))
+    return X.exploded(found, F.col("keywords"), ["place", "word"], ["doc_id"], positions=True)
 
 
 def summaries(spark, sf_dir):

@@ -55,13 +55,11 @@ def doc_tokens(spark, sf_dir):
 
 def doc_token_freq(spark, sf_dir):
     freq = X.frequencies(X.without(X.words("text"), STOP))
-    return texts(spark, sf_dir).select("doc_id", F.explode(freq).alias("token", "tf"))
+    return X.exploded(texts(spark, sf_dir), freq, ["token", "tf"], ["doc_id"])
 
 
 def doc_windows(spark, sf_dir):
-    return texts(spark, sf_dir).select(
-        "doc_id", F.posexplode(C.windows_of("text")).alias("pos", "text")
-    )
+    return X.exploded(texts(spark, sf_dir), C.windows_of("text"), ["pos", "text"], ["doc_id"], positions=True)
 
 
 def chunk_table(spark, sf_dir):
@@ -94,22 +92,21 @@ def index(spark, sf_dir):
 
 def bm25_top5(spark, sf_dir):
     built, df, stats = index(spark, sf_dir)
-    q = query_rows(spark, sf_dir).select("query_id", F.explode(X.tokens("text", STOP)).alias("token"))
-    return M.top_chunks(M.bm25(q, built, df, stats), 5).select(
+    q = X.exploded(query_rows(spark, sf_dir), X.tokens("text", STOP), ["token"], ["query_id"])
+    return M.top_chunks(M.bm25(q, built, df, stats), built, 5).select(
         "query_id", "rank", "id", F.round("bm25", 4).alias("bm25")
     )
 
 
 def hashed_vectors(spark, sf_dir):
     t = X.tokens("text", STOP)
-    parts = texts(spark, sf_dir).select(
-        "doc_id",
-        F.explode(
-            F.concat(
-                F.transform(H.buckets(t, H.SEED_A), lambda b: F.struct(b.alias("bucket"), F.lit(1.0).alias("w"))),
-                F.transform(H.buckets(t, H.SEED_B), lambda b: F.struct(b.alias("bucket"), F.lit(0.45).alias("w"))),
-            )
-        ).alias("e"),
+    parts = X.exploded(
+        texts(spark, sf_dir),
+        F.concat(
+            F.transform(H.buckets(t, H.SEED_A), lambda b: F.struct(b.alias("bucket"), F.lit(1.0).alias("w"))),
+            F.transform(H.buckets(t, H.SEED_B), lambda b: F.struct(b.alias("bucket"), F.lit(0.45).alias("w"))),
+        ),
+        ["e"], ["doc_id"],
     )
     return parts.groupBy("doc_id", F.col("e.bucket").cast("int").alias("bucket")).agg(
         F.round(F.sum("e.w"), 4).alias("weight")
@@ -123,7 +120,7 @@ def embedding_cosine(spark, sf_dir):
         e.select("label", F.posexplode("embedding").alias("at", "x"))
         .groupBy("label", "at").agg(F.avg("x").alias("x"))
         .groupBy("label")
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda s: s["x"]).alias("mean"))
+        .agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "x"))), lambda s: s["x"]).alias("mean"))
     )
     return e.join(F.broadcast(means), "label").select(
         "vec_id", "label", F.round(H.cosine(F.col("embedding"), F.col("mean")), 4).alias("cosine")
@@ -134,7 +131,7 @@ def gated_queries(spark, sf_dir):
     f = R.query_features(query_rows(spark, sf_dir), QUERY_RULES)
     return f.select(
         "query_id", F.size("tokens").alias("n_tokens"), F.size("expanded").alias("n_expanded"),
-        F.size("phrases").alias("n_phrases"), F.array_join(F.array_sort("expanded"), " ").alias("expanded"),
+        F.size("phrases").alias("n_phrases"), F.array_join(F.sort_array("expanded"), " ").alias("expanded"),
     )
 
 

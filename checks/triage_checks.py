@@ -81,7 +81,7 @@ def judges(spark, sf_dir):
 
 
 def queue(spark, sf_dir):
-    o = table(spark, sf_dir, "orders")
+    o = texts(spark, sf_dir, "orders")
     p = F.col("o_orderpriority")
     return o.select(
         F.col("o_orderkey").alias("case_id"),

@@ -201,7 +201,7 @@ def summary(c: X.ColumnLike, cues: Sequence[tuple[int, str]] = tuple(L.SUMMARY_C
             points.append(F.when(names, -2).otherwise(0))
             return F.struct((-reduce(lambda a, b: a + b, points)).alias("p"), i.alias("i"), s.alias("s"))
 
-        top = F.transform(F.slice(F.array_sort(F.transform(sentences, ranked)), 1, 3), lambda r: r["s"])
+        top = F.transform(F.slice(F.sort_array(F.transform(sentences, ranked)), 1, 3), lambda r: r["s"])
         plain = F.trim(F.regexp_replace(F.substring(text, 1, 260), r"[{}'\"]", ""))
         return X.let(
             F.array_join(top, " "),

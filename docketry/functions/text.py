@@ -13,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ColumnLike = Column | str
@@ -98,6 +98,18 @@ def scrub(c: ColumnLike, passes: Sequence[tuple[str, str]]) -> Column:
     return reduce(lambda acc, p: F.regexp_replace(acc, p[0], p[1]), passes, blank(c))
 
 
+def exploded(df: DataFrame, value: Column, names: Sequence[str], keep: Sequence[ColumnLike] = (),
+             positions: bool = False) -> DataFrame:
+    """One row per element of a computed array or map, empty ones giving none.
+
+    A plain ``explode`` makes the optimiser infer ``size(value) > 0`` below it, which
+    evaluates a costly ``value`` again for the test; the outer form with a filter on the
+    result does not.
+    """
+    generator = F.posexplode_outer(value) if positions else F.explode_outer(value)
+    return df.select(*keep, generator.alias(*names)).filter(F.col(names[0]).isNotNull())
+
+
 def words(c: ColumnLike, min_len: int = 3, letters: str = "a-z0-9") -> Column:
     """Lower-cased maximal runs of ``letters``, in order, repeats kept."""
     pattern = f"[{letters}]{{{min_len},}}"
@@ -137,7 +149,7 @@ def runs(arr: Column) -> Column:
         ).otherwise(let(firsts, close))
 
     indexed = F.transform(arr, lambda w, i: F.struct(w.alias("w"), i.alias("pos")))
-    return let(F.array_sort(indexed), build)
+    return let(F.sort_array(indexed), build)
 
 
 def frequencies(arr: Column) -> Column:

@@ -21,12 +21,12 @@ def term_weight(tf: Column, df: Column, length: Column, n_chunks: Column, mean_l
 
 
 def bm25(query_tokens: DataFrame, chunks: DataFrame, df: DataFrame, stats: DataFrame) -> DataFrame:
-    """``query_id, id, ord, bm25`` for every pair with a common token.
+    """``query_id, ord, bm25`` for every pair with a common token.
 
     ``query_tokens`` has one row per query and distinct token. The document
     frequencies are joined to the query tokens, not to the postings, so postings meet
     one small hash table and tokens nobody asked for end there. Chunks are placed by
-    id once, as compact rows; the sum per (query, chunk) then needs no second shuffle
+    ordinal once, as compact rows; the sum per (query, chunk) then needs no second shuffle
     and a token that sits in a third of all chunks never gathers in one task.
     """
     weighted = query_tokens.join(df, "token", "left").select(
@@ -38,11 +38,11 @@ def bm25(query_tokens: DataFrame, chunks: DataFrame, df: DataFrame, stats: DataF
         stats.select("n_chunks").scalar().alias("n_chunks"),
         stats.select("avg_chunk_length").scalar().alias("avg_chunk_length"),
     )
-    located = chunks.select("id", "ord", "length", "token_freq").repartition("id")
+    located = chunks.select("ord", "length", "token_freq").repartition("ord")
     return (
         C.postings(located)
         .join(broadcast_if_small(weighted, 500_000), "token")
-        .groupBy("query_id", "id", "ord")
+        .groupBy("query_id", "ord")
         .agg(
             F.sum(
                 term_weight(
@@ -53,8 +53,12 @@ def bm25(query_tokens: DataFrame, chunks: DataFrame, df: DataFrame, stats: DataF
     )
 
 
-def top_chunks(scores: DataFrame, k: int, score: str = "bm25") -> DataFrame:
-    """Best ``k`` per query, equal scores by ingest order. The rank limit is applied
-    in each task before the exchange."""
+def top_chunks(scores: DataFrame, chunks: DataFrame, k: int, score: str = "bm25") -> DataFrame:
+    """Best ``k`` per query with chunk ids, equal scores by ingest order.
+
+    The rank limit is applied in each task before the exchange; only the winners are
+    joined back to the chunk table.
+    """
     best = Window.partitionBy("query_id").orderBy(F.desc(F.round(score, 9)), F.asc("ord"))
-    return scores.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    top = scores.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    return top.join(chunks.select("ord", "id"), "ord")

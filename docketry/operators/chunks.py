@@ -79,27 +79,42 @@ def _scrubbed(t: Column, prose: str) -> Column:
     return X.let(out, lambda t: F.when(F.length(t) < 60, F.lit("")).otherwise(t))
 
 
-def is_low_quality(c: X.ColumnLike, prose: str = L.PROSE_MARKERS) -> Column:
-    """Metadata-heavy text: lists, section dumps, too short, too few words."""
-    raw = F.lower(X.squash(c))
-    by_raw = (
-        (raw == "")
-        | (F.regexp_count(raw, F.lit(";")) >= 3)
-        | raw.rlike(r"decision\s*:\s*\d")
-        | (F.regexp_count(raw, F.lit(X.word_re("section"))) > 3)
-    )
+# Lower-cased pieces without which neither the scrub nor the metadata tests can apply.
+PLAIN_MARKERS = [":", ";", "{", "[", "section", "rule", "case title", "(cid", "metadata", "extracted"]
+
+
+def is_low_quality(c: X.ColumnLike, prose: str = L.PROSE_MARKERS, squashed: bool = False) -> Column:
+    """Metadata-heavy text: lists, section dumps, too short, too few words.
+
+    ``squashed`` says that white space is already single blanks, as in a chunk.
+    """
+
+    def too_thin(t: Column) -> Column:
+        # Each match runs from three letters to the end of its word: one per such word.
+        plain = F.regexp_count(t, F.lit(f"[a-z]{{3,}}[^ ]*"))
+        return (F.length(t) < 85) | (plain < 12)
+
+    def listed(raw: Column) -> Column:
+        return (
+            (F.regexp_count(raw, F.lit(";")) >= 3)
+            | raw.rlike(r"decision\s*:\s*\d")
+            | (F.regexp_count(raw, F.lit(X.word_re("section"))) > 3)
+        )
 
     def by_clean(t: Column) -> Column:
         markers = ["case title extracted", "cited-cases metadata", "extracted from cited"]
         prefixes = r"^(?:case title|title:|source:|judges:)|https?://"
-        # Each match runs from three letters to the end of its word: one per such word.
-        plain = F.regexp_count(t, F.lit(f"[a-z]{{3,}}[^{X.SPACE_CLASS}]*"))
         return (
-            X.any_contains(t, markers) | t.rlike(prefixes) | (F.length(t) < 85)
-            | t.rlike(r"^decision:\s*\d+\s*cited cases:") | (plain < 12)
+            X.any_contains(t, markers) | t.rlike(prefixes) | t.rlike(r"^decision:\s*\d+\s*cited cases:") | too_thin(t)
         )
 
-    return by_raw | X.let(F.lower(clean_chunk(c, prose)), by_clean)
+    source = X.blank(c) if squashed else X.squash(c)
+    return X.let(
+        F.lower(source),
+        lambda raw: F.when(~X.any_contains(raw, PLAIN_MARKERS), too_thin(raw)).otherwise(
+            listed(raw) | X.let(F.lower(clean_chunk(source, prose)), by_clean)
+        ),
+    )
 
 
 def windows_of(c: X.ColumnLike, rules: ChunkRules = ChunkRules()) -> Column:
@@ -150,10 +165,9 @@ def chunk_rows(sections: DataFrame, keep: Sequence[str], rules: ChunkRules = Chu
     Input columns: ``case_id, ord, title, no, section, body`` and ``keep``. Narrow: no
     shuffle.
     """
-    exploded = sections.select(
-        "case_id", "title", "section", "no", *keep,
-        F.col("ord").alias("__ord"),
-        F.posexplode(windows_of("body", rules)).alias("pos", "text"),
+    exploded = X.exploded(
+        sections, windows_of("body", rules), ["pos", "text"],
+        ["case_id", "title", "section", "no", *keep, F.col("ord").alias("__ord")], positions=True,
     )
     return exploded.select(
         F.concat_ws(
@@ -164,26 +178,24 @@ def chunk_rows(sections: DataFrame, keep: Sequence[str], rules: ChunkRules = Chu
             F.col("__ord") * F.lit(CASE_SHIFT) + F.col("no") * F.lit(SECTION_SHIFT) + F.col("pos")
         ).cast("bigint").alias("ord"),
         "case_id", "title", "section", *keep, "text",
-    ).filter(~is_low_quality("text", rules.prose))
+    ).filter(~is_low_quality("text", rules.prose, squashed=True))
 
 
 def with_features(chunks: DataFrame, rules: ChunkRules = ChunkRules()) -> DataFrame:
     """Token, frequency, length, bucket and norm columns of a chunk table."""
     stop = list(rules.stop)
-    kept = X.without(X.words("text"), stop)
-    titled = X.tokens(F.concat_ws(" ", X.blank("title"), X.blank("text")), stop)
-    out = chunks.select(
-        "*",
-        X.tokens("text", stop).alias("tokens"),
-        X.frequencies(kept).alias("token_freq"),
-        X.let(
-            titled,
-            lambda t: F.struct(
-                H.buckets(t, H.SEED_A).alias("first"), H.buckets(t, H.SEED_B).alias("second")
-            ),
-        ).alias("sparse"),
-    )
-    return out.select(
+
+    def features(w: Column) -> Column:
+        """From the kept words of the text; the vector also covers the title."""
+        tokens = F.array_distinct(w)
+        sparse = X.let(
+            F.array_union(X.tokens("title", stop), tokens),
+            lambda t: F.struct(H.buckets(t, H.SEED_A).alias("first"), H.buckets(t, H.SEED_B).alias("second")),
+        )
+        return F.struct(tokens.alias("tokens"), X.frequencies(w).alias("token_freq"), sparse.alias("sparse"))
+
+    out = chunks.select("*", X.let(X.without(X.words("text"), stop), features).alias("__f"))
+    return out.select(*chunks.columns, "__f.*").select(
         "*",
         F.aggregate(F.map_values("token_freq"), F.lit(0), lambda s, n: s + n).alias("length"),
         F.sqrt(H.squared_norm(F.col("sparse.first"), F.col("sparse.second"), SECOND_WEIGHT)).alias("norm"),
@@ -200,7 +212,7 @@ def token_df(chunks: DataFrame) -> DataFrame:
     """Number of chunks holding each token. Counts are combined before the shuffle, so
     a token found everywhere costs one row per task."""
     return (
-        chunks.select(F.explode(F.map_keys("token_freq")).alias("token"))
+        X.exploded(chunks, F.map_keys("token_freq"), ["token"])
         .groupBy("token")
         .agg(F.count(F.lit(1)).alias("df"))
     )
@@ -215,10 +227,8 @@ def index_stats(chunks: DataFrame) -> DataFrame:
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """``id, ord, length, token, tf``: one row per chunk and token."""
-    return chunks.select(
-        "id", "ord", F.col("length"), F.explode("token_freq").alias("token", "tf")
-    )
+    """``ord, length, token, tf``: one row per chunk and token."""
+    return X.exploded(chunks, F.col("token_freq"), ["token", "tf"], ["ord", "length"])
 
 
 def saved_filter(chunks: DataFrame) -> DataFrame:

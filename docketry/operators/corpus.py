@@ -172,7 +172,7 @@ def top_keywords(docs: DataFrame, k: int = 14, stop: Sequence[str] = tuple(L.KEY
     """Add ``keywords``: the most frequent words of each document, ties by first use.
     Inside the row: no shuffle."""
     counted = X.runs(X.without(X.words(column, 4, "a-z"), list(stop)))
-    ranked = F.array_sort(
+    ranked = F.sort_array(
         F.transform(counted, lambda r: F.struct((-r["n"]).alias("n"), r["pos"].alias("pos"), r["token"].alias("token")))
     )
     return docs.withColumn("keywords", F.transform(F.slice(ranked, 1, k), lambda r: r["token"]))

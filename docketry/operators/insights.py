@@ -34,7 +34,7 @@ def case_clusters(cases: DataFrame, k: int = 5) -> DataFrame:
 
 
 def top_topics(cases: DataFrame, k: int = 6) -> DataFrame:
-    return cases.select(F.explode("tags").alias("topic")).groupBy("topic").agg(
+    return X.exploded(cases, F.col("tags"), ["topic"]).groupBy("topic").agg(
         F.count(F.lit(1)).alias("cases")
     ).orderBy(F.desc("cases"), "topic").limit(k)
 
@@ -161,7 +161,7 @@ def similarity_edges(cases: DataFrame, minimum: int = EDGE_MIN, nodes: int = EDG
     """
     shown = cases.orderBy("ord").limit(nodes).filter(F.col("similarity") >= minimum)
     placed = shown.select("ord", "id", "similarity")
-    later = placed.select(F.array_sort(F.collect_list(F.struct("ord", "id", "similarity"))).alias("all"))
+    later = placed.select(F.sort_array(F.collect_list(F.struct("ord", "id", "similarity"))).alias("all"))
     pairs = later.select(
         F.posexplode(
             F.transform(

@@ -147,10 +147,10 @@ def section_table(signals: DataFrame, related: DataFrame, cases: DataFrame) -> D
     kind = F.when(empty, name_only_type("file_name")).otherwise(F.col("suspected_type"))
     docs = signals.withColumn("kind", kind).withColumn("no_text", empty)
     text_matches = related.groupBy("doc_id").agg(
-        F.array_sort(F.collect_list(F.struct("rank", "title", "similarity", "reason"))).alias("found")
+        F.sort_array(F.collect_list(F.struct("rank", "title", "similarity", "reason"))).alias("found")
     )
     name_matches = by_name.groupBy("suspected_type").agg(
-        F.array_sort(
+        F.sort_array(
             F.collect_list(
                 F.struct(
                     "rank", "title", "similarity",
@@ -193,8 +193,8 @@ def section_table(signals: DataFrame, related: DataFrame, cases: DataFrame) -> D
 
 def collect_matches(sections: DataFrame) -> DataFrame:
     """One row per title and document over all sections, first appearance wins."""
-    flat = sections.select(
-        "doc_id", "section_no", "section", F.posexplode("matches").alias("at", "m")
+    flat = X.exploded(
+        sections, F.col("matches"), ["at", "m"], ["doc_id", "section_no", "section"], positions=True
     )
     return flat.groupBy("doc_id", F.col("m.title").alias("title")).agg(
         F.min(

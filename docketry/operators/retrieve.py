@@ -111,7 +111,7 @@ def with_rarity(features: DataFrame, df: DataFrame, stats: DataFrame) -> DataFra
     The grouping key is a query; a group holds that query's tokens only.
     """
     frequencies = (
-        features.select("query_id", F.explode("expanded").alias("token"))
+        X.exploded(features, F.col("expanded"), ["token"], ["query_id"])
         .join(df, "token", "left")
         .groupBy("query_id")
         .agg(F.map_from_entries(F.collect_list(F.struct("token", F.coalesce("df", F.lit(0)).alias("df")))).alias("dfs"))
@@ -332,7 +332,7 @@ def confidence(hits: DataFrame, sources: DataFrame) -> DataFrame:
 
 def outcome_class(hits: DataFrame) -> DataFrame:
     """Outcome signal of the text retrieved for each query (at most three chunks)."""
-    texts = F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda s: s["text"])
+    texts = F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda s: s["text"])
     return hits.groupBy("query_id").agg(F.lower(F.array_join(texts, " ")).alias("__all")).select(
         "query_id", X.first_rule("__all", L.OUTCOME_RULES, "undetermined").alias("outcome")
     )

@@ -216,7 +216,7 @@ def judge_status(judges: DataFrame, hearings: DataFrame, k: int = 5) -> DataFram
     w = Window.partitionBy("judge_id").orderBy("hearing_date", "slot", "id")
     upcoming = (
         hearings.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= k).groupBy("judge_id")
-        .agg(F.array_sort(F.collect_list(F.struct("__n", "id"))).alias("__h"))
+        .agg(F.sort_array(F.collect_list(F.struct("__n", "id"))).alias("__h"))
     )
     capacity = F.coalesce("case_load_capacity", F.lit(0))
     used = F.when(capacity > 0, F.col("current_case_load") / capacity * 100).otherwise(0.0)

@@ -7,6 +7,8 @@ for tests, the benchmark and notebooks.
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -32,6 +34,20 @@ def local_session(cores: int | str = "*", app: str = "docketry", shuffle: int =
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers (as ``--py-files`` would), once per context."""
+    context = spark.sparkContext
+    if getattr(context, "_docketry_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="docketry-package-")) / "docketry.zip"
+    with zipfile.ZipFile(target, "w") as archive:
+        for source in root.rglob("*.py"):
+            archive.write(source, source.relative_to(root.parent))
+    context.addPyFile(str(target))
+    context._docketry_shipped = True
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for cut lineage.
 

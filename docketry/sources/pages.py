@@ -62,7 +62,7 @@ def document_links(pages: DataFrame, rules: LinkRules = LinkRules()) -> DataFram
         lambda a: ~a["label"].rlike(rules.skip_label),
     )
     both = F.filter(F.concat(fragments, documents), lambda a: (a["href"] != "") & (a["label"] != ""))
-    return pages.select("page_id", F.posexplode(both).alias("no", "a")).select(
+    return X.exploded(pages, both, ["no", "a"], ["page_id"], positions=True).select(
         "page_id", "no", F.col("a.href").alias("href"), F.col("a.label").alias("label")
     )
 
@@ -81,7 +81,7 @@ def listing_links(pages: DataFrame, kind: str = "browse", rules: LinkRules = Lin
     hrefs = F.array_distinct(
         F.filter(F.transform(F.regexp_extract_all("html", F.lit(pattern), F.lit(1)), lambda h: F.trim(h)), lambda h: h != "")
     )
-    return pages.select("page_id", F.posexplode(hrefs).alias("no", "href")).select(
+    return X.exploded(pages, hrefs, ["no", "href"], ["page_id"], positions=True).select(
         "page_id", "no", absolute_url(F.col("href"), rules.base).alias("url")
     )
 
