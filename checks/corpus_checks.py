@@ -31,12 +31,14 @@ RULES = K.EnrichRules(PRIORITY, VERDICTS, ANCHORS, TAGS, CUES)
 
 
 def raw_cases(spark, sf_dir):
-    """Documents in the shape of raw cases."""
+    """Documents in the shape of raw cases: the first line is the title, the second names the
+    issues, the last the decision."""
     body = F.col("text")
     n = F.col("doc_id")
+    line = lambda at: X.squash(F.get(F.split(body, "\n"), F.lit(at)))
     return texts(spark, sf_dir).select(
         F.concat(F.lit("D-"), n.cast("string")).alias("case_id"), n.alias("ord"),
-        F.substring(X.squash(body), 1, 48).alias("title"),
+        line(0).alias("title"),
         F.when(n % 3 == 0, "Supreme Court of India").when(n % 3 == 1, F.concat(F.col("lang"), F.lit(" High Court"))).otherwise(
             F.concat(F.lit("District Court "), F.col("source"))).alias("court"),
         F.when(n % 4 == 0, "").otherwise(F.col("lang")).alias("jurisdiction"),
@@ -44,8 +46,8 @@ def raw_cases(spark, sf_dir):
         F.when(n % 5 == 0, "").otherwise(F.concat(F.col("source"), F.lit(" 12, "), F.col("lang"), F.lit(" SCR 3"))).alias("citation"),
         F.when(n % 6 == 0, "").when(n % 6 == 1, "criminal matter").when(n % 6 == 2, "Family").otherwise(F.col("lang")).alias("case_type"),
         F.lit("").alias("summary"), body.alias("full_text"),
-        F.substring(X.squash(body), 100, 300).alias("issues"),
-        F.when(n % 2 == 0, F.substring(X.squash(body), 500, 200)).otherwise("").alias("decision"),
+        line(1).alias("issues"),
+        F.when(n % 2 == 0, X.squash(F.substring_index(body, "\n", -1))).otherwise("").alias("decision"),
     )
 
 
@@ -65,9 +67,9 @@ def case_scores(spark, sf_dir):
 
 
 def documents_as_records(spark, sf_dir):
-    """Text prefix and language make the key; copies of a document share it."""
+    """Text and language make the key; copies of a document share it."""
     return table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("ord"), F.substring("text", 1, 40).alias("title"), F.lit("").alias("decision_date"),
+        F.col("doc_id").alias("ord"), F.col("text").alias("title"), F.lit("").alias("decision_date"),
         F.col("lang").alias("court"), "source",
     )
 
@@ -103,7 +105,7 @@ def displayed(spark, sf_dir):
 
 def verdict_classes(spark, sf_dir):
     rules = [("Convicted", "sch|eux"), ("Dismissed", "die|une|thth"), ("Allowed", "und|que|with")]
-    c = E.verdict_class(F.substring("text", 1, 400), rules)
+    c = E.verdict_class("text", rules)
     return texts(spark, sf_dir).select("doc_id", c.alias("verdict"), E.final_verdict(c, F.lit("")).alias("worded"))
 
 
@@ -148,7 +150,7 @@ def facet_values(spark, sf_dir):
 
 
 def titles(spark, sf_dir):
-    return texts(spark, sf_dir).select("doc_id", E.case_title(F.substring("text", 1, 80)).alias("title"))
+    return texts(spark, sf_dir).select("doc_id", E.case_title("text").alias("title"))
 
 
 def questions(spark, sf_dir):
@@ -214,17 +216,18 @@ def word(body: str) -> str:
 RAW = fill(
     r"""
 raw AS (
-  SELECT doc_id AS ord, 'D-' || doc_id AS id, substr(t, 1, 48) AS title,
+  SELECT doc_id AS ord, 'D-' || doc_id AS id, <<first>> AS title,
     CASE doc_id % 3 WHEN 0 THEN 'Supreme Court of India' WHEN 1 THEN lang || ' High Court'
       ELSE 'District Court ' || source END AS court,
     CASE WHEN doc_id % 4 = 0 THEN '' ELSE lang END AS jurisdiction,
     CASE WHEN doc_id % 7 = 0 THEN NULL ELSE 1995 + doc_id % 30 END AS decided,
     CASE WHEN doc_id % 5 = 0 THEN '' ELSE source || ' 12, ' || lang || ' SCR 3' END AS citation,
     CASE doc_id % 6 WHEN 0 THEN 'General' WHEN 1 THEN 'criminal matter' WHEN 2 THEN 'Family' ELSE lang END AS type,
-    text, t, substr(t, 100, 300) AS issues, CASE WHEN doc_id % 2 = 0 THEN substr(t, 500, 200) ELSE '' END AS decision
+    text, t, <<second>> AS issues, CASE WHEN doc_id % 2 = 0 THEN <<last>> ELSE '' END AS decision
   FROM (SELECT *, <<t>> AS t FROM documents)
 )""",
-    t=sq("text"),
+    t=sq("text"), first=sq("split_part(text, chr(10), 1)"), second=sq("split_part(text, chr(10), 2)"),
+    last=sq("string_split(text, chr(10))[-1]"),
 )
 
 
@@ -422,11 +425,11 @@ WITH {CASES} SELECT id, year, type, similarity, priority_score, band AS priority
     Check("case_texts", case_text, f"""
 WITH {CASES} SELECT id, summary, judgment, raw_judgment, final_verdict FROM enriched"""),
     Check("case_dedupe", deduped, """
-SELECT doc_id AS ord, substr(text, 1, 40) AS title, lang AS court FROM documents WHERE text <> ''
-QUALIFY row_number() OVER (PARTITION BY lower(substr(text, 1, 40)), lower(lang) ORDER BY doc_id) = 1"""),
+SELECT doc_id AS ord, text AS title, lang AS court FROM documents WHERE text <> ''
+QUALIFY row_number() OVER (PARTITION BY lower(text), lower(lang) ORDER BY doc_id) = 1"""),
     Check("case_reindex", reindexed, """
-WITH d AS (SELECT doc_id, substr(text, 1, 40) AS title FROM documents WHERE text <> ''
-  QUALIFY row_number() OVER (PARTITION BY lower(substr(text, 1, 40)), lower(lang) ORDER BY doc_id) = 1)
+WITH d AS (SELECT doc_id, text AS title FROM documents WHERE text <> ''
+  QUALIFY row_number() OVER (PARTITION BY lower(text), lower(lang) ORDER BY doc_id) = 1)
 SELECT 'CASE-' || lpad(n::VARCHAR, 6, '0') AS case_id, n - 1 AS position, title
 FROM (SELECT *, row_number() OVER (ORDER BY doc_id) AS n FROM d)"""),
     Check("corpus_assembly", assembled, """
@@ -435,8 +438,8 @@ WITH n AS (SELECT count(*) AS total, count(*) * 9 // 10 AS target,
 extra AS (SELECT * FROM documents WHERE substr(source, 4)::INT >= 10
   QUALIFY row_number() OVER (ORDER BY doc_id) <= (SELECT (target - have) + ceil((target - have) * 0.2) FROM n)),
 merged AS (SELECT 0 AS s, * FROM documents WHERE substr(source, 4)::INT < 10 UNION ALL SELECT 1, * FROM extra),
-kept AS (SELECT *, substr(text, 1, 40) AS title FROM merged WHERE text <> ''
-  QUALIFY row_number() OVER (PARTITION BY lower(substr(text, 1, 40)), lower(lang) ORDER BY s, doc_id) = 1),
+kept AS (SELECT *, text AS title FROM merged WHERE text <> ''
+  QUALIFY row_number() OVER (PARTITION BY lower(text), lower(lang) ORDER BY s, doc_id) = 1),
 numbered AS (SELECT *, row_number() OVER (ORDER BY s, doc_id) AS k FROM kept)
 SELECT 'CASE-' || lpad(k::VARCHAR, 6, '0') AS case_id, title, lang AS court, source FROM numbered, n WHERE k <= target"""),
     Check("document_keywords", keywords, """
@@ -457,7 +460,7 @@ e AS (SELECT doc_id, <<trim>> AS t FROM (SELECT doc_id, regexp_replace(t, '<<ws>
 SELECT doc_id, CASE WHEN length(t) < 20 THEN '' ELSE t END AS shown FROM e""",
         trim=trim_ws("t"), ws=r"[\s\x{0B}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]")),
     Check("document_verdicts", verdict_classes, f"""
-WITH d AS (SELECT doc_id, '' AS title, {sq("substr(text, 1, 400)")} AS t FROM documents),
+WITH d AS (SELECT doc_id, '' AS title, {sq("text")} AS t FROM documents),
 e AS (SELECT doc_id, title, CASE WHEN t = '' THEN 'Unknown' ELSE {first_case('t', [
     ("Allowed", verdict_rules[0][1]), ("Dismissed", verdict_rules[1][1]), ("Convicted", word("sch|eux")),
     ("Dismissed", word("die|une|thth")), ("Allowed", word("und|que|with"))], "'Unknown'")} END AS v FROM d)
@@ -503,7 +506,14 @@ WITH {CASES} SELECT id, priority_score FROM enriched WHERE court = 'Supreme Cour
 WITH {CASES} SELECT DISTINCT 'court' AS facet, court AS value FROM enriched WHERE lower(court) <> 'supreme court of india'
 UNION ALL SELECT DISTINCT 'location', CASE WHEN contains(lower(court), 'src1') THEN 'Src1' WHEN contains(lower(court), 'src7') THEN 'Src7'
   WHEN contains(lower(court), 'en ') THEN 'En ' WHEN contains(lower(court), 'supreme') THEN 'National' ELSE 'Unspecified' END FROM enriched"""),
-    Check("document_titles", titles),
+    Check("document_titles", titles, fill(r"""
+WITH t AS (SELECT doc_id, trim(regexp_replace(regexp_replace(text, '<<ws>>+', ' ', 'g'), '\.\.\.$', '')) AS t FROM documents),
+w AS (SELECT doc_id, t, array_to_string(list_transform(string_split(t, ' '), lambda w: CASE
+    WHEN lower(w) IN (<<small>>) THEN lower(w) WHEN regexp_full_match(w, '[A-Z]{2,}') THEN w
+    ELSE replace(upper(w[1]), 'ẞ', 'SS') || lower(w[2:]) END), ' ') AS j FROM t)
+SELECT doc_id, CASE WHEN t = '' THEN 'Untitled Case' ELSE replace(upper(j[1]), 'ẞ', 'SS') || j[2:] END AS title FROM w""",
+        small=in_list(L.TITLE_VERSUS + L.TITLE_SMALL_WORDS),
+        ws=r"[\s\x{0B}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]")),
     Check("case_search", searched, f"""
 {SEARCH} SELECT query_id, rank, id, round(score, 4) AS rank_score,
   least(99, greatest(40, floor(score + 0.5)))::INT AS shown_similarity,

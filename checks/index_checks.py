@@ -28,7 +28,7 @@ def sections(spark, sf_dir):
     d = texts(spark, sf_dir)
     return d.select(
         F.col("doc_id").cast("string").alias("case_id"), F.col("doc_id").alias("ord"),
-        F.concat(F.lit("Case "), F.col("source"), F.lit(" "), F.substring("text", 1, 24)).alias("title"),
+        F.concat(F.lit("Case "), F.col("source"), F.lit(" "), F.substring_index(X.squash("text"), " ", 1)).alias("title"),
         F.lit(1).alias("no"), F.lit("Judgment").alias("section"), F.col("text").alias("body"),
         F.col("source").alias("court"), F.lit(2024).alias("year"), F.col("lang").alias("type"),
         F.lit("").alias("final_verdict"),
@@ -191,11 +191,11 @@ cut AS (
 ), filled AS (
   SELECT doc_id, source, full_text, k, array_to_string(w[k * 86 + 1 : k * 86 + 110], ' ') AS text FROM cut
 ), windows AS (
-  SELECT doc_id, 'Case ' || source || ' ' || substr(full_text, 1, 24) AS title,
+  SELECT doc_id, 'Case ' || source || ' ' || split_part(<<full>>, ' ', 1) AS title,
     row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS pos, text
   FROM filled WHERE length(text) >= 60
 )""",
-    text=TEXT,
+    text=TEXT, full=sq("full_text"),
 )
 
 CHUNKS = WINDOWS + fill(

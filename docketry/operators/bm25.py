@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketry.operators import chunks as C
-from docketry.plans.sizing import broadcast_if_small
 
 # fixed values: BM25 constants
 K1 = 1.4
 B = 0.75
+# Query tokens that may be broadcast at once
+MAX_TOKENS = 500_000
 
 
 def term_weight(tf: Column, df: Column, length: Column, n_chunks: Column, mean_length: Column) -> Column:
@@ -20,7 +24,8 @@ def term_weight(tf: Column, df: Column, length: Column, n_chunks: Column, mean_l
     return rarity * (tf * F.lit(K1 + 1)) / damped
 
 
-def bm25(query_tokens: DataFrame, chunks: DataFrame, df: DataFrame, stats: DataFrame) -> DataFrame:
+def bm25(query_tokens: DataFrame, chunks: DataFrame, df: DataFrame, stats: DataFrame,
+         max_tokens: int = MAX_TOKENS) -> DataFrame:
     """``query_id, ord, bm25`` for every pair with a common token.
 
     ``query_tokens`` has one row per query and distinct token. The document
@@ -28,6 +33,10 @@ def bm25(query_tokens: DataFrame, chunks: DataFrame, df: DataFrame, stats: DataF
     one small hash table and tokens nobody asked for end there. Chunks are placed by
     ordinal once, as compact rows; the sum per (query, chunk) then needs no second shuffle
     and a token that sits in a third of all chunks never gathers in one task.
+
+    The query side is counted first. Beyond ``max_tokens`` rows it is cut into blocks of
+    whole queries, each of them broadcast, rather than joined on the token, where one
+    common token would bring a third of the chunks together with all who ask for it.
     """
     weighted = query_tokens.join(df, "token", "left").select(
         "query_id", "token", F.coalesce("df", F.lit(0)).alias("df")
@@ -39,18 +48,19 @@ def bm25(query_tokens: DataFrame, chunks: DataFrame, df: DataFrame, stats: DataF
         stats.select("avg_chunk_length").scalar().alias("avg_chunk_length"),
     )
     located = chunks.select("ord", "length", "token_freq").repartition("ord")
-    return (
-        C.postings(located)
-        .join(broadcast_if_small(weighted, 500_000), "token")
-        .groupBy("query_id", "ord")
-        .agg(
-            F.sum(
-                term_weight(
-                    F.col("tf"), F.col("df"), F.col("length"), F.col("n_chunks"), F.col("avg_chunk_length")
-                )
-            ).alias("bm25")
+    weight = term_weight(F.col("tf"), F.col("df"), F.col("length"), F.col("n_chunks"), F.col("avg_chunk_length"))
+
+    def scored(part: DataFrame) -> DataFrame:
+        return (
+            C.postings(located).join(F.broadcast(part), "token").groupBy("query_id", "ord").agg(F.sum(weight).alias("bm25"))
         )
-    )
+
+    blocks = math.ceil(max(1, query_tokens.count()) / max_tokens)
+    if blocks == 1:
+        return scored(weighted)
+    # A query lies in one block as a whole, so the blocks only need to be put together.
+    in_block = F.pmod(F.xxhash64("query_id"), F.lit(2 * blocks))
+    return reduce(DataFrame.unionAll, [scored(weighted.filter(in_block == b)) for b in range(2 * blocks)])
 
 
 def top_chunks(scores: DataFrame, chunks: DataFrame, k: int, score: str = "bm25") -> DataFrame:

@@ -150,10 +150,16 @@ def rate_limit(events: DataFrame, max_requests: int, window_ms: int) -> DataFram
         .join(here, ["client", "slice"], "left").join(before, ["client", "slice"], "left")
         .withColumn("start", F.when(F.col("here") <= F.col("t"), F.col("here")).otherwise(F.col("before")))
     )
-    # One group is one client in one window.
+    # The last allowed request of each window. The rank limit is applied in every task
+    # before the exchange, so a flooded window sends ``max_requests`` rows per task; the
+    # flood itself is only compared with that one row.
     w = Window.partitionBy("client", "start").orderBy("t", "id")
-    allowed = F.col("n") <= max_requests
-    return opened.withColumn("n", F.row_number().over(w)).select(
+    last = (
+        opened.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= max_requests)
+        .groupBy("client", "start").agg(F.max(F.struct("t", "id")).alias("last"))
+    )
+    allowed = F.struct("t", "id") <= F.col("last")
+    return opened.join(last, ["client", "start"]).select(
         "client", "id", "ts", allowed.alias("allowed"),
         F.when(allowed, F.lit(0).cast("bigint")).otherwise(
             F.greatest(F.lit(1).cast("bigint"), F.col("start") + F.lit(window_ms) - F.col("t"))

@@ -80,6 +80,10 @@ def test_bm25_by_hand(spark, built):
         if total:
             want[row.ord] = total
     assert got == pytest.approx(want)
+    many = q.withColumn("query_id", F.explode(F.array(*[F.lit(i) for i in range(5)])))
+    whole = M.bm25(many, built, C.token_df(built), C.index_stats(built)).collect()
+    cut = M.bm25(many, built, C.token_df(built), C.index_stats(built), max_tokens=4).collect()
+    assert sorted(whole) == sorted(cut) and len(whole) == 5 * len(want)
 
 
 def test_in_domain_and_out_of_domain(spark, built):
