@@ -136,7 +136,8 @@ def facet_columns(spark, sf_dir):
 
 
 def faceted(spark, sf_dir):
-    return K.facet_filter(cases(spark, sf_dir), court="High Court", kind="Specialized Cases", query="the and").select(
+    c = stored(cases(spark, sf_dir).drop("raw_judgment"), "cases")
+    return K.facet_filter(c, court="High Court", kind="Specialized Cases", query="the and").select(
         "id", "court", "type"
     )
 

@@ -237,14 +237,14 @@ def case_title(c: X.ColumnLike) -> Column:
         return (
             F.when(low.isin(L.TITLE_VERSUS + L.TITLE_SMALL_WORDS), low)
             .when(w.rlike("^[A-Z]{2,}$"), w)
-            .otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 100_000))))
+            .otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substr(w, F.lit(2)))))
         )
 
     joined = F.array_join(F.transform(F.split(cleaned, " "), word), " ")
     return X.let(
         joined,
         lambda j: F.when(j == "", F.lit("Untitled Case")).otherwise(
-            F.concat(F.upper(F.substring(j, 1, 1)), F.substring(j, 2, 100_000))
+            F.concat(F.upper(F.substring(j, 1, 1)), F.substr(j, F.lit(2)))
         ),
     )
 
@@ -328,7 +328,7 @@ def whether_issues(c: X.ColumnLike) -> Column:
         found,
         lambda m: X.let(
             F.trim(F.regexp_replace(m, f"{X.SPACE}+", " ")),
-            lambda s: F.concat(F.upper(F.substring(s, 1, 1)), F.substring(s, 2, 200), F.lit(".")),
+            lambda s: F.concat(F.upper(F.substring(s, 1, 1)), F.substr(s, F.lit(2)), F.lit(".")),
         ),
     )
 

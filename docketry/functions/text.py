@@ -165,7 +165,7 @@ def initcap_words(c: ColumnLike) -> Column:
     return F.array_join(
         F.transform(
             F.split(col(c), " "),
-            lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1_000_000)),
+            lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substr(w, F.lit(2))),
         ),
         " ",
     )

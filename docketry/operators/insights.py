@@ -75,7 +75,7 @@ def trending_topics(events: DataFrame, k: int = 5, feed: int | None = None) -> D
         F.greatest(F.lit(0), X.round_half_up((now - F.col("before")) / F.col("before") * 100))
     )
     return counts.select(
-        F.concat(F.upper(F.substring("topic", 1, 1)), F.substring("topic", 2, 1_000)).alias("topic"),
+        F.concat(F.upper(F.substring("topic", 1, 1)), F.substr("topic", F.lit(2))).alias("topic"),
         "searches", growth.cast("int").alias("growth"),
     ).orderBy(F.desc("searches"), "topic").limit(k)
 
