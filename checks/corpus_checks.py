@@ -202,6 +202,15 @@ def related(spark, sf_dir):
     )
 
 
+def sections(spark, sf_dir):
+    c = stored(cases(spark, sf_dir).drop("raw_judgment"), "cases")
+    signals = D.document_signals(user_documents(spark, sf_dir), REL_TYPES, REL_SIGNALS, ("with",))
+    return D.section_table(signals, D.related_cases(signals, c), c).select(
+        "doc_id", "section_no", "section", "suspected_type", F.array_join("highlights", "|").alias("highlights"),
+        F.size("matches").alias("n_matches"),
+    )
+
+
 def analysed(spark, sf_dir):
     c = stored(cases(spark, sf_dir).drop("raw_judgment"), "cases")
     signals = D.document_signals(user_documents(spark, sf_dir), REL_TYPES, REL_SIGNALS, ("with",))
@@ -419,6 +428,11 @@ scored AS (
         reporters=" + ".join(f"(contains(up, '{r}') AND contains(upper(citation), '{r}'))::INT" for r in L.REPORTERS))
 )
 
+def marks(pool, defaults):
+    found = ", ".join(f"CASE WHEN contains(low, '{k}') THEN '{label}' END" for k, label in pool)
+    return f"coalesce(nullif(array_to_string(list_filter([{found}], lambda x: x IS NOT NULL)[1:5], '|'), ''), '{'|'.join(defaults)}')"
+
+
 CHECKS = [
     Check("case_scores", case_scores, f"""
 WITH {CASES} SELECT id, year, type, similarity, priority_score, band AS priority_band, why_match,
@@ -550,6 +564,17 @@ SELECT query_id, id, terms AS matched_terms, 'This case matches due to ' || CASE
     WHEN boost > 0 THEN 'Matched by citation overlap and case-type similarity (' || type || ').'
     WHEN overlap > 0 THEN 'Matched by overlapping legal terms (' || overlap || ' keyword hits) and case-type similarity.'
     ELSE 'Matched by case-type similarity (' || type || ') and baseline legal relevance.' END AS reason FROM best"""),
+    Check("document_sections", sections, fill(r"""
+<<related>>, f AS (SELECT conv_id * 1000 + turn AS doc_id, text, lower(text) AS low, lower('upload ' || text) AS named FROM conversations WHERE role = 'user'),
+g AS (SELECT f.*, <<type>> AS kind, (CASE WHEN regexp_matches(named, '\b(the|und|que)\b') THEN 2 ELSE 0 END
+    + CASE WHEN regexp_matches(named, '\bder\b') THEN 1 ELSE 0 END) >= 2 AS fits,
+    (SELECT count(*) FROM best b WHERE b.doc_id = f.doc_id)::INT AS n FROM f),
+r AS (SELECT doc_id, 1 AS section_no, 'Facts' AS section, kind, 'upload|' || kind || '|PDF text extracted' AS h, n FROM g UNION ALL
+  SELECT doc_id, 2, 'Issues', kind, CASE WHEN fits THEN <<issues>> ELSE 'No legal/case indicators detected in uploaded content' END, n FROM g UNION ALL
+  SELECT doc_id, 3, 'Relief Sought', kind, CASE WHEN fits THEN <<relief>> ELSE 'No legal relief pattern detected' END, n FROM g)
+SELECT doc_id, section_no, section, kind AS suspected_type, h AS highlights, n AS n_matches FROM r""",
+        related=RELATED, type=first_case("named", REL_TYPES, "'General'"),
+        issues=marks(L.ISSUE_HIGHLIGHTS, L.ISSUE_DEFAULTS), relief=marks(L.RELIEF_HIGHLIGHTS, L.RELIEF_DEFAULTS))),
     Check("document_matches", analysed, f"""
 {RELATED} SELECT doc_id, title, 'Facts' AS section, (rank - 1)::INT AS match_no, least(99, greatest(45, floor(score + 0.5)))::INT AS similarity
 FROM best QUALIFY row_number() OVER (PARTITION BY doc_id, title ORDER BY rank) = 1"""),

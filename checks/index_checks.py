@@ -113,6 +113,10 @@ def hashed_vectors(spark, sf_dir):
     )
 
 
+def hash_buckets(spark, sf_dir):
+    return texts(spark, sf_dir).select("doc_id", H.bucket_of("text", 11).alias("bucket"))
+
+
 def embedding_cosine(spark, sf_dir):
     """Cosine of every dense vector with the mean vector of its label."""
     e = table(spark, sf_dir, "embeddings")
@@ -394,6 +398,9 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 9
     Check("hashed_vectors", hashed_vectors,
           "WITH " + hashed("documents", "doc_id", "text", 0.45)
           + " SELECT key AS doc_id, bucket, round(w, 4) AS weight FROM vec"),
+    Check("hash_buckets", hash_buckets, """
+SELECT doc_id, (list_reduce(list_prepend(0::BIGINT, list_transform(string_split(text, ''), lambda c: unicode(c)::BIGINT)),
+  lambda h, c: (h * 31 + c) & 4294967295) % 11)::INT AS bucket FROM documents"""),
     Check("embedding_cosine", embedding_cosine, """
 WITH parts AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS dim FROM embeddings),
 means AS (SELECT label, dim, avg(x) AS m FROM parts GROUP BY ALL)

@@ -41,6 +41,11 @@ def rolling31(value: ColumnLike) -> Column:
     )
 
 
+def bucket_of(value: ColumnLike, n: int) -> Column:
+    """Deterministic bucket ``0 .. n - 1`` of a text."""
+    return F.pmod(rolling31(value), F.lit(n).cast("bigint")).cast("int")
+
+
 def buckets(tokens: Column, seed: int, dims: int = DIMS, limit: int = TOKEN_LIMIT) -> Column:
     """Bucket of each of the first ``limit`` tokens. Repeats are kept: this is the
     sparse form of a hashed vector, two bytes per token instead of ``dims`` floats."""
