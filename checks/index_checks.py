@@ -85,13 +85,14 @@ def saved_chunks(spark, sf_dir):
     return C.saved_filter(C.chunk_rows(sections(spark, sf_dir), KEEP, RULES)).select("id", "case_id")
 
 
-def index(spark, sf_dir):
-    built = stored(chunks(spark, sf_dir), "chunks")
+def index(spark, sf_dir, columns=(*[c for c in R.CARRY if c != "terms"], "token_freq", "length", "sparse")):
+    """Index tables with the columns the query reads."""
+    built = stored(chunks(spark, sf_dir).select(*columns), "chunks")
     return built, C.token_df(built), C.index_stats(built)
 
 
 def bm25_top5(spark, sf_dir):
-    built, df, stats = index(spark, sf_dir)
+    built, df, stats = index(spark, sf_dir, ("id", "ord", "length", "token_freq"))
     q = X.exploded(query_rows(spark, sf_dir), X.tokens("text", STOP), ["token"], ["query_id"])
     return M.top_chunks(M.bm25(q, built, df, stats), built, 5).select(
         "query_id", "rank", "id", F.round("bm25", 4).alias("bm25")

@@ -185,17 +185,23 @@ def with_features(chunks: DataFrame, rules: ChunkRules = ChunkRules()) -> DataFr
     """Token, frequency, length, bucket and norm columns of a chunk table."""
     stop = list(rules.stop)
 
-    def features(w: Column) -> Column:
-        """From the kept words of the text; the vector also covers the title."""
-        tokens = F.array_distinct(w)
-        sparse = X.let(
-            F.array_union(X.tokens("title", stop), tokens),
+    # Three steps, so that a reader of one feature does not pay for the others.
+    counted = chunks.select(
+        "*",
+        X.let(
+            X.without(X.words("text"), stop),
+            lambda w: F.struct(F.array_distinct(w).alias("tokens"), X.frequencies(w).alias("token_freq")),
+        ).alias("__w"),
+    ).select(*chunks.columns, "__w.tokens", "__w.token_freq")
+    out = counted.select(
+        "*",
+        # The vector also covers the title.
+        X.let(
+            F.array_union(X.tokens("title", stop), F.col("tokens")),
             lambda t: F.struct(H.buckets(t, H.SEED_A).alias("first"), H.buckets(t, H.SEED_B).alias("second")),
-        )
-        return F.struct(tokens.alias("tokens"), X.frequencies(w).alias("token_freq"), sparse.alias("sparse"))
-
-    out = chunks.select("*", X.let(X.without(X.words("text"), stop), features).alias("__f"))
-    return out.select(*chunks.columns, "__f.*").select(
+        ).alias("sparse"),
+    )
+    return out.select(
         "*",
         F.aggregate(F.map_values("token_freq"), F.lit(0), lambda s, n: s + n).alias("length"),
         F.sqrt(H.squared_norm(F.col("sparse.first"), F.col("sparse.second"), SECOND_WEIGHT)).alias("norm"),

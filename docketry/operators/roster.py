@@ -137,7 +137,7 @@ def rank_judges(cases: DataFrame, judges: DataFrame, k: int = 1, seed: str = "se
 def judge_reason() -> Column:
     fit = F.when(F.col("judge_category") == F.col("wanted"), "strong category fit").otherwise("acceptable fallback fit")
     status = F.when(F.col("availability") == "Available", "available").otherwise(F.lower("availability"))
-    # The comparison is with the fraction, as in the original scoring.
+    # The thresholds are compared with the load fraction, not with the percentage.
     load = (
         F.when(F.col("used") >= 85, "high current load").when(F.col("used") >= 60, "moderate current load")
         .otherwise("low current load")
