@@ -32,10 +32,11 @@ def request_metrics(log: DataFrame, top_paths: int = TOP_PATHS) -> DataFrame:
         F.coalesce("method", "status_class", "path_key", F.lit("")).alias("value"),
         "requests", F.round("avg_ms", 2).alias("avg_ms"), F.round("max_ms", 2).alias("max_ms"),
     )
-    w = Window.partitionBy("dimension").orderBy(F.desc("requests"), "value")
-    return named.withColumn("__n", F.row_number().over(w)).filter(
-        (F.col("dimension") != "path") | (F.col("__n") <= top_paths)
-    ).drop("__n")
+    # Rows other than paths are groups of their own. The plain rank limit is then applied in
+    # each task before the exchange, however many path templates there are.
+    alone = F.when(F.col("dimension") != "path", F.col("value"))
+    w = Window.partitionBy("dimension", alone).orderBy(F.desc("requests"), "value")
+    return named.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= top_paths).drop("__n")
 
 
 def latency_summary(log: DataFrame, column: str = "duration_ms", share: float = 0.95,
