@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import near_dedup
+from docketry.llm import fingerprints, near_dedup
 from docketry.session import ship
 
 # Rows of text that Spark hands to a Python worker at once: bounds its memory for long texts.
@@ -31,6 +31,12 @@ def ready(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return fingerprints.edit_next(docs).withColumnRenamed("id", "doc_id")
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     ready(spark)
     found = near_dedup.near_components(
@@ -39,5 +45,6 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = [
+    Query("op1_fingerprints", op1_fingerprints),
     Query("op9_near_dedup", op9_near_dedup),
 ]
