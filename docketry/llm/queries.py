@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import fingerprints, near_dedup
+from docketry.llm import fingerprints, near_dedup, packing
 from docketry.session import ship
 
 # Rows of text that Spark hands to a Python worker at once: bounds its memory for long texts.
@@ -26,6 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def ready(spark: SparkSession) -> None:
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
@@ -37,6 +43,12 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edit_next(docs).withColumnRenamed("id", "doc_id")
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.packed_documents(docs, tokenizer("byte_bpe_50k.json"), digest=True).withColumnRenamed("id", "doc_id")
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     ready(spark)
     found = near_dedup.near_components(
@@ -45,6 +57,7 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = [
+    Query("op3_packing", op3_packing),
     Query("op1_fingerprints", op1_fingerprints),
     Query("op9_near_dedup", op9_near_dedup),
 ]
