@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import fingerprints, near_dedup, packing
+from docketry.llm import fingerprints, language, near_dedup, packing
 from docketry.session import ship
 
 # Rows of text that Spark hands to a Python worker at once: bounds its memory for long texts.
@@ -49,6 +49,14 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(docs, tokenizer("byte_bpe_50k.json"), digest=True).withColumnRenamed("id", "doc_id")
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = language.held_out(F.col("doc_id"))
+    model = language.fit(docs.where(~out).select("lang", "text", "doc_id"))
+    return language.predict(docs.select("doc_id", "text", out.alias("held_out")), model).drop("text")
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     ready(spark)
     found = near_dedup.near_components(
@@ -59,5 +67,6 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = [
     Query("op3_packing", op3_packing),
     Query("op1_fingerprints", op1_fingerprints),
+    Query("op8_language", op8_language),
     Query("op9_near_dedup", op9_near_dedup),
 ]
