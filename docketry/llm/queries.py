@@ -8,11 +8,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import fingerprints, language, near_dedup, packing
+from docketry.llm import fingerprints, language, near_dedup, packing, vptree
 from docketry.session import ship
 
 # Rows of text that Spark hands to a Python worker at once: bounds its memory for long texts.
 TEXT_ROWS = 1000
+BATCH_BYTES = "16m"
 
 
 @dataclass(frozen=True)
@@ -35,6 +36,7 @@ def tokenizer(name: str) -> str:
 def ready(spark: SparkSession) -> None:
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,9 +66,17 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready(spark)
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    found = vptree.nearest(vectors, vectors.where("vec_id % 20 = 0"))
+    return found.withColumnRenamed("id", "vec_id")
+
+
 QUERIES = [
     Query("op3_packing", op3_packing),
     Query("op1_fingerprints", op1_fingerprints),
     Query("op8_language", op8_language),
     Query("op9_near_dedup", op9_near_dedup),
+    Query("op10_nearest", op10_nearest),
 ]
