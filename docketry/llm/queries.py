@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import fingerprints, language, near_dedup, packing, vptree
+from docketry.llm import fingerprints, language, near_dedup, packing, suffix_dedup, vptree
 from docketry.session import ship
 
 # Rows of text that Spark hands to a Python worker at once: bounds its memory for long texts.
@@ -51,6 +51,23 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(docs, tokenizer("byte_bpe_50k.json"), digest=True).withColumnRenamed("id", "doc_id")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document with a passage of 50 words or more that another document has too."""
+    ready(spark)
+    found = suffix_dedup.repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    def told(spans: str):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.start, s.end)), ",")
+
+    def length(spans: str):
+        return F.aggregate(spans, F.lit(0).cast("bigint"), lambda n, s: n + s.end - s.start)
+
+    return found.select(
+        F.col("id").alias("doc_id"), F.col("twin").alias("twin_doc_id"), F.size("spans").alias("n_spans"),
+        length("spans").alias("n_words"), length("cuts").alias("n_cut_words"), told("spans").alias("spans"),
+        told("cuts").alias("cuts"))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     ready(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -76,6 +93,7 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = [
     Query("op3_packing", op3_packing),
     Query("op1_fingerprints", op1_fingerprints),
+    Query("op5_suffix_dedup", op5_suffix_dedup),
     Query("op8_language", op8_language),
     Query("op9_near_dedup", op9_near_dedup),
     Query("op10_nearest", op10_nearest),
