@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import fingerprints, language, near_dedup, packing, suffix_dedup, vptree
+from docketry.llm import fingerprints, language, near_dedup, packing, pii, suffix_dedup, vptree
 from docketry.session import ship
 
 # Rows of text that Spark hands to a Python worker at once: bounds its memory for long texts.
@@ -68,6 +68,15 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         told("cuts").alias("cuts"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready(spark)
+    found = pii.personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [F.size(F.filter("base", lambda s, kind=kind: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+              for kind in pii.KINDS]
+    return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(pii.told(F.col("base")), 256).alias("base_sha256"),
+                        pii.told(F.col("spans")).alias("spans"))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     ready(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -94,6 +103,7 @@ QUERIES = [
     Query("op3_packing", op3_packing),
     Query("op1_fingerprints", op1_fingerprints),
     Query("op5_suffix_dedup", op5_suffix_dedup),
+    Query("op7_pii", op7_pii),
     Query("op8_language", op8_language),
     Query("op9_near_dedup", op9_near_dedup),
     Query("op10_nearest", op10_nearest),
