@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import fingerprints, language, near_dedup, packing, pii, suffix_dedup, vptree
+from docketry.llm import fingerprints, language, near_dedup, packing, pii, suffix_dedup, url_filter, vptree
 from docketry.session import ship
 
 # Rows of text that Spark hands to a Python worker at once: bounds its memory for long texts.
@@ -51,6 +51,21 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(docs, tokenizer("byte_bpe_50k.json"), digest=True).withColumnRenamed("id", "doc_id")
 
 
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"),
+             ("allow", "org", "/fr/")]
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page shows the document whose number ends its path: that document's label is the page's."""
+    ready(spark)
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(
+        F.max((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    number = F.regexp_extract(url_filter.path_of(F.col("url")), r"/([0-9]{1,18})(?:\.html)?/?$", 1)
+    known = pages.select("url", number.try_cast("bigint").alias("doc_id")).join(labels, "doc_id").select("url", "bad")
+    return url_filter.judge(pages, url_filter.mine(known), URL_RULES).withColumnRenamed("id", "page_id")
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document with a passage of 50 words or more that another document has too."""
     ready(spark)
@@ -102,6 +117,7 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = [
     Query("op3_packing", op3_packing),
     Query("op1_fingerprints", op1_fingerprints),
+    Query("op4_url_filter", op4_url_filter),
     Query("op5_suffix_dedup", op5_suffix_dedup),
     Query("op7_pii", op7_pii),
     Query("op8_language", op8_language),
