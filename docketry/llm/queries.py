@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import fingerprints, language, near_dedup, packing, pii, suffix_dedup, url_filter, vptree
+from docketry.llm import fingerprints, language, near_dedup, packing, pieces, pii, suffix_dedup, url_filter, vptree
 from docketry.session import ship
 
 # Rows of text that Spark hands to a Python worker at once: bounds its memory for long texts.
@@ -83,6 +83,17 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         told("cuts").alias("cuts"))
 
 
+def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text as a digest, and whether decoding them gives the text back."""
+    ready(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    model = tokenizer("piece_bpe_32k.model")
+    both = pieces.decode(pieces.encode(docs, model), model)
+    return pieces.digests(both).select(
+        "doc_id", "n_ids", "ids_crc32", F.sha2("decoded", 256).alias("decoded_sha256"),
+        (F.col("decoded") == F.translate("text", pieces.BLANK, " ")).alias("exact"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     ready(spark)
     found = pii.personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -119,6 +130,7 @@ QUERIES = [
     Query("op1_fingerprints", op1_fingerprints),
     Query("op4_url_filter", op4_url_filter),
     Query("op5_suffix_dedup", op5_suffix_dedup),
+    Query("op6_pieces", op6_pieces),
     Query("op7_pii", op7_pii),
     Query("op8_language", op8_language),
     Query("op9_near_dedup", op9_near_dedup),
