@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import fingerprints, language, near_dedup, packing, pieces, pii, suffix_dedup, url_filter, vptree
+from docketry.llm import fingerprints, language, near_dedup, packing, pieces, pii, quality, suffix_dedup, url_filter, vptree
 from docketry.session import ship
 
 # Rows of text that Spark hands to a Python worker at once: bounds its memory for long texts.
@@ -45,6 +45,21 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edit_next(docs).withColumnRenamed("id", "doc_id")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata of a document: its source, language and size class, and the site of the page that shows it."""
+    ready(spark)
+    page = table(spark, sf_dir, "pages").select(_page_document().alias("shown"), "url").where("shown is not null").groupBy(
+        "shown").agg(F.min("url").alias("url"))
+    labels = url_filter.host_of(F.col("url"))
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "text", "source", "lang", F.log2(F.col("n_chars") + 1).cast("int").alias("size"))
+    # Only the narrow site columns are joined, after the texts have become numbers.
+    site = page.select("shown", F.substring_index(labels, ".", -2).alias("domain"), F.substring_index(labels, ".", 1).alias("head"))
+    good = table(spark, sf_dir, "labels").select("doc_id", F.col("quality") == 1)
+    found = quality.co_train(docs, good, ["source", "lang", "size"], pages=site)
+    return found.withColumnRenamed("id", "doc_id").withColumn("good", F.col("score") >= 0.5)
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     ready(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -55,14 +70,19 @@ URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block",
              ("allow", "org", "/fr/")]
 
 
+def _page_document():
+    """The document that a page shows: the number at the end of its path."""
+    number = F.regexp_extract(url_filter.path_of(F.col("url")), r"/([0-9]{1,18})(?:\.html)?/?$", 1)
+    return number.try_cast("bigint")
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page shows the document whose number ends its path: that document's label is the page's."""
     ready(spark)
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(
         F.max((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
-    number = F.regexp_extract(url_filter.path_of(F.col("url")), r"/([0-9]{1,18})(?:\.html)?/?$", 1)
-    known = pages.select("url", number.try_cast("bigint").alias("doc_id")).join(labels, "doc_id").select("url", "bad")
+    known = pages.select("url", _page_document().alias("doc_id")).join(labels, "doc_id").select("url", "bad")
     return url_filter.judge(pages, url_filter.mine(known), URL_RULES).withColumnRenamed("id", "page_id")
 
 
@@ -126,6 +146,7 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = [
+    Query("op2_quality", op2_quality),
     Query("op3_packing", op3_packing),
     Query("op1_fingerprints", op1_fingerprints),
     Query("op4_url_filter", op4_url_filter),
