@@ -92,3 +92,19 @@ def test_estimate_is_corrected_for_chance():
         left, right = (np.frombuffer(N.pack(x, bits), np.uint8)[None, :] for x in (a, b))
         assert abs(N.estimates(left, right, bits)[0] - 0.7) < 0.05
         assert N.estimates(left, left, bits)[0] == 1
+
+
+def test_alike_components_without_a_link(spark):
+    # Two groups of near copies whose bases share about two thirds: alike by signature, never linked.
+    rng = random.Random(8)
+    base = [f"t{i}" for i in range(300)]
+    other = base[:240] + [f"u{i}" for i in range(60)]
+    rows = []
+    for n in range(80):
+        text = list(base if n % 2 else other)
+        text[rng.randrange(300)] = f"x{n}"
+        rows.append((n, " ".join(text)))
+    rows += [(100, " ".join(base[:270] + other[240:270])), (101, " ".join(base[:262] + other[240:278]))]
+    for block in (1024, 16):
+        found = N.near_components(spark.createDataFrame(rows, "i long, t string"), N.NearDedup(shingle=4, block=block)).collect()
+        assert {r.id: r.component_id for r in found} == brute(rows, 4, 80)[0]
