@@ -342,7 +342,7 @@ SELECT c_custkey AS id, c_mktsegment AS status, c_acctbal AS score FROM customer
 WHERE c_custkey NOT IN (SELECT user_id FROM events WHERE event_type = 'error')"""),
     Check("activity_append", appended, """
 SELECT doc_id AS id, 'upload' AS type, text AS title FROM documents UNION ALL
-SELECT conv_id * 1000 + turn, 'view', substr(text, 1, 500) FROM conversations"""),
+SELECT conv_id * 1000 + turn, 'view', text FROM conversations"""),
     Check("activity_by_day", by_day, f"WITH {ACTIVITY} SELECT event_ts::DATE AS day, count(*) AS events FROM activity GROUP BY 1"),
     Check("activity_timeline", timeline, f"""
 WITH {ACTIVITY} SELECT event_ts::DATE AS day, id, row_number() OVER (PARTITION BY event_ts::DATE ORDER BY event_ts DESC, id DESC) AS place FROM activity"""),
@@ -382,9 +382,10 @@ WITH {ORDERS} SELECT o_orderkey::VARCHAR AS id, s AS priority_score FROM cases O
     Check("work_queue", queue, f"""
 WITH {ORDERS} SELECT o_orderkey::VARCHAR AS id, band AS priority_band, (o_custkey % 97)::DOUBLE AS risk_score FROM cases WHERE o_orderkey % 3 < 2"""),
     Check("similarity_edges", edges, f"""
-WITH {ORDERS}, n AS (SELECT * FROM (SELECT * FROM cases ORDER BY o_orderkey LIMIT 180) WHERE similarity >= 70)
-SELECT a.o_orderkey::VARCHAR AS source, b.o_orderkey::VARCHAR AS target, least(a.similarity, b.similarity) AS weight
-FROM n a JOIN n b ON a.o_orderkey < b.o_orderkey"""),
+WITH {ORDERS}, n AS (SELECT o_orderkey AS k, similarity AS s FROM cases WHERE similarity >= 70), v AS (SELECT DISTINCT s FROM n),
+near AS (SELECT v.s, n.k, least(v.s, n.s) AS w FROM v, n QUALIFY row_number() OVER (PARTITION BY v.s ORDER BY least(v.s, n.s) DESC, n.k) <= 13)
+SELECT a.k::VARCHAR AS source, b.k::VARCHAR AS target, b.w AS weight FROM n a JOIN near b ON b.s = a.s AND b.k <> a.k
+QUALIFY row_number() OVER (PARTITION BY a.k ORDER BY b.w DESC, b.k) <= 12"""),
     Check("insight_kpis", kpis, f"""
 WITH {ACTIVITY}, t AS (SELECT lower(trim(title)) AS topic, count(*) AS n FROM activity WHERE type = 'search' GROUP BY 1 ORDER BY n DESC, topic LIMIT 1),
 c AS (SELECT o_orderpriority AS k, count(*) AS n FROM orders GROUP BY 1 ORDER BY n DESC, k LIMIT 1)

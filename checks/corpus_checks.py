@@ -365,8 +365,8 @@ blobs AS (
 ), asks AS (SELECT item_id AS query_id, lower(<<trim>>) AS q FROM benchmark),
 terms AS (SELECT query_id, unnest(list_filter(regexp_split_to_array(q, '<<ws>>+'), lambda x: x <> '')) AS term FROM asks),
 toks AS (
-  SELECT 'c' || id AS key, unnest(regexp_extract_all(blob, '[a-z0-9]{3,}')[1:900]) AS token FROM blobs UNION ALL
-  SELECT 'q' || query_id, unnest(regexp_extract_all(q, '[a-z0-9]{3,}')[1:900]) FROM asks
+  SELECT 'c' || id AS key, unnest(regexp_extract_all(blob, '[a-z0-9]{3,}')) AS token FROM blobs UNION ALL
+  SELECT 'q' || query_id, unnest(regexp_extract_all(q, '[a-z0-9]{3,}')) FROM asks
 ), tok_hash AS (
   SELECT token,
     list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(token, ''), lambda c: ascii(c)::BIGINT)),

@@ -225,7 +225,7 @@ s5 AS (SELECT doc_id, title, pos, text, lower(<<text>>) AS raw,
     CASE WHEN length(t) < 60 THEN '' ELSE t END AS clean FROM s4),
 chunks AS (
   SELECT 'rag-' || doc_id || '-judgment-' || (pos + 1) AS id, doc_id, title,
-    (doc_id * 1048576 + 262144 + pos)::BIGINT AS ord, text, clean
+    (doc_id * 4194304 + 1048576 + pos)::BIGINT AS ord, text, clean
   FROM (SELECT *, lower(clean) AS c FROM s5)
   WHERE NOT (raw = '' OR length(raw) - length(replace(raw, ';', '')) >= 3
     OR regexp_matches(raw, 'decision\s*:\s*\d') OR len(regexp_extract_all(raw, '\bsection\b')) > 3
@@ -256,7 +256,7 @@ def hashed(source: str, key: str, text: str, weight: float, name: str = "vec") -
         FROM (SELECT <<key>> AS key, unnest(w) AS token, unnest(range(len(w))) AS pos
               FROM (SELECT <<key>>, regexp_extract_all(lower(<<text>>), '[a-z0-9]{3,}') AS w FROM <<source>>))
         WHERE token NOT IN (<<stop>>) GROUP BY key, token)
-), <<n>>_vocab AS (SELECT DISTINCT token FROM <<n>>_tok WHERE nth <= 900),
+), <<n>>_vocab AS (SELECT DISTINCT token FROM <<n>>_tok),
 <<n>>_hash AS (
   SELECT token,
     list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(token, ''), lambda c: ascii(c)::BIGINT)),
@@ -266,9 +266,9 @@ def hashed(source: str, key: str, text: str, weight: float, name: str = "vec") -
   FROM <<n>>_vocab
 ), <<n>> AS (
   SELECT key, bucket::INT AS bucket, sum(w) AS w FROM (
-    SELECT key, a AS bucket, 1.0::DOUBLE AS w FROM <<n>>_tok JOIN <<n>>_hash USING (token) WHERE nth <= 900
+    SELECT key, a AS bucket, 1.0::DOUBLE AS w FROM <<n>>_tok JOIN <<n>>_hash USING (token)
     UNION ALL
-    SELECT key, b, <<weight>>::DOUBLE FROM <<n>>_tok JOIN <<n>>_hash USING (token) WHERE nth <= 900)
+    SELECT key, b, <<weight>>::DOUBLE FROM <<n>>_tok JOIN <<n>>_hash USING (token))
   GROUP BY ALL
 ), <<n>>_norm AS (SELECT key, sqrt(sum(w * w)) AS norm FROM <<n>> GROUP BY key)""",
         n=name, key=key, source=source, text=text, weight=str(weight), stop=in_list(STOP),

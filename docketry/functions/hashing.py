@@ -8,12 +8,11 @@ from pyspark.sql import functions as F
 from docketry.functions.text import ColumnLike, blank, col, let
 
 MASK = 4294967295
-# fixed values: FNV prime and the two seeds, vector width, token limit
+# fixed values: FNV prime and the two seeds, vector width
 PRIME = 16777619
 SEED_A = 2166136261
 SEED_B = 16777619
 DIMS = 192
-TOKEN_LIMIT = 900
 
 
 def fnv1a(token: ColumnLike, seed: int) -> Column:
@@ -46,16 +45,17 @@ def bucket_of(value: ColumnLike, n: int) -> Column:
     return F.pmod(rolling31(value), F.lit(n).cast("bigint")).cast("int")
 
 
-def buckets(tokens: Column, seed: int, dims: int = DIMS, limit: int = TOKEN_LIMIT) -> Column:
-    """Bucket of each of the first ``limit`` tokens. Repeats are kept: this is the
+def buckets(tokens: Column, seed: int, dims: int = DIMS, limit: int | None = None) -> Column:
+    """Bucket of each token, or of the first ``limit``. Repeats are kept: this is the
     sparse form of a hashed vector, two bytes per token instead of ``dims`` floats."""
-    return F.transform(
-        F.slice(tokens, 1, limit), lambda t: F.pmod(fnv1a(t, seed), F.lit(dims)).cast("smallint")
-    )
+    taken = tokens if limit is None else F.slice(tokens, 1, limit)
+    return F.transform(taken, lambda t: F.pmod(fnv1a(t, seed), F.lit(dims)).cast("smallint"))
 
 
 # Weights are counted in twentieths: 20 for the first hash, 9 or 10 for the second.
 UNIT = 20
+# Entries that the packed running state of a norm can hold, all in one bucket.
+PACKED = 1_600
 
 
 def squared_norm(first: Column, second: Column, second_weight: float) -> Column:
@@ -63,7 +63,8 @@ def squared_norm(first: Column, second: Column, second_weight: float) -> Column:
 
     An entry is ``bucket * 64 + weight``. The running state (total, weight so far in the
     bucket, bucket) is kept in one BIGINT, since a struct per step costs several times as
-    much. Adding w to a bucket holding r adds w * (2r + w) to the total.
+    much. Adding w to a bucket holding r adds w * (2r + w) to the total. Above ``PACKED``
+    tokens the state's fields could overflow, and a struct is used.
     """
 
     def entries(buckets_: Column, weight: int) -> Column:
@@ -80,7 +81,17 @@ def squared_norm(first: Column, second: Column, second_weight: float) -> Column:
     merged = F.sort_array(
         F.concat(entries(first, UNIT), entries(second, round(second_weight * UNIT)))
     )
-    return F.aggregate(merged, F.lit(255).cast("bigint"), step, lambda s: F.shiftright(s, 23) / F.lit(UNIT * UNIT))
+    packed = F.aggregate(merged, F.lit(255).cast("bigint"), step, lambda s: F.shiftright(s, 23) / F.lit(UNIT * UNIT))
+
+    def wide(state: Column, e: Column) -> Column:
+        bucket, w = F.shiftright(e, 6), e.bitwiseAND(F.lit(63)).cast("bigint")
+        run = F.when(state["bucket"] == bucket, state["run"]).otherwise(F.lit(0).cast("bigint"))
+        return F.struct((state["total"] + w * (run * 2 + w)).alias("total"), (run + w).alias("run"), bucket.alias("bucket"))
+
+    zero = F.lit(0).cast("bigint")
+    start = F.struct(zero.alias("total"), zero.alias("run"), F.lit(-1).alias("bucket"))
+    return F.when(F.size(merged) <= PACKED, packed).otherwise(
+        F.aggregate(merged, start, wide, lambda s: s["total"] / F.lit(UNIT * UNIT)))
 
 
 def dense(first: Column, second: Column, second_weight: float, dims: int = DIMS) -> Column:

@@ -160,17 +160,6 @@ def frequencies(arr: Column) -> Column:
     )
 
 
-def initcap_words(c: ColumnLike) -> Column:
-    """Upper-case the first letter of each space-separated part, rest untouched."""
-    return F.array_join(
-        F.transform(
-            F.split(col(c), " "),
-            lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substr(w, F.lit(2))),
-        ),
-        " ",
-    )
-
-
 def segment(c: ColumnLike, label: str) -> Column:
     """Trimmed text after a label up to the end of the line; empty if absent."""
     text = blank(c)

@@ -7,11 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docketry.functions import facets as A
 from docketry.plans.ordinal import ranked_within
 
-TITLE_CHARS = 500
-
 
 def apply_changes(target: DataFrame, changes: DataFrame, columns: Sequence[str], key: str = "id") -> DataFrame:
     """Replay a log onto a table.
@@ -28,10 +25,12 @@ def apply_changes(target: DataFrame, changes: DataFrame, columns: Sequence[str],
 
     def last(c: str) -> Column:
         counts = reset | F.col(c).isNotNull()
-        return F.max_by(F.struct(F.col(c).alias("v")), F.when(counts, F.col("seq")))["v"].alias(c)
+        return F.max_by(F.struct(F.col(c).alias("v")), F.when(counts, at))["v"].alias(c)
 
+    # Rows of one key and seq are ordered by op, then by a hash of their columns.
+    at = F.struct("seq", "op", F.xxhash64(*columns))
     state = log.groupBy(key).agg(
-        F.max_by("op", F.when(reset, F.col("seq"))).alias("__state"), *[last(c) for c in columns]
+        F.max_by("op", F.when(reset, at)).alias("__state"), *[last(c) for c in columns]
     )
     return state.filter(F.col("__state") == "U").drop("__state")
 
@@ -48,9 +47,10 @@ def delete(target: DataFrame, keys: DataFrame, key: str = "id") -> DataFrame:
     return target.join(keys.select(key).distinct(), key, "left_anti")
 
 
-def append_events(log: DataFrame, events: DataFrame) -> DataFrame:
-    """Add activity rows; titles are cut at 500 characters, a missing kind is a view."""
-    cut = events.withColumn("title", F.substring(F.coalesce("title", F.lit("")), 1, TITLE_CHARS)).withColumn(
+def append_events(log: DataFrame, events: DataFrame, title_chars: int | None = None) -> DataFrame:
+    """Add activity rows; a missing kind is a view. Titles are whole unless ``title_chars`` is given."""
+    title = F.coalesce("title", F.lit(""))
+    cut = events.withColumn("title", title if title_chars is None else F.substring(title, 1, title_chars)).withColumn(
         "type", F.coalesce(F.nullif("type", F.lit("")), F.lit("view"))
     )
     return log.unionByName(cut.select(log.columns))
@@ -78,7 +78,3 @@ def override_history(overrides: DataFrame) -> DataFrame:
         overrides, ["case_id"], [F.desc("created_at"), F.desc("id")], "newest_first"
     )
 
-
-def band_moves(overrides: DataFrame) -> DataFrame:
-    """How far each override moved a case: positive is more urgent."""
-    return overrides.withColumn("moved", A.band_order("original_band") - A.band_order("override_band"))

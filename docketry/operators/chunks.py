@@ -17,9 +17,10 @@ CHUNK_WORDS = 110
 CHUNK_OVERLAP = 24
 CHUNK_MIN_CHARS = 60
 SECOND_WEIGHT = 0.45
-# ``ord`` of a chunk = case ordinal, then section, then position in the section
-SECTION_SHIFT = 1 << 18
-CASE_SHIFT = 1 << 20
+# ``ord`` of a chunk = case ordinal (41 bits), then section (2), then position in the section (20)
+SECTION_SHIFT = 1 << 20
+CASE_SHIFT = 1 << 22
+MOST_CASES = 1 << 41
 
 CHUNK_SCRUB = [
     # fixed values: passes in order
@@ -163,7 +164,8 @@ def chunk_rows(sections: DataFrame, keep: Sequence[str], rules: ChunkRules = Chu
     """``id, ord, section, case_id, title, text`` and ``keep`` columns, one row per chunk.
 
     Input columns: ``case_id, ord, title, no, section, body`` and ``keep``. Narrow: no
-    shuffle.
+    shuffle. ``ord`` must be dense (below 2^41), as ``with_ordinal`` gives it; a reader's
+    row ids are not. That, and a section of over a million windows, stop the job.
     """
     exploded = X.exploded(
         sections, windows_of("body", rules), ["pos", "text"],
@@ -174,9 +176,10 @@ def chunk_rows(sections: DataFrame, keep: Sequence[str], rules: ChunkRules = Chu
             "-", F.lit("rag"), F.col("case_id").cast("string"), F.lower("section"),
             (F.col("pos") + 1).cast("string"),
         ).alias("id"),
-        (
-            F.col("__ord") * F.lit(CASE_SHIFT) + F.col("no") * F.lit(SECTION_SHIFT) + F.col("pos")
-        ).cast("bigint").alias("ord"),
+        F.when(F.col("__ord") >= MOST_CASES, F.raise_error(F.lit("case ordinals must be dense")).cast("bigint"))
+        .when(F.col("pos") >= SECTION_SHIFT, F.raise_error(F.lit("section of too many windows")).cast("bigint"))
+        .otherwise(F.col("__ord") * F.lit(CASE_SHIFT) + F.col("no") * F.lit(SECTION_SHIFT) + F.col("pos"))
+        .cast("bigint").alias("ord"),
         "case_id", "title", "section", *keep, "text",
     ).filter(~is_low_quality("text", rules.prose, squashed=True))
 

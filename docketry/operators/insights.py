@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docketry.functions import facets as A
 from docketry.functions import lexicon as L
 from docketry.functions import text as X
 from docketry.plans.ordinal import ranked_within, with_ordinal
+from docketry.plans.tables import stored
 
 RANGES = ["90-100%", "80-89%", "70-79%", "60-69%", "50-59%", "<50%"]
-EDGE_MIN, EDGE_NODES = 70, 180
+EDGE_MIN, EDGE_NEIGHBOURS = 70, 12
 
 
 def _spine(spark: SparkSession, names: Sequence[str], column: str) -> DataFrame:
@@ -151,25 +152,26 @@ def insight_kpis(cases: DataFrame, events: DataFrame) -> DataFrame:
     )
 
 
-def similarity_edges(cases: DataFrame, minimum: int = EDGE_MIN, nodes: int = EDGE_NODES) -> DataFrame:
-    """Edges between the first ``nodes`` cases whose both similarities reach ``minimum``.
+def similarity_edges(cases: DataFrame, minimum: int = EDGE_MIN, k: int = EDGE_NEIGHBOURS) -> DataFrame:
+    """``source, target, weight``: the ``k`` strongest neighbours of every case whose similarity reaches ``minimum``.
 
-    The drawing shows at most ``nodes`` cases; the weight of an edge is the smaller
-    similarity, so filtering the nodes first is the same as filtering the edges. The
-    join is between two tables of at most ``nodes`` rows: each case lists the later
-    places it may connect to, and the join is an equality on the place.
+    The weight of an edge is the smaller similarity, equal weights go to the lower ordinal.
+    A case's neighbours depend on its similarity alone, a whole number up to 100: the
+    first ``k + 1`` cases of each value give the list of every value, and each case takes
+    its value's list without itself. No pair of cases is formed beyond the result.
     """
-    shown = cases.orderBy("ord").limit(nodes).filter(F.col("similarity") >= minimum)
-    placed = shown.select("ord", "id", "similarity")
-    later = placed.select(F.sort_array(F.collect_list(F.struct("ord", "id", "similarity"))).alias("all"))
-    pairs = later.select(
-        F.posexplode(
-            F.transform(
-                "all", lambda a, i: F.struct(a.alias("a"), F.slice(F.col("all"), i + 2, F.lit(nodes)).alias("rest"))
-            )
-        ).alias("at", "p")
-    )
-    return pairs.select(F.col("p.a").alias("a"), F.explode("p.rest").alias("b")).select(
-        F.col("a.id").alias("source"), F.col("b.id").alias("target"),
-        F.least("a.similarity", "b.similarity").alias("weight"),
-    )
+    shown = cases.filter(F.col("similarity") >= minimum).select("ord", "id", "similarity")
+    by_value = Window.partitionBy("similarity").orderBy("ord")
+    first = shown.withColumn("__n", F.row_number().over(by_value)).filter(F.col("__n") <= k + 1).drop("__n")
+    first = stored(first, "edge-heads")
+    # At most 101 values, with k + 1 cases each.
+    values = first.select(F.col("similarity").alias("value")).distinct()
+    met = first.select("ord", "id", "similarity").join(F.broadcast(values), F.lit(True)).withColumn(
+        "weight", F.least("similarity", "value"))
+    best = Window.partitionBy("value").orderBy(F.desc("weight"), "ord")
+    lists = met.withColumn("__n", F.row_number().over(best)).filter(F.col("__n") <= k + 1).groupBy("value").agg(
+        F.array_sort(F.collect_list(F.struct("__n", "id", "weight"))).alias("near"))
+    joined = shown.join(F.broadcast(lists), shown["similarity"] == lists["value"])
+    others = F.slice(F.filter("near", lambda x: x["id"] != F.col("id")), 1, k)
+    return joined.select(F.col("id").alias("source"), F.explode(others).alias("e")).select(
+        "source", F.col("e.id").alias("target"), F.col("e.weight").alias("weight"))

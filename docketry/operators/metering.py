@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docketry.functions import dates as D
 from docketry.functions import facets as A
+from docketry.plans.hot import join_by_key
 from docketry.plans.ordinal import pinned, with_ordinal
 
 AUDIT_ROWS = 3_000
@@ -53,7 +54,7 @@ def latency_summary(log: DataFrame, column: str = "duration_ms", share: float =
         )
     # Equal values are counted first; positions are then over distinct values.
     counted = log.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    ordered = pinned(with_ordinal(counted, [F.col("v")], "at"))
+    ordered = with_ordinal(counted, [F.col("v")], "at")
     upto = running_total(ordered)
     target = F.greatest(F.lit(1), F.ceil(stats.select("n").scalar() * F.lit(share)))
     p = upto.filter((F.col("upto") >= target) & (F.col("upto") - F.col("c") < target)).select("v").scalar()
@@ -159,8 +160,9 @@ def rate_limit(events: DataFrame, max_requests: int, window_ms: int) -> DataFram
         opened.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= max_requests)
         .groupBy("client", "start").agg(F.max(F.struct("t", "id")).alias("last"))
     )
+    sizes = opened.groupBy("client", "start").agg(F.count(F.lit(1)).alias("rows"))
     allowed = F.struct("t", "id") <= F.col("last")
-    return opened.join(last, ["client", "start"]).select(
+    return join_by_key(opened, last.join(sizes, ["client", "start"]), ["client", "start"], "rows").select(
         "client", "id", "ts", allowed.alias("allowed"),
         F.when(allowed, F.lit(0).cast("bigint")).otherwise(
             F.greatest(F.lit(1).cast("bigint"), F.col("start") + F.lit(window_ms) - F.col("t"))

@@ -96,6 +96,11 @@ def _score(state: dict, cases: pd.DataFrame) -> np.ndarray:
 
 
 def rank_judges(cases: DataFrame, judges: DataFrame, k: int = 1, seed: str = "seed", limit: int = 2_000) -> DataFrame:
+    """The best ``k`` judges of every case; see ``_ranked``."""
+    return _ranked(cases, judges, k, seed, limit).drop("wanted")
+
+
+def _ranked(cases: DataFrame, judges: DataFrame, k: int = 1, seed: str = "seed", limit: int = 2_000) -> DataFrame:
     """Best ``k`` judges per case, by score, then lower utilisation, then name.
 
     ``cases`` needs ``case_id, category, severity, risk`` and a seed text. A roster of up
@@ -130,7 +135,7 @@ def rank_judges(cases: DataFrame, judges: DataFrame, k: int = 1, seed: str = "se
         ).join(cases.select(*kept), "case_id")
     return best.select(
         "case_id", F.col("rank").cast("int").alias("rank"), "judge_id", "judge_name",
-        F.col("score").cast("int").alias("score"), "utilization", "availability", judge_reason().alias("reason"),
+        F.col("score").cast("int").alias("score"), "utilization", "availability", judge_reason().alias("reason"), "wanted",
     )
 
 
@@ -152,19 +157,19 @@ def judge_reason() -> Column:
 
 
 def assign_judges(cases: DataFrame, judges: DataFrame, seed: str = "seed") -> DataFrame:
-    """Rank 1 per case, with party label and prosecutor flag. An empty roster is replaced
+    """Rank 1 per case, read once, with party label and prosecutor flag. An empty roster is replaced
     by the stand-in judges of the category."""
     if judges.isEmpty():
         stand_in = fallback_roster(cases.sparkSession)
         parts = [
-            rank_judges(cases.filter(F.col("category") == c), stand_in.filter(F.col("category") == c), 1, seed)
+            _ranked(cases.filter(F.col("category") == c), stand_in.filter(F.col("category") == c), 1, seed)
             for c in ("Criminal", "Civil", "Other")
         ]
         ranked = parts[0].unionByName(parts[1]).unionByName(parts[2])
     else:
-        ranked = rank_judges(cases, judges, 1, seed)
+        ranked = _ranked(cases, judges, 1, seed)
     criminal = F.col("category") == "Criminal"
-    return ranked.drop("rank").join(cases.select("case_id", "category"), "case_id").select(
+    return ranked.drop("rank").withColumnRenamed("wanted", "category").select(
         "*", F.when(criminal, "Accused").otherwise("Defendant").alias("party_label"),
         criminal.alias("requires_public_prosecutor"),
     )

@@ -11,6 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docketry.plans.hot import join_by_key
+from docketry.plans.tables import stored
+
 JUDGE_SLOT = ("judge_id", "hearing_date", "slot")
 ROOM_SLOT = ("hearing_date", "slot", "court", "room")
 
@@ -50,7 +53,7 @@ def _incumbents(hearings: DataFrame, keys: Sequence[str]) -> DataFrame:
 def slot_conflicts(hearings: DataFrame) -> DataFrame:
     """Bookings after the first for the same judge, day and slot, with the incumbent."""
     taken = _incumbents(hearings, JUDGE_SLOT).filter(F.col("n") > 1)
-    return hearings.join(taken, list(JUDGE_SLOT)).filter(F.col("id") != F.col("first.id")).select(
+    return join_by_key(hearings, taken, JUDGE_SLOT, "n").filter(F.col("id") != F.col("first.id")).select(
         "id", *JUDGE_SLOT, F.col("first.id").alias("incumbent_id"), F.col("first.case_id").alias("incumbent_case"),
         F.col("n").alias("bookings"),
     )
@@ -60,7 +63,7 @@ def schedule(requests: DataFrame) -> DataFrame:
     """First request per judge, day and slot is accepted; later ones name the incumbent."""
     taken = _incumbents(requests, JUDGE_SLOT)
     accepted = F.col("id") == F.col("first.id")
-    return requests.join(taken, list(JUDGE_SLOT)).select(
+    return join_by_key(requests, taken, JUDGE_SLOT, "n").select(
         "id", "case_id", *JUDGE_SLOT, accepted.alias("accepted"),
         F.when(~accepted, F.col("first.case_id")).alias("incumbent_case"),
     )
@@ -72,17 +75,19 @@ def room_conflicts(hearings: DataFrame) -> DataFrame:
     Per room and time only the first booking of the two earliest cases matters: a booking
     clashes with the first case, or, if it belongs to that case, with the next one.
     """
-    by_case = hearings.groupBy(*ROOM_SLOT, "case_id").agg(F.min(F.struct("seq", "id")).alias("own"))
+    by_case = hearings.groupBy(*ROOM_SLOT, "case_id").agg(
+        F.min(F.struct("seq", "id")).alias("own"), F.count(F.lit(1)).alias("rows"))
+    by_case = stored(by_case, "room-cases")
     first = by_case.groupBy(*ROOM_SLOT).agg(
-        F.min(F.struct("own", "case_id")).alias("first"), F.count(F.lit(1)).alias("n_cases")
+        F.min(F.struct("own", "case_id")).alias("first"), F.count(F.lit(1)).alias("n_cases"), F.sum("rows").alias("n")
     ).filter(F.col("n_cases") > 1)
     second = (
-        by_case.join(first, list(ROOM_SLOT)).filter(F.col("case_id") != F.col("first.case_id"))
-        .groupBy(*ROOM_SLOT, "first").agg(F.min(F.struct("own", "case_id")).alias("second"))
+        join_by_key(by_case.drop("rows"), first, ROOM_SLOT, "n_cases").filter(F.col("case_id") != F.col("first.case_id"))
+        .groupBy(*ROOM_SLOT, "first", "n").agg(F.min(F.struct("own", "case_id")).alias("second"))
     )
     mine = F.col("case_id") == F.col("first.case_id")
     other = F.when(mine, F.col("second")).otherwise(F.col("first"))
-    return hearings.join(second, list(ROOM_SLOT)).select(
+    return join_by_key(hearings, second, ROOM_SLOT, "n").select(
         "id", "case_id", *ROOM_SLOT, other["own"]["id"].alias("other_id"), other["case_id"].alias("other_case")
     )
 

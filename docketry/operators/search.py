@@ -32,7 +32,7 @@ def search_blob(cases: DataFrame) -> Column:
 
 
 def _vectors(c: Column) -> Column:
-    """Bucket lists of all tokens, repeats kept, first 900."""
+    """Bucket lists of all tokens, repeats kept, at any length."""
     return X.let(
         X.words(c, 3),
         lambda t: F.struct(H.buckets(t, H.SEED_A).alias("first"), H.buckets(t, H.SEED_B).alias("second")),

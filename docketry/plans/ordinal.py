@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docketry.plans.hot import join_by_key
 from docketry.session import checkpoint_dir
 
 
@@ -32,9 +33,10 @@ def with_ordinal(df: DataFrame, order: Sequence[Column], name: str = "ordinal",
     they are read a second time for the offsets.
     """
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id())
-    local = Window.partitionBy("__part").orderBy(*order)
-    numbered = pinned(ranged.withColumn("__local", F.row_number().over(local)))
+    # One exchange: a sorted partition's row ids are its number (high bits) and 0, 1, 2 ...
+    sorted_rows = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    numbered = pinned(sorted_rows.withColumn("__row", F.monotonically_increasing_id())).withColumn(
+        "__part", F.shiftright("__row", 33)).withColumn("__local", F.col("__row").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("__row")
     sizes = numbered.groupBy("__part").agg(F.max("__local").alias("__n"))
     # One row per range partition reaches this window.
     offsets = sizes.select(
@@ -54,10 +56,10 @@ def ranked_within(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n
     A window would put a whole group in one task; here a hot group spans several range
     partitions and its rank is the global position minus that of its first row.
     """
-    numbered = pinned(with_ordinal(df, [*[F.col(k) for k in keys], *order], "__at"))
-    first = numbered.groupBy(*keys).agg(F.min("__at").alias("__first"))
+    numbered = with_ordinal(df, [*[F.col(k) for k in keys], *order], "__at")
+    first = numbered.groupBy(*keys).agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__rows"))
     return (
-        numbered.join(first, list(keys))
+        join_by_key(numbered, first, keys, "__rows")
         .withColumn(name, F.col("__at") - F.col("__first") + 1)
-        .drop("__at", "__first")
+        .select(*df.columns, name)
     )

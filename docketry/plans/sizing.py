@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 # Rows of a small side (rules, roster, queries) that may be replicated to every task.
 SMALL_ROWS = 20_000
@@ -14,12 +13,6 @@ def fits(df: DataFrame, limit: int = SMALL_ROWS) -> bool:
     return df.limit(limit + 1).count() <= limit
 
 
-def broadcast_if_small(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
-    """Broadcast hint only for a side whose size was checked; otherwise the join is
-    left to shuffle (adaptive execution splits its skewed partitions)."""
-    return F.broadcast(df) if fits(df, limit) else df
-
-
 def spread(df: DataFrame) -> DataFrame:
     """Give a costly narrow job enough tasks when its input has few splits.
 

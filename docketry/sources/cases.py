@@ -11,6 +11,7 @@ from docketry import schemas as S
 from docketry.functions import dates as D
 from docketry.functions import enrich as E
 from docketry.functions import text as X
+from docketry.plans.ordinal import with_ordinal
 
 
 def header_name(name: str) -> str:
@@ -56,22 +57,26 @@ def write_cases(df: DataFrame, path: str, fmt: str = "parquet") -> None:
         writer.parquet(path)
 
 
-def import_records(records: DataFrame, ord_column: str | None = None) -> DataFrame:
-    """Judgment-table rows to raw cases with an ingest ordinal ``ord``.
+def import_records(records: DataFrame, ord_column: str | None = None, summary_chars: int | None = 120) -> DataFrame:
+    """Judgment-table rows to raw cases with a dense ingest ordinal ``ord`` and ids that follow it.
 
-    Rows without title or body are dropped. Without ``ord_column`` the reader's row
-    order is used, which is increasing but not dense.
+    Rows are numbered in the order of ``ord_column`` or, without it, of the reader; those
+    without title or body are dropped after that. ``summary_chars`` of the issues go into
+    the summary, all with None.
     """
-    order = F.col(ord_column) if ord_column else F.monotonically_increasing_id()
+    if ord_column is None:
+        records, ord_column = records.withColumn("__read", F.monotonically_increasing_id()), "__read"
+    records = with_ordinal(records, [F.col(ord_column), *[F.col(c) for c in records.columns if c != ord_column]], "__ord")
+    order, number = F.col("__ord"), (F.col("__ord") + 1).cast("string")
     title, issues = X.trim_wide("case_title"), X.trim_wide("issues")
     kind = E.case_type(F.concat_ws(" ", title, issues))
-    lead = F.when((issues != "") & ~F.lower(issues).contains("section"), F.substring(issues, 1, 120))
+    lead = F.when((issues != "") & ~F.lower(issues).contains("section"), issues if summary_chars is None else F.substring(issues, 1, summary_chars))
     body = F.concat_ws(
         " ", *[F.nullif(X.trim_wide(c), F.lit("")) for c in ("judges_name_s", "issues", "decision", "cited_cases")]
     )
     return records.select(
         order.cast("bigint").alias("ord"),
-        F.concat(F.lit("IN-SC-"), F.lpad((order + 1).cast("string"), 6, "0")).alias("case_id"),
+        F.concat(F.lit("IN-SC-"), F.when(F.length(number) >= 6, number).otherwise(F.lpad(number, 6, "0"))).alias("case_id"),
         title.alias("title"),
         F.lit("Supreme Court of India").alias("court"),
         F.lit("India").alias("jurisdiction"),

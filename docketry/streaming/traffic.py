@@ -38,7 +38,7 @@ def metrics_stream(log: DataFrame, length: str = "1 minute", slide: str | None =
     )
 
 
-def activity_stream(source: DataFrame, lateness: str = LATENESS) -> DataFrame:
+def activity_stream(source: DataFrame, lateness: str = LATENESS, title_chars: int | None = None) -> DataFrame:
     """Search, upload and view notices (``id, kind, ts, payload``) to one event schema, each
     id once within the lateness."""
     p = F.col("payload")
@@ -57,7 +57,7 @@ def activity_stream(source: DataFrame, lateness: str = LATENESS) -> DataFrame:
         .withWatermark("ts", lateness)
         .dropDuplicatesWithinWatermark(["id"])
         .select(
-            "id", F.col("kind").alias("type"), F.substring(X.blank(title), 1, 500).alias("title"),
+            "id", F.col("kind").alias("type"), (X.blank(title) if title_chars is None else F.substring(X.blank(title), 1, title_chars)).alias("title"),
             F.col("ts").alias("event_ts"), results.alias("results"), F.col("payload").alias("metadata"),
         )
     )
