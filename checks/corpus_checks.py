@@ -169,6 +169,14 @@ def searched(spark, sf_dir):
     )
 
 
+def searched_blank(spark, sf_dir):
+    """Blank and missing search texts among real ones."""
+    blank = spark.createDataFrame([(-1, " \n"), (-2, None)], "query_id BIGINT, text STRING")
+    asked = questions(spark, sf_dir).select(F.col("query_id").cast("bigint").alias("query_id"), "text").unionByName(blank)
+    return S.search_cases(asked, cases(spark, sf_dir), 5).filter("query_id < 0").select(
+        F.col("query_id"), "rank", "id", "shown_similarity")
+
+
 def searched_offline(spark, sf_dir):
     return S.search_cases(questions(spark, sf_dir), cases(spark, sf_dir), 5, offline=True).select(
         "query_id", "rank", "id", F.round("rank_score", 4).alias("rank_score")
@@ -534,6 +542,9 @@ SELECT doc_id, CASE WHEN t = '' THEN 'Untitled Case' ELSE replace(upper(j[1]), '
   least(99, greatest(40, floor(score + 0.5)))::INT AS shown_similarity,
   CASE WHEN s >= 0.8 THEN 'High Match' WHEN s >= 0.6 THEN 'Moderate Match' WHEN s >= 0.4 THEN 'Low Match' ELSE 'Very Low Match' END AS match_level
 FROM (SELECT *, CASE WHEN score / 100 > 1 THEN score / 10000 ELSE score / 100 END AS s FROM found)"""),
+    Check("case_search_blank", searched_blank, f"""
+{SEARCH} SELECT q.query_id, row_number() OVER (PARTITION BY q.query_id ORDER BY ord)::INT AS rank, id, similarity::INT AS shown_similarity
+FROM (VALUES (-1::BIGINT), (-2::BIGINT)) q(query_id), (SELECT * FROM blobs ORDER BY ord LIMIT 5)"""),
     Check("case_search_offline", searched_offline, f"""
 {SEARCH}, light AS (SELECT query_id, id, count(*) AS n FROM terms JOIN blobs ON contains(short, term) GROUP BY ALL),
 ranked AS (SELECT query_id, id, round(20 * coalesce(n, 0) + similarity + priority_score * 0.4e0, 9) AS s,

@@ -171,6 +171,18 @@ def retrieval_reranked(spark, sf_dir):
     return r.hits.select("query_id", "pos", "id", F.round("score", 4).alias("score"))
 
 
+def asked(spark, sf_dir):
+    """The queries, a blank one and one that no domain term occurs in."""
+    more = spark.createDataFrame([(-1, "  \n"), (-2, "zzzz qqqq"), (-3, None)], "query_id BIGINT, text STRING")
+    return query_rows(spark, sf_dir).select(F.col("query_id").cast("bigint").alias("query_id"), "text").unionByName(more)
+
+
+def retrieval_answers(spark, sf_dir):
+    """The shipped pipeline, re-rank included: one row per query."""
+    built, df, stats = index(spark, sf_dir)
+    return R.retrieve(asked(spark, sf_dir), built, df, stats, QUERY_RULES).answers
+
+
 def retrieval_outcomes(spark, sf_dir):
     built, df, stats = index(spark, sf_dir)
     return R.outcome_class(R.retrieve(query_rows(spark, sf_dir), built, df, stats, QUERY_RULES, diversity=False).hits)
@@ -365,6 +377,37 @@ dots AS (
 )"""
 )
 
+# The greedy re-rank as recursion: of the candidates left, the one with the best gain joins the list.
+# It takes the place of the plain hits; titles and sources follow as before.
+HEAD, REST = POOL.split("), hits AS (")
+RERANKED = HEAD.replace("candidates AS (", "candidates AS MATERIALIZED (") + """), held AS MATERIALIZED (
+  SELECT DISTINCT id, token FROM candidates JOIN tf USING (id)
+), sizes AS (SELECT id, count(*) AS n FROM held GROUP BY id),
+shared AS (
+  SELECT a.query_id, a.pos, b.pos AS other, count(*) AS n FROM candidates a JOIN held x ON x.id = a.id
+  JOIN held y USING (token) JOIN candidates b ON b.query_id = a.query_id AND b.id = y.id GROUP BY ALL
+), near AS (
+  SELECT a.query_id, a.pos, list(CASE WHEN s.n IS NULL THEN 0.0::DOUBLE ELSE s.n / (na.n + nb.n - s.n) END ORDER BY b.pos) AS sims
+  FROM candidates a JOIN candidates b USING (query_id) LEFT JOIN sizes na ON na.id = a.id LEFT JOIN sizes nb ON nb.id = b.id
+  LEFT JOIN shared s ON s.query_id = a.query_id AND s.pos = a.pos AND s.other = b.pos GROUP BY ALL
+), choice AS MATERIALIZED (SELECT query_id, pos, score, sims FROM candidates JOIN near USING (query_id, pos)),
+walk AS (
+  SELECT DISTINCT query_id, []::BIGINT[] AS chosen FROM choice UNION ALL
+  SELECT query_id, list_append(any_value(chosen), list_sort(list({'g': -gain, 'p': pos}))[1].p) FROM (
+    SELECT w.query_id, chosen, c.pos,
+      0.78::DOUBLE * score - (1::DOUBLE - 0.78::DOUBLE) * coalesce(list_max(list_transform(chosen, lambda p: sims[p])), 0) AS gain
+    FROM walk w JOIN choice c ON c.query_id = w.query_id WHERE len(chosen) < 4 AND NOT list_contains(chosen, c.pos)) GROUP BY query_id
+), ranked AS (
+  SELECT query_id, unnest(chosen) AS pos, unnest(range(1, len(chosen) + 1)) AS place FROM walk
+  QUALIFY len(chosen) = max(len(chosen)) OVER (PARTITION BY query_id)
+), best AS (
+  SELECT c.* EXCLUDE (pos), place, max((score > 0.4)::INT) OVER (PARTITION BY query_id) AS any_above
+  FROM ranked JOIN candidates c USING (query_id, pos)
+), hits AS (
+  SELECT * EXCLUDE (place, any_above), row_number() OVER (PARTITION BY query_id ORDER BY place) AS pos FROM best
+  WHERE any_above = 0 OR score > 0.4 QUALIFY pos <= 3
+), titled AS (""" + REST.split("), titled AS (")[1]
+
 OUTCOMES = first_case("all_text", [(n, p) for n, p in L.OUTCOME_RULES], "'undetermined'")
 
 CHECKS = [
@@ -424,5 +467,16 @@ FROM hits h LEFT JOIN n USING (query_id) GROUP BY h.query_id"""),
     Check("retrieval_outcomes", retrieval_outcomes, f"""
 WITH {POOL}, joined AS (SELECT query_id, lower(string_agg(text, ' ' ORDER BY pos)) AS all_text FROM hits GROUP BY 1)
 SELECT query_id, {OUTCOMES} AS outcome FROM joined"""),
-    Check("retrieval_reranked", retrieval_reranked),
+    Check("retrieval_reranked", retrieval_reranked,
+          f"WITH RECURSIVE {RERANKED} SELECT query_id, pos::INT AS pos, id, round(score, 4) AS score FROM hits"),
+    Check("retrieval_answers", retrieval_answers, f"""
+WITH RECURSIVE {RERANKED}, n AS (SELECT query_id, count(*) AS n FROM sources GROUP BY 1),
+sure AS (SELECT h.query_id, coalesce(any_value(n), 0)::BIGINT AS n_sources, least(99, greatest(40, floor(round(
+  (avg(score) * 0.9 + least(1, coalesce(any_value(n), 0) / 4.0) * 0.1) * 100, 6) + 0.5)))::INT AS confidence
+FROM hits h LEFT JOIN n USING (query_id) GROUP BY h.query_id),
+asked AS (SELECT query_id::BIGINT AS query_id, text <> '' AS typed, query_id IN (SELECT query_id FROM gated) AS inside FROM q_text
+  UNION ALL VALUES (-1, false, false), (-2, true, false), (-3, false, false)),
+told AS (SELECT a.query_id, CASE WHEN NOT typed THEN 'blank' WHEN NOT inside THEN 'out_of_domain' WHEN confidence IS NULL THEN 'no_hits'
+  ELSE 'grounded' END AS state, n_sources, confidence FROM asked a LEFT JOIN sure s ON s.query_id = a.query_id)
+SELECT query_id, state, state = 'grounded' AS grounded, coalesce(n_sources, 0) AS n_sources, coalesce(confidence, 0) AS confidence FROM told"""),
 ]

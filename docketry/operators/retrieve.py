@@ -338,20 +338,41 @@ def outcome_class(hits: DataFrame) -> DataFrame:
     )
 
 
+def answers(queries: DataFrame, confidence_rows: DataFrame, rules: QueryRules = QueryRules()) -> DataFrame:
+    """One row per query, also for those without hits: ``query_id, state, grounded, n_sources, confidence``.
+
+    ``state`` is ``blank``, ``out_of_domain``, ``no_hits`` or ``grounded``; all but the last
+    have confidence 0 and no sources.
+    """
+    inside = gate_queries(queries, rules).select("query_id", F.lit(True).alias("inside")).distinct()
+    joined = queries.select("query_id", X.squash("text").alias("text")).join(inside, "query_id", "left").join(
+        confidence_rows, "query_id", "left")
+    state = (
+        F.when(F.col("text") == "", "blank").when(F.col("inside").isNull(), "out_of_domain")
+        .when(F.col("confidence").isNull(), "no_hits").otherwise("grounded")
+    )
+    return joined.select(
+        "query_id", state.alias("state"), (state == "grounded").alias("grounded"),
+        F.coalesce("n_sources", F.lit(0)).alias("n_sources"), F.coalesce("confidence", F.lit(0)).cast("int").alias("confidence"),
+    )
+
+
 @dataclass
 class Retrieval:
     hits: DataFrame
     sources: DataFrame
     confidence: DataFrame
+    answers: DataFrame
 
 
 def retrieve(queries: DataFrame, chunks: DataFrame, df: DataFrame, stats: DataFrame,
              rules: QueryRules = QueryRules(), default_k: int = 4, default_min: float = 0.22,
              diversity: bool = True, max_queries: int = P.MAX_QUERIES) -> Retrieval:
-    """All stages. Queries outside the domain simply have no rows in the result."""
+    """All stages. Queries that are blank, outside the domain or without hits have a row in ``answers`` only."""
     pool = candidate_pool(queries, chunks, df, stats, rules, default_k, default_min, max_queries)
     candidates = cap_per_case(pool)
     ranked = mmr(candidates) if diversity else candidates.filter(F.col("pos") <= F.col("top_k"))
     hits = keep_best(ranked)
     sources = to_sources(hits)
-    return Retrieval(hits, sources, confidence(hits, sources))
+    found = confidence(hits, sources)
+    return Retrieval(hits, sources, found, answers(queries, found, rules))

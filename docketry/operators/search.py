@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketry.functions import enrich as E
@@ -76,7 +76,8 @@ def search_cases(queries: DataFrame, cases: DataFrame, k: int = 5, offline: bool
         "query_id", typed.alias("text"),
         F.filter(F.split(typed, f"{X.SPACE}+"), lambda t: t != "").alias("terms"),
         _vectors(typed).alias("v"),
-    ).filter(F.col("text") != "").select("query_id", "text", "terms", "v.first", "v.second")
+    ).select("query_id", "text", "terms", "v.first", "v.second")
+    blank, features = features.filter(F.col("text") == ""), features.filter(F.col("text") != "")
     blob = F.lower(
         F.concat_ws(" ", X.blank("title"), X.blank("summary"), X.blank("why_match"), F.array_join(F.col("tags"), " "))
     ) if offline else F.lower(search_blob(cases))
@@ -93,11 +94,18 @@ def search_cases(queries: DataFrame, cases: DataFrame, k: int = 5, offline: bool
     found = P.top_rows(
         rows, features, prepare_queries, scorer(w_term, w_vector), k, carry, floor=-1e9, max_queries=max_queries
     )
-    return found.withColumnRenamed("score", "rank_score").select(
+    scored = found.withColumnRenamed("score", "rank_score").select(
         "*",
         X.clamp(X.round_half_up("rank_score"), 40, 99).cast("int").alias("shown_similarity"),
         A.match_level(F.col("rank_score") / 100).alias("match_level"),
     )
+    # A blank query gets the first k cases (at most ten rows) as they are stored.
+    first = cases.select(*carry).orderBy("ord").limit(k)
+    first = first.withColumn("rank", F.row_number().over(Window.orderBy("ord")))
+    return scored.unionByName(blank.select("query_id").join(F.broadcast(first), F.lit(True)).select(
+        "query_id", *carry, F.lit(None).cast("double").alias("rank_score"), "rank",
+        F.col("similarity").cast("int").alias("shown_similarity"), A.match_level(F.col("similarity") / 100).alias("match_level"),
+    ))
 
 
 def phrases(c: X.ColumnLike) -> Column:
