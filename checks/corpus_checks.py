@@ -123,6 +123,16 @@ def document_facts(spark, sf_dir):
     )
 
 
+def citation_table(spark, sf_dir):
+    """Documents with phrases made of their own keys in front, so that every kind of value varies."""
+    k = F.col("doc_id")
+    phrase = F.concat(
+        F.lit("Whether section "), k % 40 + 1, F.lit("A of the rules binds party "), k % 7, F.lit("; AIR "), k % 60 + 1950, F.lit(" SC, article "),
+        k % 30, F.lit(" and ipc "), k % 90 + 300, F.lit(". "))
+    docs = texts(spark, sf_dir).select("doc_id", F.concat(F.when(k % 3 == 0, F.lit("")).otherwise(phrase), "text").alias("text"))
+    return K.citation_table(docs).filter(F.col("kind").isin("reference", "year", "reporter", "issue"))
+
+
 def facet_columns(spark, sf_dir):
     c = cases(spark, sf_dir)
     places = ("src1", "src7", "src12", "en ", "fr")
@@ -491,7 +501,7 @@ SELECT doc_id, v AS verdict, {WORDED.replace("<<kind>>", KIND)} AS worded FROM e
     Check("document_facts", document_facts, fill(r"""
 WITH y AS (SELECT doc_id, string_agg(y, ',' ORDER BY i) AS years FROM (
   SELECT doc_id, y, min(i) AS i FROM (SELECT doc_id, unnest(w) AS y, unnest(range(len(w))) AS i FROM (
-    SELECT doc_id, regexp_extract_all(upper(text), '\b(?:19|20)\d{2}\b')[1:8] AS w FROM documents)) GROUP BY ALL) GROUP BY 1)
+    SELECT doc_id, regexp_extract_all(upper(text), '\b(?:19|20)\d{2}\b') AS w FROM documents)) GROUP BY ALL) GROUP BY 1)
 SELECT doc_id, <<type>> AS suspected_type,
   CASE WHEN regexp_matches(low, '\b(the|und)\b') THEN 2 ELSE 0 END + CASE WHEN regexp_matches(low, '\b(que|der)\b') THEN 2 ELSE 0 END
   + CASE WHEN regexp_matches(low, '\beau\b') THEN 2 ELSE 0 END + CASE WHEN regexp_matches(low, '\b(ther|sich)\b') THEN 2 ELSE 0 END
@@ -504,6 +514,16 @@ SELECT doc_id, <<type>> AS suspected_type,
   + CASE WHEN regexp_matches(low, '\bque\b') THEN 4 ELSE 0 END + CASE WHEN regexp_matches(low, '\b(eau|ther)\b') THEN 2 ELSE 0 END AS verdict_points
 FROM (SELECT *, lower(text) AS low FROM documents) LEFT JOIN y USING (doc_id)""",
         type=first_case("low", [("Criminal", "thes|sch"), ("Tax", "eau|ment"), ("Civil", "tion")], "'General'"))),
+    Check("citation_table", citation_table, r"""
+WITH d AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'Whether section ' || (doc_id % 40 + 1) || 'A of the rules binds party ' || (doc_id % 7)
+    || '; AIR ' || (doc_id % 60 + 1950) || ' SC, article ' || (doc_id % 30) || ' and ipc ' || (doc_id % 90 + 300) || '. ' END || text AS t FROM documents),
+r AS (SELECT doc_id, 'reference' AS kind, unnest(list_concat(regexp_extract_all(lower(t), '\b(?:article|section)\s+\d+[a-z]?\b'),
+    regexp_extract_all(lower(t), '\b(?:ipc|crpc)\s*\d+[a-z]?\b'))) AS m FROM d)
+SELECT DISTINCT doc_id, kind, regexp_replace(m, '^([a-z]+)\s*(.*)$', '\1-\2') AS value FROM r
+UNION ALL SELECT DISTINCT doc_id, 'year', unnest(regexp_extract_all(upper(t), '\b(?:19|20)\d{2}\b')) FROM d
+UNION ALL SELECT doc_id, 'reporter', x FROM d, (VALUES ('AIR'), ('SCC'), ('SCR'), ('CRILJ'), ('ALL ER')) v(x) WHERE contains(upper(t), x)
+UNION ALL SELECT DISTINCT doc_id, 'issue', upper(s[1]) || s[2:] || '.' FROM (
+  SELECT doc_id, trim(regexp_replace(unnest(regexp_extract_all(lower(t), 'whether\s+[^.;,]{10,120}')), '\s+', ' ', 'g')) AS s FROM d)"""),
     Check("case_facet_columns", facet_columns, f"""
 WITH {CASES} SELECT id,
   CASE WHEN contains(lower(court), 'supreme') THEN 'Supreme Court' WHEN contains(lower(court), 'high') THEN 'High Court'

@@ -270,17 +270,21 @@ def issue_list(c: X.ColumnLike) -> Column:
     return F.transform(parts, entry)
 
 
-def cited_names(c: X.ColumnLike) -> Column:
-    """Up to five case names from a quoted ``'name': score`` list."""
+def _first(values: Column, limit: int | None) -> Column:
+    return values if limit is None else F.slice(values, 1, limit)
+
+
+def cited_names(c: X.ColumnLike, limit: int | None = None) -> Column:
+    """Case names from a quoted ``'name': score`` list."""
     names = F.transform(
         F.regexp_extract_all(X.blank(c), F.lit(r"""['"]([^'"]{4,})['"]\s*:"""), F.lit(1)), lambda n: F.trim(n)
     )
     good = F.filter(names, lambda n: (F.length(n) > 5) & ~n.rlike(r"^[\d.]+$"))
-    return F.slice(F.transform(good, lambda n: case_title(n)), 1, 5)
+    return F.transform(_first(good, limit), lambda n: case_title(n))
 
 
-def statutes(c: X.ColumnLike) -> Column:
-    """First mention of each known act plus the first two explicit sections."""
+def statutes(c: X.ColumnLike, sections: int | None = None) -> Column:
+    """First mention of each known act plus the explicit sections, or the first ``sections`` of them."""
     text = X.blank(c)
     acts = F.array_compact(
         F.array(
@@ -293,7 +297,7 @@ def statutes(c: X.ColumnLike) -> Column:
             ]
         )
     )
-    explicit = F.slice(F.regexp_extract_all(text, F.lit(r"(?i)(?:IPC|CrPC|Section)\s+\d+[A-Za-z]?"), F.lit(0)), 1, 2)
+    explicit = _first(F.regexp_extract_all(text, F.lit(r"(?i)(?:IPC|CrPC|Section)\s+\d+[A-Za-z]?"), F.lit(0)), sections)
     return F.array_distinct(F.concat(acts, explicit))
 
 
@@ -310,10 +314,10 @@ def explicit_sections(c: X.ColumnLike) -> Column:
     return F.array_distinct(F.concat(found, F.regexp_extract_all(text, F.lit(r"IPC\s+\d{2,3}[A-Z]?"), F.lit(0))))
 
 
-def citation_years(c: X.ColumnLike) -> Column:
-    """Distinct years among the first eight mentioned."""
+def citation_years(c: X.ColumnLike, mentions: int | None = None) -> Column:
+    """Distinct years mentioned, or those among the first ``mentions``."""
     years = F.regexp_extract_all(F.upper(X.blank(c)), F.lit(X.word_re(r"(?:19|20)\d{2}")), F.lit(0))
-    return F.array_distinct(F.slice(years, 1, 8))
+    return F.array_distinct(_first(years, mentions))
 
 
 def citation_reporters(c: X.ColumnLike, reporters: Sequence[str] = tuple(L.REPORTERS)) -> Column:
@@ -321,9 +325,9 @@ def citation_reporters(c: X.ColumnLike, reporters: Sequence[str] = tuple(L.REPOR
     return F.array_compact(F.array(*[F.when(up.contains(r), F.lit(r)) for r in reporters]))
 
 
-def whether_issues(c: X.ColumnLike) -> Column:
-    """First two ``whether ...`` clauses as sentences."""
-    found = F.slice(F.regexp_extract_all(F.lower(X.blank(c)), F.lit(r"whether\s+[^.;,]{10,120}"), F.lit(0)), 1, 2)
+def whether_issues(c: X.ColumnLike, limit: int | None = None) -> Column:
+    """``whether ...`` clauses as sentences."""
+    found = _first(F.regexp_extract_all(F.lower(X.blank(c)), F.lit(r"whether\s+[^.;,]{10,120}"), F.lit(0)), limit)
     return F.transform(
         found,
         lambda m: X.let(
@@ -333,13 +337,13 @@ def whether_issues(c: X.ColumnLike) -> Column:
     )
 
 
-def highlights(c: X.ColumnLike, pool: Sequence[tuple[str, str]], defaults: Sequence[str]) -> Column:
-    """Labels whose key occurs in the text, at most five; the defaults if none does."""
+def highlights(c: X.ColumnLike, pool: Sequence[tuple[str, str]], defaults: Sequence[str], limit: int | None = 5) -> Column:
+    """Labels whose key occurs in the text, five as a report shows or all with None; the defaults if none does."""
     low = F.lower(X.blank(c))
     found = F.array_compact(F.array(*[F.when(low.contains(key), F.lit(label)) for key, label in pool]))
     return X.let(
         found,
-        lambda f: F.when(F.size(f) > 0, F.slice(f, 1, 5)).otherwise(F.array(*[F.lit(d) for d in defaults])),
+        lambda f: F.when(F.size(f) > 0, _first(f, limit)).otherwise(F.array(*[F.lit(d) for d in defaults])),
     )
 
 

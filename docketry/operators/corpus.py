@@ -6,13 +6,14 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketry.functions import enrich as E
 from docketry.functions import facets as A
 from docketry.functions import lexicon as L
 from docketry.functions import text as X
+from docketry.operators.chunks import references
 from docketry.plans.ordinal import with_ordinal
 
 
@@ -140,6 +141,26 @@ def facet_filter(cases: DataFrame, court: str = "All Courts", kind: str = "All T
     return out
 
 
+def citation_table(documents: DataFrame, text: str = "text") -> DataFrame:
+    """``doc_id, kind, value``: one row per document and distinct thing it cites.
+
+    Kinds: ``reference`` (provision ids), ``section``, ``statute``, ``year``, ``reporter``,
+    ``case`` (names from a quoted list) and ``issue`` (whether-clauses). Narrow, nothing is
+    left out; documents without citations have no rows.
+    """
+    found = {
+        "reference": references(text), "section": E.explicit_sections(text), "statute": E.statutes(text),
+        "year": E.citation_years(text), "reporter": E.citation_reporters(text), "case": E.cited_names(text),
+        "issue": E.whether_issues(text),
+    }
+
+    def named(kind: str, values: Column) -> Column:
+        return F.transform(F.array_distinct(values), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+
+    rows = F.flatten(F.array(*[named(kind, values) for kind, values in found.items()]))
+    return X.exploded(documents, rows, ["r"], ["doc_id"]).select("doc_id", "r.kind", "r.value")
+
+
 def get_case(cases: DataFrame, case_id: str) -> DataFrame:
     return cases.filter(F.col("id") == case_id)
 

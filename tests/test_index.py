@@ -153,3 +153,24 @@ def test_store_and_load(spark, built, tmp_path):
     vector = I.dense_vectors(built).filter("id = 'rag-c1-judgment-1'").first()
     assert len(vector.vector) == 192 and math.sqrt(sum(x * x for x in vector.vector)) == pytest.approx(vector.norm, rel=1e-5)
     assert df.count() == C.token_df(built).count()
+
+
+def test_chunk_ordinals_need_dense_cases(spark):
+    import pytest
+
+    words = " ".join(f"word{i}" for i in range(60))
+    schema = "case_id STRING, ord LONG, title STRING, no INT, section STRING, body STRING"
+    for case_ord in (0, 2**41 - 1):
+        df = spark.createDataFrame([("a", case_ord, "t", 2, "Context", words)], schema)
+        assert C.chunk_rows(df, []).first()["ord"] == (case_ord << 22) + (2 << 20)
+    with pytest.raises(Exception, match="dense"):
+        C.chunk_rows(spark.createDataFrame([("a", 2**45, "t", 0, "Summary", words)], schema), []).collect()
+
+
+def test_norms_of_long_texts(spark):
+    from docketry.functions import hashing as H
+    from pyspark.sql import functions as F
+
+    many = spark.range(1).select(F.array_repeat(F.lit(7).cast("smallint"), 5000).alias("a"))
+    got = many.select(H.squared_norm(F.col("a"), F.col("a"), 0.45).alias("n")).first().n
+    assert abs(got - (5000 * 1.45) ** 2) < 1e-3

@@ -145,3 +145,26 @@ def test_days_trends_and_percentiles(spark):
     got = M.latency_summary(log).first()
     assert (got.avg, got.p95, got.max) == (50.5, 95.0, 100.0)
     assert M.latency_summary(log, approximate=True).first().p95 == 95.0
+
+
+def test_import_ids_do_not_depend_on_partitions(spark):
+    rows = [(i, f"Case {i}", "", "", f"text {i}", "", "", "") for i in range(40)]
+    records = spark.createDataFrame(
+        rows, "n INT, case_title STRING, judges_name_s STRING, issues STRING, decision STRING, cited_cases STRING, citation STRING, date_of_judgment STRING")
+    got = S.import_records(records.repartition(5), "n").orderBy("ord").collect()
+    assert [(r.case_id, r.title) for r in got] == [(f"IN-SC-{i + 1:06d}", f"Case {i}") for i in range(40)]
+    unordered = S.import_records(records.drop("n").repartition(7)).collect()
+    assert sorted(r.case_id for r in unordered) == [f"IN-SC-{i + 1:06d}" for i in range(40)]
+
+
+def test_a_hot_key_is_joined_where_its_rows_lie(spark, capsys):
+    from docketry.plans.hot import join_by_key
+
+    rows = spark.range(3000).select(F.when(F.col("id") % 3 > 0, 0).otherwise(F.col("id")).alias("k"), "id")
+    single = rows.groupBy("k").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    got = join_by_key(rows, single, ["k"], "n", hot_keys=10)
+    assert got.count() == 3000 and got.filter("first <> CASE WHEN k = 0 THEN 0 ELSE k END").count() == 0
+    # Shuffled joins see the cold keys only.
+    cold = rows.join(single.filter("n * 10 > 3000"), "k", "left_anti")
+    assert cold.count() == 999
+    assert join_by_key(rows.limit(0), single.limit(0), ["k"], "n").collect() == []
