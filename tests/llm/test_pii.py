@@ -1,5 +1,6 @@
 """Personal data against the patterns in plain Python, and disclosing terms."""
 
+import hashlib
 import random
 import re
 
@@ -105,3 +106,16 @@ def test_no_python_in_the_plan(spark, capsys):
     docs = spark.createDataFrame(corpus(), "i long, t string")
     P.personal_data(docs).explain()
     assert not re.search("Python|Pandas|Arrow", capsys.readouterr().out)
+
+
+def test_query_counts(spark, tmp_path):
+    from docketry.llm.queries import op7_pii
+
+    rows = list(enumerate(awkward()[:300]))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for r in op7_pii(spark, str(tmp_path)).collect():
+        spans = brute(rows[r.doc_id][1])
+        assert r.base_sha256 == hashlib.sha256(spans.encode()).hexdigest()
+        counts = [sum(s.startswith(kind + ":") for s in spans.split(",")) for kind in BASE]
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == counts
+        assert set(filter(None, spans.split(","))) <= set(r.spans.split(","))
