@@ -291,28 +291,31 @@ def cut_repeats(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_
     """
     cuts = found.where(F.size("cuts") > 0).select(F.col("id").alias("__id"), F.col("cuts").alias("__cuts"))
     joined = docs.join(cuts, F.col(id_col) == F.col("__id"), "left").drop("__id")
-    untouched, touched = joined.where("__cuts is null").drop("__cuts"), joined.where("__cuts is not null")
     names = docs.columns
     at = names.index(text_col)
     fields = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
 
+    def without(text: str, cut: list[dict]) -> str:
+        data, offsets = W.text_buffers(pa.array([text], pa.large_string()))
+        _, _, starts = W.word_hashes(data, offsets)
+        bounds = np.append(starts, len(data))
+        left, done = [], 0
+        for span in cut:
+            left.append(data[done:bounds[min(span["start"], len(starts))]].tobytes())
+            done = bounds[min(span["end"], len(starts))]
+        return b"".join([*left, data[done:].tobytes()]).decode()
+
     def run(batches):
         for batch in batches:
-            texts, keep = [], []
-            for text, cut in zip(batch.column(at).to_pylist(), batch.column(len(batch.columns) - 1).to_pylist(), strict=True):
-                data, offsets = W.text_buffers(pa.array([text], pa.large_string()))
-                _, _, starts = W.word_hashes(data, offsets)
-                bounds = np.append(starts, len(data))
-                left, done = [], 0
-                for span in cut:
-                    left.append(data[done:bounds[min(span["start"], len(starts))]].tobytes())
-                    done = bounds[min(span["end"], len(starts))]
-                left.append(data[done:].tobytes())
-                rest = b"".join(left)
-                texts.append(rest.decode())
-                keep.append(bool(rest.strip()))
-            columns = list(batch.columns[:-1])
-            columns[at] = pa.array(texts, pa.string())
+            cuts = batch.column(len(names)).to_pylist()
+            columns, keep = list(batch.columns[:-1]), [True] * batch.num_rows
+            if any(cuts):
+                texts = columns[at].to_pylist()
+                for row, cut in enumerate(cuts):
+                    if cut:
+                        texts[row] = without(texts[row] or "", cut)
+                        keep[row] = bool(texts[row].encode().strip())
+                columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep, pa.bool_()))
 
-    return untouched.select(*names).union(touched.select(*names, "__cuts").mapInArrow(run, fields))
+    return joined.mapInArrow(run, fields)
