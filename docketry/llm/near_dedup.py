@@ -8,11 +8,14 @@
 4. Packed signatures give a collision-corrected similarity by bit counts. Pairs whose
    estimate is more than ``slack`` deviations below the threshold go; the others are
    confirmed on the full sets.
-5. Buckets that still hold several components are compared completely, in blocks of
-   members, by signature; survivors are confirmed as before. A bucket whose members
-   already hang together makes no pair, so groups of copies of any size stay linear.
-   Nothing caps candidates: the only loss is a pair that shares no band, which for the
-   default 32 bands of 4 rows happens to one link in ten million at the threshold.
+5. Buckets that still hold several components are compared completely by signature, in
+   blocks of members, which tells the components that look alike. Their members meet
+   with their texts, in blocks again; exact distances to pivots and the triangle
+   inequality rule out most pairs, the others are counted. Only links leave a task, and a
+   bucket whose members already hang together makes no pair.
+
+Nothing caps candidates: the only loss is a pair that shares no band, which for the
+default 32 bands of 4 rows happens to one link in ten million at the threshold.
 
 Null and empty texts have the empty set and no links. A null id has no links. Rows that
 repeat an id are one node with the links of all its rows.
@@ -50,6 +53,12 @@ class NearDedup:
     def count(self) -> int:
         return self.bands * self.rows
 
+    @property
+    def least(self) -> float:
+        """Smallest estimate with which a pair is still confirmed or ruled out on its sets."""
+        s = self.percent / 100
+        return s - self.slack * math.sqrt(max(s * (1 - s), 0.04) / self.count)
+
 
 def pack(low: np.ndarray, bits: int) -> bytes:
     kept = (low & np.uint32((1 << bits) - 1)).astype(np.uint8)
@@ -116,8 +125,7 @@ def star_pairs(members: DataFrame, salts: int) -> DataFrame:
 
 def _likely(pairs: DataFrame, sigs: DataFrame, p: NearDedup) -> DataFrame:
     """Pairs whose estimated similarity is not clearly below the threshold."""
-    s = p.percent / 100
-    least = s - p.slack * math.sqrt(max(s * (1 - s), 0.04) / p.count)
+    least = p.least
     joined = pairs.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(
         sigs.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b").select("a", "b", "sa", "sb")
 
@@ -159,63 +167,142 @@ def _links(pairs: DataFrame, docs: DataFrame, p: NearDedup) -> DataFrame:
         (F.col("either") > 0) & (100 * F.col("both") >= p.percent * F.col("either")))
 
 
-def _open_pairs(members: DataFrame, roots: DataFrame, sigs: DataFrame, p: NearDedup) -> DataFrame:
-    """Likely pairs between different components that share a bucket.
+def _runs(batches, keys):
+    """Tables of whole runs of equal ``keys``, and where their runs start, from a sorted stream."""
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        held = table if held is None else pa.concat_tables([held, table]).combine_chunks()
+        cell = np.stack([held.column(c).to_numpy() for c in keys])
+        cuts = np.flatnonzero((cell[:, 1:] != cell[:, :-1]).any(axis=0)) + 1
+        if len(cuts):
+            yield held.slice(0, int(cuts[-1])), [0, *cuts[:-1].tolist()]
+            held = held.slice(int(cuts[-1]))
+    if held is not None and held.num_rows:
+        yield held, [0]
+
+
+def _cells(members: DataFrame, key: str, block: int) -> DataFrame:
+    """Members of a group dealt to (block, block) cells ``i, j``: every pair of a group meets in one.
+
+    A group of at most ``block`` members is one cell; no cell holds more than about twice as many.
+    """
+    sizes = stored(members.groupBy(key).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "near-sizes")
+    mine = members.join(sizes, key).withColumn(
+        "mine", F.pmod(F.xxhash64("id"), F.col("blocks").cast("bigint")).cast("int"))
+    cells = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return cells.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other")).drop(
+        "mine", "other", "blocks")
+
+
+def _bytes(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+
+
+def _dealt(cells: DataFrame, *keys: str) -> DataFrame:
+    n = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cells.repartition(n, *keys).sortWithinPartitions(*keys, "id")
+
 
-    Members are compared in (block, block) cells of at most ``2 * block`` rows, so that
-    no task holds a whole bucket, and only likely pairs leave a task.
+def _open(members: DataFrame, roots: DataFrame, sigs: DataFrame, p: NearDedup) -> DataFrame:
+    """``id, root, other``: members that look like one of another component in a shared bucket.
+
+    Cells compare signatures only and return each such member once, with one component of
+    those that look alike in the cell: a row per member, not one per pair.
     """
     placed = stored(
         members.join(roots.select(F.col("node").alias("id"), "root"), "id", "left")
         .select("key", "id", F.coalesce("root", "id").alias("root")), "near-placed")
-    still = stored(
-        placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n"))
-        .where("x < y").select("key", F.ceil(F.col("n") / p.block).cast("int").alias("blocks")), "near-open")
-    mine = placed.join(still, "key").withColumn(
-        "mine", F.pmod(F.xxhash64("id"), F.col("blocks").cast("bigint")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    cells = mine.select("key", "id", "root", "mine", other.alias("other")).select(
-        "key", "id", "root", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
-    cells = cells.join(sigs.select("id", "sig"), "id").select("key", "i", "j", "id", "root", "sig")
-    n = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cells = cells.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
-    s = p.percent / 100
-    least = s - p.slack * math.sqrt(max(s * (1 - s), 0.04) / p.count)
+    still = stored(placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"))
+                   .where("x < y").select("key"), "near-open")
+    cells = _cells(placed.join(still, "key", "left_semi"), "key", p.block)
+    cells = _dealt(cells.join(sigs.select("id", "sig"), "id").select("key", "i", "j", "id", "root", "sig"), "key", "i", "j")
+    least = p.least
 
     def run(batches):
-        held = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            held = table if held is None else pa.concat_tables([held, table])
-            cell = np.stack([held.column(c).to_numpy() for c in ("key", "i", "j")])
-            cuts = np.flatnonzero((cell[:, 1:] != cell[:, :-1]).any(axis=0)) + 1
-            if not len(cuts):
-                continue
-            yield from compare(held.slice(0, int(cuts[-1])), cuts[:-1])
-            held = held.slice(int(cuts[-1]))
-        if held is not None and held.num_rows:
-            yield from compare(held, np.zeros(0, np.int64))
-
-    def compare(table, cuts):
-        ids, root = table.column("id").to_numpy(), table.column("root").to_numpy()
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(ids), -1)
-        found_a, found_b = [], []
-        bounds = [0, *cuts.tolist(), len(ids)]
-        for x, y in zip(bounds[:-1], bounds[1:], strict=True):
-            if y - x < 2:
+        for table, bounds in _runs(batches, ("key", "i", "j")):
+            ids, root, sig = table.column("id").to_numpy(), table.column("root").to_numpy(), _bytes(table.column("sig"))
+            rows, heads = [], []
+            for x, y in zip(bounds, [*bounds[1:], len(ids)], strict=True):
+                # Alike members of different components share a label, that of a component's first.
+                own, hit = root[x:y], np.zeros(y - x, bool)
+                _, label = np.unique(own, return_inverse=True)
+                for row in range(y - x - 1):
+                    apart = np.flatnonzero(own[row + 1:] != own[row]) + row + 1
+                    if len(apart):
+                        apart = apart[estimates(sig[x + row][None, :], sig[x + apart], p.bits) >= least]
+                    if len(apart):
+                        hit[row] = hit[apart] = True
+                        joined = np.unique(label[[row, *apart]])
+                        if len(joined) > 1:
+                            label[np.isin(label, joined)] = joined[0]
+                rows.append(x + np.flatnonzero(hit))
+                first = np.full(len(label), len(label))
+                np.minimum.at(first, label, np.arange(len(label)))
+                heads.append(own[first[label[hit]]])
+            rows, heads = np.concatenate(rows), np.concatenate(heads)
+            if len(rows):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(root[rows]), pa.array(heads)],
+                                                 names=["id", "root", "other"])
+
+    return cells.mapInArrow(run, "id bigint, root bigint, other bigint").distinct()
+
+
+def _late_links(near: DataFrame, docs: DataFrame, sigs: DataFrame, p: NearDedup) -> DataFrame:
+    """``a, b``: links between components, enough to join all that belong together.
+
+    Components that look alike form clusters; the members of a cluster meet in cells with
+    their texts. Jaccard distance obeys the triangle inequality, so exact distances to a
+    few pivots rule out most pairs; all others are counted on the full sets. Pairs of
+    components that a link has joined already are passed over.
+    """
+    clusters = components(near.select(F.col("root").alias("u"), F.col("other").alias("v")))
+    members = stored(near.select("id", "root").distinct().join(
+        clusters.select(F.col("node").alias("root"), F.col("root").alias("cluster")), "root"), "near-clusters")
+    cells = _cells(members, "cluster", p.block).join(docs.toDF("id", "text"), "id").join(sigs.select("id", "sig"), "id")
+    cells = _dealt(cells.select("cluster", "i", "j", "id", "root", "sig", "text"), "cluster", "i", "j")
+    least, far, shingle = p.least, 1 - p.percent / 100, p.shingle
+
+    def run(batches):
+        for table, bounds in _runs(batches, ("cluster", "i", "j")):
+            found = []
+            for x, y in zip(bounds, [*bounds[1:], table.num_rows], strict=True):
+                found.extend(links(table.slice(x, y - x)))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
+
+    def links(cell):
+        ids, root, sig = cell.column("id").to_numpy(), cell.column("root").to_numpy(), _bytes(cell.column("sig"))
+        sets = list(W.text_shingles(cell.column("text"), shingle))
+        group = {r: r for r in root.tolist()}
+
+        def top(r):
+            while group[r] != r:
+                r = group[r]
+            return r
+
+        _, pivots = np.unique(root, return_index=True)
+        away = np.array([[1 - jaccard(sets[v], s) for s in sets] for v in pivots[:8]])
+        for row in range(len(ids) - 1):
+            other = np.flatnonzero(root[row + 1:] != root[row]) + row + 1
+            if not len(other):
                 continue
-            for row in range(x, y - 1):
-                apart = np.flatnonzero(root[row + 1:y] != root[row]) + row + 1
-                if len(apart):
-                    apart = apart[estimates(sig[row][None, :], sig[apart], p.bits) >= least]
-                    found_a.extend([ids[row]] * len(apart))
-                    found_b.extend(ids[apart])
-        if found_a:
-            a, b = np.array(found_a), np.array(found_b)
-            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+            other = other[np.abs(away[:, other] - away[:, row:row + 1]).max(axis=0) <= far + 1e-9]
+            other = other[estimates(sig[row][None, :], sig[other], p.bits) >= least]
+            for at in other.tolist():
+                a, b = top(int(root[row])), top(int(root[at]))
+                if a == b:
+                    continue
+                both, either = W.jaccard_counts(sets[row], sets[at])
+                if either and 100 * both >= p.percent * either:
+                    group[max(a, b)] = min(a, b)
+                    yield int(ids[row]), int(ids[at])
+
+    def jaccard(left, right):
+        both, either = W.jaccard_counts(left, right)
+        return both / either if either else 1.0
 
-    return cells.mapInArrow(run, "a bigint, b bigint").where("a <> b").distinct()
+    return cells.mapInArrow(run, "a bigint, b bigint")
 
 
 def near_components(docs: DataFrame, p: NearDedup = NearDedup()) -> DataFrame:
@@ -239,8 +326,8 @@ def near_components(docs: DataFrame, p: NearDedup = NearDedup()) -> DataFrame:
     roots = stored(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "near-roots")
     shared = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     crowded = members.join(stored(shared, "near-shared"), "key", "left_semi")
-    more = _open_pairs(crowded, roots, sigs, p).join(pairs, ["a", "b"], "left_anti")
-    more = stored(_links(more, texts, p), "near-links")
+    near = stored(_open(crowded, roots, sigs, p), "near-alike")
+    more = stored(_late_links(near, texts, sigs, p), "near-links")
     repeated = _repeated_ids(full, classes)
     stars = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
     edges = stars.union(more.select(F.col("a").alias("u"), F.col("b").alias("v"))).union(repeated)
