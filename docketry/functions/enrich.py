@@ -166,6 +166,7 @@ def tags(issues: X.ColumnLike, citation: X.ColumnLike, jurisdiction: X.ColumnLik
 
 
 def why_match(issues: X.ColumnLike, decision: X.ColumnLike, citation: X.ColumnLike) -> Column:
+    # fixed values: reasons and the sentence around them
     details = F.concat_ws(
         ", ",
         F.when(X.blank(issues) != "", "issue overlap"),

@@ -24,8 +24,7 @@ MOST_CASES = 1 << 41
 
 CHUNK_SCRUB = [
     # fixed values: passes in order
-    (X.word_re(r"section\s+\d+[a-z]?\s+(?:of\s+)?[\w\s]{0,30}(?:act|code|cpc|crpc)\s*[;,]?", True)
-     .removesuffix(X.EDGE_R), ""),
+    (r"(?i)" + X.EDGE_L + r"(?:section\s+\d+[a-z]?\s+(?:of\s+)?[\w\s]{0,30}(?:act|code|cpc|crpc)\s*[;,]?)", ""),
     (r"(?i)(?<![A-Za-z0-9_])order\s+[ivxlcdm\d]+\s+rule\s+\d+", ""),
     (r"(?i)(?<![A-Za-z0-9_])filter\s*:\s*[\w\s]+", ""),
     (r"(?i)case title extracted from cited[- ]cases metadata:?[^.;]*", ""),
@@ -41,6 +40,7 @@ CHUNK_SCRUB = [
 ]
 
 
+# fixed values: marks of text that the passes change.
 # Text without any of these is left as it is by every pass, so plain prose skips them all.
 SCRUB_MARKERS = r"(?i)[:;{\[]|section|rule|case title|\(cid"
 
@@ -80,6 +80,7 @@ def _scrubbed(t: Column, prose: str) -> Column:
     return X.let(out, lambda t: F.when(F.length(t) < 60, F.lit("")).otherwise(t))
 
 
+# fixed values: marks of listings.
 # Lower-cased pieces without which neither the scrub nor the metadata tests can apply.
 PLAIN_MARKERS = [":", ";", "{", "[", "section", "rule", "case title", "(cid", "metadata", "extracted"]
 

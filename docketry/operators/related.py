@@ -98,6 +98,7 @@ def related_cases(signals: DataFrame, cases: DataFrame, k: int = KEEP,
 
 
 def match_reason(overlap, boost, kind):
+    # fixed values: the sentences
     hits = overlap.cast("string")
     return (
         F.when(

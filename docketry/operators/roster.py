@@ -140,6 +140,7 @@ def _ranked(cases: DataFrame, judges: DataFrame, k: int = 1, seed: str = "seed",
 
 
 def judge_reason() -> Column:
+    # fixed values: the sentence's parts
     fit = F.when(F.col("judge_category") == F.col("wanted"), "strong category fit").otherwise("acceptable fallback fit")
     status = F.when(F.col("availability") == "Available", "available").otherwise(F.lower("availability"))
     # The thresholds are compared with the load fraction, not with the percentage.

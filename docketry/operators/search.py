@@ -130,6 +130,7 @@ def explain_matches(results: DataFrame, stop: Sequence[str] = tuple(L.EXPLAIN_ST
     terms = F.slice(
         F.array_distinct(F.concat(phrases(F.concat_ws(" ", X.blank("query_text"), text)), shared)), 1, EXPLAIN_TERMS
     )
+    # fixed values: the sentence's parts
     lead = F.when(
         F.size("matched_terms") > 0,
         F.concat(F.lit("shared legal terms ("), F.array_join(F.slice("matched_terms", 1, 3), ", "), F.lit(")")),

@@ -76,6 +76,7 @@ def triage(texts: DataFrame, rules: L.TriageRules = L.TriageRules(), column: str
 
 def rationale() -> Column:
     """One sentence on the triage columns."""
+    # fixed values: the sentence's parts
     factors = F.when(
         F.size("risk_factors") > 0,
         F.concat(F.lit("Risk factors: "), F.array_join(F.slice("risk_factors", 1, 3), ", "), F.lit(".")),
