@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from checks import activity_checks as A
 from checks import index_checks as N
 from checks.base import Check, table, texts
-from docketry.functions import text as X
+from docketry.functions import dates as D
 from docketry.operators import corpus as K
 from docketry.plans.tables import stored
 from docketry.session import checkpoint_dir
@@ -142,6 +142,29 @@ def rate_limit_stream(spark, sf_dir):
     return rows.select(F.col("client").cast("bigint").alias("client"), "id", "allowed", "retry_after_ms")
 
 
+def rule_table(spark, sf_dir):
+    """Nations as rules, written as JSON lines and read as a rule table."""
+    path = shared(spark, "rules")
+    n = table(spark, sf_dir, "nation").select(
+        F.col("n_nationkey").cast("int").alias("ord"), F.array(F.lower("n_name")).alias("terms"),
+        F.array(F.concat(F.lit("R "), "n_regionkey")).alias("sections"), F.lit("Civil").alias("domain"),
+        F.lit("High").alias("severity"), (F.col("n_nationkey") % 2 == 0).alias("public_risk"))
+    n.write.json(path)
+    return O.read_rules(spark, path).select("ord", F.array_join("terms", "|").alias("terms"), F.array_join("sections", "|").alias("sections"), "public_risk")
+
+
+def decision_dates(spark, sf_dir):
+    """Order dates written in twelve ways."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("timestamp").alias("d"))
+    ways = ["yyyy/MM/dd", "MMMM d yyyy", "MMM d, yyyy", "yyyy-MM-dd'T'HH:mm:ss'Z'", "d MMMM, yyyy", "EEEE, MMMM d, yyyy", "d-MMM-yyyy",
+            "M/d/yyyy", "M-d-yyyy", "yyyy-M-d", "EEE d MMM yyyy"]
+    k = F.col("o_orderkey") % (len(ways) + 1)
+    shown = F.lit("  undated ")
+    for i, way in enumerate(ways):
+        shown = F.when(k == i, F.date_format("d", way)).otherwise(shown)
+    return o.select("o_orderkey", D.decision_date(shown).alias("decided"))
+
+
 def seed_ignore(spark, sf_dir):
     seed = table(spark, sf_dir, "supplier").select(
         (F.col("s_suppkey") * 20).alias("id"), F.col("s_name").alias("status"), F.col("s_acctbal").alias("score"))
@@ -177,6 +200,10 @@ SELECT event_id AS id, CASE WHEN event_type IN ('click', 'view') THEN 'search' W
   CASE WHEN event_type IN ('click', 'view') THEN (event_id % 8)::INT WHEN event_type = 'signup' THEN 0 END AS results
 FROM events WHERE event_type <> 'error'"""),
     Check("rate_limit_stream", rate_limit_stream, A.limiter("user_id", 2, 6 * 3_600_000)),
+    Check("rule_table", rule_table, """
+SELECT n_nationkey::INT AS ord, lower(n_name) AS terms, 'R ' || n_regionkey AS sections, n_nationkey % 2 = 0 AS public_risk FROM nation"""),
+    Check("decision_dates", decision_dates, """
+SELECT o_orderkey, CASE WHEN o_orderkey % 12 = 11 THEN 'undated' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS decided FROM orders"""),
     Check("seed_ignore", seed_ignore, """
 SELECT c_custkey AS id, c_mktsegment AS status, c_acctbal AS score FROM customer UNION ALL
 SELECT s_suppkey * 20, s_name, s_acctbal FROM supplier WHERE s_suppkey * 20 NOT IN (SELECT c_custkey FROM customer)"""),

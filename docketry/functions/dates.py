@@ -9,8 +9,10 @@ from pyspark.sql import types as T
 from docketry.functions import text as X
 
 DECISION_FORMATS = [
-    "yyyy-MM-dd", "d MMMM, yyyy", "d MMMM yyyy", "MMMM d, yyyy", "d MMM yyyy", "MMM d, yyyy", "M/d/yyyy",
+    "yyyy-M-d", "yyyy/M/d", "M/d/yyyy", "M-d-yyyy", "d MMMM, yyyy", "d MMMM yyyy", "d MMM, yyyy", "d MMM yyyy",
+    "d-MMM-yyyy", "MMMM d, yyyy", "MMMM d yyyy", "MMM d, yyyy", "MMM d yyyy", "MMMM yyyy", "MMM yyyy",
 ]
+WEEKDAY = r"(?i)^(?:mon|tues?|wed(?:nes)?|thu(?:rs)?|fri|sat(?:ur)?|sun)(?:day)?\.?,?\s+"
 
 
 def _tries(c: Column, formats: list[str]) -> Column:
@@ -18,9 +20,15 @@ def _tries(c: Column, formats: list[str]) -> Column:
 
 
 def decision_date(c: X.ColumnLike) -> Column:
-    """ISO text where the date can be read, the trimmed input otherwise."""
+    """ISO text where the date can be read, the trimmed input otherwise.
+
+    Month names may be full or short, with or without commas, after a weekday or not;
+    numbers are year first or month first; of an ISO timestamp the date is taken as written.
+    """
     raw = X.trim_wide(c)
-    return F.coalesce(F.date_format(_tries(raw, DECISION_FORMATS), "yyyy-MM-dd"), raw)
+    plain = F.regexp_replace(F.regexp_replace(raw, WEEKDAY, ""), r"\s+", " ")
+    stamp = F.when(raw.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:"), F.substring(raw, 1, 10))
+    return F.coalesce(F.date_format(_tries(F.coalesce(stamp, plain), DECISION_FORMATS), "yyyy-MM-dd"), raw)
 
 
 def hearing_date(c: X.ColumnLike) -> Column:

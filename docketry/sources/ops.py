@@ -34,6 +34,11 @@ def read_ops_snapshot(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     }
 
 
+def read_rules(spark: SparkSession, path: str) -> DataFrame:
+    """The statute rule table for ``match_rules``, as JSON lines."""
+    return spark.read.schema(S.RULE).json(path)
+
+
 def list_judges(judges: DataFrame) -> DataFrame:
     return judges.orderBy("name", "id")
 

@@ -66,13 +66,22 @@ def activity_stream(source: DataFrame, lateness: str = LATENESS, title_chars: in
 def audit_sink(path: str, n: int = AUDIT_ROWS) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` function keeping the newest ``n`` rows under ``path/version=<batch>``.
 
-    A batch that runs twice writes the same version again, so a restart loses nothing.
+    A batch builds on the newest version before it, whichever that is, and then removes
+    older ones; that version itself stays, so a batch that runs twice gives the same rows.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        names = [s.getPath().getName() for s in files.listStatus(folder)] if files.exists(folder) else []
+        versions = sorted(int(x.split("=")[1]) for x in names if x.startswith("version="))
+        before = [v for v in versions if v < batch_id]
         rows = batch
-        if batch_id > 0:
-            rows = batch.sparkSession.read.schema(batch.schema).parquet(f"{path}/version={batch_id - 1}").unionByName(batch)
+        if before:
+            rows = spark.read.schema(batch.schema).parquet(f"{path}/version={before[-1]}").unionByName(batch)
         rows.orderBy(F.desc("ts"), F.desc("id")).limit(n).write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+        for version in before[:-1]:
+            files.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/version={version}"), True)
 
     return write
