@@ -70,10 +70,13 @@ def rate_limit_stream(events: DataFrame, limit: int, window_ms: int, expire: boo
 
 
 class SlotGuard(StatefulProcessor):
-    """First request for a slot keeps it."""
+    """First request for a slot keeps it, until ``expire_ms`` after it was taken if that is given."""
+
+    def __init__(self, expire_ms: int | None = None):
+        self.expire_ms = expire_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.holder = handle.getValueState("holder", "id STRING, case_id STRING")
+        self.holder = handle.getValueState("holder", "id STRING, case_id STRING", self.expire_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values(["seq", "id"])
@@ -93,8 +96,14 @@ class SlotGuard(StatefulProcessor):
         pass
 
 
-def schedule_stream(requests: DataFrame) -> DataFrame:
-    """``id, seq, case_id, judge_id, hearing_date, slot`` stream to accepted / rejected."""
+def schedule_stream(requests: DataFrame, expire_ms: int | None = None) -> DataFrame:
+    """``id, seq, case_id, judge_id, hearing_date, slot`` stream to accepted / rejected.
+
+    ``expire_ms`` bounds the state of a query that runs on: a slot's holder is forgotten
+    that long (processing time) after it was taken, so choose more than the longest time
+    between a booking and its hearing. A replay leaves it off.
+    """
     return requests.groupBy("judge_id", "hearing_date", "slot").transformWithStateInPandas(
-        statefulProcessor=SlotGuard(), outputStructType=SLOT_OUT, outputMode="Append", timeMode="None"
+        statefulProcessor=SlotGuard(expire_ms), outputStructType=SLOT_OUT, outputMode="Append",
+        timeMode="None" if expire_ms is None else "ProcessingTime",
     )
