@@ -18,6 +18,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,18 +28,20 @@ CAPACITY = 1024
 END_ID = 2
 PIECES_A_SHARD = 50_000
 _PIECE = "id bigint, piece int, start bigint, length bigint, ids binary"
-_ODD_SPACE = re.compile(r" \s| \Z")
+_ODD_SPACE = re.compile(r"\s\s|\s\Z")
+_WORD_AND_SIGNS = regex.compile(r"( ?\p{L}+)([^\s\p{L}\p{N}]+)")
 
 
 class Encoder:
     """Token ids of whole texts, remembering those of frequent words.
 
-    A byte-level BPE tokenizer of this family never joins across a space that is followed
-    by a character other than white space, so a text is the sequence of its ``" word"``
-    parts. Texts with any other space go through the tokenizer whole.
+    A byte-level BPE tokenizer of this family never joins across a blank or line end that
+    stands alone between other characters, nor a word with the signs after it. So a text
+    is the sequence of its ``" word"`` parts and line ends. Texts with any other white
+    space go through the tokenizer whole.
     """
 
-    REMEMBERED = 400_000
+    REMEMBERED = 700_000
     LONGEST = 48
 
     def __init__(self, path: str):
@@ -61,13 +64,17 @@ class Encoder:
             if _ODD_SPACE.search(text):
                 parts.append(None)
                 continue
-            head, *rest = text.split(" ")
-            parts.append([head, *[" " + x for x in rest]])
-        missing = list({x for own in parts if own for x in own if x not in self.known})
-        new = dict(zip(missing, self.encode(missing), strict=True))
+            own = text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00") if "\x00" not in text else None
+            parts.append(own)
+        missing = {x for own in parts if own for x in own if x not in self.known}
+        pairs = {x: m.groups() for x in missing if (m := _WORD_AND_SIGNS.fullmatch(x))}
+        alone = [x for x in missing.difference(pairs).union(*pairs.values()) if x not in self.known]
+        new = dict(zip(alone, self.encode(alone), strict=True))
+        for x, (word, signs) in pairs.items():
+            new[x] = (new.get(word) or self.known[word]) + (new.get(signs) or self.known[signs])
         self.known.update((k, v) for k, v in new.items() if len(k) <= self.LONGEST)
-        look = self.known | {k: v for k, v in new.items() if len(k) > self.LONGEST} if any(
-            len(k) > self.LONGEST for k in new) else self.known
+        long = {k: v for k, v in new.items() if len(k) > self.LONGEST}
+        look = self.known | long if long else self.known
         whole = iter(self.encode([t for t, own in zip(texts, parts, strict=True) if own is None]))
         return [next(whole) if own is None else b"".join(map(look.__getitem__, own)) for own in parts]
 

@@ -12,7 +12,7 @@ from docketry.llm import packing as K
 public_tokenizers = pytest.importorskip("public_tokenizers")
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 ODD = ["", " ", "a  b", "a   b", "x ", "x\t y", "x \n y", "a  b", "a  b", "<|endoftext|> hi <|endoftext|>", "don't it's",
-       "🙂 ünï  ", "1234 5 6", "\n\n a", "x" * 3000, "tab\tend \t", "a \x85b", "a\x1c b", "é ​ z"]
+       "🙂 ünï  ", "1234 5 6", "\n\n a", "x" * 3000, "tab\tend \t", "a \x85b", "a\x1c b", "a\x00 b\x00", "\nx", "x\ny,\nz", "w###. (q) a-b! 3rd!! é,,", "é ​ z"]
 
 
 def reference_ids(texts):
