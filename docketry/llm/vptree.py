@@ -7,8 +7,9 @@ squared norm, ``x' = (x, sqrt(top - |x|^2))`` and ``q' = (q, 0)`` have
 Rows are dealt to shards by id hash. A shard keeps each different vector once, with its
 smallest ids, and a vantage-point tree over them. A block of queries first walks to its
 nearest leaf, then down the whole tree; a subtree is left out when the triangle
-inequality, relaxed by ``factor``, shows that nothing nearer is in it. Factor 1 is exact;
-smaller ones prune more.
+inequality, relaxed by ``factor``, shows that nothing nearer is in it. Factor 1 is exact
+whatever the norms. Smaller ones prune more, but where norms differ the added coordinate
+puts all queries far from all rows, and then they lose most neighbours.
 
 Vectors that are null, zero, or hold null or non-finite components take no part. Vectors
 of different length don't meet. Rows that repeat an id count once per different vector.
@@ -30,7 +31,7 @@ from docketry.plans.tables import stored
 @dataclass(frozen=True)
 class VantagePoint:
     k: int = 20
-    factor: float = 0.6
+    factor: float = 1.0
     leaf: int = 256
     shard_rows: int = 16_384
     query_rows: int = 2_048    # queries that meet a shard at once
@@ -128,9 +129,9 @@ class Tree:
             d = np.linalg.norm(lifted[active] - self.points[vantage], axis=1)
             for child, low, high in sorted(((inner, a, b), (outer, c, e)), key=lambda x: np.maximum(
                     0, np.maximum(x[1] - d, d - x[2])).sum()):
-                reach = np.sqrt(np.maximum(square[active] - 2 * score[active].min(axis=1), 0))
+                # Slack for rounding, relative to the lifted lengths too, so that factor 1 stays exact.
+                reach = np.sqrt(np.maximum(square[active] - 2 * score[active].min(axis=1), 0) + 1e-12 * square[active])
                 gap = np.maximum(low - d, d - high)
-                # Relative slack for rounding, so that factor 1 stays exact.
                 keep = gap <= factor * reach * (1 + 1e-9) + 1e-9
                 if keep.any():
                     visit(child, active[keep])

@@ -66,3 +66,20 @@ def test_empty_tables(spark):
 def test_repeated_rows(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 1.0]), (2, [1.0, 1.0])], "i long, v array<float>")
     assert [tuple(r) for r in V.nearest(df, df.where("i = 1")).collect()] == [(1, 1, 2, 1.0)]
+
+
+@pytest.mark.parametrize("kind", ["one of ten times the norm", "log-normal", "one of a million times the norm"])
+def test_all_neighbours_whatever_the_norms(spark, kind):
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=(40, 32))
+    vectors = base[rng.integers(40, size=2000)] + rng.normal(scale=.4, size=(2000, 32))
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    if kind == "log-normal":
+        vectors *= rng.lognormal(sigma=.4, size=(2000, 1))
+    else:
+        vectors[17] *= 10 if "ten" in kind else 1e6
+    data = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    df = spark.createDataFrame(data, "i long, v array<double>")
+    got = answers(V.nearest(df, df.where("i % 40 = 0"), V.VantagePoint(shard_rows=1000, leaf=64)))
+    want = brute(data, {i for i, _ in data if i % 40 == 0}, 20)
+    assert {q: [i for i, _ in near] for q, near in got.items()} == {q: [i for i, _ in near] for q, near in want.items()}
