@@ -1,22 +1,21 @@
 """Repeated passages by a sparse suffix array.
 
-1. Sampled suffixes start where the hash of ``anchor`` words is the minimum of some
-   ``window`` neighbouring ones. The choice depends on content alone, so two passages of
-   at least ``anchor + window - 1`` equal words have a sampled suffix at the same place.
+1. A passage of ``least`` words samples an anchor, the ``anchor`` words in it whose hash is
+   smallest. The choice depends on the passage alone, so equal passages sample equal anchors.
 2. Whole copies form a class, of which only the smallest id goes on, and only anchors
    met in two documents keep their suffixes.
-3. Suffixes are sorted by anchor, right context and left context over range partitions.
-   Each is compared with its neighbours (``reach`` to either side) and with the smallest
-   document of its anchor, and matches are extended right and left word by word. The
-   contexts are ``window`` words, enough to reach the next sampled suffix, so the union
-   of the matches around all anchors is the whole repeated passage.
-   The few rows at the partitions' ends are sorted and compared once more.
-4. Matches of at least ``least`` words in different documents are spans. Spans that a
+3. The suffixes at which a passage with a kept anchor starts are grouped by their first
+   ``least`` words (the anchor and a 64-bit hash of all of them). A group with two ids is
+   a repeated passage; its smallest id goes back to all its rows. Neighbouring and
+   overlapping passages are joined, so their union is the whole repeated passage, however
+   many documents share the anchor and whatever lies around it.
+4. Passages of at least ``least`` words in different documents are spans. Spans that a
    smaller document has too can be cut: one copy of every passage stays.
 
-No task holds an anchor's group: a passage in a third of all documents is a run of sorted
-rows over several partitions. Texts below ``least`` words, null and empty ones have no
-spans. Rows without id take no part; rows that repeat an id are one document.
+No task holds an anchor's or a passage's group: smallest ids are combined in every task, and
+the passages of very many documents are joined by broadcast. Texts below ``least`` words, null
+and empty ones have no spans. Rows without id take no part; rows that repeat an id are one
+document.
 """
 
 from __future__ import annotations
@@ -29,14 +28,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketry.llm import words as W
+from docketry.plans.hot import join_by_key
 from docketry.plans.tables import stored
 
 
+# Rows of one Arrow batch of suffixes.
+_ROWS = 100_000
+
+
 @dataclass(frozen=True)
 class SuffixDedup:
     least: int = 50            # words of the shortest passage
     anchor: int = 20
-    reach: int = 8
+    reach: int = 8             # of no effect: all suffixes of an anchor are compared
 
     @property
     def window(self) -> int:
@@ -53,22 +57,21 @@ def _sliding(values: np.ndarray, size: int, best) -> np.ndarray:
     return have
 
 
-def anchors(hashes: np.ndarray, p: SuffixDedup) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the sampled suffixes of one document's words."""
+def _grams(hashes: np.ndarray, p: SuffixDedup) -> np.ndarray:
+    """Hashes of every ``anchor`` neighbouring words."""
     total = len(hashes) - p.anchor + 1
-    if total < p.window:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     factors = W.keys(p.anchor, 31) | np.uint64(1)
     grams = np.zeros(total, np.uint64)
     for j in range(p.anchor):
         grams += hashes[j:j + total] * factors[j]
-    grams = W.mix(grams)
-    lowest = _sliding(grams, p.window, np.minimum)
-    # A position is sampled if its value is the minimum of a window that holds it.
-    edge = np.zeros(p.window - 1, np.uint64)
-    highest = _sliding(np.concatenate([edge, lowest, edge]), p.window, np.maximum)
-    at = np.flatnonzero(highest == grams)
-    return at, grams[at]
+    return W.mix(grams)
+
+
+def anchors(hashes: np.ndarray, p: SuffixDedup) -> np.ndarray:
+    """Distinct anchors that the passages of ``least`` words of one document sample."""
+    if len(hashes) < p.least:
+        return np.zeros(0, np.uint64)
+    return np.unique(_sliding(_grams(hashes, p), p.window, np.minimum))
 
 
 def _documents(column: pa.Array):
@@ -92,7 +95,7 @@ def sampled(docs: DataFrame, p: SuffixDedup) -> DataFrame:
                 his.append(int((hashes * place).sum(dtype=np.uint64).astype(np.int64)))
                 los.append(int(W.mix(hashes ^ place).sum(dtype=np.uint64).astype(np.int64)))
                 sizes.append(len(hashes))
-                found.append(np.unique(anchors(hashes, p)[1]).astype(np.int64))
+                found.append(anchors(hashes, p).astype(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(his, pa.int64()), pa.array(los, pa.int64()), pa.array(sizes, pa.int64()),
                  pa.array(found, pa.list_(pa.int64()))], names=["id", "hi", "lo", "n_words", "keys"])
@@ -100,138 +103,68 @@ def sampled(docs: DataFrame, p: SuffixDedup) -> DataFrame:
     return docs.mapInArrow(run, "id bigint, hi bigint, lo bigint, n_words bigint, keys array<bigint>")
 
 
-_SUFFIX = "key bigint, after binary, before binary, id bigint, at array<int>"
-_SORT = ["key", "after", "before", "id"]
+def windows(docs: DataFrame, p: SuffixDedup) -> DataFrame:
+    """``key, window, id, at``: the suffixes of ``docs`` (id, text, keys) whose first ``least`` words hold a wanted anchor.
 
-
-def suffixes(docs: DataFrame, p: SuffixDedup) -> DataFrame:
-    """Sampled suffixes at the wanted anchors of ``docs`` (id, text, keys), with their contexts.
-
-    A document's suffixes with equal contexts are one row with all its places. Context
-    words are 32-bit hashes, 0 beyond the text.
+    ``key`` is the anchor that the first ``least`` words sample, ``window`` a hash of all of
+    them; both depend on those words alone, so equal passages have equal pairs.
     """
-    size = p.window
+    # Anchor-sized pieces that cover the window, the last one flush with its end.
+    pieces = [*range(0, p.least - p.anchor, p.anchor), p.least - p.anchor]
+    factors = W.keys(len(pieces), 37) | np.uint64(1)
 
     def run(batches):
         for batch in batches:
-            rows = []
+            found, held = [], 0
             for key, hashes, wanted in zip(batch.column(0).to_pylist(), _documents(batch.column(1)),
                                            batch.column(2).to_pylist(), strict=True):
-                at, grams = anchors(hashes, p)
-                keep = np.isin(grams.astype(np.int64), np.array(wanted, np.int64))
-                at, grams = at[keep], grams[keep].astype(np.int64)
-                if not len(at):
+                if len(hashes) < p.least:
                     continue
-                short = np.zeros(len(hashes) + 2 * size, "<u4")
-                short[size:size + len(hashes)] = (hashes >> np.uint64(32)).astype("<u4") | np.uint32(1)
-                after = short[at[:, None] + size + p.anchor + np.arange(size)]
-                before = short[at[:, None] + size - 1 - np.arange(size)]
-                groups: dict[tuple, list[int]] = {}
-                for i in range(len(at)):
-                    groups.setdefault((int(grams[i]), after[i].tobytes(), before[i].tobytes()), []).append(int(at[i]))
-                rows.extend((*g, key, places) for g, places in groups.items())
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.int32()))
-            for first in range(0, len(rows), 5000):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c[first:first + 5000], k) for c, k in zip(columns, kinds, strict=True)],
-                    names=["key", "after", "before", "id", "at"])
-
-    return docs.mapInArrow(run, _SUFFIX)
-
-
-def _common(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    equal = (left == right) & (left != 0)
-    return np.minimum.accumulate(equal, axis=1).sum(axis=1)
-
-
-_NONE = np.iinfo(np.int64).max
-
-
-class _Matches:
-    """Matches among sorted suffixes: words before and after each anchor that another document shares."""
-
-    def __init__(self, table: pa.Table, p: SuffixDedup):
-        self.p, n = p, table.num_rows
-        self.key, self.id = table.column("key").to_numpy(), table.column("id").to_numpy()
-        self.after, self.before = (np.frombuffer(b"".join(table.column(c).to_pylist()), "<u4").reshape(n, -1)
-                                   for c in ("after", "before"))
-        self.twin = np.full(n, _NONE)
-        self.most = np.full((n, 4), -1)     # before, after; and the same with smaller documents
-
-    def compare(self, a: np.ndarray, b: np.ndarray) -> None:
-        fit = (self.key[a] == self.key[b]) & (self.id[a] != self.id[b])
-        a, b = a[fit], b[fit]
-        after, before = _common(self.after[a], self.after[b]), _common(self.before[a], self.before[b])
-        fit = after + before + self.p.anchor >= self.p.least
-        a, b, after, before = a[fit], b[fit], after[fit], before[fit]
-        for x, y in ((a, b), (b, a)):
-            np.minimum.at(self.twin, x, self.id[y])
-            np.maximum.at(self.most, (x, 0), before)
-            np.maximum.at(self.most, (x, 1), after)
-            less = self.id[y] < self.id[x]
-            np.maximum.at(self.most, (x[less], 2), before[less])
-            np.maximum.at(self.most, (x[less], 3), after[less])
-
-    def leaders(self) -> np.ndarray:
-        """For every row the row of the smallest document of its anchor."""
-        if not len(self.key):
-            return np.zeros(0, np.int64)
-        _, first, back = np.unique(self.key, return_index=True, return_inverse=True)
-        order = np.lexsort((self.id, back))
-        heads = order[np.searchsorted(back[order], np.arange(len(first)))]
-        return heads[back.ravel()]
-
-
-_FOUND = "edge boolean, key bigint, after binary, before binary, id bigint, at array<int>, twin bigint, " \
-         "l int, r int, cl int, cr int"
-
-
-def _compared(sorted_rows: DataFrame, p: SuffixDedup) -> DataFrame:
-    """Matches of a sorted stream of suffixes, and the rows at its ends (``edge``)."""
+                grams = _grams(hashes, p)
+                lowest = _sliding(grams, p.window, np.minimum)
+                at = np.flatnonzero(np.isin(lowest, np.array(wanted, np.int64).astype(np.uint64)))
+                value = np.zeros(len(at), np.uint64)
+                for piece, factor in zip(pieces, factors, strict=True):
+                    value += grams[at + piece] * factor
+                found.append((lowest[at].astype(np.int64), W.mix(value).astype(np.int64),
+                              np.full(len(at), key, np.int64), at.astype(np.int32)))
+                held += len(at)
+                if held >= _ROWS:
+                    yield from told(found)
+                    found, held = [], 0
+            if held:
+                yield from told(found)
+
+    def told(found):
+        whole = pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)],
+                                           names=["key", "window", "id", "at"])
+        for first in range(0, whole.num_rows, _ROWS):
+            yield whole.slice(first, _ROWS)
+
+    return docs.mapInArrow(run, "key bigint, window bigint, id bigint, at int")
+
+
+def _runs(places: DataFrame, p: SuffixDedup) -> DataFrame:
+    """``id, spans, cuts`` from ``id, at, cut_at``: windows' first words as merged (start, end) spans."""
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+    def merged(column):
+        out = []
+        for at in column:
+            at = np.unique(at.values.to_numpy(zero_copy_only=False))
+            first = np.flatnonzero(np.diff(at, prepend=-p.least - 1) > p.least)
+            last = np.append(first[1:], len(at)) - 1
+            out.append([{"start": a, "end": b} for a, b in zip(
+                at[first].tolist(), (at[last] + p.least).tolist(), strict=True)] if len(at) else [])
+        return pa.array(out, kind)
 
     def run(batches):
-        held, begun, first_leader, done_first = None, False, None, False
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = pa.Table.from_batches([batch])
-            if not begun:
-                begun = True
-                yield from found(rows.slice(0, p.reach), None)
-            rows = rows if held is None else pa.concat_tables([held, rows])
-            m = _Matches(rows, p)
-            lead = m.leaders()
-            for step in range(1, p.reach + 1):
-                m.compare(np.arange(len(m.key) - step), np.arange(step, len(m.key)))
-            m.compare(lead, np.arange(len(lead)))
-            if not done_first:
-                first_leader = rows.slice(int(lead[0]), 1)
-                done_first = m.key[0] != m.key[-1]
-                if done_first:
-                    yield from found(first_leader, None)
-            yield from found(rows, m)
-            tail = rows.slice(max(0, rows.num_rows - p.reach))
-            held = pa.concat_tables([rows.slice(int(lead[-1]), 1), tail]) if lead[-1] < rows.num_rows - p.reach else tail
-        if held is not None:
-            yield from found(held, None)
-            if not done_first:
-                yield from found(first_leader, None)
-
-    def found(rows, m):
-        if m is None:
-            blank = pa.nulls(rows.num_rows, pa.int32())
-            more = [pa.nulls(rows.num_rows, pa.int64()), blank, blank, blank, blank]
-        else:
-            hit = m.twin != _NONE
-            rows = rows.filter(pa.array(hit))
-            more = [pa.array(m.twin[hit]), *(pa.array(m.most[hit, i].astype(np.int32)) for i in range(4))]
-        columns = [pa.array(np.full(rows.num_rows, m is None)), *(c.combine_chunks() for c in rows.columns), *more]
-        names = ["edge", *rows.column_names, "twin", "l", "r", "cl", "cr"]
-        for piece in pa.table(columns, names=names).to_batches():
-            yield piece
-
-    return sorted_rows.mapInArrow(run, _FOUND)
+            yield pa.RecordBatch.from_arrays([batch.column(0), merged(batch.column(1)), merged(batch.column(2))],
+                                             names=["id", "spans", "cuts"])
+
+    spans = "array<struct<start:int,end:int>>"
+    return places.select("id", "at", "cut_at").mapInArrow(run, f"id bigint, spans {spans}, cuts {spans}")
 
 
 def _merged(spans: Column) -> Column:
@@ -264,23 +197,19 @@ def repeated_passages(docs: DataFrame, p: SuffixDedup = SuffixDedup()) -> DataFr
     twice = stored(keys.groupBy("key").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x < y").select("key"),
                    "suffix-anchors")
     wanted = keys.join(twice, "key", "left_semi").groupBy("id").agg(F.collect_set("key").alias("keys"))
-    rows = suffixes(docs.join(wanted, "id").select("id", "text", "keys"), p)
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = rows.repartitionByRange(n, *_SORT).sortWithinPartitions(*_SORT)
-    found = stored(_compared(ranged, p), "suffix-matches")
-    ends = found.where("edge").select("key", "after", "before", "id", "at").distinct()
-    again = _compared(ends.repartition(1).sortWithinPartitions(*_SORT), p)
-    matches = found.where("not edge").unionByName(again.where("not edge")).select(
-        "id", "twin", F.explode("at").alias("at"), "l", "r", "cl", "cr")
-    start, end = F.col("at") - F.col("l"), F.col("at") + p.anchor + F.col("r")
-    cut_start, cut_end = F.col("at") - F.col("cl"), F.col("at") + p.anchor + F.col("cr")
-    spans = matches.select("id", "twin", start.alias("start"), end.alias("end"), F.lit(False).alias("cut")).union(
-        matches.where("cl >= 0").select("id", "twin", cut_start.alias("start"), cut_end.alias("end"), F.lit(True).alias("cut")))
-    span = F.struct(F.col("start"), F.col("end"))
-    grouped = spans.unionByName(copied).groupBy("id").agg(
-        F.min("twin").alias("twin"), F.collect_set(span).alias("spans"),
-        F.collect_set(F.when(F.col("cut"), span)).alias("cuts"))
-    return grouped.select("id", "twin", _merged(F.col("spans")).alias("spans"), _merged(F.col("cuts")).alias("cuts"))
+    rows = stored(windows(docs.join(wanted, "id").select("id", "text", "keys"), p), "suffix-windows")
+    shared = rows.groupBy("key", "window").agg(
+        F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("n")).where("first < last").drop("last")
+    matches = stored(join_by_key(rows, shared, ["key", "window"], "n").select("id", "at", "first"), "suffix-matches")
+    later = matches.where("id <> first")
+    twins = later.select("id", F.col("first").alias("twin")).union(later.select("first", "id"))
+    span, place = F.struct("start", "end"), F.when(F.col("id") > F.col("first"), F.col("at"))
+    places = matches.groupBy("id").agg(F.collect_list("at").alias("at"), F.collect_list(place).alias("cut_at"))
+    whole = copied.groupBy("id").agg(F.collect_set(span).alias("spans"), F.collect_set(F.when(F.col("cut"), span)).alias("cuts"))
+    grouped = _runs(places, p).unionByName(whole).groupBy("id").agg(
+        F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("cuts")).alias("cuts"))
+    least = twins.unionByName(copied.select("id", "twin")).groupBy("id").agg(F.min("twin").alias("twin"))
+    return grouped.join(least, "id").select("id", "twin", _merged(F.col("spans")).alias("spans"), _merged(F.col("cuts")).alias("cuts"))
 
 
 def cut_repeats(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -88,3 +88,28 @@ def test_no_rows_and_repeated_ids(spark):
     text = " ".join(f"q{i}" for i in range(80))
     twice = spark.createDataFrame([(1, text), (1, text)], "i long, t string")
     assert S.repeated_passages(twice).collect() == []
+
+
+def test_passages_around_a_common_notice(spark):
+    rng = random.Random(12)
+
+    def fresh(n):
+        return [f"n{rng.randrange(10 ** 6)}" for _ in range(n)]
+
+    notice = fresh(45)
+    rows = [(i, " ".join(fresh(30) + notice + fresh(30))) for i in range(400)]
+    for i in range(40):                       # own words before, after or on both sides of the notice, in two documents
+        before, after = fresh((10, 0, 5)[i % 3]), fresh((0, 10, 5)[i % 3])
+        rows += [(key, " ".join(fresh(30) + before + notice + after + fresh(30))) for key in (1000 + i, 2000 + i)]
+    got = {r.id: r for r in S.repeated_passages(spark.createDataFrame(rows, "i long, t string").repartition(5)).collect()}
+    spans, cuts = brute(rows)
+    assert {k: covered(r.spans) for k, r in got.items()} == spans and len(spans) == 80
+    assert {k: covered(r.cuts) for k, r in got.items() if r.cuts} == cuts and set(cuts) == {2000 + i for i in range(40)}
+    assert all(r.twin == (k + 1000 if k < 2000 else k - 1000) for k, r in got.items())
+
+
+def test_no_word_is_missed(spark):
+    rows = [r for r in corpus() if not 100 <= r[0] < 200]
+    got = S.repeated_passages(spark.createDataFrame(rows, "i long, t string").repartition(5)).collect()
+    spans, cuts = brute(rows)
+    assert {r.id: covered(r.spans) for r in got} == spans and {r.id: covered(r.cuts) for r in got if r.cuts} == cuts
