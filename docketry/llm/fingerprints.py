@@ -15,10 +15,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docketry.llm import words as W
+from docketry.llm.graph import components
+from docketry.llm.near_dedup import NearDedup, pack, star_pairs
+from docketry.llm.near_dedup import _late_links as late_links
+from docketry.llm.near_dedup import _open as open_members
+from docketry.plans.hot import join_by_key
 from docketry.plans.tables import stored
 
 # Id ranges of one sort; each gives one short row to the driver and to the tasks.
@@ -73,25 +78,52 @@ def fingerprint_documents(docs: DataFrame, p: Fingerprints = Fingerprints()) ->
     return docs.mapInArrow(run, "id bigint, fingerprint string, digest string, bands array<bigint>")
 
 
+def _signatures(heads: DataFrame, p: NearDedup) -> DataFrame:
+    """``id, sig``: the low bits of fingerprints, packed."""
+
+    def run(batches):
+        for batch in batches:
+            fields = (np.frombuffer(bytes.fromhex(x), ">u2").astype(np.uint32) for x in batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([pack(x, p.bits) for x in fields], pa.binary())], names=["id", "sig"])
+
+    return heads.select("id", "fingerprint").mapInArrow(run, "id bigint, sig binary")
+
+
 def near_pairs(docs: DataFrame, p: Fingerprints = Fingerprints()) -> DataFrame:
     """``a, b, likeness, jaccard`` (a < b) of near-duplicate texts found by signature bands.
 
     Texts with equal shingle sets are one node, its smallest id (``memberships`` gives
     the others). In a band bucket every node meets the leader of its salted part and
     these leaders meet each other's smallest, so a bucket of n nodes gives less than 2n
-    pairs; all are verified on the full sets. Pairs of nodes that only share a leader are
-    left to the caller, who can follow the links.
+    pairs; all are verified on the full sets. Buckets that still hold several components
+    are then compared completely in cells (``near_dedup``), and links between components
+    are added. Near nodes that share a bucket are thus always connected by links, though not
+    each by a link of its own.
     """
     docs = docs.toDF("id", "text").select(F.col("id").cast("bigint").alias("id"), "text")
-    prints = stored(fingerprint_documents(docs, p), "fingerprints")
-    nodes = memberships(prints)
-    heads = prints.join(nodes.where("id = node").select("id"), "id", "left_semi").where("bands is not null")
-    buckets = heads.select(F.explode("bands").alias("key"), "id").withColumn(
-        "salt", F.pmod(F.xxhash64("id"), F.lit(p.salts)))
-    led = buckets.withColumn("lead", F.min("id").over(Window.partitionBy("key", "salt")))
-    leaders = led.where("id = lead").withColumn("top", F.min("id").over(Window.partitionBy("key")))
-    pairs = led.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).union(
-        leaders.where("id <> top").select(F.col("top").alias("a"), F.col("id").alias("b"))).distinct()
+    return _near_pairs(docs, stored(fingerprint_documents(docs, p), "fingerprints"), p)
+
+
+def _near_pairs(docs: DataFrame, prints: DataFrame, p: Fingerprints) -> DataFrame:
+    nodes = _nodes(prints)
+    heads = stored(prints.join(nodes.select("digest", F.col("node").alias("id")), ["digest", "id"], "left_semi").where(
+        "bands is not null").dropDuplicates(["digest"]), "fingerprint-heads")
+    members = heads.select(F.explode("bands").alias("key"), "id")
+    found = stored(_verified(star_pairs(members, p.salts), docs, prints, p), "fingerprint-pairs")
+    rest = NearDedup(shingle=p.shingle, percent=p.percent, bands=p.permutations // p.rows, rows=p.rows, salts=p.salts)
+    roots = stored(components(found.select(F.col("a").alias("u"), F.col("b").alias("v"))), "fingerprint-roots")
+    sigs = stored(_signatures(heads, rest), "fingerprint-signatures")
+    shared = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    near = stored(open_members(members.join(stored(shared, "fingerprint-shared"), "key", "left_semi"), roots, sigs, rest),
+                  "fingerprint-alike")
+    late = late_links(near, docs.where("id is not null"), sigs, rest).select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return found.unionByName(_verified(late, docs, prints, p)).distinct()
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, prints: DataFrame, p: Fingerprints) -> DataFrame:
+    """Pairs ``a, b`` whose full sets are near, with their likenesses."""
     full = docs.join(prints.select("id", "fingerprint"), "id")
     joined = pairs.join(full.toDF("a", "ta", "fa"), "a").join(full.toDF("b", "tb", "fb"), "b").select(
         "a", "b", "ta", "tb", "fa", "fb")
@@ -112,11 +144,38 @@ def near_pairs(docs: DataFrame, p: Fingerprints = Fingerprints()) -> DataFrame:
     return joined.mapInArrow(run, "a bigint, b bigint, likeness double, jaccard double").where("jaccard is not null")
 
 
+def _nodes(prints: DataFrame) -> DataFrame:
+    """``digest, node, n``: the smallest id of every shingle set, and how many ids have it."""
+    known = prints.where("id is not null").select("id", "digest").distinct()
+    return stored(known.groupBy("digest").agg(F.min("id").alias("node"), F.count("*").alias("n")), "fingerprint-nodes")
+
+
 def memberships(prints: DataFrame) -> DataFrame:
     """``id, node``: node is the smallest id with the same shingle set. Rows without id take no part."""
     known = prints.where("id is not null").select("id", "digest").distinct()
-    heads = stored(known.groupBy("digest").agg(F.min("id").alias("node")), "fingerprint-nodes")
-    return known.join(heads, "digest").select("id", "node")
+    return join_by_key(known, _nodes(prints), ["digest"], "n").select("id", "node")
+
+
+def near_classes(docs: DataFrame, p: Fingerprints = Fingerprints()) -> DataFrame:
+    """``id, class_id, n_links`` for every id with a text of ``docs`` (two columns: id, text).
+
+    ``class_id`` is the smallest id reachable by equal shingle sets and near pairs,
+    ``n_links`` the number of near pairs that the id's nodes have.
+    """
+    docs = docs.toDF("id", "text").select(F.col("id").cast("bigint").alias("id"), "text")
+    prints = stored(fingerprint_documents(docs, p), "fingerprints")
+    pairs = stored(_near_pairs(docs, prints, p), "fingerprint-links").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    known = prints.where("id is not null and bands is not null").select("id", "digest").distinct()
+    nodes = _nodes(prints.where("bands is not null"))
+    # An id with several shingle sets connects their nodes.
+    twice = known.groupBy("id").agg(F.count("*").alias("sets")).where("sets > 1").select("id")
+    own = known.join(twice, "id", "left_semi").join(nodes, "digest").where("id <> node").select("id", "node")
+    roots = components(pairs.union(own)).withColumnRenamed("root", "class_id")
+    links = pairs.union(pairs.select("v", "u")).groupBy(F.col("u").alias("node")).agg(F.count("*").alias("n_links"))
+    told = nodes.join(roots, "node", "left").join(links, "node", "left").select(
+        "digest", "n", F.coalesce("class_id", "node").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return join_by_key(known, told, ["digest"], "n").groupBy("id").agg(
+        F.min("class_id").alias("class_id"), F.sum("n_links").alias("n_links"))
 
 
 def edit_next(docs: DataFrame, p: Fingerprints = Fingerprints(), rows_a_range: int = 4000) -> DataFrame:

@@ -76,3 +76,44 @@ def test_near_pairs_are_verified(spark):
             if a < b and sets[a] and sets[b] and len(sets[a] & sets[b]) >= .8 * len(sets[a] | sets[b])}
     assert {(r.a, r.b) for r in found} == want and want
     assert all(abs(r.jaccard - len(sets[r.a] & sets[r.b]) / len(sets[r.a] | sets[r.b])) < 1e-12 for r in found)
+
+
+def _family(seed=8, members=240):
+    """A template family whose blocks have variants, and near copies of some members: texts, and the pairs of ids."""
+    rng = random.Random(seed)
+
+    def fresh():
+        kinds = [rng.choices((0, 1, 2), (86, 7, 7))[0] for _ in range(24)]
+        return [f"t{i}-{kind}-{j}" for i, kind in enumerate(kinds) for j in range(10)]
+
+    rows = [(i, " ".join(fresh())) for i in range(members)]
+    pairs = [(i, 1000 + i) for i in range(members - 60, members, 2)]
+    return rows + [(b, f"{rows[a][1]} y{a} z{a}") for a, b in pairs], pairs
+
+
+def test_near_copies_inside_a_template_family(spark):
+    rows, pairs = _family()
+    docs = spark.createDataFrame(rows + [(5000, rows[50][1]), (6000, ""), (None, "x")], "i long, t string")
+    got = {r.id: r for r in P.near_classes(docs).collect()}
+
+    def shingles(text):
+        w = text.split()
+        return {tuple(w[i:i + 5]) for i in range(len(w) - 4)}
+
+    sets = {i: shingles(t) for i, t in rows}
+    ids = sorted(sets)
+    root = {i: i for i in ids}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in ids:
+        for b in ids:
+            if a < b and len(sets[a] & sets[b]) >= .8 * len(sets[a] | sets[b]):
+                x, y = top(a), top(b)
+                root[max(x, y)] = min(x, y)
+    assert {i: got[i].class_id for i in ids} == {i: top(i) for i in ids}
+    assert all(got[a].class_id == got[b].class_id and got[b].n_links for a, b in pairs)
+    assert got[5000].class_id == got[50].class_id and set(got) == {*ids, 5000}
