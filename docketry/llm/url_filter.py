@@ -6,7 +6,7 @@ filed under its rarest token, meets the URLs that have this token, and fits thos
 have all of its tokens. URLs without a fitting rule are allowed.
 
 Null and empty URLs have no tokens and are allowed. Repeated URLs get equal verdicts.
-Without labelled URLs nothing is mined.
+Without labelled URLs, or with fewer than the least number, nothing is mined.
 """
 
 from __future__ import annotations
@@ -25,7 +25,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 @dataclass(frozen=True)
 class UrlRules:
-    support: float = 0.002     # share of labelled URLs with all of a rule's tokens and a bad label
+    least: int = 5             # labelled URLs with all of a rule's tokens and a bad label, whatever the table's size
+    support: float | None = None   # a share of the labelled URLs in place of that number
     confidence: float = 0.6
 
 
@@ -71,9 +72,12 @@ def mine(labelled: DataFrame, p: UrlRules = UrlRules()) -> DataFrame:
     baskets = rows.select(F.when(F.col("bad"), F.concat(tokens(F.col("url")), F.array(F.lit(BAD)))).otherwise(
         tokens(F.col("url"))).alias("items")).where(F.size("items") > 0)
     baskets = stored(baskets, "url-baskets")
-    if baskets.isEmpty():
+    n = baskets.count()
+    if not n or p.support is None and n < p.least:
         return baskets.select("items", F.lit(0.0).alias("confidence"), F.lit(0.0).alias("support")).limit(0)
-    model = FPGrowth(itemsCol="items", minSupport=p.support, minConfidence=p.confidence).fit(baskets)
+    # FPGrowth rounds share times rows up: half a row less gives the number itself.
+    share = min((p.least - 0.5) / n, 1.0) if p.support is None else p.support
+    model = FPGrowth(itemsCol="items", minSupport=share, minConfidence=p.confidence).fit(baskets)
     return model.associationRules.where(F.col("consequent") == F.array(F.lit(BAD))).select(
         F.array_sort("antecedent").alias("items"), "confidence", "support")
 

@@ -69,3 +69,13 @@ def test_nothing_mined(spark):
     pages = spark.createDataFrame([(1, "http://a.info/"), (1, "http://a.info/"), (None, None)], "i long, u string")
     assert [r.verdict for r in U.judge(pages, U.mine(none), URL_RULES).collect()] == ["allow"] * 3
     assert U.judge(pages.limit(0), U.mine(none), URL_RULES).collect() == []
+
+
+def test_equal_evidence_counts_equally_in_tables_of_any_size(spark):
+    few = [(f"http://thin.example.info/{i}", True) for i in range(4)]
+    spam = [(f"http://spam.example.info/{i}", True) for i in range(5)]
+    for size in (3, 6000):
+        good = [(f"http://h{i % 300}.example.org/en/{i}", False) for i in range(size)]
+        rules = U.mine(spark.createDataFrame(few + spam + good, "url string, bad boolean"))
+        items = {x for r in rules.collect() for x in r["items"]}
+        assert "host=spam" in items and "host=thin" not in items
