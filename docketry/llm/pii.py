@@ -40,7 +40,7 @@ SPAN = "array<struct<start:int,rank:int,end:int,kind:string,value:string>>"
 class Disclosure:
     alpha: float = 1.25        # generalise terms with PMI >= IC / alpha
     support: int = 3           # different texts with both term and entity
-    shortest: int = 4          # code points of the shortest term
+    shortest: int = 1          # code points of the shortest term; support and PMI judge the short ones too
 
 
 def _none() -> Column:
@@ -133,8 +133,9 @@ def disclosures(docs: DataFrame, found: DataFrame, holders: DataFrame, p: Disclo
     total = docs.count()
     n_entity = found.where(F.size("spans") > 0).select(
         F.explode(F.array_distinct(F.transform("spans", _entity))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
+    # Counted in each task before anything is sent, then only the terms of holders stay.
     n_term = docs.where("text is not null").select(F.explode(_terms(F.col("text"), p)).alias("term")).groupBy("term").agg(
-        F.count("*").alias("n_term"))
+        F.count("*").alias("n_term")).join(both.select("term").distinct(), "term", "left_semi")
     scored = both.join(n_term, "term").join(n_entity, "entity").select(
         "term", "entity",
         F.log2(F.col("n_both") * F.lit(float(total)) / (F.col("n_term") * F.col("n_entity"))).alias("pmi"),

@@ -119,3 +119,15 @@ def test_query_counts(spark, tmp_path):
         counts = [sum(s.startswith(kind + ":") for s in spans.split(",")) for kind in BASE]
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == counts
         assert set(filter(None, spans.split(","))) <= set(r.spans.split(","))
+
+
+def test_short_names_and_codes_disclose(spark):
+    rows = [(i, f"a word of text number{i} to read in") for i in range(40)]
+    rows += [(100 + i, f"a note {name} wrote of {mail} in text{i}") for i in range(4)
+             for name, mail in (("Ann", "x1@corp.example"),)]
+    rows += [(200 + i, f"a note A7 and 王明 of y2@corp.example in text{i}") for i in range(4)]
+    got = {r.id: P_spans(r.spans) for r in P.personal_data(spark.createDataFrame(rows, "i long, t string")).collect()}
+    for key, text in rows:
+        words = {text[a:b] for kind, a, b in got[key] if kind in ("term", "removed")}
+        assert {"Ann"} <= words if 100 <= key < 200 else {"A7", "王明"} <= words if key >= 200 else not words
+        assert not words & {"a", "of", "in"}
