@@ -8,7 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import fingerprints, language, near_dedup, packing, pieces, pii, quality, suffix_dedup, url_filter, vptree
+from docketry.llm import (
+    fingerprints, language, near_dedup, packing, pieces, pii, quality, quality_rules, suffix_dedup, url_filter, vptree)
 from docketry.session import ship
 
 # Rows of text that Spark hands to a Python worker at once: bounds its memory for long texts.
@@ -150,7 +151,50 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "vec_id")
 
 
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return judged.withColumn("failed", F.array_join("failed", ","))
+
+
+def _quality_rules_sql() -> str:
+    rules = [*quality_rules.BASE, *quality_rules.RULES]
+    stop_words = ", ".join("'" + word + "'" for word in quality_rules._stop_words())
+    bullets = ", ".join("'" + sign + "'" for sign in quality_rules.BULLETS)
+    failed = ", ".join(f"CASE WHEN NOT ({rule.sql()}) THEN '{rule.name}' END" for rule in rules)
+    base = " OR ".join(f"NOT ({rule.sql()})" for rule in quality_rules.BASE)
+    return rf"""
+        WITH texts AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text FROM documents),
+        parts AS (
+            SELECT *, regexp_extract_all(text, '[^ 	-
+]+') AS words,
+                list_filter(string_split(text, chr(10)), lambda line: regexp_matches(line, '[^ 	-
+]')) AS lines
+            FROM texts),
+        windows AS (
+            SELECT k, unnest(range(1, len(words) - 3)) AS p, unnest(list_transform(
+                range(1, len(words) - 3), lambda i: array_to_string(list_slice(words, i, i + 4), ' '))) AS w
+            FROM parts),
+        twice AS (SELECT k, p, count(*) OVER (PARTITION BY k, w) AS n FROM windows),
+        steps AS (SELECT k, lead(p) OVER (PARTITION BY k ORDER BY p) - p AS step FROM twice WHERE n > 1),
+        repeats AS (SELECT k, sum(least(5, coalesce(step, 5)))::bigint AS n FROM steps GROUP BY k),
+        measured AS (
+            SELECT doc_id, len(words) AS n_words, length(regexp_replace(text, '[ 	-
+]', '', 'g')) AS word_chars,
+                len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, len(regexp_extract_all(text, '!')) AS n_loud,
+                len(list_filter(words, lambda word: word IN ({stop_words}))) AS n_stop_words,
+                len(regexp_extract_all(text, '\p{{L}}+')) AS n_letter_runs, len(lines) AS n_lines,
+                len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+                len(list_filter(lines, lambda line: substring(ltrim(line), 1, 1) IN ({bullets}))) AS n_bullet_lines,
+                len(list_filter(lines, lambda line: rtrim(line) LIKE '%...' OR rtrim(line) LIKE '%…')) AS n_ellipsis_lines,
+                coalesce(repeats.n, 0) AS n_repeat_words
+            FROM parts LEFT JOIN repeats USING (k))
+        SELECT *, {base} AS base_failed, array_to_string(list_filter([{failed}], lambda name: name IS NOT NULL), ',') AS failed,
+            failed = '' AS kept
+        FROM measured"""
+
+
 QUERIES = [
+    Query("op13_quality_rules", op13_quality_rules, _quality_rules_sql()),
     Query("op2_quality", op2_quality),
     Query("op3_packing", op3_packing),
     Query("op1_fingerprints", op1_fingerprints),
