@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketry.llm import (
-    fingerprints, language, near_dedup, packing, pieces, pii, quality, quality_rules, suffix_dedup, url_filter, vptree)
+    conversations, fingerprints, language, near_dedup, packing, pieces, pii, quality, quality_rules, suffix_dedup, url_filter, vptree,
+    whitening)
 from docketry.session import ship
 
 # Rows of text that Spark hands to a Python worker at once: bounds its memory for long texts.
@@ -151,6 +152,106 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "vec_id")
 
 
+def damaged(turns: DataFrame) -> DataFrame:
+    """Rows as given but for one in twenty each that goes, is emptied, loses its sentence ends, comes twice or is a user's."""
+    blank = F.lit(" ")
+    told = turns.select("conv_id", "turn", F.coalesce("role", blank).alias("role"), F.coalesce("text", blank).alias("text"))
+    key = F.concat_ws(":", F.coalesce(F.col("conv_id").cast("string"), blank), F.coalesce(F.col("turn").cast("string"), blank))
+    case = F.crc32(key) % 20
+    told = told.withColumn("case", case).withColumns({
+        "text": F.when(F.col("case") == 1, "").when(F.col("case") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text")),
+        "role": F.when(F.col("case") == 4, "user").otherwise(F.col("role"))})
+    copies = F.when(F.col("case") == 0, 0).when(F.col("case") == 3, 2).otherwise(1)
+    return told.select("conv_id", "turn", "role", "text", F.explode(F.array_repeat(F.lit(0), copies))).drop("col")
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready(spark)
+    turns = table(spark, sf_dir, "conversations")
+    return conversations.audit(damaged(turns), also=turns.select("conv_id").distinct())
+
+
+def _conversation_repair_sql() -> str:
+    return rf"""
+        WITH RECURSIVE given AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') AS key FROM conversations),
+        cased AS (
+            SELECT *, xor(list_reduce([4294967295::ubigint] || list_transform(string_split(key, ''), lambda c: ascii(c)::ubigint),
+                lambda crc, byte: list_reduce([xor(crc, byte)] || [0::ubigint, 0, 0, 0, 0, 0, 0, 0],
+                    lambda v, _: CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384::ubigint) ELSE v >> 1 END)),
+                4294967295::ubigint) % 20 AS case_no FROM given),
+        rows AS (
+            SELECT conv_id, turn, CASE WHEN case_no = 4 THEN 'user' ELSE role END AS role,
+                CASE case_no WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+                unnest(CASE case_no WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END) AS copy
+            FROM cased),
+        placed AS (
+            SELECT *, row_number() OVER w AS i, lag(left(role, 1)) OVER w AS before_role
+            FROM rows WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy)),
+        judged AS (
+            SELECT *, left(role, 1) AS r, NOT regexp_matches(text, '[^ 	-]') AS blank,
+                row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS seen,
+                NOT regexp_matches(text, '[.!?][ 	-]*$') AS cut,
+                before_role IS NOT NULL AND before_role || left(role, 1) NOT IN ('su', 'ua', 'au') AS illegal
+            FROM placed),
+        told AS (
+            SELECT conv_id, i, role, text, r, blank, seen AND NOT blank AS duplicate, cut AND NOT blank AND NOT seen AS truncated,
+                illegal, turn FROM judged),
+        totals AS (
+            SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+                count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate,
+                count(*) FILTER (truncated) AS truncated, count(*) FILTER (illegal) AS illegal, max(i) AS n
+            FROM told GROUP BY conv_id),
+        moves(state, r, edit, next_state, price, inserted) AS (
+            VALUES (0, 's', 'K', 1, 0, ''), (0, 'u', 'K', 2, 0, ''), (1, 'u', 'K', 2, 0, ''), (2, 'a', 'K', 3, 0, ''),
+                (3, 'u', 'K', 2, 0, ''), (0, NULL, 'R', 2, 1, ''), (1, NULL, 'R', 2, 1, ''), (2, NULL, 'R', 3, 1, ''),
+                (3, NULL, 'R', 2, 1, ''), (0, 'a', 'IK', 3, 5, 'user:'), (1, 'a', 'IK', 3, 5, 'user:'),
+                (2, 'u', 'IK', 2, 5, 'assistant:'), (3, 'a', 'IK', 3, 5, 'user:'), (0, NULL, 'IR', 3, 6, 'user:'),
+                (1, NULL, 'IR', 3, 6, 'user:'), (2, NULL, 'IR', 2, 6, 'assistant:'), (3, NULL, 'IR', 3, 6, 'user:')),
+        paths AS (
+            SELECT conv_id, n, 0::bigint AS i, 0 AS state, 0 AS cost, '' AS audit, []::varchar[] AS out FROM totals
+            UNION ALL
+            SELECT conv_id, n, i, state, cost, audit, out FROM (
+                SELECT *, row_number() OVER (PARTITION BY conv_id, state ORDER BY cost, audit) AS best FROM (
+                    SELECT p.conv_id, p.n, p.i + 1 AS i, coalesce(m.next_state, p.state) AS state,
+                        p.cost + CASE WHEN m.edit IS NULL THEN 2 ELSE m.price + CASE WHEN t.truncated THEN 5 ELSE 0 END END AS cost,
+                        p.audit || coalesce(m.edit, 'D') AS audit,
+                        CASE WHEN m.edit IS NULL THEN p.out ELSE p.out || CASE WHEN m.inserted = '' THEN []::varchar[]
+                            ELSE [m.inserted] END || [CASE WHEN m.edit LIKE '%K' THEN t.role WHEN m.next_state = 2 THEN 'user'
+                            ELSE 'assistant' END || ':' || t.text] END AS out
+                    FROM paths AS p JOIN told AS t ON t.conv_id IS NOT DISTINCT FROM p.conv_id AND t.i = p.i + 1
+                    JOIN (SELECT * FROM moves UNION ALL SELECT s, NULL, NULL, NULL, NULL, NULL FROM range(4) AS g(s)) AS m
+                        ON m.state = p.state AND (m.edit IS NULL OR NOT t.blank AND NOT t.duplicate AND (m.r IS NULL OR m.r = t.r))))
+            WHERE best = 1),
+        ended AS (
+            SELECT conv_id, cost + [0, 10, 5, 0][state + 1] AS cost, audit || ['', 'II', 'I', ''][state + 1] AS audit,
+                out || CASE state WHEN 1 THEN ['user:', 'assistant:'] WHEN 2 THEN ['assistant:'] ELSE [] END AS out
+            FROM paths WHERE i = n),
+        chosen AS (
+            SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY cost, audit) AS best FROM ended),
+        result AS (
+            SELECT t.*, c.cost, c.audit, sha256(array_to_string(c.out, chr(10))) AS repaired_sha256
+            FROM totals AS t JOIN chosen AS c ON c.conv_id IS NOT DISTINCT FROM t.conv_id AND c.best = 1),
+        ids AS (SELECT DISTINCT conv_id FROM conversations)
+        SELECT ids.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+            coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0)::bigint AS cost,
+            coalesce(audit, '') AS audit, coalesce(repaired_sha256, sha256('')) AS repaired_sha256
+        FROM ids LEFT JOIN result ON result.conv_id IS NOT DISTINCT FROM ids.conv_id"""
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per usable vector and component."""
+    ready(spark)
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    model = whitening.fit(vectors)
+    shares = F.array(*[F.lit(float(share)) for share in model.explained]).cast("array<double>")
+    told = whitening.transform(vectors, model).select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    return told.select(
+        "vec_id", (F.col("at") + 1).alias("component"), F.lit(model.n).cast("bigint").alias("n"), "deviation", "whitened",
+        F.get(shares, F.col("at")).alias("explained"), F.lit(model.identity_error).alias("identity_error"))
+
+
 def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.withColumn("failed", F.array_join("failed", ","))
@@ -194,6 +295,8 @@ def _quality_rules_sql() -> str:
 
 
 QUERIES = [
+    Query("op11_conversation_repair", op11_conversation_repair, _conversation_repair_sql()),
+    Query("op12_whitening", op12_whitening),
     Query("op13_quality_rules", op13_quality_rules, _quality_rules_sql()),
     Query("op2_quality", op2_quality),
     Query("op3_packing", op3_packing),
