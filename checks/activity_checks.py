@@ -72,8 +72,8 @@ def listed(spark, sf_dir):
 
 
 def change_log(spark, sf_dir):
-    """Events as changes of a customer: sign-ups replace, clicks and views patch, errors delete."""
-    e = table(spark, sf_dir, "events").filter(F.col("event_type") != "purchase")
+    """Events as changes of a customer: sign-ups replace, clicks, views and purchases patch, errors delete."""
+    e = table(spark, sf_dir, "events")
     kind = F.col("event_type")
     return e.select(
         F.col("user_id").alias("id"), F.col("event_id").alias("seq"),
@@ -328,7 +328,7 @@ WITH {HEARINGS} SELECT id, hearing_date FROM hearings WHERE hearing_date >= DATE
 WITH log AS (
   SELECT c_custkey AS id, -1 AS seq, 'U' AS op, c_mktsegment AS status, c_acctbal AS score FROM customer UNION ALL
   SELECT user_id, event_id, CASE event_type WHEN 'signup' THEN 'U' WHEN 'error' THEN 'D' ELSE 'P' END,
-    CASE WHEN event_type <> 'view' THEN event_type END, CASE WHEN event_type <> 'click' THEN value END FROM events WHERE event_type <> 'purchase'),
+    CASE WHEN event_type <> 'view' THEN event_type END, CASE WHEN event_type <> 'click' THEN value END FROM events),
 base AS (SELECT * FROM log WHERE op IN ('U', 'D') QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1),
 later AS (SELECT b.id, max_by(l.status, l.seq) FILTER (WHERE l.status IS NOT NULL) AS status, max_by(l.score, l.seq) FILTER (WHERE l.score IS NOT NULL) AS score
   FROM base b JOIN log l ON l.id = b.id AND l.seq >= b.seq WHERE b.op = 'U' GROUP BY b.id)

@@ -207,8 +207,8 @@ REL_SIGNALS = [(2, "the|und|que"), (1, "der")]
 
 
 def user_documents(spark, sf_dir):
-    """User turns of the conversations are the uploaded documents."""
-    return table(spark, sf_dir, "conversations").filter(F.col("role") == "user").select(
+    """Turns of the conversations are the uploaded documents."""
+    return table(spark, sf_dir, "conversations").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), F.lit("upload").alias("file_name"), "text"
     )
 
@@ -417,7 +417,7 @@ scored AS (
 RELATED = (
     "WITH " + CASES
     + fill(r""",
-docs AS (SELECT conv_id * 1000 + turn AS doc_id, text, lower('upload ' || text) AS named FROM conversations WHERE role = 'user'),
+docs AS (SELECT conv_id * 1000 + turn AS doc_id, text, lower('upload ' || text) AS named FROM conversations),
 signals AS (
   SELECT doc_id, text, upper(text) AS up, <<type>> AS kind FROM docs
   WHERE text <> '' AND (CASE WHEN regexp_matches(named, '\b(the|und|que)\b') THEN 2 ELSE 0 END
@@ -427,7 +427,7 @@ signals AS (
     SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM (
       SELECT doc_id, regexp_extract_all(lower(text), '[a-z]{4,}') AS w FROM signals)) WHERE word <> 'with' GROUP BY doc_id, word
 ), keywords AS (SELECT doc_id, word FROM words WHERE r <= 14),
-years AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(up, '\b(?:19|20)\d{2}\b')[1:8]) AS y FROM signals),
+years AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(up, '\b(?:19|20)\d{2}\b')) AS y FROM signals),
 hay AS (SELECT *, lower(title || ' ' || summary || ' ' || tag_text || ' ' || why_match || ' ' || citation) AS h FROM enriched),
 ovl AS (SELECT doc_id, id, count(*) AS n FROM keywords JOIN hay ON contains(h, word) GROUP BY ALL),
 scored AS (
@@ -596,7 +596,7 @@ SELECT query_id, id, terms AS matched_terms, 'This case matches due to ' || CASE
     WHEN overlap > 0 THEN 'Matched by overlapping legal terms (' || overlap || ' keyword hits) and case-type similarity.'
     ELSE 'Matched by case-type similarity (' || type || ') and baseline legal relevance.' END AS reason FROM best"""),
     Check("document_sections", sections, fill(r"""
-<<related>>, f AS (SELECT conv_id * 1000 + turn AS doc_id, text, lower(text) AS low, lower('upload ' || text) AS named FROM conversations WHERE role = 'user'),
+<<related>>, f AS (SELECT conv_id * 1000 + turn AS doc_id, text, lower(text) AS low, lower('upload ' || text) AS named FROM conversations),
 g AS (SELECT f.*, <<type>> AS kind, (CASE WHEN regexp_matches(named, '\b(the|und|que)\b') THEN 2 ELSE 0 END
     + CASE WHEN regexp_matches(named, '\bder\b') THEN 1 ELSE 0 END) >= 2 AS fits,
     (SELECT count(*) FROM best b WHERE b.doc_id = f.doc_id)::INT AS n FROM f),

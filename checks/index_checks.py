@@ -10,8 +10,10 @@ from docketry.functions import lexicon as L
 from docketry.functions import text as X
 from docketry.operators import bm25 as M
 from docketry.operators import chunks as C
+from docketry.operators import pruned as N
 from docketry.operators import retrieve as R
-from docketry.plans.tables import stored
+from docketry.plans.tables import folder, stored
+from docketry.sources.index_store import load_blocks, load_index, save_index
 
 STOP = L.STOP_WORDS
 # Words that occur in the documents stand in for the domain's prose markers and terms.
@@ -99,6 +101,25 @@ def bm25_top5(spark, sf_dir):
     )
 
 
+def stored_index(spark, sf_dir):
+    """The index as it is saved and loaded, with block summaries."""
+    path = folder(spark, "index")
+    save_index(chunks(spark, sf_dir), path, filtered=False, blocks=True)
+    return *load_index(spark, path), load_blocks(spark, path)
+
+
+def bm25_pruned(spark, sf_dir):
+    built, df, stats, blocks = stored_index(spark, sf_dir)
+    q = X.exploded(query_rows(spark, sf_dir), X.tokens("text", STOP), ["token"], ["query_id"])
+    return N.bm25_top(q, built, df, stats, blocks, 5).hits.select("query_id", "rank", "id", F.round("score", 4).alias("bm25"))
+
+
+def retrieval_pool_pruned(spark, sf_dir):
+    built, df, stats, blocks = stored_index(spark, sf_dir)
+    found = N.candidate_pool(query_rows(spark, sf_dir), built, df, stats, blocks, QUERY_RULES)
+    return found.hits.select("query_id", "rank", "id", F.round("score", 4).alias("score"))
+
+
 def hashed_vectors(spark, sf_dir):
     t = X.tokens("text", STOP)
     parts = X.exploded(
@@ -410,6 +431,14 @@ walk AS (
 
 OUTCOMES = first_case("all_text", [(n, p) for n, p in L.OUTCOME_RULES], "'undetermined'")
 
+BM25_TOP5 = f"""
+WITH {CHUNKS}, {QUERIES}, scores AS (
+  SELECT query_id, id, ord, sum(ln(1 + (n_chunks - df + 0.5) / (df + 0.5)) * tf * 2.4
+        / (tf + 1.4 * (0.25 + 0.75 * greatest(1, length) / greatest(1, mean)))) AS bm25
+  FROM q_tok JOIN tf USING (token) JOIN df USING (token) JOIN lengths USING (id), stats GROUP BY ALL)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 9) DESC, ord)::INT AS rank, id,
+  round(bm25, 4) AS bm25 FROM scores QUALIFY rank <= 5"""
+
 CHECKS = [
     Check("doc_tokens", doc_tokens, f"""
 WITH {DOC_WORDS}, firsts AS (SELECT doc_id, token, min(pos) AS pos FROM kept GROUP BY ALL)
@@ -432,13 +461,8 @@ FROM chunks LEFT JOIN lengths USING (id) LEFT JOIN cv_norm ON key = id"""),
 WITH {CHUNKS} SELECT id, doc_id::VARCHAR AS case_id FROM chunks
 WHERE length(regexp_replace(text, '[^a-zA-Z]', '', 'g')) > 80
   AND NOT regexp_matches(lower(text), 'case title extracted|cited-cases metadata|https?://')"""),
-    Check("bm25_top5", bm25_top5, f"""
-WITH {CHUNKS}, {QUERIES}, scores AS (
-  SELECT query_id, id, ord, sum(ln(1 + (n_chunks - df + 0.5) / (df + 0.5)) * tf * 2.4
-        / (tf + 1.4 * (0.25 + 0.75 * greatest(1, length) / greatest(1, mean)))) AS bm25
-  FROM q_tok JOIN tf USING (token) JOIN df USING (token) JOIN lengths USING (id), stats GROUP BY ALL)
-SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 9) DESC, ord)::INT AS rank, id,
-  round(bm25, 4) AS bm25 FROM scores QUALIFY rank <= 5"""),
+    Check("bm25_top5", bm25_top5, BM25_TOP5),
+    Check("bm25_pruned", bm25_pruned, BM25_TOP5),
     Check("hashed_vectors", hashed_vectors,
           "WITH " + hashed("documents", "doc_id", "text", 0.45)
           + " SELECT key AS doc_id, bucket, round(w, 4) AS weight FROM vec"),
@@ -455,6 +479,8 @@ WITH {QUERIES} SELECT query_id, n_tokens, n_expanded, n_phrases,
   (SELECT string_agg(token, ' ' ORDER BY token) FROM q_exp e WHERE e.query_id = n.query_id) AS expanded FROM q_n n"""),
     Check("retrieval_pool", retrieval_pool,
           f"WITH {POOL} SELECT query_id, rank::INT AS rank, id, round(score, 4) AS score FROM pool"),
+    Check("retrieval_pool_pruned", retrieval_pool_pruned,
+          f"WITH {POOL} SELECT query_id, rank::INT AS rank, id, round(score, 4) AS score FROM pool"),
     Check("retrieval_candidates", retrieval_candidates,
           f"WITH {POOL} SELECT query_id, pos::INT AS pos, id, doc_id::VARCHAR AS case_id FROM candidates"),
     Check("retrieval_sources", retrieval_sources, f"""

@@ -98,13 +98,13 @@ def case_lookup(spark, sf_dir):
 
 
 def log_lines(spark, sf_dir):
-    """The request log as JSON lines, one file, with a line that is no record."""
+    """The request log as JSON lines, in as many files as there are partitions, with a line that is no record."""
     path = shared(spark, "request-log")
     r = A.request_log(spark, sf_dir).select(
         "ts", F.col("id").cast("string").alias("requestId"), "method", "path", "status", F.col("duration_ms").alias("durationMs"),
         F.col("client").cast("string").alias("client"))
     lines = r.select(F.to_json(F.struct("*")).alias("value"))
-    lines.unionByName(spark.createDataFrame([("not a record",)], "value string")).coalesce(1).write.text(path)
+    lines.unionByName(spark.createDataFrame([("not a record",)], "value string")).write.text(path)
     return path
 
 
@@ -127,7 +127,7 @@ def activity_ingest_stream(spark, sf_dir):
         F.col("event_type") == "error", "other").otherwise("view")
     notice = e.select(F.col("event_id").cast("string").alias("id"), kind.alias("kind"), "ts", F.create_map(
         F.lit("query"), F.col("event_type"), F.lit("results"), (F.col("event_id") % 8).cast("string")).alias("payload"))
-    notice.union(notice).select(F.to_json(F.struct("*")).alias("value")).coalesce(1).write.text(path)
+    notice.union(notice).select(F.to_json(F.struct("*")).alias("value")).write.text(path)
     rows = drained(T.activity_stream(Q.read_activity(spark, path, stream=True)))
     return rows.select(F.col("id").cast("bigint").alias("id"), "type", "title", "results")
 
@@ -135,7 +135,7 @@ def activity_ingest_stream(spark, sf_dir):
 def rate_limit_stream(spark, sf_dir):
     for key, value in L.STATE_STORE.items():
         spark.conf.set(key, value)
-    log = stored(A.request_log(spark, sf_dir).select("client", "id", F.col("ts").cast("timestamp").alias("ts")).coalesce(1), "limits")
+    log = stored(A.request_log(spark, sf_dir).select("client", "id", F.col("ts").cast("timestamp").alias("ts")), "limits")
     path = log.inputFiles()[0].rsplit("/", 1)[0]
     live = spark.readStream.schema(log.schema).parquet(path)
     rows = drained(L.rate_limit_stream(live, 2, 6 * 3_600_000))

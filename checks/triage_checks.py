@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.base import Check, fill, table, texts
+from checks.base import Check, fill, in_list, table, texts
 from docketry.functions import lexicon as L
 from docketry.operators import changes as G
 from docketry.operators import roster as R
@@ -97,6 +97,50 @@ def ranked(spark, sf_dir):
     )
 
 
+def customer_judges(spark, sf_dir):
+    """Customers as a large roster; their orders are the load."""
+    load = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
+    c, k = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    return c.join(load, k == F.col("o_custkey"), "left").select(
+        F.concat(F.lit("judge-"), k.cast("string")).alias("id"), F.col("c_name").alias("name"),
+        F.when(F.col("c_nationkey") % 5 == 0, "Supreme Court").when(F.col("c_nationkey") % 5 < 3, "High Court").otherwise("District Court").alias("court_level"),
+        F.when(F.col("c_nationkey") % 3 == 0, "Criminal").when(F.col("c_nationkey") % 3 == 1, "Civil").otherwise("Other").alias("category"),
+        (F.lit(3) + k % 30).cast("int").alias("years_of_experience"),
+        F.when(k % 17 == 0, 0).otherwise(10 + k % 7 * 5).cast("int").alias("case_load_capacity"),
+        F.coalesce("n", F.lit(0)).cast("int").alias("current_case_load"),
+        F.when(F.col("c_acctbal") > 6000, "Available").when(F.col("c_acctbal") > 3000, "Busy").otherwise("On Leave").alias("availability"),
+    )
+
+
+def ranked_large(spark, sf_dir):
+    return R.rank_judges(queue(spark, sf_dir), customer_judges(spark, sf_dir), 3).select(
+        "case_id", "rank", "judge_id", "score", "utilization", "reason"
+    )
+
+
+# Pieces of words that the rules of parts are made of.
+PIECES = ["the", "er", "on", "an", "re", "in", "ed", "nd", "ha", "at", "en", "es", "of", "or", "nt", "ea", "ti", "st", "ou", "le"]
+
+
+def part_rules(spark, sf_dir):
+    """Parts as rules: made-up word pieces, the part's name, and one term in two rules of ten that is short or has a blank."""
+    k = F.col("p_partkey")
+    piece = lambda n: F.element_at(F.array(*[F.lit(p) for p in PIECES]), (F.floor(n) % 20 + 1).cast("int"))
+    word = F.concat(piece(k), piece(k / 20), piece(k / 400))
+    more = F.when(k % 10 == 0, F.array(F.concat(piece(k / 7), F.lit(" "), piece(k / 3)))).when(
+        k % 10 == 1, F.array(F.substring("p_name", 1, 2))).otherwise(F.array().cast("array<string>"))
+    return table(spark, sf_dir, "part").select(
+        (k + 1).cast("int").alias("ord"),
+        F.concat(F.array(word, F.upper(F.concat(word, piece(k / 2))), F.col("p_name")), more).alias("terms"),
+        F.array("p_brand").alias("sections"), F.lit("Civil").alias("domain"),
+        F.when(F.col("p_size") > 25, "High").otherwise("Low").alias("severity"), (k % 2 == 0).alias("public_risk"))
+
+
+def matched_many(spark, sf_dir):
+    m = T.match_rules(texts(spark, sf_dir), part_rules(spark, sf_dir), key="doc_id")
+    return m.select("doc_id", F.col("rule.ord").alias("rule_no"), "rule_hits", F.array_join("rule.sections", "|").alias("sections"))
+
+
 def assigned(spark, sf_dir):
     return R.assign_judges(queue(spark, sf_dir), judges(spark, sf_dir)).select(
         "case_id", "judge_id", "judge_name", "score", "party_label", "requires_public_prosecutor"
@@ -139,8 +183,8 @@ def capacity(spark, sf_dir):
 
 
 def overrides(spark, sf_dir):
-    """Purchases and errors override the band of the order their user id points at."""
-    e = table(spark, sf_dir, "events").filter(F.col("event_type").isin("purchase", "error"))
+    """Every event overrides the band of the order its user id points at."""
+    e = table(spark, sf_dir, "events")
     return e.select(
         F.col("event_id").alias("id"), F.col("user_id").alias("case_id"), F.lit("P2").alias("original_band"),
         F.concat(F.lit("P"), (F.col("event_id") % 4).cast("string")).alias("override_band"),
@@ -214,6 +258,16 @@ judges AS (
     CASE WHEN s_suppkey % 4 < 2 THEN 'Available' WHEN s_suppkey % 4 = 2 THEN 'Busy' ELSE 'On Leave' END AS availability
   FROM supplier LEFT JOIN load ON l_suppkey = s_suppkey
 )"""
+CUSTOMER_JUDGES = """
+load AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1),
+judges AS (
+  SELECT 'judge-' || c_custkey AS id, c_name AS name,
+    CASE WHEN c_nationkey % 5 = 0 THEN 'Supreme Court' WHEN c_nationkey % 5 < 3 THEN 'High Court' ELSE 'District Court' END AS court_level,
+    CASE c_nationkey % 3 WHEN 0 THEN 'Criminal' WHEN 1 THEN 'Civil' ELSE 'Other' END AS category, 3 + c_custkey % 30 AS years,
+    CASE WHEN c_custkey % 17 = 0 THEN 0 ELSE 10 + c_custkey % 7 * 5 END AS capacity, coalesce(n, 0) AS load,
+    CASE WHEN c_acctbal > 6000 THEN 'Available' WHEN c_acctbal > 3000 THEN 'Busy' ELSE 'On Leave' END AS availability
+  FROM customer LEFT JOIN load ON o_custkey = c_custkey
+)"""
 QUEUE = """
 queue AS (SELECT o_orderkey AS case_id,
   CASE o_orderstatus WHEN 'F' THEN 'Criminal' WHEN 'O' THEN 'Civil' ELSE 'Other' END AS category,
@@ -288,6 +342,18 @@ SELECT o_orderkey, priority_score, CASE p WHEN '1-URGENT' THEN 84 WHEN '2-HIGH'
   {BAND.format('priority_score')} AS priority_band FROM b"""),
     Check("judge_ranking", ranked, f"""
 WITH {JUDGES}, {QUEUE}, {ranking('queue', 3)} SELECT case_id, rank, id AS judge_id, score, utilization, {REASON} AS reason FROM ranked"""),
+    Check("judge_ranking_large", ranked_large, f"""
+WITH {CUSTOMER_JUDGES}, {QUEUE}, {ranking('queue', 3)} SELECT case_id, rank, id AS judge_id, score, utilization, {REASON} AS reason FROM ranked"""),
+    Check("rule_match_many", matched_many, f"""
+WITH k AS (SELECT *, list_value({in_list(PIECES)}) AS p FROM part),
+w AS (SELECT *, p[p_partkey % 20 + 1] || p[p_partkey // 20 % 20 + 1] || p[p_partkey // 400 % 20 + 1] AS word FROM k),
+rules AS (SELECT p_partkey + 1 AS ord, p_brand AS section, unnest([word, word || p[p_partkey // 2 % 20 + 1], lower(p_name)] || CASE p_partkey % 10
+  WHEN 0 THEN [p[p_partkey // 7 % 20 + 1] || ' ' || p[p_partkey // 3 % 20 + 1]] WHEN 1 THEN [lower(substr(p_name, 1, 2))] ELSE [] END) AS term FROM w),
+terms AS (SELECT DISTINCT term FROM rules),
+found AS (SELECT doc_id, term FROM {LOW}, terms WHERE contains(low, term)),
+counted AS (SELECT doc_id, ord, section, count(*)::INT AS hits FROM found JOIN rules USING (term) GROUP BY ALL),
+n AS (SELECT * FROM counted QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, ord) = 1)
+SELECT doc_id, ord::INT AS rule_no, coalesce(hits, 0) AS rule_hits, coalesce(section, '') AS sections FROM documents LEFT JOIN n USING (doc_id)"""),
     Check("judge_assignment", assigned, f"""
 WITH {JUDGES}, {QUEUE}, {ranking('queue', 1)} SELECT case_id, id AS judge_id, name AS judge_name, score,
   CASE WHEN wanted = 'Criminal' THEN 'Accused' ELSE 'Defendant' END AS party_label, wanted = 'Criminal' AS requires_public_prosecutor FROM ranked"""),
@@ -313,11 +379,11 @@ WITH {JUDGES} SELECT sum(capacity)::BIGINT AS total_capacity, sum(load)::BIGINT
   floor(sum(load)::DOUBLE / sum(capacity) * 100 + 0.5)::INT AS load_percent, count(*) FILTER (WHERE availability = 'Available') AS available FROM judges"""),
     Check("override_application", overridden, """
 WITH o AS (SELECT user_id, 'P' || (event_id % 4) AS b, CASE WHEN event_id % 3 > 0 THEN value END AS s FROM events
-  WHERE event_type IN ('purchase', 'error') QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1)
+  QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1)
 SELECT o_orderkey AS id, o_orderstatus AS status, coalesce(b, 'P3') AS priority_band, coalesce(s, o_totalprice) AS priority_score
 FROM orders LEFT JOIN o ON user_id = o_orderkey"""),
     Check("override_history", override_log, """
 SELECT user_id AS case_id, event_id AS id, 'P' || (event_id % 4) AS override_band,
   row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS newest_first
-FROM events WHERE event_type IN ('purchase', 'error')"""),
+FROM events"""),
 ]

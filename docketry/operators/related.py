@@ -16,7 +16,7 @@ from docketry.plans import blocks as P
 # fixed values: weights and limits
 W_KEYWORD, W_SIMILARITY, W_PRIORITY = 8.0, 0.6, 0.2
 YEAR_POINTS, REPORTER_POINTS = 8.0, 10.0
-KEEP, YEAR_MENTIONS = 3, 8
+KEEP = 3
 
 
 def _prepare(q: pd.DataFrame) -> dict:
@@ -54,7 +54,7 @@ def document_signals(docs: DataFrame, type_rules=None, signals=tuple(L.DOMAIN_SI
         "doc_id", "file_name", "text", "keywords",
         (E.domain_signal(named, signals) >= 2).alias("case_like"),
         E.case_type(named, "document", type_rules).alias("suspected_type"),
-        E.citation_years("text", YEAR_MENTIONS).alias("years"),
+        E.citation_years("text").alias("years"),
         E.citation_reporters("text").alias("reporters"),
     )
 

@@ -7,6 +7,7 @@ lie; from there on a query owns at most ``POOL_MAX`` rows.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -199,14 +200,7 @@ def candidate_pool(queries: DataFrame, chunks: DataFrame, df: DataFrame, stats:
                    max_queries: int = P.MAX_QUERIES) -> DataFrame:
     """Best ``max(6k, 24)`` chunks per query at or above its minimum score."""
     features = with_rarity(query_features(queries, rules, default_k, default_min), df, stats)
-    rows = chunks.select(
-        *[c for c in CARRY if c != "terms"],
-        F.map_keys("token_freq").alias("terms"), F.map_values("token_freq").alias("tfs"),
-        "length", F.col("sparse.first").alias("first"), F.col("sparse.second").alias("second"),
-        F.split(F.lower(X.squash("title")), " ").alias("title_words"),
-        F.lower(X.squash("text")).alias("text_low"),
-        C.references(F.concat_ws(" ", X.blank("title"), X.blank("text"))).alias("refs"),
-    )
+    rows = scored_rows(chunks)
     pool = P.top_rows(
         rows, features, prepare_queries, score_rows, POOL_MAX, CARRY, floor=-1e9, max_queries=max_queries
     )
@@ -216,6 +210,18 @@ def candidate_pool(queries: DataFrame, chunks: DataFrame, df: DataFrame, stats:
     )
 
 
+def scored_rows(chunks: DataFrame, more: Sequence[str] = ()) -> DataFrame:
+    """The columns of a chunk table that ``score_rows`` reads, and ``more``."""
+    return chunks.select(
+        *[c for c in CARRY if c != "terms"], *more,
+        F.map_keys("token_freq").alias("terms"), F.map_values("token_freq").alias("tfs"),
+        "length", F.col("sparse.first").alias("first"), F.col("sparse.second").alias("second"),
+        F.split(F.lower(X.squash("title")), " ").alias("title_words"),
+        F.lower(X.squash("text")).alias("text_low"),
+        C.references(F.concat_ws(" ", X.blank("title"), X.blank("text"))).alias("refs"),
+    )
+
+
 def cap_per_case(pool: DataFrame) -> DataFrame:
     """At most two chunks of a case, then the first ``max(3k, 12)``, renumbered."""
     by_case = Window.partitionBy("query_id", "case_id").orderBy("rank")

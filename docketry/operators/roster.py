@@ -12,7 +12,8 @@ from docketry.functions import lexicon as L
 from docketry.functions import text as X
 from docketry.operators.triage import triage
 from docketry.plans import blocks as P
-from docketry.plans.sizing import fits
+from docketry.plans.sizing import SMALL_ROWS, fits
+from docketry.plans.tables import stored
 
 # fixed values: fit weights
 W_CATEGORY, W_AVAILABLE, W_HEADROOM, W_EXPERIENCE, W_COURT, W_RISK = 0.30, 0.22, 0.18, 0.10, 0.17, 0.03
@@ -51,6 +52,27 @@ def _roster_columns(judges: DataFrame) -> DataFrame:
     )
 
 
+def contenders(roster: DataFrame, k: int) -> DataFrame:
+    """The judges that can be among the best ``k`` of any case.
+
+    Judges of one category and court differ by their fixed part and by the seed's points only. One
+    whose fixed part is further below the ``k``-th best of the class than the seed and rounding can
+    bring is never chosen, whatever the case. Only rows of the best ``k`` of a class leave a task.
+    """
+    status = F.when(F.col("availability") == "Available", 1.0).when(F.col("availability") == "Busy", 0.6).otherwise(0.15)
+    fixed = (W_AVAILABLE * status + W_HEADROOM * F.greatest(F.lit(0.0), 1 - F.col("used"))
+             + W_EXPERIENCE * F.least(F.lit(1.0), F.col("years") / FULL_EXPERIENCE))
+    placed = roster.withColumn("__fixed", 100 * fixed)
+    best = Window.partitionBy("category", "court_level").orderBy(F.desc("__fixed"))
+    kth = placed.select("category", "court_level", "__fixed").withColumn("__n", F.row_number().over(best)).where(
+        F.col("__n") <= k).where(F.col("__n") == k).select(
+        F.col("category").alias("__category"), F.col("court_level").alias("__court"),
+        (F.col("__fixed") - SEED_RANGE - 1e-3).alias("__least"))
+    same = F.col("category").eqNullSafe(F.col("__category")) & F.col("court_level").eqNullSafe(F.col("__court"))
+    kept = placed.join(kth, same, "left").where(F.col("__least").isNull() | (F.col("__fixed") >= F.col("__least")))
+    return kept.select(*roster.columns)
+
+
 def _prepare(r: pd.DataFrame) -> dict:
     status = r["availability"].map({"Available": 1.0, "Busy": 0.6}).fillna(0.15).to_numpy(float)
     return {
@@ -95,19 +117,19 @@ def _score(state: dict, cases: pd.DataFrame) -> np.ndarray:
     return np.floor(np.round(100 * share + affinity, 6) + 0.5)
 
 
-def rank_judges(cases: DataFrame, judges: DataFrame, k: int = 1, seed: str = "seed", limit: int = 2_000) -> DataFrame:
+def rank_judges(cases: DataFrame, judges: DataFrame, k: int = 1, seed: str = "seed", limit: int = SMALL_ROWS) -> DataFrame:
     """The best ``k`` judges of every case; see ``_ranked``."""
     return _ranked(cases, judges, k, seed, limit).drop("wanted")
 
 
-def _ranked(cases: DataFrame, judges: DataFrame, k: int = 1, seed: str = "seed", limit: int = 2_000) -> DataFrame:
+def _ranked(cases: DataFrame, judges: DataFrame, k: int = 1, seed: str = "seed", limit: int = SMALL_ROWS) -> DataFrame:
     """Best ``k`` judges per case, by score, then lower utilisation, then name.
 
-    ``cases`` needs ``case_id, category, severity, risk`` and a seed text. A roster of up
-    to ``limit`` rows is shipped to the cases, which stay where they are. A larger one is
-    scored in case-block x roster-cell groups.
+    ``cases`` needs ``case_id, category, severity, risk`` and a seed text. Of the roster only
+    the ``contenders`` are scored. Up to ``limit`` of them are shipped to the cases, which stay
+    where they are; more are scored in case-block x roster-cell groups.
     """
-    roster = _roster_columns(judges)
+    roster = stored(contenders(_roster_columns(judges), k), "contenders")
     queue = cases.select(
         "case_id", "category", "severity", "risk",
         H.rolling31(F.concat(X.blank(seed), F.lit(":"))).alias("seed_hash"),

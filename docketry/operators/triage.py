@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from docketry.functions import facets as A
 from docketry.functions import lexicon as L
 from docketry.functions import text as X
+from docketry.operators.rules import match_rule_table
+from docketry.plans.tables import stored
 
 # fixed values: bases, weights, limits
 BAIL_BASE, ESCAPE_BASE = 18, 12
@@ -22,7 +24,6 @@ LITE_TYPE_WEIGHT = {"Criminal": 40, "Civil": 20, "Specialized Cases": 30}
 LITE_SEVERITY_WEIGHT = {"Low": 10, "Medium": 25, "High": 40, "Critical": 55}
 MANUAL_TYPE_WEIGHT = {"Criminal": 35, "Civil": 22, "Specialized Cases": 28}
 MANUAL_RISKS = {"Critical": (84, 78, 82), "High": (68, 62, 64), "Medium": (48, 38, 43), "Low": (28, 18, 24)}
-MAX_RULES = 5_000
 
 
 def lookup(c: Column, values: dict[str, int], default: int = 0) -> Column:
@@ -125,19 +126,20 @@ def triage_lite(texts: DataFrame, rules: L.LiteTriageRules = L.LiteTriageRules()
 
 
 def match_rules(texts: DataFrame, rules: DataFrame | Sequence[dict], column: str = "text", match: str = "substring",
-                default: dict | None = None) -> DataFrame:
+                default: dict | None = None, key: str | None = None) -> DataFrame:
     """Add ``rule``: the rule with most term hits in the text, the earliest on ties.
 
-    The rule table (``ord, terms, sections, domain, severity, public_risk``) is a small
-    parameter, checked against ``MAX_RULES`` and turned into one expression: the text is
-    scanned where it lies, nothing is joined. Terms are lower-cased. ``match='word'``
-    asks for whole words.
+    Rules (``ord, terms, sections, domain, severity, public_risk``) given as a list become
+    one expression: the text is scanned where it lies, nothing is joined. A table of rules
+    of any number is matched by joins (see ``rules.match_rule_table``); ``key`` names a
+    unique column of the texts, without one they are written with a number first. Terms are
+    lower-cased. ``match='word'`` asks for whole words.
     """
     if isinstance(rules, DataFrame):
-        taken = rules.limit(MAX_RULES + 1).collect()
-        if len(taken) > MAX_RULES:
-            raise ValueError(f"more than {MAX_RULES} rules")
-        rules = [r.asDict() for r in taken]
+        if key is not None:
+            return match_rule_table(texts, rules, key, column, match, default)
+        numbered = stored(texts.withColumn("__key", F.monotonically_increasing_id()), "texts")
+        return match_rule_table(numbered, rules, "__key", column, match, default).drop("__key")
     default = default or {
         "ord": None, "sections": [], "domain": "Criminal", "severity": "Medium", "public_risk": False,
     }

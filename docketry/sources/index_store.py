@@ -9,10 +9,11 @@ from docketry.functions import hashing as H
 from docketry.functions import lexicon as L
 from docketry.functions import text as X
 from docketry.operators import chunks as C
+from docketry.operators import pruned
 
 
-def save_index(chunks: DataFrame, path: str, filtered: bool = True) -> None:
-    """Write ``chunks``, ``token_df`` and ``index_stats`` under ``path``.
+def save_index(chunks: DataFrame, path: str, filtered: bool = True, blocks: bool = False) -> None:
+    """Write ``chunks``, ``token_df`` and ``index_stats`` under ``path``, with ``blocks`` for pruned retrieval too.
 
     Frequencies and mean length describe the index as built; the chunk table itself
     goes through the save filter. The chunk table is written first and read back, so
@@ -20,9 +21,14 @@ def save_index(chunks: DataFrame, path: str, filtered: bool = True) -> None:
     """
     chunks.write.parquet(f"{path}/built")
     built = chunks.sparkSession.read.schema(chunks.schema).parquet(f"{path}/built")
-    (C.saved_filter(built) if filtered else built).write.parquet(f"{path}/chunks")
+    kept = C.saved_filter(built) if filtered else built
+    (pruned.with_blocks(kept) if blocks else kept).write.parquet(f"{path}/chunks")
     C.token_df(built).write.parquet(f"{path}/token_df")
     C.index_stats(built).withColumn("built_at", F.current_timestamp()).write.parquet(f"{path}/index_stats")
+    if blocks:
+        spark = chunks.sparkSession
+        saved, stats = complete(spark.read.parquet(f"{path}/chunks")), spark.read.parquet(f"{path}/index_stats")
+        pruned.block_summaries(saved, stats).write.parquet(f"{path}/blocks")
 
 
 def load_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -34,6 +40,11 @@ def load_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, Da
     return chunks, df, stats.withColumn("n_chunks", counted.scalar())
 
 
+def load_blocks(spark: SparkSession, path: str) -> DataFrame:
+    """Block summaries of an index that was saved with them."""
+    return spark.read.parquet(f"{path}/blocks")
+
+
 def complete(chunks: DataFrame, stop: tuple = tuple(L.STOP_WORDS)) -> DataFrame:
     """Recompute feature columns that are absent, or null in a row."""
     have = set(chunks.columns)
