@@ -94,6 +94,13 @@ def index(spark, sf_dir, columns=(*[c for c in R.CARRY if c != "terms"], "token_
 
 
 def bm25_top5(spark, sf_dir):
+    built, df, stats = index(spark, sf_dir, ("id", "ord", "length", "token_freq"))
+    q = X.exploded(query_rows(spark, sf_dir), X.tokens("text", STOP), ["token"], ["query_id"])
+    return M.best_chunks(q, built, df, stats, 5).select("query_id", "rank", "id", F.round("score", 4).alias("bm25"))
+
+
+def bm25_pairs(spark, sf_dir):
+    """Every pair by joins, and the rank limit after it."""
     built, df, stats = index(spark, sf_dir, ("id", "ord", "length", "token_freq"))
     q = X.exploded(query_rows(spark, sf_dir), X.tokens("text", STOP), ["token"], ["query_id"])
     return M.top_chunks(M.bm25(q, built, df, stats), built, 5).select(
@@ -462,6 +469,7 @@ WITH {CHUNKS} SELECT id, doc_id::VARCHAR AS case_id FROM chunks
 WHERE length(regexp_replace(text, '[^a-zA-Z]', '', 'g')) > 80
   AND NOT regexp_matches(lower(text), 'case title extracted|cited-cases metadata|https?://')"""),
     Check("bm25_top5", bm25_top5, BM25_TOP5),
+    Check("bm25_pairs", bm25_pairs, BM25_TOP5),
     Check("bm25_pruned", bm25_pruned, BM25_TOP5),
     Check("hashed_vectors", hashed_vectors,
           "WITH " + hashed("documents", "doc_id", "text", 0.45)

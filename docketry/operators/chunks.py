@@ -137,9 +137,7 @@ def windows_of(c: X.ColumnLike, rules: ChunkRules = ChunkRules()) -> Column:
 
 def references(c: X.ColumnLike) -> Column:
     """Distinct provision ids such as ``article-14`` or ``ipc-302``."""
-    source = F.lower(X.squash(c))
-
-    def ids(pattern: str) -> Column:
+    def ids(source: Column, pattern: str) -> Column:
         return F.transform(
             F.regexp_extract_all(source, F.lit(pattern), F.lit(0)),
             lambda m: F.regexp_replace(m, r"^([a-z]+)\s*(.*)$", "$1-$2"),
@@ -147,7 +145,14 @@ def references(c: X.ColumnLike) -> Column:
 
     provisions = X.word_re(r"(?:article|section)\s+\d+[a-z]?")
     codes = X.word_re(r"(?:ipc|crpc)\s*\d+[a-z]?")
-    return F.array_distinct(F.concat(ids(provisions), ids(codes)))
+    # Most texts name no provision at all, which plain searches tell quicker than patterns.
+    return X.let(
+        F.lower(X.squash(c)),
+        lambda source: F.when(
+            X.any_contains(source, ["article", "section", "ipc", "crpc"]),
+            F.array_distinct(F.concat(ids(source, provisions), ids(source, codes))),
+        ).otherwise(F.array().cast("array<string>")),
+    )
 
 
 def case_sections(cases: DataFrame) -> DataFrame:

@@ -23,6 +23,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,10 +35,9 @@ from docketry.operators import retrieve as R
 from docketry.plans import blocks as P
 from docketry.plans.tables import stored
 
-# Chunks of a block as a power of two, blocks scored first, rounding slack of a bound
+# Chunks of a block as a power of two, blocks scored first
 BLOCK_BITS = 6
 SEED_BLOCKS = 3
-SLACK = 1e-8
 
 
 @dataclass(frozen=True)
@@ -88,32 +88,16 @@ def block_summaries(chunks: DataFrame, stats: DataFrame) -> DataFrame:
 
 
 # ---- scores and their bounds ---------------------------------------------------
-def _lexical_sum(state: dict, rows: pd.DataFrame, impacts: Callable) -> tuple[np.ndarray, np.ndarray]:
-    """BM25 of every pair, and the number of query tokens found."""
-    shape = (len(rows), state["n"])
-    row, query, token, value = R._lexical(state, rows, state["expanded"], state["expanded_of"])
-    return P.add_up(row, query, shape, state["idf"][token] * impacts(row, value)), P.add_up(row, query, shape)
-
-
-def bm25_scores(state: dict, rows: pd.DataFrame) -> np.ndarray:
-    def impacts(row: np.ndarray, tf: np.ndarray) -> np.ndarray:
-        length = np.maximum(1.0, rows["length"].to_numpy(float))[row]
-        return tf * (M.K1 + 1) / (tf + M.K1 * (1 - M.B + M.B * length / state["mean_length"]))
-
-    total, found = _lexical_sum(state, rows, impacts)
+def bm25_bounds(state: dict, blocks: P.Rows, floors: np.ndarray | None = None) -> np.ndarray:
+    total, found = M.lexical_sums(state, blocks, lambda row, top: top)
     return np.where(found > 0, total, -np.inf)
 
 
-def bm25_bounds(state: dict, blocks: pd.DataFrame) -> np.ndarray:
-    total, found = _lexical_sum(state, blocks, lambda row, top: top)
-    return np.where(found > 0, total, -np.inf)
-
-
-def hybrid_bounds(state: dict, blocks: pd.DataFrame) -> np.ndarray:
+def hybrid_bounds(state: dict, blocks: P.Rows, floors: np.ndarray | None = None) -> np.ndarray:
     """Upper bound of ``retrieve.score_rows``: phrases, references and titles count as found."""
-    lexical, found = _lexical_sum(state, blocks, lambda row, top: top)
+    lexical, found = M.lexical_sums(state, blocks, lambda row, top: top)
     shape = lexical.shape
-    row, query, _, _ = R._lexical(state, blocks, state["exact"], state["exact_of"])
+    row, query, _, _ = M.token_hits(blocks, state["exact"], state["exact_of"])
     exact = P.add_up(row, query, shape) / state["n_tokens"]
     norms = np.sqrt((state["vectors"] ** 2).sum(1))[:, None]
     units = np.divide(state["vectors"], norms, out=np.zeros_like(state["vectors"]), where=norms > 0)
@@ -121,31 +105,29 @@ def hybrid_bounds(state: dict, blocks: pd.DataFrame) -> np.ndarray:
     titled = (state["n_tokens"] > 0).astype(float)
     core = R.W_COSINE * cosine + R.W_BM25 * lexical / (lexical + R.BM25_HALF)
     core += R.W_KEYWORD * found / state["n_expanded"] + R.W_TITLE * titled
-    asked_refs = np.bincount([q for owners in state["refs_of"] for q in owners], minlength=state["n"])[:state["n"]]
-    boost = np.minimum(R.PHRASE_CAP, R.PHRASE_STEP * state["phrase_limit"])
-    boost = boost + np.minimum(R.REF_CAP, R.REF_STEP * asked_refs)
-    raw = 1 - np.exp(-R.SHARPNESS * core) + R.W_EXACT * exact + boost
+    raw = 1 - np.exp(-R.SHARPNESS * core) + R.W_EXACT * exact + R.most_boost(state)
     bound = np.minimum(R.SCORE_CAP, raw * blocks["weight"].to_numpy(float)[:, None])
-    return np.where(bound + SLACK < state["min_score"], -np.inf, bound)
+    return np.where(bound + R.SLACK < state["min_score"], -np.inf, bound)
 
 
 # ---- search --------------------------------------------------------------------
-def _needed(blocks: DataFrame, packed, prepare: P.Prepare, bound: P.Score, block_type: T.DataType) -> DataFrame:
+def _needed(blocks: DataFrame, packed, prepare: P.Prepare, bound: P.Score, query_type: T.DataType) -> DataFrame:
     """``block, query_id`` of every pair whose bound reaches the query's floor."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("query_id", query_type)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries = packed.value
         state, floors = prepare(queries), queries["floor"].to_numpy(float)
         step = max(1, P.SCORE_CELLS // max(1, len(queries)))
-        for batch in batches:
-            for start in range(0, len(batch), step):
-                part = batch.iloc[start:start + step].reset_index(drop=True)
-                bounds = bound(state, part)
-                r, q = np.nonzero((bounds + SLACK >= floors[None, :]) & np.isfinite(bounds))
-                yield pd.DataFrame({"block": part["block"].to_numpy()[r], "query_id": queries["query_id"].to_numpy()[q]})
+        for batch in map(P.Rows, batches):
+            for part in batch.parts(step):
+                bounds = bound(state, part, None)
+                r, q = np.nonzero((bounds + R.SLACK >= floors[None, :]) & np.isfinite(bounds))
+                yield from P.as_batches(pd.DataFrame(
+                    {"block": part["block"].to_numpy()[r], "query_id": queries["query_id"].to_numpy()[q]}), schema)
 
-    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("query_id", block_type)])
-    return blocks.mapInPandas(run, schema)
+    return blocks.mapInArrow(run, schema)
 
 
 def _score_blocks(rows: DataFrame, asked: DataFrame, packed, prepare: P.Prepare, score: P.Score, k: int,
@@ -155,26 +137,28 @@ def _score_blocks(rows: DataFrame, asked: DataFrame, packed, prepare: P.Prepare,
                            T.StructField("score", T.DoubleType())])
     lists = asked.groupBy("block").agg(F.collect_set("query_id").alias("asked"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries = packed.value
         place = {q: i for i, q in enumerate(queries["query_id"])}
         best = P.BestRows(queries["query_id"].to_numpy(), k, carry, -1e9)
+        if "floor" in queries:
+            best.floor = queries["floor"].to_numpy(float).copy()
         step = max(1, P.SCORE_CELLS // max(1, len(queries)))
         known: tuple[int | None, np.ndarray, dict] = (None, np.empty(0, int), {})
-        for batch in batches:
-            for start in range(0, len(batch), step):
-                part = batch.iloc[start:start + step].reset_index(drop=True)
+        for batch in map(P.Rows, batches):
+            for part in batch.parts(step):
                 scores = np.full((len(part), len(queries)), -np.inf)
-                for block, members in part.groupby("block", sort=False).indices.items():
+                for block, members in pd.Series(part["block"].to_numpy()).groupby(part["block"].to_numpy(), sort=False).indices.items():
                     if known[0] != block:
-                        columns = np.array(sorted(place[q] for q in part["asked"].iloc[members[0]]))
+                        asked_here = part.arrow("asked")[int(members[0])].as_py()
+                        columns = np.array(sorted(place[q] for q in asked_here))
                         known = (block, columns, prepare(queries.iloc[columns].reset_index(drop=True)))
-                    found = score(known[2], part.iloc[members].reset_index(drop=True))
+                    found = score(known[2], part.take(members), best.floor[known[1]])
                     scores[np.ix_(members, known[1])] = np.round(found, 9)
                 best.offer(part, scores)
-        yield best.result()
+        yield from P.as_batches(best.result(), schema)
 
-    return rows.join(lists, "block").mapInPandas(run, schema)
+    return rows.join(lists, "block").mapInArrow(run, schema)
 
 
 def _top(scored: DataFrame, limits: DataFrame) -> DataFrame:
@@ -209,7 +193,7 @@ def search(features: DataFrame, rows: DataFrame, blocks: DataFrame, prepare: P.P
     raised = context.broadcast(limited.toPandas())
     needed = _needed(blocks, raised, prepare, bound, query_type).join(F.broadcast(first), ["block", "query_id"], "left_anti")
     needed = stored(needed, "needed")
-    rest = _score_blocks(rows, needed, packed, prepare, score, k, carry, query_type)
+    rest = _score_blocks(rows, needed, raised, prepare, score, k, carry, query_type)
     hits = _top(scored.unionByName(rest), limits)
     counted = first.unionAll(needed.select(*first.columns)).groupBy("query_id").agg(F.count("*").alias("scored"))
     report = limits.join(F.broadcast(counted), "query_id", "left").select(
@@ -224,26 +208,9 @@ def bm25_top(query_tokens: DataFrame, chunks: DataFrame, df: DataFrame, stats: D
 
     ``query_tokens`` has one row per query and distinct token.
     """
-    features = query_tokens.join(df, "token", "left").groupBy("query_id").agg(
-        F.sort_array(F.collect_list(F.struct("token", F.coalesce("df", F.lit(0)).alias("df")))).alias("pairs")).select(
-        "query_id", F.col("pairs.token").alias("expanded"), F.col("pairs.df").alias("expanded_df"),
-        stats.select("n_chunks").scalar().alias("n_chunks"), stats.select("avg_chunk_length").scalar().alias("mean_length"),
-        F.lit(k).alias("limit"))
-
-    def prepare(q: pd.DataFrame) -> dict:
-        rarity: dict = {}
-        for tokens, dfs in zip(q["expanded"], q["expanded_df"], strict=True):
-            rarity.update(zip(tokens, dfs, strict=True))
-        n_chunks = float(q["n_chunks"].iloc[0]) if len(q) else 1.0
-        words, owners = P.vocabulary(q["expanded"])
-        counts = np.array([rarity[t] for t in words], float)
-        return {"n": len(q), "expanded": pd.Index(list(words), dtype=object), "expanded_of": owners,
-                "idf": np.log(1 + (n_chunks - counts + 0.5) / (counts + 0.5)),
-                "mean_length": float(max(1.0, q["mean_length"].iloc[0])) if len(q) else 1.0}
-
-    rows = chunks.select("block", "ord", "id", "length", F.map_keys("token_freq").alias("terms"),
-                         F.map_values("token_freq").alias("tfs"))
-    return search(features, rows, _as_rows(blocks), prepare, bm25_scores, bm25_bounds, k, ["ord", "id"], max_queries)
+    features = M.token_features(query_tokens, df, stats).withColumn("limit", F.lit(k))
+    rows = M.scored_rows(chunks, ["block"])
+    return search(features, rows, _as_rows(blocks), M.prepare_tokens, M.score_rows, bm25_bounds, k, ["ord", "id"], max_queries)
 
 
 def candidate_pool(queries: DataFrame, chunks: DataFrame, df: DataFrame, stats: DataFrame, blocks: DataFrame,
@@ -253,9 +220,10 @@ def candidate_pool(queries: DataFrame, chunks: DataFrame, df: DataFrame, stats:
     features = R.with_rarity(R.query_features(queries, rules, default_k, default_min), df, stats).withColumn(
         "limit", F.greatest(F.col("top_k") * 6, F.lit(24)))
     rows = R.scored_rows(chunks, ["block"])
-    found = search(features, rows, _as_rows(blocks), R.prepare_queries, R.score_rows, hybrid_bounds, R.POOL_MAX, R.CARRY,
+    found = search(features, rows, _as_rows(blocks), R.prepare_queries, R.score_rows, hybrid_bounds, R.POOL_MAX, ["ord"],
                    max_queries)
-    return Pruned(found.hits.join(F.broadcast(features.select("query_id", "top_k")), "query_id").drop("limit"), found.report)
+    pool = found.hits.join(F.broadcast(features.select("query_id", "top_k")), "query_id")
+    return Pruned(R.with_chunks(pool, chunks), found.report)
 
 
 def _as_rows(blocks: DataFrame) -> DataFrame:

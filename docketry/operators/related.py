@@ -30,10 +30,10 @@ def _prepare(q: pd.DataFrame) -> dict:
     }
 
 
-def _score(state: dict, rows: pd.DataFrame) -> np.ndarray:
+def _score(state: dict, rows: P.Rows, floors: np.ndarray | None = None) -> np.ndarray:
     shape = (len(rows), state["n"])
-    overlap = P.owner_counts(state["matcher"].rows(list(rows["words"])), state["asked_by"], shape)
-    at = [(i, state["years"][y]) for i, y in enumerate(rows["year"].astype(str)) if y in state["years"]]
+    overlap = P.owner_counts(state["matcher"].rows(rows.lists("words")), state["asked_by"], shape)
+    at = [(i, state["years"][y]) for i, y in enumerate(rows["year"].astype(str)) if y in state["years"]] if state["years"] else []
     years = P.owner_counts(tuple(np.array(at, int).reshape(-1, 2).T), state["year_of"], shape)
     cited = [(i, n) for r, n in state["reporters"].items()
              for i in np.flatnonzero(rows["cited"].str.contains(r, regex=False).to_numpy(bool))]

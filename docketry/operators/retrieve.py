@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,6 +40,8 @@ PER_CASE = 2
 KEEP_ABOVE, KEEP_ROWS, MAX_SOURCES = 0.4, 3, 5
 MMR_LAMBDA = 0.78
 POOL_MAX = 72
+# Rounding slack of a bound
+SLACK = 1e-8
 
 CARRY = [
     "ord", "id", "case_id", "title", "section", "court", "year", "type", "final_verdict", "text", "terms",
@@ -140,9 +143,9 @@ def prepare_queries(q: pd.DataFrame) -> dict:
     return {
         "n": len(q),
         "vectors": P.hashed_matrix(list(q["first"]), list(q["second"]), C.SECOND_WEIGHT, H.DIMS),
-        "expanded": pd.Index(list(expanded), dtype=object), "expanded_of": expanded_of,
+        "expanded": pa.array(list(expanded), pa.string()), "expanded_of": expanded_of,
         "idf": np.log(1 + (n_chunks - df + 0.5) / (df + 0.5)),
-        "exact": pd.Index(list(exact), dtype=object), "exact_of": exact_of,
+        "exact": pa.array(list(exact), pa.string()), "exact_of": exact_of,
         "titles": P.TermMatcher(list(exact)),
         "phrases": P.TermMatcher(list(phrases)), "phrases_of": phrases_of,
         "refs": refs, "refs_of": refs_of,
@@ -153,46 +156,54 @@ def prepare_queries(q: pd.DataFrame) -> dict:
     }
 
 
-def _lexical(state: dict, rows: pd.DataFrame, index: pd.Index, owners: list) -> tuple:
-    """Hits of row tokens in a query vocabulary: ``(row, query, vocabulary id, tf)``."""
-    sizes = rows["terms"].map(len).to_numpy()
-    owner = np.repeat(np.arange(len(rows)), sizes)
-    ids = index.get_indexer(np.concatenate([*rows["terms"], np.empty(0, object)]))
-    tf = np.concatenate([*rows["tfs"], np.empty(0)]).astype(float)
-    hit = ids >= 0
-    owner, ids, tf = owner[hit], ids[hit], tf[hit]
-    at, query = P.expand(ids, owners) if len(ids) else (np.empty(0, int), np.empty(0, int))
-    return owner[at], query, ids[at], tf[at]
+def score_rows(state: dict, rows: P.Rows, floors: np.ndarray | None = None) -> np.ndarray:
+    """Rows x queries matrix of the hybrid score; below the query's floor is -inf.
 
-
-def score_rows(state: dict, rows: pd.DataFrame) -> np.ndarray:
-    """Rows x queries matrix of the hybrid score; below the query's floor is -inf."""
+    Title words, phrases and references add a bounded amount, so texts are only looked at in
+    rows that can still reach the floor of some query.
+    """
     shape = (len(rows), state["n"])
-    cosine = P.cosine_matrix(
-        P.hashed_matrix(list(rows["first"]), list(rows["second"]), C.SECOND_WEIGHT, H.DIMS), state["vectors"]
-    )
-    row, query, token, tf = _lexical(state, rows, state["expanded"], state["expanded_of"])
-    length = np.maximum(1.0, rows["length"].to_numpy(float))[row]
-    damped = tf + M.K1 * (1 - M.B + M.B * length / state["mean_length"])
-    lexical = P.add_up(row, query, shape, state["idf"][token] * tf * (M.K1 + 1) / damped)
-    keyword = P.add_up(row, query, shape) / state["n_expanded"]
-    row, query, _, _ = _lexical(state, rows, state["exact"], state["exact_of"])
+    cosine = P.cosine_matrix(P.hashed_lists(rows, "first", "second", C.SECOND_WEIGHT, H.DIMS), state["vectors"])
+    lexical, keyword = M.lexical_sums(state, rows, M.impacts(state, rows))
+    keyword = keyword / state["n_expanded"]
+    row, query, _, _ = M.token_hits(rows, state["exact"], state["exact_of"])
     exact = P.add_up(row, query, shape) / state["n_tokens"]
+    core = W_COSINE * cosine + W_BM25 * lexical / (lexical + BM25_HALF) + W_KEYWORD * keyword
+    weight = rows["section"].map(SECTION_WEIGHTS).fillna(OTHER_SECTION).to_numpy(float)[:, None]
+
+    def total(part, titles, boost):
+        raw = 1 - np.exp(-SHARPNESS * np.maximum(0, core[part] + W_TITLE * titles)) + W_EXACT * exact[part] + boost
+        return np.minimum(SCORE_CAP, raw * weight[part])
+
+    least = state["min_score"] if floors is None else np.maximum(state["min_score"], floors)
+    reach = (total(slice(None), 1.0, most_boost(state)) + SLACK >= least).any(1)
+    score = np.full(shape, -np.inf)
+    at = np.flatnonzero(reach)
+    if len(at):
+        close = rows.take(at)
+        score[at] = total(at, _titles(state, close), _boost(state, close))
+    return np.where(score < state["min_score"], -np.inf, score)
 
-    titles = P.owner_counts(state["titles"].rows(list(rows["title_words"])), state["exact_of"], shape) / state["n_tokens"]
-    inside = [sorted(state["phrases"].inside(t)) if state["phrases"].terms else [] for t in rows["text_low"]]
-    here = P.expand(np.arange(len(rows)), inside)
-    phrase = P.owner_counts(here, state["phrases_of"], shape)
-    shared = [[state["refs"][r] for r in refs if r in state["refs"]] for refs in rows["refs"]]
-    refs = P.owner_counts(P.expand(np.arange(len(rows)), shared), state["refs_of"], shape)
 
-    core = W_COSINE * cosine + W_BM25 * lexical / (lexical + BM25_HALF) + W_KEYWORD * keyword + W_TITLE * titles
+def most_boost(state: dict) -> np.ndarray:
+    """What phrases and references can add at most, per query."""
+    asked = np.bincount([q for owners in state["refs_of"] for q in owners], minlength=state["n"])[:state["n"]]
+    return np.minimum(PHRASE_CAP, PHRASE_STEP * state["phrase_limit"]) + np.minimum(REF_CAP, REF_STEP * asked)
+
+
+def _titles(state: dict, rows: P.Rows) -> np.ndarray:
+    found = state["titles"].rows(rows.lists("title_words"))
+    return P.owner_counts(found, state["exact_of"], (len(rows), state["n"])) / state["n_tokens"]
+
+
+def _boost(state: dict, rows: P.Rows) -> np.ndarray:
+    shape = (len(rows), state["n"])
+    inside = [sorted(state["phrases"].inside(t)) for t in rows["text_low"]] if state["phrases"].terms else [[]] * len(rows)
+    phrase = P.owner_counts(P.expand(np.arange(len(rows)), inside), state["phrases_of"], shape)
+    shared = [[state["refs"][r] for r in refs if r in state["refs"]] for refs in rows["refs"]] if state["refs"] else [[]] * len(rows)
+    refs = P.owner_counts(P.expand(np.arange(len(rows)), shared), state["refs_of"], shape)
     boost = np.minimum(PHRASE_CAP, PHRASE_STEP * np.minimum(phrase, state["phrase_limit"]))
-    boost += np.minimum(REF_CAP, REF_STEP * refs)
-    raw = 1 - np.exp(-SHARPNESS * np.maximum(0, core)) + W_EXACT * exact + boost
-    weight = rows["section"].map(SECTION_WEIGHTS).fillna(OTHER_SECTION).to_numpy(float)
-    score = np.minimum(SCORE_CAP, raw * weight[:, None])
-    return np.where(score < state["min_score"], -np.inf, score)
+    return boost + np.minimum(REF_CAP, REF_STEP * refs)
 
 
 def candidate_pool(queries: DataFrame, chunks: DataFrame, df: DataFrame, stats: DataFrame,
@@ -201,19 +212,24 @@ def candidate_pool(queries: DataFrame, chunks: DataFrame, df: DataFrame, stats:
     """Best ``max(6k, 24)`` chunks per query at or above its minimum score."""
     features = with_rarity(query_features(queries, rules, default_k, default_min), df, stats)
     rows = scored_rows(chunks)
-    pool = P.top_rows(
-        rows, features, prepare_queries, score_rows, POOL_MAX, CARRY, floor=-1e9, max_queries=max_queries
+    best = P.top_rows(
+        rows, features, prepare_queries, score_rows, POOL_MAX, ["ord"], floor=-1e9, max_queries=max_queries
     )
     limits = features.select("query_id", "top_k")
-    return pool.join(limits, "query_id").filter(
-        F.col("rank") <= F.greatest(F.col("top_k") * 6, F.lit(24))
-    )
+    pool = best.join(limits, "query_id").filter(F.col("rank") <= F.greatest(F.col("top_k") * 6, F.lit(24)))
+    return with_chunks(pool, chunks)
+
+
+def with_chunks(pool: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The chunk columns of chosen rows, which came through the exchange as ordinals."""
+    return chunks.select(*[c for c in CARRY if c != "terms"], F.map_keys("token_freq").alias("terms")).join(pool, "ord").select(
+        "query_id", *CARRY, "score", "rank", "top_k")
 
 
 def scored_rows(chunks: DataFrame, more: Sequence[str] = ()) -> DataFrame:
     """The columns of a chunk table that ``score_rows`` reads, and ``more``."""
     return chunks.select(
-        *[c for c in CARRY if c != "terms"], *more,
+        "ord", "section", *more,
         F.map_keys("token_freq").alias("terms"), F.map_values("token_freq").alias("tfs"),
         "length", F.col("sparse.first").alias("first"), F.col("sparse.second").alias("second"),
         F.split(F.lower(X.squash("title")), " ").alias("title_words"),

@@ -150,7 +150,7 @@ def _ranked(cases: DataFrame, judges: DataFrame, k: int = 1, seed: str = "seed",
         carry = ["ord", "judge_id", "judge_name", "utilization", "availability", "used", "category"]
         found = P.top_rows(
             numbered, queue.withColumnRenamed("case_id", "query_id"), lambda q: q,
-            lambda q, rows: _score(_prepare(rows), q).T, k, carry,
+            lambda q, rows, floors: _score(_prepare(rows), q).T, k, carry,
         )
         best = found.withColumnRenamed("query_id", "case_id").withColumnRenamed("category", "judge_category").drop(
             "ord"

@@ -51,11 +51,11 @@ def prepare_queries(q: pd.DataFrame) -> dict:
 
 
 def scorer(w_term: float, w_vector: float):
-    def score(state: dict, rows: pd.DataFrame) -> np.ndarray:
-        hits = P.owner_counts(state["matcher"].rows(list(rows["words"])), state["asked_by"], (len(rows), state["n"]))
+    def score(state: dict, rows: P.Rows, floors: np.ndarray | None = None) -> np.ndarray:
+        hits = P.owner_counts(state["matcher"].rows(rows.lists("words")), state["asked_by"], (len(rows), state["n"]))
         total = w_term * hits + rows["base"].to_numpy(float)[:, None]
         if w_vector:
-            mine = P.hashed_matrix(list(rows["first"]), list(rows["second"]), SECOND_WEIGHT, H.DIMS)
+            mine = P.hashed_lists(rows, "first", "second", SECOND_WEIGHT, H.DIMS)
             total = total + w_vector * P.cosine_matrix(mine, state["vectors"])
         return np.where(total > 0, total, -np.inf)
 
