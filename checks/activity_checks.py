@@ -227,6 +227,13 @@ def metrics(spark, sf_dir):
     return M.request_metrics(request_log(spark, sf_dir))
 
 
+SHARES = (0.01, 0.5, 0.9, 0.95, 0.999, 1.0)
+
+
+def quantiles(spark, sf_dir):
+    return M.latency_quantiles(request_log(spark, sf_dir), SHARES)
+
+
 def latency(spark, sf_dir):
     return M.latency_summary(request_log(spark, sf_dir)).select(F.round("avg", 4).alias("avg"), "p95", "max")
 
@@ -397,6 +404,8 @@ WITH {LOG}, g AS (SELECT 'total' AS dimension, '' AS value, count(*) AS requests
   SELECT 'status_class', status_class, count(*), avg(value), max(value) FROM log GROUP BY status_class UNION ALL
   SELECT * FROM (SELECT 'path', path, count(*) AS n, avg(value), max(value) FROM log GROUP BY path ORDER BY n DESC, path LIMIT 20))
 SELECT dimension, value, requests, round(a, 2) AS avg_ms, round(m, 2) AS max_ms FROM g"""),
+    Check("latency_quantiles", quantiles, " UNION ALL ".join(
+        f"SELECT {s}::DOUBLE AS share, quantile_disc(value, {s}) AS value FROM events" for s in SHARES)),
     Check("latency_summary", latency, "SELECT round(avg(value), 4) AS avg, quantile_disc(value, 0.95) AS p95, max(value) AS max FROM events"),
     Check("audit_tail", audit, "SELECT event_id AS id, ts FROM events ORDER BY ts DESC, event_id DESC LIMIT 3000"),
     Check("rate_limit", limited, limiter("user_id", 2, 6 * 3_600_000)),

@@ -142,6 +142,57 @@ def rate_limit_stream(spark, sf_dir):
     return rows.select(F.col("client").cast("bigint").alias("client"), "id", "allowed", "retry_after_ms")
 
 
+def live_log(spark, sf_dir):
+    """The requests as a stream of parquet files."""
+    for key, value in L.STATE_STORE.items():
+        spark.conf.set(key, value)
+    path = shared(spark, "requests")
+    log = A.request_log(spark, sf_dir).select("client", "id", F.col("ts").cast("timestamp").alias("ts"))
+    log.write.parquet(path)
+    return spark.readStream.schema(log.schema).parquet(path)
+
+
+def rate_limit_stream_expiring(spark, sf_dir):
+    rows = drained(L.rate_limit_stream_expiring(live_log(spark, sf_dir), 2, 6 * 3_600_000))
+    return rows.select(F.col("client").cast("bigint").alias("client"), "id", "allowed", "retry_after_ms")
+
+
+def slot_guard_stream(spark, sf_dir):
+    """Hearings of one day a year, asked for a month ahead."""
+    for key, value in L.STATE_STORE.items():
+        spark.conf.set(key, value)
+    path = shared(spark, "requests")
+    h = A.hearings(spark, sf_dir).select(
+        F.col("judge_id").cast("string").alias("judge_id"), F.trunc("hearing_date", "year").alias("hearing_date"), "slot", "id",
+        F.col("case_id").cast("string").alias("case_id"), "seq").withColumn("ts", F.timestamp_seconds(F.unix_seconds(F.col("hearing_date").cast("timestamp")) - 30 * 86_400))
+    h.write.parquet(path)
+    rows = drained(L.schedule_stream_expiring(spark.readStream.schema(h.schema).parquet(path)))
+    return rows.select("id", "accepted", "incumbent_case")
+
+
+def metrics_stream_late(spark, sf_dir):
+    """A tenth of the events arrives in a second run; those behind the watermark of the first are counted."""
+    path, state, out = shared(spark, "arrivals"), shared(spark, "stream-state"), shared(spark, "late")
+    e = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    for part in (F.col("event_id") % 10 != 3, F.col("event_id") % 10 == 3):
+        e.where(part).write.mode("append").parquet(path)
+        spark.readStream.schema(e.schema).parquet(path).writeStream.foreachBatch(T.late_sink(out, "1 day")).option(
+            "checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{out}/late").drop("version")
+
+
+def metrics_stream_sliding(spark, sf_dir):
+    log = Q.read_request_log(spark, log_lines(spark, sf_dir), stream=True)
+    rows = drained(T.metrics_stream(log, "1 day", "12 hours"), "complete")
+    return rows.select("window_start", "method", "status_class", "path_key", "requests", F.round("avg_ms", 7).alias("avg_ms"))
+
+
+def metrics_stream_session(spark, sf_dir):
+    log = Q.read_request_log(spark, log_lines(spark, sf_dir), stream=True)
+    rows = drained(T.metrics_stream(log, session_gap="3 hours"), "complete")
+    return rows.select("window_start", "window_end", "method", "status_class", "path_key", "requests", "max_ms")
+
+
 def rule_table(spark, sf_dir):
     """Nations as rules, written as JSON lines and read as a rule table."""
     path = shared(spark, "rules")
@@ -200,6 +251,26 @@ SELECT event_id AS id, CASE WHEN event_type IN ('click', 'view') THEN 'search' W
   CASE WHEN event_type IN ('click', 'view') THEN (event_id % 8)::INT WHEN event_type = 'signup' THEN 0 END AS results
 FROM events WHERE event_type <> 'error'"""),
     Check("rate_limit_stream", rate_limit_stream, A.limiter("user_id", 2, 6 * 3_600_000)),
+    Check("rate_limit_stream_expiring", rate_limit_stream_expiring, A.limiter("user_id", 2, 6 * 3_600_000)),
+    Check("slot_guard_stream", slot_guard_stream, f"""
+WITH {A.HEARINGS}, y AS (SELECT *, first_value(id) OVER w AS first_id, first_value(case_id) OVER w AS first_case FROM hearings
+  WINDOW w AS (PARTITION BY judge_id, date_trunc('year', hearing_date), slot ORDER BY seq, id))
+SELECT id, id = first_id AS accepted, CASE WHEN id <> first_id THEN first_case::VARCHAR END AS incumbent_case FROM y"""),
+    Check("metrics_stream_late", metrics_stream_late, """
+WITH newest AS (SELECT max(ts) AS t FROM events WHERE event_id % 10 <> 3)
+SELECT ts::DATE::TIMESTAMP AS window_start, count(*) AS late FROM events, newest
+WHERE event_id % 10 = 3 AND ts < t - INTERVAL 10 MINUTE GROUP BY ALL"""),
+    Check("metrics_stream_sliding", metrics_stream_sliding, f"""
+WITH {A.LOG}, w AS (SELECT *, time_bucket(INTERVAL 12 HOUR, ts, TIMESTAMP '1970-01-01') AS s FROM log),
+each AS (SELECT *, unnest([s, s - INTERVAL 12 HOUR]) AS window_start FROM w)
+SELECT window_start, method, status_class, path AS path_key, count(*) AS requests, round(avg(value), 7) AS avg_ms FROM each GROUP BY ALL"""),
+    Check("metrics_stream_session", metrics_stream_session, f"""
+WITH {A.LOG}, m AS (SELECT *, date_trunc('millisecond', ts) AS shown FROM log),
+g AS (SELECT *, lag(shown) OVER (PARTITION BY method, status_class, path ORDER BY shown) AS before FROM m),
+n AS (SELECT *, sum(CASE WHEN before IS NULL OR shown > before + INTERVAL 3 HOUR THEN 1 ELSE 0 END)
+  OVER (PARTITION BY method, status_class, path ORDER BY shown ROWS UNBOUNDED PRECEDING) AS no FROM g)
+SELECT min(shown) AS window_start, max(shown) + INTERVAL 3 HOUR AS window_end, method, status_class, path AS path_key, count(*) AS requests,
+  max(value) AS max_ms FROM n GROUP BY method, status_class, path, no"""),
     Check("rule_table", rule_table, """
 SELECT n_nationkey::INT AS ord, lower(n_name) AS terms, 'R ' || n_regionkey AS sections, n_nationkey % 2 = 0 AS public_risk FROM nation"""),
     Check("decision_dates", decision_dates, """

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketry.functions import dates as D
 from docketry.functions import facets as A
 from docketry.plans.hot import join_by_key
-from docketry.plans.ordinal import pinned, with_ordinal
+from docketry.plans.ordinal import pinned
 
 AUDIT_ROWS = 3_000
 TOP_PATHS = 20
@@ -40,37 +43,70 @@ def request_metrics(log: DataFrame, top_paths: int = TOP_PATHS) -> DataFrame:
     return named.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= top_paths).drop("__n")
 
 
+def exact_quantiles(rows: DataFrame, column: str, shares: Sequence[float], keep: int = 10_000) -> list:
+    """Nearest-rank quantiles of all non-null values, None where there are none.
+
+    Every pass is one partial aggregate over the rows: a sketch proposes a narrow range around each
+    rank, and the next pass counts what lies below and inside of it, which proves the range. A range
+    shrinks some thousandfold a pass; values of at most ``keep`` rows are then counted one by one.
+    """
+    v = F.col(column)
+    n = rows.agg(F.count(v)).first()[0]
+    if not n:
+        return [None] * len(shares)
+    ranks = [max(1, math.ceil(round(n * share, 9))) for share in shares]
+    first = rows.agg(F.min(v), F.max(v)).first()
+    # Per share: bounds of the value, and how many rows lie below and inside
+    ranges = [(first[0], first[1], 0, n)] * len(shares)
+    while any(low != high and inside > keep for low, high, _, inside in ranges):
+        within = [v.between(F.lit(low), F.lit(high)) for low, high, _, _ in ranges]
+        share_of = [[min(1.0, max(0.0, (rank - below) / inside + side * 2e-4)) for side in (-1, 1)]
+                    for rank, (_, _, below, inside) in zip(ranks, ranges, strict=True)]
+        proposed = rows.agg(*[F.percentile_approx(F.when(w, v), s, 10_000).alias(f"p{i}")
+                              for i, (w, s) in enumerate(zip(within, share_of, strict=True))]).first()
+        counted = rows.agg(*[c for i in range(len(ranges)) for c in (
+            F.count(F.when(v < F.lit(proposed[i][0]), 1)).alias(f"b{i}"),
+            F.count(F.when(v.between(F.lit(proposed[i][0]), F.lit(proposed[i][1])), 1)).alias(f"i{i}"))]).first()
+        narrowed = []
+        for i, (old, rank) in enumerate(zip(ranges, ranks, strict=True)):
+            new = (*proposed[i], counted[f"b{i}"], counted[f"i{i}"])
+            narrowed.append(new if new[2] < rank <= new[2] + new[3] else old)
+        if narrowed == ranges:
+            break
+        ranges = narrowed
+    found = []
+    for (low, high, below, _), rank in zip(ranges, ranks, strict=True):
+        if low == high:
+            found.append(low)
+            continue
+        values = rows.where(v.between(F.lit(low), F.lit(high))).groupBy(v.alias("v")).agg(F.count("*").alias("c")).orderBy("v")
+        for value, count in values.toLocalIterator():
+            below += count
+            if below >= rank:
+                found.append(value)
+                break
+    return found
+
+
 def latency_summary(log: DataFrame, column: str = "duration_ms", share: float = 0.95,
                     approximate: bool = False) -> DataFrame:
     """Average, nearest-rank percentile and maximum.
 
-    The exact percentile is the value at a global position found over range partitions,
-    so no task holds all values; ``approximate`` uses a sketch instead.
+    The exact percentile comes from counting passes (see ``exact_quantiles``);
+    ``approximate`` uses a sketch alone.
     """
-    stats = log.agg(F.avg(column).alias("avg"), F.max(column).alias("max"), F.count(column).alias("n"))
     if approximate:
-        return log.agg(
-            F.avg(column).alias("avg"), F.percentile_approx(column, share, 10_000).alias("p95"), F.max(column).alias("max")
-        )
-    # Equal values are counted first; positions are then over distinct values.
-    counted = log.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    ordered = with_ordinal(counted, [F.col("v")], "at")
-    upto = running_total(ordered)
-    target = F.greatest(F.lit(1), F.ceil(stats.select("n").scalar() * F.lit(share)))
-    p = upto.filter((F.col("upto") >= target) & (F.col("upto") - F.col("c") < target)).select("v").scalar()
-    return stats.select("avg", p.alias("p95"), "max")
-
-
-def running_total(ordered: DataFrame, block: int = 100_000) -> DataFrame:
-    """Running sum of ``c`` along the dense position ``at``, in blocks of positions."""
-    blocked = ordered.withColumn("b", F.floor(F.col("at") / block))
-    inside = Window.partitionBy("b").orderBy("at")
-    sums = blocked.groupBy("b").agg(F.sum("c").alias("s"))
-    # One row per block of positions.
-    before = sums.select("b", (F.sum("s").over(Window.orderBy("b")) - F.col("s")).alias("before"))
-    return blocked.withColumn("within", F.sum("c").over(inside)).join(F.broadcast(before), "b").select(
-        "v", "c", (F.col("within") + F.col("before")).alias("upto")
-    )
+        p = F.percentile_approx(column, share, 10_000)
+    else:
+        p = F.lit(exact_quantiles(log, column, [share])[0]).cast(log.schema[column].dataType)
+    return log.agg(F.avg(column).alias("avg"), p.alias("p95"), F.max(column).alias("max"))
+
+
+def latency_quantiles(log: DataFrame, shares: Sequence[float], column: str = "duration_ms") -> DataFrame:
+    """``share, value`` of several nearest-rank quantiles, found in the same passes."""
+    kind = log.schema[column].dataType.simpleString()
+    found = list(zip([float(s) for s in shares], exact_quantiles(log, column, shares), strict=True))
+    return log.sparkSession.createDataFrame(found, f"share double, value {kind}")
 
 
 def audit_tail(events: DataFrame, n: int = AUDIT_ROWS, ts: str = "ts", tie: str = "id") -> DataFrame:

@@ -1,6 +1,8 @@
 """Streaming twins of the rate limiter and the slot guard, on transformWithState.
 
-Both need the RocksDB state store (``STATE_STORE``). State per key is one small value.
+Both need the RocksDB state store (``STATE_STORE``). State per key is one small value. The
+expiring twins drop it by event time: a timer fires once the watermark has passed it, so a replay
+gives the same result as a live run and ends with empty state.
 Within a micro-batch the requests of a key are taken in time order; across batches the
 order is that of arrival.
 """
@@ -69,6 +71,38 @@ def rate_limit_stream(events: DataFrame, limit: int, window_ms: int, expire: boo
     )
 
 
+class ExpiringLimiter(WindowLimiter):
+    """The window limiter with a timer at the end of the newest window: after it a client starts afresh anyway."""
+
+    def __init__(self, limit: int, window_ms: int):
+        super().__init__(limit, window_ms, expire=False)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.handle = handle
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        yield from super().handleInputRows(key, rows, timer_values)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(int(self.window.get()[0]) + self.window_ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.window.clear()
+        yield pd.DataFrame(columns=["client", "id", "t", "allowed", "retry_after_ms"])
+
+
+def rate_limit_stream_expiring(events: DataFrame, limit: int, window_ms: int, lateness: str = "10 minutes") -> DataFrame:
+    """``rate_limit_stream`` whose clients leave the state when the watermark has passed their window.
+
+    Rows later than ``lateness`` are dropped by the watermark.
+    """
+    keyed = events.withWatermark("ts", lateness).select(
+        F.col("client").cast("string").alias("client"), "id", "ts", F.unix_millis("ts").alias("t"))
+    return keyed.groupBy("client").transformWithStateInPandas(
+        statefulProcessor=ExpiringLimiter(limit, window_ms), outputStructType=LIMIT_OUT, outputMode="Append", timeMode="EventTime")
+
+
 class SlotGuard(StatefulProcessor):
     """First request for a slot keeps it, until ``expire_ms`` after it was taken if that is given."""
 
@@ -107,3 +141,33 @@ def schedule_stream(requests: DataFrame, expire_ms: int | None = None) -> DataFr
         statefulProcessor=SlotGuard(expire_ms), outputStructType=SLOT_OUT, outputMode="Append",
         timeMode="None" if expire_ms is None else "ProcessingTime",
     )
+
+
+class ExpiringGuard(SlotGuard):
+    """The slot guard with a timer at the end of the hearing's day and ``keep_ms`` more."""
+
+    def __init__(self, keep_ms: int):
+        super().__init__()
+        self.keep_ms = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.handle = handle
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        known = self.holder.exists()
+        yield from super().handleInputRows(key, rows, timer_values)
+        if not known:
+            day = pd.Timestamp(key[1], tz="UTC")
+            self.handle.registerTimer(int(day.timestamp() * 1000) + 86_400_000 + self.keep_ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.holder.clear()
+        yield pd.DataFrame(columns=["judge_id", "hearing_date", "slot", "id", "case_id", "accepted", "incumbent_case"])
+
+
+def schedule_stream_expiring(requests: DataFrame, lateness: str = "10 minutes", keep_ms: int = 0) -> DataFrame:
+    """``schedule_stream`` over requests with an event time ``ts``: a slot leaves the state when the watermark has
+    passed its day, after which no request for it is in time."""
+    return requests.withWatermark("ts", lateness).groupBy("judge_id", "hearing_date", "slot").transformWithStateInPandas(
+        statefulProcessor=ExpiringGuard(keep_ms), outputStructType=SLOT_OUT, outputMode="Append", timeMode="EventTime")

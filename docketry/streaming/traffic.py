@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketry.functions import facets as A
@@ -38,6 +38,36 @@ def metrics_stream(log: DataFrame, length: str = "1 minute", slide: str | None =
     )
 
 
+def late_sink(path: str, length: str = "1 minute", lateness: str = LATENESS, ts: str = "ts") -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` function that counts the rows a watermark drops, as data.
+
+    ``path/late/version=<batch>`` gets ``window_start, late`` of the rows that are further than
+    ``lateness`` behind the newest event time of the batches before, as Spark's watermark sees it;
+    ``path/newest/version=<batch>`` keeps that time. A batch that runs twice writes the same.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        before = [v for v in versions_of(spark, f"{path}/newest") if v < batch_id]
+        newest = spark.read.parquet(f"{path}/newest/version={before[-1]}").first()["newest"] if before else None
+        if newest is not None:
+            behind = batch.where(F.col(ts) < F.lit(newest) - F.expr(f"INTERVAL {lateness}"))
+            behind.groupBy(F.window(ts, length).start.alias("window_start")).agg(F.count(F.lit(1)).alias("late")).write.mode(
+                "overwrite").parquet(f"{path}/late/version={batch_id}")
+        batch.agg(F.greatest(F.max(ts), F.lit(newest).cast("timestamp")).alias("newest")).write.mode("overwrite").parquet(
+            f"{path}/newest/version={batch_id}")
+
+    return write
+
+
+def versions_of(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the ``version=`` folders under a path of any file system."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in files.listStatus(folder)] if files.exists(folder) else []
+    return sorted(int(x.split("=")[1]) for x in names if x.startswith("version="))
+
+
 def activity_stream(source: DataFrame, lateness: str = LATENESS, title_chars: int | None = None) -> DataFrame:
     """Search, upload and view notices (``id, kind, ts, payload``) to one event schema, each
     id once within the lateness."""
@@ -74,9 +104,7 @@ def audit_sink(path: str, n: int = AUDIT_ROWS) -> Callable[[DataFrame, int], Non
         spark = batch.sparkSession
         folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        names = [s.getPath().getName() for s in files.listStatus(folder)] if files.exists(folder) else []
-        versions = sorted(int(x.split("=")[1]) for x in names if x.startswith("version="))
-        before = [v for v in versions if v < batch_id]
+        before = [v for v in versions_of(spark, path) if v < batch_id]
         rows = batch
         if before:
             rows = spark.read.schema(batch.schema).parquet(f"{path}/version={before[-1]}").unionByName(batch)
