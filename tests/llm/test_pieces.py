@@ -80,3 +80,12 @@ def test_columns(spark):
     told = V.digests(both).where("text is null").first()
     assert told.n_ids == 0 and told.ids_crc32 == 0
     assert V.decode(V.encode(docs.limit(0), MODEL), MODEL).collect() == []
+
+
+def test_neighbours_are_apart_as_merging_leaves_them():
+    v, rng = V.Vocabulary.load(MODEL), random.Random(8)
+    numbers = list(v.ids.values())
+    alike = [i for i in numbers if len(set(v.pieces[i])) <= 2 and len(v.pieces[i]) > 1]
+    for n in range(20_000):
+        a, b = (rng.choice(alike if n % 2 else numbers) for _ in range(2))
+        assert v.apart(a, b) == (v.merged(v.pieces[a] + v.pieces[b])[-1] == [v.pieces[a], v.pieces[b]])
