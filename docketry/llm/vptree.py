@@ -28,6 +28,11 @@ from pyspark.sql import functions as F
 from docketry.plans.tables import stored
 
 
+# Pairs scored again at once; an id behind all others.
+PAIRS = 100_000
+LAST = np.iinfo(np.int64).max
+
+
 @dataclass(frozen=True)
 class VantagePoint:
     k: int = 20
@@ -90,7 +95,8 @@ class Tree:
         return at
 
     def search(self, queries: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
-        """Vector numbers (-1: none) and inner products of the nearest distinct vectors of every query."""
+        """Vector numbers (-1: none) and inner products of the nearest distinct vectors of every query; of
+        equally near ones those with the smallest ids."""
         lifted = np.concatenate([queries, np.zeros((len(queries), 1))], axis=1)
         square = (queries ** 2).sum(axis=1) + self.top
         found = np.full((len(queries), k), -1)
@@ -105,11 +111,26 @@ class Tree:
                 return
             seen.setdefault(at, np.zeros(len(queries), bool))[active] = True
             rows = self.nodes[at][1]
-            values = np.concatenate([score[active], queries[active] @ self.vectors[rows].T], axis=1)
-            numbers = np.concatenate([found[active], np.broadcast_to(rows, (len(active), len(rows)))], axis=1)
-            best = np.argpartition(-values, k - 1, axis=1)[:, :k]
-            score[active] = np.take_along_axis(values, best, axis=1)
-            found[active] = np.take_along_axis(numbers, best, axis=1)
+            values = queries[active] @ self.vectors[rows].T
+            # All that reach the k-th score but for rounding are scored again in one fixed order of
+            # summation, so that ties are decided by id and not by the shape of a matrix product.
+            least = score[active].min(axis=1)
+            if len(rows) > k:
+                least = np.maximum(least, np.partition(values, len(rows) - k, axis=1)[:, len(rows) - k])
+            q, v = np.nonzero(values >= (least - 1e-12 * square[active])[:, None])
+            exact = np.empty(len(q))
+            for start in range(0, len(q), PAIRS):
+                part = slice(start, start + PAIRS)
+                exact[part] = (self.vectors[rows[v[part]]] * queries[active[q[part]]]).sum(axis=1)
+            some = np.unique(q)
+            owner = np.concatenate([np.repeat(np.arange(len(some)), k), np.searchsorted(some, q)])
+            number = np.concatenate([found[active[some]].ravel(), rows[v]])
+            value = np.concatenate([score[active[some]].ravel(), exact])
+            order = np.lexsort((np.where(number < 0, LAST, self.single[number]), -value, owner))
+            place = np.arange(len(order)) - np.searchsorted(owner[order], owner[order])
+            kept = order[place < k]
+            found[active[some]] = number[kept].reshape(-1, k)
+            score[active[some]] = value[kept].reshape(-1, k)
 
         def descend(at: int, active: np.ndarray) -> None:
             if self.nodes[at][0] == "leaf":
@@ -144,7 +165,8 @@ class Tree:
 
     def nearest(self, query_ids: np.ndarray, queries: np.ndarray, k: int, factor: float):
         """``query id, id, score`` of the k nearest other rows of this shard, exact on ties."""
-        numbers, _ = self.search(queries, k + 5, factor)
+        # One more, as a query's own row doesn't count.
+        numbers, _ = self.search(queries, k + 1, factor)
         out_q, out_id, out_s = [], [], []
         for q, vector, own in zip(query_ids, queries, numbers, strict=True):
             own = own[own >= 0]
@@ -205,11 +227,15 @@ def search(queries: DataFrame, index: DataFrame, p: VantagePoint = VantagePoint(
     cells = sent.join(index, ["dim", "shard"]).select("tree", "q")
 
     def run(batches):
+        last, loaded = None, None
         for batch in batches:
             for tree, own in zip(batch.column(0), batch.column(1), strict=True):
+                packed_tree = tree.as_py()
+                if packed_tree != last:
+                    last, loaded = packed_tree, pickle.loads(packed_tree)
                 ids = own.values.field(0).to_numpy()
                 vectors = own.values.field(1).flatten().to_numpy().reshape(len(ids), -1)
-                a, b, s = pickle.loads(tree.as_py()).nearest(ids, vectors, p.k, p.factor)
+                a, b, s = loaded.nearest(ids, vectors, p.k, p.factor)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.float64())],
                     names=["query_id", "id", "score"])

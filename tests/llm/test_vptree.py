@@ -83,3 +83,15 @@ def test_all_neighbours_whatever_the_norms(spark, kind):
     got = answers(V.nearest(df, df.where("i % 40 = 0"), V.VantagePoint(shard_rows=1000, leaf=64)))
     want = brute(data, {i for i, _ in data if i % 40 == 0}, 20)
     assert {q: [i for i, _ in near] for q, near in got.items()} == {q: [i for i, _ in near] for q, near in want.items()}
+
+
+@pytest.mark.parametrize("kind", ["binary", "ternary", "one_hot", "equal"])
+def test_equal_scores_of_different_vectors(spark, kind):
+    rng = np.random.default_rng(4)
+    data = {"binary": rng.integers(0, 2, (900, 16)), "ternary": rng.integers(-1, 2, (900, 24)),
+            "one_hot": np.eye(40, dtype=int)[rng.integers(0, 40, 900)], "equal": np.ones((900, 5), int)}[kind]
+    data = [(int(i), [float(x) for x in v]) for i, v in zip(rng.permutation(900), data, strict=True)]
+    df = spark.createDataFrame(data, "i long, v array<float>")
+    got = answers(V.nearest(df, df.where("i % 20 = 0"), V.VantagePoint(shard_rows=250, leaf=16)))
+    want = brute(data, {i for i, _ in data if i % 20 == 0}, 20)
+    assert got == {q: [(i, s) for i, s in near] for q, near in want.items()}
