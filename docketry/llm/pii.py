@@ -19,6 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docketry.plans.sizing import fits
 from docketry.plans.tables import stored
 
 # The base patterns. Possessive repeats and the look-behinds find the same
@@ -33,6 +34,8 @@ NEEDS = {"email": r"@", "ip": r"[0-9]\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20-
 LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]", "removed": ""}
 KINDS = list(PATTERNS)
 TOKENS = r"[\p{L}\p{N}]+|[^\p{L}\p{N}]+"
+# Rows (ids, or terms of a few letters) that may be broadcast.
+FEW = 500_000
 SPAN = "array<struct<start:int,rank:int,end:int,kind:string,value:string>>"
 
 
@@ -118,7 +121,12 @@ def _holders(docs: DataFrame, found: DataFrame, p: Disclosure) -> DataFrame:
         F.col("texts") >= p.support).select("entity"), "pii-entities")
     kept = held.join(known, "entity", "left_semi").groupBy("id", "mark").agg(F.collect_set("entity").alias("entities"))
     texts = docs.select(F.col("id").alias("__id"), "text", F.xxhash64("text").alias("__mark"))
-    joined = kept.join(texts, F.col("id").eqNullSafe(F.col("__id")) & (F.col("mark") == F.col("__mark")))
+    same = F.col("id").eqNullSafe(F.col("__id")) & (F.col("mark") == F.col("__mark"))
+    kept = stored(kept, "pii-kept")
+    if fits(kept, FEW):
+        # Few documents hold a shared entity: the texts of the others stay where they are.
+        texts = texts.join(F.broadcast(kept.select("id", "mark")), same, "left_semi")
+    joined = kept.join(texts, same)
     return stored(joined.select("id", "mark", "text", "entities", _terms(F.col("text"), p).alias("terms")), "pii-holders")
 
 
@@ -133,9 +141,13 @@ def disclosures(docs: DataFrame, found: DataFrame, holders: DataFrame, p: Disclo
     total = docs.count()
     n_entity = found.where(F.size("spans") > 0).select(
         F.explode(F.array_distinct(F.transform("spans", _entity))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
-    # Counted in each task before anything is sent, then only the terms of holders stay.
-    n_term = docs.where("text is not null").select(F.explode(_terms(F.col("text"), p)).alias("term")).groupBy("term").agg(
-        F.count("*").alias("n_term")).join(both.select("term").distinct(), "term", "left_semi")
+    # Only the terms of holders are counted. While they are few, the others end in the task that reads them;
+    # else they are counted in each task before anything is sent.
+    asked = stored(both.select("term").distinct(), "pii-asked")
+    words = docs.where("text is not null").select(F.explode(_terms(F.col("text"), p)).alias("term"))
+    if fits(asked, FEW):
+        words = words.join(F.broadcast(asked), "term", "left_semi")
+    n_term = words.groupBy("term").agg(F.count("*").alias("n_term")).join(asked, "term", "left_semi")
     scored = both.join(n_term, "term").join(n_entity, "entity").select(
         "term", "entity",
         F.log2(F.col("n_both") * F.lit(float(total)) / (F.col("n_term") * F.col("n_entity"))).alias("pmi"),
