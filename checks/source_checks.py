@@ -90,7 +90,9 @@ def index_reload(spark, sf_dir):
     path = shared(spark, "index")
     P.save_index(N.chunks(spark, sf_dir), path)
     chunks, df, stats = P.load_index(spark, path)
-    return chunks.select("id", "case_id", stats.select("n_chunks").scalar().alias("n_chunks"))
+    return chunks.select(
+        "id", "case_id", stats.select("n_chunks").scalar().alias("n_chunks"), F.size("tokens").alias("n_tokens"),
+        F.size("token_freq").alias("n_counted"), "length", F.round("norm", 4).alias("norm"))
 
 
 def case_lookup(spark, sf_dir):
@@ -234,8 +236,10 @@ FROM (SELECT *, row_number() OVER (ORDER BY doc_id) AS n FROM documents)"""),
     Check("csv_headers", csv_headers, "SELECT c_custkey AS case_no, c_name AS name_full FROM customer"),
     Check("index_reload", index_reload, f"""
 WITH {N.CHUNKS}, kept AS (SELECT * FROM chunks WHERE length(regexp_replace(text, '[^a-zA-Z]', '', 'g')) > 80
-  AND NOT regexp_matches(lower(text), 'case title extracted|cited-cases metadata|https?://'))
-SELECT id, doc_id::VARCHAR AS case_id, count(*) OVER () AS n_chunks FROM kept"""),
+  AND NOT regexp_matches(lower(text), 'case title extracted|cited-cases metadata|https?://')),
+{N.hashed("(SELECT id, title || ' ' || text AS body FROM chunks)", "id", "body", 0.45, "cv")}
+SELECT id, doc_id::VARCHAR AS case_id, count(*) OVER () AS n_chunks, coalesce(n_tokens, 0)::INT AS n_tokens, coalesce(n_tokens, 0)::INT AS n_counted,
+  coalesce(length, 0)::INT AS length, round(coalesce(norm, 0), 4) AS norm FROM kept LEFT JOIN lengths USING (id) LEFT JOIN cv_norm ON key = id"""),
     Check("case_lookup", case_lookup,
           "SELECT o_orderkey::VARCHAR AS id, (floor(o_totalprice) % 54 + 45)::INT AS similarity FROM orders WHERE o_orderkey = 7"),
     Check("request_log_read", request_log_read, """
