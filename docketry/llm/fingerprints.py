@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,12 +23,16 @@ from docketry.llm import words as W
 from docketry.llm.graph import components
 from docketry.llm.near_dedup import NearDedup, pack, star_pairs
 from docketry.llm.near_dedup import _late_links as late_links
+from docketry.llm.near_dedup import _likely as likely
 from docketry.llm.near_dedup import _open as open_members
 from docketry.plans.hot import join_by_key
+from docketry.plans.sizing import fits
 from docketry.plans.tables import stored
 
 # Id ranges of one sort; each gives one short row to the driver and to the tasks.
 MOST_RANGES = 20_000
+# Ids that may be broadcast.
+FEW = 500_000
 
 
 @dataclass(frozen=True)
@@ -39,13 +44,18 @@ class Fingerprints:
     salts: int = 64
 
 
+def fields(minima: np.ndarray) -> bytes:
+    """The 16 low bits of every minimum, big-endian."""
+    return (minima & np.uint32(0xFFFF)).astype(">u2").tobytes()
+
+
 def fingerprint(minima: np.ndarray) -> str:
-    return (minima & np.uint32(0xFFFF)).astype(">u2").tobytes().hex()
+    return fields(minima).hex()
 
 
-def likeness(left: str, right: str) -> float:
+def likeness(left: str | bytes, right: str | bytes) -> float:
     """Share of equal 16-bit fields of two fingerprints."""
-    a, b = (np.frombuffer(bytes.fromhex(x), ">u2") for x in (left, right))
+    a, b = (np.frombuffer(bytes.fromhex(x) if isinstance(x, str) else x, ">u2") for x in (left, right))
     return float((a == b).mean())
 
 
@@ -53,29 +63,48 @@ def _minima(texts: list[str], p: Fingerprints, permute: W.Permutations) -> list[
     return [permute.minima(s) for s in W.text_shingles(pa.array(texts, pa.large_string()), p.shingle)]
 
 
+def _prints(docs: DataFrame, p: Fingerprints) -> DataFrame:
+    """``id, low, digest, full``: the fields and the digest of the shingle set, as bytes, and whether it has any."""
+
+    def run(batches):
+        permute = W.Permutations(p.permutations)
+        for batch in batches:
+            low, digests, full = [], [], []
+            for shingles in W.text_shingles(batch.column(1), p.shingle):
+                low.append(fields(permute.minima(shingles)))
+                digests.append(hashlib.blake2b(shingles.tobytes(), digest_size=16).digest())
+                full.append(len(shingles) > 0)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(low, pa.binary()), pa.array(digests, pa.binary()), pa.array(full, pa.bool_())],
+                names=["id", "low", "digest", "full"])
+
+    return docs.mapInArrow(run, "id bigint, low binary, digest binary, full boolean")
+
+
 def fingerprint_documents(docs: DataFrame, p: Fingerprints = Fingerprints()) -> DataFrame:
-    """``id, fingerprint, digest, bands`` for every row of ``docs`` (two columns: id, text).
+    """``id, fingerprint, digest`` for every row of ``docs`` (two columns: id, text).
 
-    ``digest`` identifies the shingle set; ``bands`` has one key per band of minima and
-    is null for the empty set.
+    ``digest`` identifies the shingle set. Both are lower-case hex.
     """
     docs = docs.toDF("id", "text").select(F.col("id").cast("bigint").alias("id"), "text")
+    return _prints(docs, p).select("id", F.lower(F.hex("low")).alias("fingerprint"), F.lower(F.hex("digest")).alias("digest"))
+
+
+def _members(heads: DataFrame, p: Fingerprints) -> DataFrame:
+    """``key, id``: the bands of every fingerprint, taken from its fields when they are needed."""
 
     def run(batches):
-        permute = W.Permutations(p.permutations)
         for batch in batches:
-            prints, digests, bands = [], [], []
-            for shingles in W.text_shingles(batch.column(1), p.shingle):
-                low = permute.minima(shingles)
-                prints.append(fingerprint(low))
-                digests.append(hashlib.blake2b(shingles.tobytes(), digest_size=16).hexdigest())
-                bands.append(W.band_keys(low, p.permutations // p.rows, p.rows).astype(np.int64)
-                             if len(shingles) else None)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(prints, pa.string()), pa.array(digests, pa.string()),
-                 pa.array(bands, pa.list_(pa.int64()))], names=["id", "fingerprint", "digest", "bands"])
+            ids, keys = [], []
+            for key, low in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                minima = np.frombuffer(low, ">u2").astype(np.uint32)
+                keys.append(W.band_keys(minima, p.permutations // p.rows, p.rows).astype(np.int64))
+                ids.append(key)
+            if ids:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(keys)), pa.array(np.repeat(ids, p.permutations // p.rows), pa.int64())], names=["key", "id"])
 
-    return docs.mapInArrow(run, "id bigint, fingerprint string, digest string, bands array<bigint>")
+    return heads.select("id", "low").mapInArrow(run, "key bigint, id bigint")
 
 
 def _signatures(heads: DataFrame, p: NearDedup) -> DataFrame:
@@ -83,11 +112,16 @@ def _signatures(heads: DataFrame, p: NearDedup) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            fields = (np.frombuffer(bytes.fromhex(x), ">u2").astype(np.uint32) for x in batch.column(1).to_pylist())
+            minima = (np.frombuffer(x, ">u2").astype(np.uint32) for x in batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([pack(x, p.bits) for x in fields], pa.binary())], names=["id", "sig"])
+                [batch.column(0), pa.array([pack(x, p.bits) for x in minima], pa.binary())], names=["id", "sig"])
+
+    return heads.select("id", "low").mapInArrow(run, "id bigint, sig binary")
+
 
-    return heads.select("id", "fingerprint").mapInArrow(run, "id bigint, sig binary")
+def _of_ids(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of the given distinct ids; the others stay where they are while the ids are few."""
+    return rows.join(F.broadcast(ids) if fits(ids, FEW) else ids, "id", "left_semi")
 
 
 def near_pairs(docs: DataFrame, p: Fingerprints = Fingerprints()) -> DataFrame:
@@ -102,29 +136,35 @@ def near_pairs(docs: DataFrame, p: Fingerprints = Fingerprints()) -> DataFrame:
     each by a link of its own.
     """
     docs = docs.toDF("id", "text").select(F.col("id").cast("bigint").alias("id"), "text")
-    return _near_pairs(docs, stored(fingerprint_documents(docs, p), "fingerprints"), p)
+    return _near_pairs(docs, stored(_prints(docs, p), "fingerprints"), p)
 
 
 def _near_pairs(docs: DataFrame, prints: DataFrame, p: Fingerprints) -> DataFrame:
     nodes = _nodes(prints)
-    heads = stored(prints.join(nodes.select("digest", F.col("node").alias("id")), ["digest", "id"], "left_semi").where(
-        "bands is not null").dropDuplicates(["digest"]), "fingerprint-heads")
-    members = heads.select(F.explode("bands").alias("key"), "id")
-    found = stored(_verified(star_pairs(members, p.salts), docs, prints, p), "fingerprint-pairs")
+    # Repeated rows of a node are alike.
+    heads = prints.where("full").join(nodes.select("digest", F.col("node").alias("id")), ["digest", "id"], "left_semi").select(
+        "id", "low").distinct()
+    heads = stored(heads, "fingerprint-heads")
     rest = NearDedup(shingle=p.shingle, percent=p.percent, bands=p.permutations // p.rows, rows=p.rows, salts=p.salts)
-    roots = stored(components(found.select(F.col("a").alias("u"), F.col("b").alias("v"))), "fingerprint-roots")
     sigs = stored(_signatures(heads, rest), "fingerprint-signatures")
-    shared = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    near = stored(open_members(members.join(stored(shared, "fingerprint-shared"), "key", "left_semi"), roots, sigs, rest),
-                  "fingerprint-alike")
-    late = late_links(near, docs.where("id is not null"), sigs, rest).select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return found.unionByName(_verified(late, docs, prints, p)).distinct()
+    members = _members(heads, p)
+    # Bands that one document has alone lead nowhere.
+    shared = stored(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "fingerprint-shared")
+    members = stored(members.join(shared, "key", "left_semi"), "fingerprint-members")
+    pairs = stored(likely(star_pairs(members, p.salts), sigs, rest), "fingerprint-likely")
+    found = stored(_verified(pairs, docs, heads, p), "fingerprint-pairs")
+    roots = stored(components(found.select(F.col("a").alias("u"), F.col("b").alias("v"))), "fingerprint-roots")
+    near = stored(open_members(members, roots, sigs, rest), "fingerprint-alike")
+    alike = stored(near.select("id").distinct(), "fingerprint-open")
+    late = stored(late_links(near, _of_ids(docs.where("id is not null"), alike), sigs, rest).select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "fingerprint-late")
+    return found.unionByName(_verified(late, docs, heads, p)).distinct()
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, prints: DataFrame, p: Fingerprints) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, heads: DataFrame, p: Fingerprints) -> DataFrame:
     """Pairs ``a, b`` whose full sets are near, with their likenesses."""
-    full = docs.join(prints.select("id", "fingerprint"), "id")
+    ids = stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "fingerprint-ids")
+    full = _of_ids(docs, ids).join(_of_ids(heads, ids), "id").select("id", "text", "low")
     joined = pairs.join(full.toDF("a", "ta", "fa"), "a").join(full.toDF("b", "tb", "fb"), "b").select(
         "a", "b", "ta", "tb", "fa", "fb")
 
@@ -163,10 +203,10 @@ def near_classes(docs: DataFrame, p: Fingerprints = Fingerprints()) -> DataFrame
     ``n_links`` the number of near pairs that the id's nodes have.
     """
     docs = docs.toDF("id", "text").select(F.col("id").cast("bigint").alias("id"), "text")
-    prints = stored(fingerprint_documents(docs, p), "fingerprints")
+    prints = stored(_prints(docs, p), "fingerprints")
     pairs = stored(_near_pairs(docs, prints, p), "fingerprint-links").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    known = prints.where("id is not null and bands is not null").select("id", "digest").distinct()
-    nodes = _nodes(prints.where("bands is not null"))
+    known = prints.where("id is not null and full").select("id", "digest").distinct()
+    nodes = _nodes(prints.where("full"))
     # An id with several shingle sets connects their nodes.
     twice = known.groupBy("id").agg(F.count("*").alias("sets")).where("sets > 1").select("id")
     own = known.join(twice, "id", "left_semi").join(nodes, "digest").where("id <> node").select("id", "node")
@@ -178,6 +218,14 @@ def near_classes(docs: DataFrame, p: Fingerprints = Fingerprints()) -> DataFrame
         F.min("class_id").alias("class_id"), F.sum("n_links").alias("n_links"))
 
 
+def _compressed(batches):
+    """The rows, and their text as bytes of a Zstandard frame."""
+    zstd = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        packed = [zstd.compress(x.encode()) for x in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(packed, pa.binary())], [*batch.schema.names, "packed"])
+
+
 def edit_next(docs: DataFrame, p: Fingerprints = Fingerprints(), rows_a_range: int = 4000) -> DataFrame:
     """Every text (two columns: id, text), and the text edited with its next document's start.
 
@@ -206,7 +254,7 @@ def edit_next(docs: DataFrame, p: Fingerprints = Fingerprints(), rows_a_range: i
     else:
         placed = placed.withColumn("bucket", F.lit(0.0))
     placed = placed.select("id", "text", "tie", (F.lit(len(splits) - 2) - F.col("bucket")).cast("int").alias("range"))
-    order = [F.col("range"), F.col("ahead"), F.col("id").desc_nulls_last(), F.col("tie"), F.col("text")]
+    order = [F.col("range"), F.col("ahead"), F.col("id").desc_nulls_last(), F.col("tie"), F.col("packed")]
     first = placed.groupBy("range").agg(
         F.min(F.struct(F.coalesce(-F.col("id"), F.lit(2**63 - 1)).alias("down"), "tie")).alias("x")).collect()
     firsts = sorted((r.range, None if r.x.down == 2**63 - 1 else -r.x.down, r.x.tie) for r in first)
@@ -218,13 +266,16 @@ def edit_next(docs: DataFrame, p: Fingerprints = Fingerprints(), rows_a_range: i
     heads = heads.groupBy("to").agg(F.min("text").alias("text"), F.first("id").alias("id"), F.first("tie").alias("tie"))
     both = placed.select("range", F.lit(False).alias("ahead"), "id", "text", "tie").unionByName(
         heads.select(F.col("to").alias("range"), F.lit(True).alias("ahead"), "id", "text", "tie"))
-    ranged = both.repartition(max(ranges, 1), "range").sortWithinPartitions(*order).select("range", "ahead", "id", "text")
+    # Texts travel compressed, about half as long. Equal texts stay equal.
+    ranged = both.mapInArrow(_compressed, "range int, ahead boolean, id bigint, text string, tie bigint, packed binary").drop("text").repartition(
+        max(ranges, 1), "range").sortWithinPartitions(*order).select("range", "ahead", "id", "packed")
 
     def run(batches):
-        permute = W.Permutations(p.permutations)
+        permute, unpack = W.Permutations(p.permutations), zstandard.ZstdDecompressor()
         held = None      # the row whose next is not known yet: range, id, text, minima
         for batch in batches:
-            where, _, ids, texts = (c.to_pylist() for c in batch.columns)
+            where, _, ids, packed = (c.to_pylist() for c in batch.columns)
+            texts = [unpack.decompress(x).decode() for x in packed]
             minima = _minima(texts, p, permute)
             done = []
             for row in zip(where, ids, texts, minima, strict=True):
