@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docketry.llm.names import refuse
+
 UNDETERMINED = "und"
 
 
@@ -131,7 +133,12 @@ def _kernel(sets: list[np.ndarray], landmark: np.ndarray) -> np.ndarray:
 
 def predict(docs: DataFrame, model: LanguageModel, text: str = "text", language: str = "lang_pred",
             score: str = "score") -> DataFrame:
-    """``docs`` with the predicted language and its score (0 to 1) as two more columns."""
+    """``docs`` with the predicted language and its score (0 to 1) as two more columns.
+
+    Rows are judged one by one, also those that repeat an id, and texts whole, however long. Names that
+    the table has already are refused.
+    """
+    refuse(docs.columns, language, score)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text)
     fields = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)

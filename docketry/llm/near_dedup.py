@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from docketry.llm import words as W
 from docketry.llm.graph import components
+from docketry.llm.names import unused
 from docketry.plans.tables import stored
 
 _SIGNED = "id bigint, hi bigint, lo bigint, n_shingles bigint, sig binary, bands array<bigint>"
@@ -352,8 +353,9 @@ def keep_one(docs: DataFrame, p: NearDedup = NearDedup(), id_col: str = "doc_id"
 
     Identical rows that repeat a kept id count as copies: one of them stays.
     """
-    gone = near_components(docs.select(id_col, text_col), p).where("not kept").select(F.col("id").alias("__gone"))
-    left = docs.join(gone.distinct(), F.col(id_col) == F.col("__gone"), "left_anti")
-    doubled = stored(left.groupBy(id_col).agg(F.count("*").alias("n")).where("n > 1").select(id_col), "near-doubled")
+    name, n = unused(docs.columns, "__gone"), unused(docs.columns, "__n")
+    gone = near_components(docs.select(id_col, text_col), p).where("not kept").select(F.col("id").alias(name))
+    left = docs.join(gone.distinct(), F.col(id_col) == F.col(name), "left_anti")
+    doubled = stored(left.groupBy(id_col).agg(F.count("*").alias(n)).where(F.col(n) > 1).select(id_col), "near-doubled")
     single = left.join(doubled, id_col, "left_anti")
     return single.unionByName(left.join(doubled, id_col, "left_semi").dropDuplicates()).select(*docs.columns)

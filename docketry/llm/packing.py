@@ -22,6 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docketry.llm.names import refuse, unused
 from docketry.plans.tables import stored
 
 CAPACITY = 1024
@@ -189,26 +190,28 @@ def _two_for(small: int, room: int, count: np.ndarray, fits: np.ndarray) -> tupl
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, pieces_a_shard: int = PIECES_A_SHARD) -> DataFrame:
-    """``pieces`` (with ``length``) plus ``sequence_id, offset``.
+    """``pieces`` (with ``length``) plus ``sequence_id, offset``, which the table must not have yet.
 
     ``pieces`` must be a stored table: its rows are dealt to shards by position.
     """
+    refuse(pieces.columns, "sequence_id", "offset")
+    shard = unused(pieces.columns, "__shard")
     own = F.col("length") >= capacity
     whole = pieces.where(own).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn(
         "offset", F.lit(0).cast("bigint"))
     part = pieces.where(~own)
     shards = max(1, -(-part.count() // pieces_a_shard))
-    part = part.withColumn("__shard", F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int"))
+    part = part.withColumn(shard, F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int"))
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([(c, "ascending") for c in ("length", "id", "piece")])
         bins, offsets = best_two_fit(table.column("length").to_numpy(), capacity)
-        base = table.column("__shard")[0].as_py() << 32
-        return table.drop_columns(["__shard"]).append_column("sequence_id", pa.array(bins + base)).append_column(
+        base = table.column(shard)[0].as_py() << 32
+        return table.drop_columns([shard]).append_column("sequence_id", pa.array(bins + base)).append_column(
             "offset", pa.array(offsets))
 
     fields = ", ".join(f"`{c}` {t}" for c, t in pieces.dtypes)
-    packed = part.repartition(shards, "__shard").groupBy("__shard").applyInArrow(
+    packed = part.repartition(shards, shard).groupBy(shard).applyInArrow(
         run, f"{fields}, sequence_id bigint, offset bigint")
     return whole.unionByName(packed)
 

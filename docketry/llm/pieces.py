@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docketry.llm.names import refuse
+
 BLANK = "▁"
 WORDS = re.compile(" *[^ ]+| +")
 UNKNOWN = -1
@@ -295,7 +297,12 @@ def codec(path: str, kind: str) -> Codec:
 
 
 def encode(docs: DataFrame, model: str, kind: str = "bpe", text: str = "text", ids: str = "ids") -> DataFrame:
-    """``docs`` with the ids of its text column (binary, little-endian unsigned 32-bit) as one more column."""
+    """``docs`` with the ids of its text column (binary, little-endian unsigned 32-bit) as one more column.
+
+    Rows are encoded one by one, also repeated ones, and texts whole, however long. A name that the table
+    has already is refused, here and in the other two.
+    """
+    refuse(docs.columns, ids)
     at = docs.columns.index(text)
     fields = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
 
@@ -311,6 +318,7 @@ def encode(docs: DataFrame, model: str, kind: str = "bpe", text: str = "text", i
 
 def decode(encoded: DataFrame, model: str, kind: str = "bpe", ids: str = "ids", text: str = "decoded") -> DataFrame:
     """``encoded`` with the text of its id column as one more column; null ids are the empty text."""
+    refuse(encoded.columns, text)
     at = encoded.columns.index(ids)
     fields = ", ".join(f"`{c}` {t}" for c, t in encoded.dtypes)
 
@@ -326,4 +334,5 @@ def decode(encoded: DataFrame, model: str, kind: str = "bpe", ids: str = "ids",
 
 def digests(encoded: DataFrame, ids: str = "ids") -> DataFrame:
     """Without the ids: ``n_ids`` and ``ids_crc32`` in their place."""
+    refuse(encoded.columns, "n_ids", "ids_crc32")
     return encoded.withColumn("n_ids", (F.length(ids) / 4).cast("bigint")).withColumn("ids_crc32", F.crc32(ids)).drop(ids)

@@ -9,7 +9,8 @@ must occur with the entity in at least ``support`` different texts, so that a si
 or its copies say nothing. Terms are only treated in documents that hold the entity.
 
 Null and empty texts have no spans. Rows that repeat an id are documents of their own;
-rows with equal id and text get equal spans. Offsets are code points, ends exclusive.
+rows with equal id and text get equal spans. Texts are searched whole, however long. Offsets
+are code points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docketry.llm.names import unused
 from docketry.plans.sizing import fits
 from docketry.plans.tables import stored
 
@@ -215,9 +217,10 @@ def replaced(text: Column, spans: Column) -> Column:
 
 def sanitise(docs: DataFrame, p: Disclosure = Disclosure(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with personal data and disclosing terms replaced; all rows and columns stay."""
+    key, mark, spans = (unused(docs.columns, c) for c in ("__id", "__mark", "__spans"))
     found = personal_data(docs.select(id_col, text_col), p).where(F.size("spans") > 0).select(
-        F.col("id").alias("__id"), F.col("mark").alias("__mark"), F.col("spans").alias("__spans")).dropDuplicates(["__id", "__mark"])
-    same = F.col(id_col).cast("bigint").eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__mark"))
-    changed = F.when(F.col("__spans").isNotNull(), replaced(F.col(text_col), F.col("__spans"))).otherwise(F.col(text_col))
+        F.col("id").alias(key), F.col("mark").alias(mark), F.col("spans").alias(spans)).dropDuplicates([key, mark])
+    same = F.col(id_col).cast("bigint").eqNullSafe(F.col(key)) & (F.xxhash64(text_col) == F.col(mark))
+    changed = F.when(F.col(spans).isNotNull(), replaced(F.col(text_col), F.col(spans))).otherwise(F.col(text_col))
     joined = docs.join(found, same, "left")
     return joined.select(*[changed.alias(c) if c == text_col else F.col(c) for c in docs.columns])

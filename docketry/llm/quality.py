@@ -6,7 +6,8 @@ view learns from them in the next round, with less weight than from real labels,
 never from its own. At the end each view is calibrated on a held-out fold of the labels,
 and the score adds the calibrated log-odds of both views over the base rate.
 
-Every document gets a score. Null and empty texts have text features of zero. Without both
+Every document gets a score, an empty table an empty result. Texts are measured whole, however
+long. Null and empty texts have text features of zero. Without both
 kinds of labels every score is 0.5. Rows that repeat an id are documents of their own.
 """
 
@@ -18,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import FeatureHasher
+from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,7 +38,7 @@ class CoTraining:
     confident: float = 0.95    # probability from which a view labels for the other
     pseudo_weight: float = 0.3
     folds: int = 5             # one of them calibrates, and is never trained on
-    hashed: int = 256          # dimensions of the metadata categories
+    hashed: int = 1 << 18      # dimensions of the metadata categories
     regularisation: float = 1e-3
     iterations: int = 12
 
@@ -62,8 +63,10 @@ def _measure(text: str, hashes: np.ndarray, letters: int) -> list[float]:
 def views(docs: DataFrame, metadata: list[str], p: CoTraining, pages: DataFrame | None = None) -> DataFrame:
     """``docs`` (id, text, then ``metadata``) as ``id, text_view, meta_view``, two vectors, in one pass over the texts.
 
-    ``pages`` (id, unique, then more metadata) is joined once the texts are numbers.
-    Metadata values are hashed categories; a null is a value of its own.
+    ``pages`` (id, then more metadata; an id may have many) is joined once the texts are numbers: all
+    different values of a document's pages count, and the size class of their number. Metadata
+    values are hashed categories; a null is a value of its own. A document's set of page values holds
+    at most ``hashed`` numbers, however many pages it has.
     """
     docs = docs.select(F.col(docs.columns[0]).cast("bigint").alias("id"), F.col(docs.columns[1]).alias("text"), *[
         F.coalesce(F.col(c).cast("string"), F.lit("?")).alias(f"meta_{c}") for c in metadata])
@@ -85,13 +88,20 @@ def views(docs: DataFrame, metadata: list[str], p: CoTraining, pages: DataFrame
 
     kinds = "".join(f", `{c}` string" for c in names[2:])
     measured = docs.mapInArrow(run, f"id bigint, numbers array<double>{kinds}")
-    categories = names[2:]
+    values = F.array(*[F.concat_ws("=", F.lit(c), F.col(c)) for c in names[2:]]).cast("array<string>")
     if pages is not None:
-        more = [f"page_{c}" for c in pages.columns[1:]]
-        measured = measured.join(pages.toDF("id", *more), "id", "left").fillna("?", more)
-        categories = categories + more
-    hasher = FeatureHasher(inputCols=categories, outputCol="meta_view", numFeatures=p.hashed, categoricalCols=categories)
-    return hasher.transform(measured.withColumn("text_view", array_to_vector("numbers"))).select("id", "text_view", "meta_view")
+        more = pages.columns[1:]
+        said = [F.xxhash64(F.lit(c), F.coalesce(F.col(f"page_{c}").cast("string"), F.lit("?"))) for c in more]
+        own = pages.toDF("id", *[f"page_{c}" for c in more]).select(
+            "id", F.explode(F.array(*said)).alias("value")).groupBy("id").agg(
+            F.collect_set(F.pmod("value", F.lit(p.hashed))).alias("set"), F.count("*").alias("rows"))
+        size = F.concat(F.lit("pages="), F.log2(F.col("rows") / len(more)).cast("int").cast("string"))
+        own = own.select("id", F.concat(F.transform("set", lambda v: F.concat(F.lit("page"), v.cast("string"))), F.array(size)).alias("shown"))
+        measured = measured.join(own, "id", "left")
+        values = F.concat(values, F.coalesce("shown", F.array(F.lit("pages=?"))))
+    hasher = HashingTF(inputCol="values", outputCol="meta_view", numFeatures=p.hashed, binary=True)
+    return hasher.transform(measured.withColumn("values", values).withColumn("text_view", array_to_vector("numbers"))).select(
+        "id", "text_view", "meta_view")
 
 
 def _learn(rows: DataFrame, view: str, p: CoTraining) -> LogisticRegressionModel:

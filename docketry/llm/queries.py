@@ -52,10 +52,9 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metadata of a document: its source, language and size class, and the site of the page that shows it."""
+    """Metadata of a document: its source, language and size class, and the sites of all pages that show it."""
     ready(spark)
-    page = table(spark, sf_dir, "pages").select(_page_document().alias("shown"), "url").where("shown is not null").groupBy(
-        "shown").agg(F.min("url").alias("url"))
+    page = table(spark, sf_dir, "pages").select(_page_document().alias("shown"), "url").where("shown is not null")
     labels = url_filter.host_of(F.col("url"))
     docs = table(spark, sf_dir, "documents").select(
         "doc_id", "text", "source", "lang", F.log2(F.col("n_chars") + 1).cast("int").alias("size"))
@@ -190,9 +189,11 @@ def _conversation_repair_sql() -> str:
             SELECT *, row_number() OVER w AS i, lag(left(role, 1)) OVER w AS before_role
             FROM rows WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy)),
         judged AS (
-            SELECT *, left(role, 1) AS r, NOT regexp_matches(text, '[^ 	-]') AS blank,
+            SELECT *, left(role, 1) AS r, NOT regexp_matches(text, '[^ 	-
+]') AS blank,
                 row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS seen,
-                NOT regexp_matches(text, '[.!?][ 	-]*$') AS cut,
+                NOT regexp_matches(text, '[.!?][ 	-
+]*$') AS cut,
                 before_role IS NOT NULL AND before_role || left(role, 1) NOT IN ('su', 'ua', 'au') AS illegal
             FROM placed),
         told AS (

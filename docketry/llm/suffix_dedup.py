@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketry.llm import words as W
+from docketry.llm.names import unused
 from docketry.plans.hot import join_by_key
 from docketry.plans.tables import stored
 
@@ -218,8 +219,9 @@ def cut_repeats(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_
     From the first word of a span up to the next word after it is removed. A text of
     which nothing but white space is left goes with its row.
     """
-    cuts = found.where(F.size("cuts") > 0).select(F.col("id").alias("__id"), F.col("cuts").alias("__cuts"))
-    joined = docs.join(cuts, F.col(id_col) == F.col("__id"), "left").drop("__id")
+    key, spans = unused(docs.columns, "__id"), unused(docs.columns, "__cuts")
+    cuts = found.where(F.size("cuts") > 0).select(F.col("id").alias(key), F.col("cuts").alias(spans))
+    joined = docs.join(cuts, F.col(id_col) == F.col(key), "left").drop(key)
     names = docs.columns
     at = names.index(text_col)
     fields = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)

@@ -52,3 +52,17 @@ def test_features_of_a_text():
     found = dict(zip(Q.FEATURES, Q._measure("ab AB\nab 1!", hashes, 8), strict=True))
     assert found["upper"] == pytest.approx(2 / 11) and found["digit"] == pytest.approx(1 / 11)
     assert found["distinct_words"] == 0.5 and found["distinct_lines"] == 1 and found["top_word"] == 0.75
+
+
+def test_all_pages_of_a_document_count(spark):
+    """Bad documents are on one bad host among several; only the set of all hosts tells them."""
+    rng = random.Random(6)
+    rows = [(i, "some words in a plain line of text.", rng.random() < .6) for i in range(500)]
+    pages = [(i, f"host{rng.randrange(50)}", "www") for i, _, _ in rows for _ in range(3)]
+    pages += [(i, f"spam{i % 3}", "www") for i, _, good in rows if not good] + [(0, None, None)] * 3
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    given = spark.createDataFrame([(i, good) for i, _, good in rows if i % 2], "id long, good boolean")
+    shown = spark.createDataFrame(pages, "id long, domain string, head string")
+    got = {r.id: r.score for r in Q.co_train(docs, given, [], pages=shown).collect()}
+    assert len(got) == 500
+    assert sum((got[i] >= .5) == good for i, _, good in rows if not i % 2) >= 240
