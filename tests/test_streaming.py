@@ -134,3 +134,48 @@ def test_audit_sink_keeps_the_newest(spark, tmp_path):
     last = query.lastProgress["batchId"]
     kept = sorted(r.id for r in spark.read.parquet(f"{target}/version={last}").collect())
     assert kept == [f"a{i:03d}" for i in range(23, 30)]
+
+
+def state_rows(stream, name, tmp_path):
+    """Rows left in the state after everything was read."""
+    query = (
+        stream.writeStream.format("memory").queryName(name).outputMode("append")
+        .option("checkpointLocation", str(tmp_path / f"state-{name}")).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    return query.recentProgress[-1]["stateOperators"][0]["numRowsTotal"]
+
+
+def test_clients_leave_the_state_by_event_time(spark, tmp_path):
+    rows = [(f"c{i % 4}", i, at(i * 10), 0) for i in range(40)] + [("late", 99, at(100_000), 0)]
+    batch, stream = as_stream(spark, rows, "client STRING, id BIGINT, ts TIMESTAMP, part INT", tmp_path, "expiring")
+    left = state_rows(S.rate_limit_stream_expiring(stream, 2, 60_000, "1 minute"), "expiring", tmp_path)
+    got = {(r.id, r.allowed, r.retry_after_ms) for r in spark.table("expiring").collect()}
+    assert got == {(r.id, r.allowed, r.retry_after_ms) for r in M.rate_limit(batch, 2, 60_000).collect()}
+    # The watermark has passed the windows of all but the last client.
+    full = state_rows(S.rate_limit_stream(stream, 2, 60_000), "lasting", tmp_path)
+    assert full == 5 and left < full
+
+
+def test_slots_leave_the_state_after_their_day(spark, tmp_path):
+    days = [dt.date(2026, 3, 5), dt.date(2026, 4, 5)]
+    rows = [(f"h{i}", i, f"case{i}", f"j{i % 3}", days[i % 2], f"{10 + i % 4}:00", at(86_400 * 20 * (i % 2) + i), 0) for i in range(40)]
+    schema = "id STRING, seq BIGINT, case_id STRING, judge_id STRING, hearing_date DATE, slot STRING, ts TIMESTAMP, part INT"
+    batch, stream = as_stream(spark, rows, schema, tmp_path, "asked")
+    left = state_rows(S.schedule_stream_expiring(stream), "asked", tmp_path)
+    got = {(r.id, r.accepted, r.incumbent_case) for r in spark.table("asked").collect()}
+    assert got == {(r.id, r.accepted, r.incumbent_case) for r in H.schedule(batch).collect()}
+    full = state_rows(S.schedule_stream(stream.drop("ts")), "kept", tmp_path)
+    assert full == 12 and left < 2 * full
+
+
+def test_late_rows_are_counted_once(spark, tmp_path):
+    out = str(tmp_path / "late")
+    write = V.late_sink(out, "1 minute", "1 minute")
+    frame = lambda seconds: spark.createDataFrame([(at(s),) for s in seconds], "ts TIMESTAMP")
+    write(frame([0, 300]), 0)
+    for _ in range(2):
+        write(frame([10, 20, 239, 241, 400]), 1)
+    write(frame([350, 5]), 2)
+    got = {(r.window_start, r.late) for r in spark.read.parquet(f"{out}/late").select("window_start", "late").collect()}
+    assert got == {(at(0), 2), (at(180), 1), (at(0), 1)}
