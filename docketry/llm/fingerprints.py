@@ -33,6 +33,8 @@ from docketry.plans.tables import stored
 MOST_RANGES = 20_000
 # Ids that may be broadcast.
 FEW = 500_000
+# Links that one task takes in a step of the components.
+ROWS_A_TASK = 200_000
 
 
 @dataclass(frozen=True)
@@ -153,7 +155,7 @@ def _near_pairs(docs: DataFrame, prints: DataFrame, p: Fingerprints) -> DataFram
     members = stored(members.join(shared, "key", "left_semi"), "fingerprint-members")
     pairs = stored(likely(star_pairs(members, p.salts), sigs, rest), "fingerprint-likely")
     found = stored(_verified(pairs, docs, heads, p), "fingerprint-pairs")
-    roots = stored(components(found.select(F.col("a").alias("u"), F.col("b").alias("v"))), "fingerprint-roots")
+    roots = stored(components(found.select(F.col("a").alias("u"), F.col("b").alias("v")), ROWS_A_TASK), "fingerprint-roots")
     near = stored(open_members(members, roots, sigs, rest), "fingerprint-alike")
     alike = stored(near.select("id").distinct(), "fingerprint-open")
     late = stored(late_links(near, _of_ids(docs.where("id is not null"), alike), sigs, rest).select(
@@ -210,7 +212,7 @@ def near_classes(docs: DataFrame, p: Fingerprints = Fingerprints()) -> DataFrame
     # An id with several shingle sets connects their nodes.
     twice = known.groupBy("id").agg(F.count("*").alias("sets")).where("sets > 1").select("id")
     own = known.join(twice, "id", "left_semi").join(nodes, "digest").where("id <> node").select("id", "node")
-    roots = components(pairs.union(own)).withColumnRenamed("root", "class_id")
+    roots = components(pairs.union(own), ROWS_A_TASK).withColumnRenamed("root", "class_id")
     links = pairs.union(pairs.select("v", "u")).groupBy(F.col("u").alias("node")).agg(F.count("*").alias("n_links"))
     told = nodes.join(roots, "node", "left").join(links, "node", "left").select(
         "digest", "n", F.coalesce("class_id", "node").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
@@ -226,7 +228,15 @@ def _compressed(batches):
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(packed, pa.binary())], [*batch.schema.names, "packed"])
 
 
-def edit_next(docs: DataFrame, p: Fingerprints = Fingerprints(), rows_a_range: int = 4000) -> DataFrame:
+HEXED = ("edited_sha256", "fingerprint", "edited_fingerprint")
+
+
+def hexed(edits: DataFrame) -> DataFrame:
+    """The digests and fingerprints of ``edit_next`` as lower-case hex."""
+    return edits.withColumns({c: F.lower(F.hex(c)) for c in HEXED})
+
+
+def edit_next(docs: DataFrame, p: Fingerprints = Fingerprints(), rows_a_range: int = 4000, raw: bool = False) -> DataFrame:
     """Every text (two columns: id, text), and the text edited with its next document's start.
 
     Next is the following row in descending id, and the first row after the last; rows
@@ -237,7 +247,8 @@ def edit_next(docs: DataFrame, p: Fingerprints = Fingerprints(), rows_a_range: i
     Ids are cut into ranges at quantiles, so that a range is about ``rows_a_range`` rows.
     Every range is sorted in one task as a stream, with one added row: the first of the
     range after it. Only one row per range passes the driver, without its text; there are
-    at most ``MOST_RANGES``, and a longer range sorts on disk.
+    at most ``MOST_RANGES``, and a longer range sorts on disk. ``raw`` leaves the digests and
+    fingerprints as bytes, half as long, for a join (see ``hexed``).
     """
     docs = docs.toDF("id", "text").select(
         F.col("id").cast("bigint").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -297,15 +308,16 @@ def edit_next(docs: DataFrame, p: Fingerprints = Fingerprints(), rows_a_range: i
             own, low, next_own = (x & np.uint32(0xFFFF) for x in (own, low, next_own))
             out["id"].append(key)
             out["n_chars"].append(len(text))
-            out["edited_sha256"].append(hashlib.sha256(new.encode()).hexdigest())
-            out["fingerprint"].append(fingerprint(own))
-            out["edited_fingerprint"].append(fingerprint(low))
+            out["edited_sha256"].append(hashlib.sha256(new.encode()).digest())
+            out["fingerprint"].append(fields(own))
+            out["edited_fingerprint"].append(fields(low))
             out["near_edited"].append(float((own == low).mean()))
             out["near_next"].append(float((own == next_own).mean()))
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64())
         return pa.RecordBatch.from_arrays(
             [pa.array(v, kind) for v, kind in zip(out.values(), kinds, strict=True)], names=list(out))
 
-    return ranged.mapInArrow(
-        run, "id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, "
+    edits = ranged.mapInArrow(
+        run, "id bigint, n_chars bigint, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, "
              "near_edited double, near_next double")
+    return edits if raw else hexed(edits)

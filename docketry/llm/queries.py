@@ -45,9 +45,9 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     ready(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     classes = fingerprints.near_classes(docs).withColumnRenamed("id", "doc_id")
-    edited = fingerprints.edit_next(docs).withColumnRenamed("id", "doc_id")
+    edited = fingerprints.edit_next(docs, raw=True).withColumnRenamed("id", "doc_id")
     # A text without words is a class of its own.
-    return edited.join(classes, "doc_id", "left").withColumns({
+    return fingerprints.hexed(edited.join(classes, "doc_id", "left")).withColumns({
         "class_id": F.coalesce("class_id", "doc_id"), "n_links": F.coalesce("n_links", F.lit(0))})
 
 
