@@ -17,8 +17,13 @@ from docketry.plans.tables import folder
 from docketry.sources import ops as O
 
 
+# Entries of one snapshot document, about; a task holds one document at a time.
+SNAPSHOT_ROWS = 2_000
+
+
 def snapshot(spark, sf_dir):
-    """One snapshot document per nation: its suppliers as judges, their line items as hearings."""
+    """Snapshot documents per nation: its suppliers as judges, their line items as hearings. A nation has as many
+    documents, one a line, as its rows need, so no document grows with the tables."""
     path = folder(spark, "snapshot")
     s = table(spark, sf_dir, "supplier")
     judge = F.struct(
@@ -26,17 +31,22 @@ def snapshot(spark, sf_dir):
         F.lit("Civil").alias("category"), (F.col("s_suppkey") % 40).cast("int").alias("yearsOfExperience"), F.lit(50).alias("caseLoadCapacity"),
         (F.col("s_suppkey") % 60).cast("int").alias("currentCaseLoad"), F.lit("Available").alias("availability"),
         F.concat(F.lit("NATION_"), "s_nationkey").alias("district"))
-    line = table(spark, sf_dir, "lineitem").join(F.broadcast(s), F.col("l_suppkey") == F.col("s_suppkey"))
+    items = table(spark, sf_dir, "lineitem")
+    line = items.join(s, F.col("l_suppkey") == F.col("s_suppkey"))
     day = F.to_date("l_shipdate")
     hearing = F.struct(
         F.concat_ws("-", "l_orderkey", "l_partkey", "l_linenumber").alias("id"), F.col("l_orderkey").cast("string").alias("caseId"),
         F.concat(F.lit("judge-"), "l_suppkey").alias("assignedJudgeId"), F.date_format(day, "yyyy-MM-dd").alias("hearingDate"),
         F.concat((F.col("l_linenumber") % 12 + 1).cast("string"), F.when(F.col("l_orderkey") % 2 == 0, F.lit(":30 PM")).otherwise(":05 am")).alias("hearingTime"),
         F.lit("Scheduled").alias("status"))
-    docs = s.groupBy("s_nationkey").agg(F.collect_list(judge).alias("judges")).join(
-        line.groupBy("s_nationkey").agg(F.collect_list(hearing).alias("hearings")), "s_nationkey", "left")
+    parts = F.lit(max(1, (s.count() + items.count()) // (25 * SNAPSHOT_ROWS)))
+    dealt = lambda *keys: F.pmod(F.xxhash64(*keys), parts).alias("part")
+    judges = s.select("s_nationkey", dealt("s_suppkey"), judge.alias("judge"))
+    rows = judges.withColumn("hearing", F.lit(None).cast(line.select(hearing.alias("h")).schema["h"].dataType)).unionByName(
+        line.select("s_nationkey", dealt("l_orderkey", "l_partkey", "l_linenumber"), hearing.alias("hearing")), allowMissingColumns=True)
+    docs = rows.groupBy("s_nationkey", "part").agg(F.collect_list("judge").alias("judges"), F.collect_list("hearing").alias("hearings"))
     docs.select("s_nationkey", F.to_json(F.struct("judges", "hearings")).alias("value")).write.partitionBy("s_nationkey").text(path)
-    return O.read_ops_snapshot(spark, path)
+    return O.read_ops_snapshot(spark, path, lines=True)
 
 
 def snapshot_judges(spark, sf_dir):

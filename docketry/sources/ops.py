@@ -16,9 +16,13 @@ def _snake(name: str) -> str:
     return re.sub(r"(?<!^)(?=[A-Z])", "_", name).lower()
 
 
-def read_ops_snapshot(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """One snapshot document to ``judges``, ``hearings``, ``managed_cases``, ``activity``."""
-    doc = spark.read.schema(S.SNAPSHOT).option("multiLine", True).json(path)
+def read_ops_snapshot(spark: SparkSession, path: str, lines: bool = False) -> dict[str, DataFrame]:
+    """Snapshot documents to ``judges``, ``hearings``, ``managed_cases``, ``activity``.
+
+    A file holds one document, or with ``lines`` one a line. A document is read in one task, so a large
+    snapshot is written as many documents.
+    """
+    doc = spark.read.schema(S.SNAPSHOT).option("multiLine", not lines).json(path)
 
     def rows(name: str) -> DataFrame:
         out = doc.select(F.inline(name))

@@ -69,6 +69,31 @@ def test_snapshot(spark, tmp_path):
     assert tables["activity"].first().event_ts.month == 5
 
 
+def test_snapshot_lines_hold_many_documents(spark, tmp_path):
+    """One document a line: a task reads one at a time, a file may hold any number."""
+    docs = [{"judges": [{"id": f"j{i}", "name": "A"}], "hearings": [{"id": f"h{i}-{n}", "hearingDate": "05-03-2026"} for n in range(i)]} for i in range(4)]
+    (tmp_path / "s.json").write_text("\n".join(json.dumps(d) for d in docs))
+    tables = O.read_ops_snapshot(spark, str(tmp_path / "s.json"), lines=True)
+    assert sorted(r.id for r in tables["judges"].collect()) == ["j0", "j1", "j2", "j3"]
+    assert sorted(r.id for r in tables["hearings"].collect()) == ["h1-0", "h2-0", "h2-1", "h3-0", "h3-1", "h3-2"]
+
+
+def test_checked_snapshot_documents_stay_small(spark, tmp_path, monkeypatch):
+    """Copies of the tables bring more documents, not larger ones."""
+    from checks import record_checks as C
+
+    line = spark.range(6000).selectExpr(
+        "id AS l_orderkey", "id % 7 AS l_partkey", "1L AS l_suppkey", "cast(id % 5 AS int) AS l_linenumber", "timestamp'1998-01-02' AS l_shipdate")
+    line.write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.sql("SELECT 1L AS s_suppkey, 'S' AS s_name, 3 AS s_nationkey, 1.0D AS s_acctbal").write.parquet(str(tmp_path / "supplier.parquet"))
+    made = []
+    monkeypatch.setattr(C, "folder", lambda s, name: made.append(str(tmp_path / "out")) or made[-1])
+    monkeypatch.setattr(C, "SNAPSHOT_ROWS", 10)
+    assert C.snapshot_hearings(spark, str(tmp_path)).count() == 6000
+    sizes = spark.read.schema("hearings ARRAY<STRUCT<id: STRING>>").json(made[0]).selectExpr("size(hearings) AS n").collect()
+    assert sum(r.n for r in sizes) == 6000 and max(r.n for r in sizes) < 600
+
+
 def test_seed_modes(spark):
     target = spark.createDataFrame([("a", 1, "x"), ("b", 2, "y")], "id STRING, n INT, s STRING")
     seed = spark.createDataFrame([("b", 9, None), ("c", 3, "z")], "id STRING, n INT, s STRING")
