@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docketry.functions import hashing as H
 from docketry.functions import lexicon as L
@@ -73,6 +76,92 @@ def contenders(roster: DataFrame, k: int) -> DataFrame:
     return kept.select(*roster.columns)
 
 
+# The lower and upper parts of the hashes, in ever smaller shares, that dominators are looked for in.
+SHARES = sorted({2.0 ** -i for i in range(1, 12)} | {1 - 2.0 ** -i for i in range(1, 12)})
+# Judges of a partition, about, that are compared with each other.
+PRUNED_ROWS = 100_000
+# Kinds of case (category, demand, risk) whose best judges a task keeps at hand.
+KEPT_KINDS = 20_000
+
+
+def _kth(values: np.ndarray, k: int) -> list[np.ndarray]:
+    """Running best, second best ... ``k``-th best of a sequence, at every position."""
+    out = []
+    for _ in range(k):
+        best = np.maximum.accumulate(values, axis=-1)
+        out.append(best)
+        before = np.concatenate([np.full_like(best[..., :1], _least(best.dtype)), best[..., :-1]], axis=-1)
+        values = np.minimum(values, before)
+    return out
+
+
+def _least(kind: np.dtype):
+    return -np.inf if kind.kind == "f" else np.iinfo(kind).min
+
+
+def _undominated(r: pd.DataFrame, k: int) -> np.ndarray:
+    """Which judges of a frame may be chosen: see ``undominated``."""
+    r = r.reset_index(drop=True)
+    order = r.sort_values(["utilization", "judge_name", "judge_id"], kind="stable", na_position="first").index.to_numpy()
+    fixed, name_hash = _prepare(r)["fixed"], r["name_hash"].to_numpy(np.int64)
+    same = [r["category"].fillna("\0"), r["court_level"].fillna("\0"), r["power"], name_hash % SEED_RANGE]
+    keep = np.zeros(len(r), bool)
+    for at in r.loc[order].groupby([x.loc[order] if isinstance(x, pd.Series) else x[order] for x in same], sort=False).indices.values():
+        at = order[at]
+        f, h = fixed[at], name_hash[at]
+        if len(at) <= k:
+            keep[at] = True
+            continue
+        edges = np.unique(np.quantile(h, SHARES, method="lower"))
+        for side in (1, -1):
+            free = np.ones(len(at), bool)
+            for edge in edges:
+                others, mine = (h <= edge, h >= edge) if side > 0 else (h >= edge, h <= edge)
+                kth = _kth(np.where(others, f, -np.inf), k)[-1]
+                earlier = np.concatenate([[-np.inf], kth[:-1]])
+                free &= ~(mine & (f <= earlier))
+            keep[at[free]] = True
+    return keep
+
+
+def undominated(roster: DataFrame, k: int) -> DataFrame:
+    """Drop judges that ``k`` others of the same partition beat for every case.
+
+    The seed's points are those of ``seed hash x power + name hash``, modulo 2^32 and modulo 11. Judges of one
+    category, court, power and remainder of the name hash get the same points where they lie on one side of the
+    overflow, and then differ by their fixed part only. So a judge goes who has ``k`` others with no lower fixed
+    part and an earlier place among equal scores both at no higher and at no lower hashes: they are beaten on
+    either side. That holds in any part of the roster, so nothing has to be brought together.
+    """
+
+    def per_partition(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size, known = [], 0, 0
+        for frame in frames:
+            held.append(frame)
+            size += len(frame)
+            if size >= 2 * known + PRUNED_ROWS:
+                whole = pd.concat(held, ignore_index=True)
+                held = [whole[_undominated(whole, k)]]
+                size = known = len(held[0])
+        if held:
+            whole = pd.concat(held, ignore_index=True)
+            yield whole[_undominated(whole, k)]
+
+    return roster.mapInPandas(per_partition, roster.schema)
+
+
+def _fewest(roster: DataFrame, k: int, limit: int) -> DataFrame:
+    """The undominated judges, in rounds of fewer and larger partitions until they fit or no longer shrink."""
+    kept = stored(roster, "contenders")
+    rows = kept.count()
+    while True:
+        parts = max(1, rows // PRUNED_ROWS)
+        kept = stored(undominated(kept.repartition(parts), k), "contenders")
+        before, rows = rows, kept.count()
+        if parts == 1 or rows <= limit or rows > 0.9 * before:
+            return kept
+
+
 def _prepare(r: pd.DataFrame) -> dict:
     status = r["availability"].map({"Available": 1.0, "Busy": 0.6}).fillna(0.15).to_numpy(float)
     return {
@@ -95,28 +184,137 @@ def _court_fit(state: dict) -> np.ndarray:
     )
 
 
-def _score(state: dict, cases: pd.DataFrame) -> np.ndarray:
-    wanted = cases["category"].to_numpy(str)
-    kinds, code = np.unique(wanted, return_inverse=True)
-    match = np.array(
-        [
-            np.where(state["category"] == k, 1, np.where((k == "Other") & (state["category"] == "Criminal"), 0.72, 0.38))
-            for k in kinds
-        ]
-    )
+def _share(state: dict, cases: pd.DataFrame, few: np.ndarray) -> np.ndarray:
+    """Case x judge fit, without the seed's points. ``few`` holds the places of the judges, one row for all cases or one each."""
+    wanted = cases["category"].to_numpy(str)[:, None]
+    category = state["category"][few]
+    match = np.where(category == wanted, 1, np.where((wanted == "Other") & (category == "Criminal"), 0.72, 0.38))
+    fit = _court_fit(state)[_demand(cases)[:, None], few]
     risk = cases["risk"].to_numpy(float)
-    severity = cases["severity"].to_numpy(str)
-    demand = np.where((severity == "Critical") | (risk >= 80), 0, np.where((severity == "High") | (risk >= 60), 1, 2))
+    return W_CATEGORY * match + state["fixed"][few] + W_COURT * fit + W_RISK * np.clip(risk / 100, 0.55, 1)[:, None]
+
+
+def _score(state: dict, cases: pd.DataFrame, few: np.ndarray | None = None) -> np.ndarray:
+    few = np.arange(len(state["fixed"]))[None, :] if few is None else few
     # Hash of "seed:name" from the hash of each part.
     seed = cases["seed_hash"].to_numpy(np.uint64)[:, None]
-    affinity = ((seed * state["power"][None, :] + state["name_hash"][None, :]) & MASK) % np.uint64(SEED_RANGE)
-    share = (
-        W_CATEGORY * match[code] + state["fixed"][None, :] + W_COURT * _court_fit(state)[demand]
-        + W_RISK * np.clip(risk / 100, 0.55, 1)[:, None]
-    )
+    affinity = ((seed * state["power"][few] + state["name_hash"][few]) & MASK) % np.uint64(SEED_RANGE)
+    return _whole(_share(state, cases, few), affinity)
+
+
+def _whole(share: np.ndarray, affinity: np.ndarray | int) -> np.ndarray:
     return np.floor(np.round(100 * share + affinity, 6) + 0.5)
 
 
+def _demand(cases: pd.DataFrame) -> np.ndarray:
+    risk, severity = cases["risk"].to_numpy(float), cases["severity"].to_numpy(str)
+    return np.where((severity == "Critical") | (risk >= 80), 0, np.where((severity == "High") | (risk >= 60), 1, 2))
+
+
+class Chooser:
+    """The judges worth scoring for a case, from the ordered roster.
+
+    For one kind of case a judge's score is a fixed whole number and the seed's points. Judges of one power and
+    remainder get the same points on each side of the overflow, so the best of the case are among the best ``k``
+    of each remainder below the overflow and the best ``k`` above it. Both change at few hashes only, and these
+    places are kept per kind.
+    """
+
+    def __init__(self, roster: pd.DataFrame, k: int):
+        self.state, self.k, self.n = _prepare(roster), k, len(roster)
+        self.lanes = []
+        hashes, powers = roster["name_hash"].to_numpy(np.int64), roster["power"].to_numpy(np.int64)
+        for power in np.unique(powers):
+            for rest in range(SEED_RANGE):
+                at = np.flatnonzero((powers == power) & (hashes % SEED_RANGE == rest))
+                if len(at):
+                    at = at[np.argsort(hashes[at], kind="stable")]
+                    self.lanes.append((int(power), at, hashes[at]))
+        self.kinds: dict[tuple, list] = {}
+
+    def _steps(self, keys: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes at which the best ``k`` up to there change, and the judges from there on (-1: none yet)."""
+        best = np.stack(_kth(keys, self.k), axis=1)
+        new = np.flatnonzero(np.any(best[1:] != best[:-1], axis=1)) + 1
+        at = np.concatenate([[0], new])
+        judge = self.n - 1 - best[at] % self.n
+        return hashes[at], np.where(best[at] == np.iinfo(np.int64).min, -1, judge)
+
+    def _kind(self, key: tuple, case: pd.DataFrame) -> list:
+        if key not in self.kinds:
+            if len(self.kinds) >= KEPT_KINDS:
+                self.kinds.clear()
+            whole = _whole(_share(self.state, case, np.arange(self.n)[None, :]), 0)[0].astype(np.int64)
+            lanes = []
+            for power, at, hashes in self.lanes:
+                # Equal scores go to the earlier place.
+                keys = whole[at] * self.n + (self.n - 1 - at)
+                low = self._steps(keys, hashes)
+                high = self._steps(keys[::-1], -hashes[::-1])
+                lanes.append((power, low, high))
+            self.kinds[key] = lanes
+        return self.kinds[key]
+
+    def of(self, cases: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Positions of the cases of one kind, and per case the places of the judges to score (-1: no judge)."""
+        kinds = pd.DataFrame({"wanted": cases["category"].to_numpy(str), "demand": _demand(cases),
+                              "risk": np.clip(cases["risk"].to_numpy(float) / 100, 0.55, 1)})
+        seeds = cases["seed_hash"].to_numpy(np.uint64)
+        for key, at in kinds.groupby(["wanted", "demand", "risk"], sort=False, dropna=False).indices.items():
+            found, turn = [], {}
+            for power, (lows, low), (highs, high) in self._kind(key, cases.iloc[at[:1]]):
+                if power not in turn:
+                    # Name hashes from here on overflow.
+                    turn[power] = (1 << 32) - ((seeds[at] * np.uint64(power)) & MASK).astype(np.int64)
+                below = np.searchsorted(lows, turn[power], "left") - 1
+                above = np.searchsorted(highs, -turn[power], "right") - 1
+                found += [np.where((below >= 0)[:, None], low[below], -1), np.where((above >= 0)[:, None], high[above], -1)]
+            yield at, np.concatenate(found, axis=1)
+
+
+def _larger(frames: Iterator[pd.DataFrame], rows: int = 100_000) -> Iterator[pd.DataFrame]:
+    """Batches put together, as a kind of case costs the same for one row as for many."""
+    held: list[pd.DataFrame] = []
+    for frame in frames:
+        held.append(frame)
+        if sum(map(len, held)) >= rows:
+            yield pd.concat(held, ignore_index=True)
+            held = []
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def _best_of_few(queue: DataFrame, roster: DataFrame, k: int, carry: Sequence[str], judge_carry: Sequence[str]) -> DataFrame:
+    """As ``blocks.best_small``, with scores of the judges a ``Chooser`` names only."""
+    packed = queue.sparkSession.sparkContext.broadcast(roster.toPandas())
+    schema = T.StructType([queue.schema[c] for c in carry] + [roster.schema[c] for c in judge_carry]
+                          + [T.StructField("score", T.DoubleType()), T.StructField("rank", T.IntegerType())])
+
+    def per_partition(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table = packed.value
+        chooser = Chooser(table, k) if len(table) else None
+        for frame in _larger(frames):
+            rows, judges, scores, ranks = [], [], [], []
+            for at, few in chooser.of(frame) if chooser else ():
+                few = np.sort(few, axis=1)
+                score = np.where(few >= 0, np.round(_score(chooser.state, frame.iloc[at], few), 9), -np.inf)
+                # Places ascend, so a stable order breaks ties by place.
+                order = np.argsort(-score, axis=1, kind="stable")[:, :k]
+                r, c = np.repeat(np.arange(len(at)), order.shape[1]), order.ravel()
+                good = np.isfinite(score[r, c])
+                rows.append(at[r][good])
+                judges.append(few[r, c][good])
+                scores.append(score[r, c][good])
+                ranks.append(np.tile(np.arange(1, order.shape[1] + 1, dtype=np.int32), len(at))[good])
+            if rows:
+                out = pd.concat([frame[list(carry)].iloc[np.concatenate(rows)].reset_index(drop=True),
+                                 table[list(judge_carry)].iloc[np.concatenate(judges)].reset_index(drop=True)], axis=1)
+                out["score"], out["rank"] = np.concatenate(scores), np.concatenate(ranks)
+                yield out
+
+    return queue.mapInPandas(per_partition, schema)
+
+
 def rank_judges(cases: DataFrame, judges: DataFrame, k: int = 1, seed: str = "seed", limit: int = SMALL_ROWS) -> DataFrame:
     """The best ``k`` judges of every case; see ``_ranked``."""
     return _ranked(cases, judges, k, seed, limit).drop("wanted")
@@ -126,10 +324,11 @@ def _ranked(cases: DataFrame, judges: DataFrame, k: int = 1, seed: str = "seed",
     """Best ``k`` judges per case, by score, then lower utilisation, then name.
 
     ``cases`` needs ``case_id, category, severity, risk`` and a seed text. Of the roster only
-    the ``contenders`` are scored. Up to ``limit`` of them are shipped to the cases, which stay
-    where they are; more are scored in case-block x roster-cell groups.
+    the undominated ``contenders`` are used. Up to ``limit`` of them are shipped to the cases, which
+    stay where they are, and a case is scored against the few its ``Chooser`` names; more are scored
+    in case-block x roster-cell groups.
     """
-    roster = stored(contenders(_roster_columns(judges), k), "contenders")
+    roster = _fewest(contenders(_roster_columns(judges), k), k, limit)
     queue = cases.select(
         "case_id", "category", "severity", "risk",
         H.rolling31(F.concat(X.blank(seed), F.lit(":"))).alias("seed_hash"),
@@ -139,8 +338,8 @@ def _ranked(cases: DataFrame, judges: DataFrame, k: int = 1, seed: str = "seed",
         ordered = roster.orderBy("utilization", "judge_name", "judge_id").select(
             *roster.columns, F.col("category").alias("judge_category")
         )
-        best = P.best_small(
-            queue, ordered, _prepare, _score, k, ["case_id", "category", "severity", "risk"],
+        best = _best_of_few(
+            queue, ordered, k, ["case_id", "category", "severity", "risk"],
             ["judge_id", "judge_name", "utilization", "availability", "used", "judge_category"],
         ).withColumnRenamed("category", "wanted")
     else:

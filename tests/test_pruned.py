@@ -141,6 +141,36 @@ def test_contenders_hold_every_chosen_judge(spark):
     assert kept < 450
 
 
+def many_judges(spark, n, seed):
+    rng = random.Random(seed)
+    rows = [(f"j{i}", "Judge " + "x" * rng.choice([0, 0, 3]) + str(i % (n // 2)), rng.choice(["High Court", "District Court", None]),
+             rng.choice(["Criminal", "Civil", "Other"]), rng.randrange(40), rng.choice([0, 20, 50]), rng.randrange(60),
+             rng.choice(["Available", "Busy", "On Leave"])) for i in range(n)]
+    return spark.createDataFrame(rows, "id string, name string, court_level string, category string, years_of_experience int, "
+                                       "case_load_capacity int, current_case_load int, availability string")
+
+
+@pytest.mark.parametrize("k", [1, 3])
+def test_chosen_judges_equal_scoring_all(spark, k):
+    """The judges a chooser names hold the best of every case, and only a bounded number is scored for each."""
+    judges = many_judges(spark, 3000, 5)
+    cases = spark.createDataFrame([(i, ["Criminal", "Civil", "Other"][i % 3], ["Critical", "High", "Low"][i % 5 % 3], i % 100, f"seed {i * i}")
+                                   for i in range(400)], "case_id long, category string, severity string, risk int, seed string")
+    got = sorted((r.case_id, r["rank"], r.judge_id, r.score) for r in J.rank_judges(cases, judges, k).collect())
+    roster = J._roster_columns(judges).orderBy("utilization", "judge_name", "judge_id").toPandas()
+    queue = cases.select("case_id", "category", "severity", "risk", J.H.rolling31(F.concat("seed", F.lit(":"))).alias("seed_hash")).toPandas()
+    scores = J._score(J._prepare(roster), queue)
+    want = []
+    for c in range(len(queue)):
+        best = sorted(range(len(roster)), key=lambda j: (-scores[c, j], j))[:k]
+        want += [(c, n + 1, roster["judge_id"][j], int(scores[c, j])) for n, j in enumerate(best)]
+    assert got == want
+    chooser = J.Chooser(roster, k)
+    assert max(few.shape[1] for _, few in chooser.of(queue)) <= 2 * k * len(chooser.lanes) < len(roster) / 4
+    copies = J.pd.concat([roster.assign(judge_id=roster["judge_id"] + f"-{i}") for i in range(8)], ignore_index=True)
+    assert J._undominated(copies, k).sum() <= k * len(roster) < len(copies) / 2
+
+
 # ---- quantiles -----------------------------------------------------------------
 @pytest.mark.parametrize("keep", [0, 50, 10_000])
 def test_exact_quantiles(spark, keep):
