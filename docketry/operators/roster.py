@@ -112,7 +112,9 @@ def _undominated(r: pd.DataFrame, k: int) -> np.ndarray:
         if len(at) <= k:
             keep[at] = True
             continue
-        edges = np.unique(np.quantile(h, SHARES, method="lower"))
+        edges = np.unique(h)
+        if len(edges) > 2 * len(SHARES):
+            edges = np.unique(np.quantile(h, SHARES, method="lower"))
         for side in (1, -1):
             free = np.ones(len(at), bool)
             for edge in edges:
