@@ -143,31 +143,46 @@ def schedule_stream(requests: DataFrame, expire_ms: int | None = None) -> DataFr
     )
 
 
-class ExpiringGuard(SlotGuard):
-    """The slot guard with a timer at the end of the hearing's day and ``keep_ms`` more."""
+class ExpiringGuard(StatefulProcessor):
+    """The slot guard for all slots of a judge's day, which leave the state together: a call, a state value and a timer
+    per day instead of one per slot. The timer is at the end of the day and ``keep_ms`` more."""
 
     def __init__(self, keep_ms: int):
-        super().__init__()
         self.keep_ms = keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
         self.handle = handle
+        self.holders = handle.getValueState("holders", "slots ARRAY<STRING>, ids ARRAY<STRING>, cases ARRAY<STRING>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        known = self.holder.exists()
-        yield from super().handleInputRows(key, rows, timer_values)
-        if not known:
+        batch = pd.concat(list(rows)).sort_values(["seq", "id"])
+        known = self.holders.get() if self.holders.exists() else None
+        held = {} if known is None else dict(zip(known[0], zip(known[1], known[2])))
+        before = len(held)
+        out = []
+        for slot, row_id, case_id in zip(batch["slot"], batch["id"], batch["case_id"]):
+            holder = held.setdefault(slot, (row_id, case_id))
+            mine = holder[0] == row_id
+            out.append((*key, slot, row_id, case_id, mine, None if mine else holder[1]))
+        if len(held) > before:
+            self.holders.update((list(held), [h[0] for h in held.values()], [h[1] for h in held.values()]))
+        if known is None:
             day = pd.Timestamp(key[1], tz="UTC")
             self.handle.registerTimer(int(day.timestamp() * 1000) + 86_400_000 + self.keep_ms)
+        yield pd.DataFrame(
+            out, columns=["judge_id", "hearing_date", "slot", "id", "case_id", "accepted", "incumbent_case"]
+        )
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.holder.clear()
+        self.holders.clear()
         yield pd.DataFrame(columns=["judge_id", "hearing_date", "slot", "id", "case_id", "accepted", "incumbent_case"])
 
+    def close(self) -> None:
+        pass
+
 
 def schedule_stream_expiring(requests: DataFrame, lateness: str = "10 minutes", keep_ms: int = 0) -> DataFrame:
     """``schedule_stream`` over requests with an event time ``ts``: a slot leaves the state when the watermark has
     passed its day, after which no request for it is in time."""
-    return requests.withWatermark("ts", lateness).groupBy("judge_id", "hearing_date", "slot").transformWithStateInPandas(
+    return requests.withWatermark("ts", lateness).groupBy("judge_id", "hearing_date").transformWithStateInPandas(
         statefulProcessor=ExpiringGuard(keep_ms), outputStructType=SLOT_OUT, outputMode="Append", timeMode="EventTime")

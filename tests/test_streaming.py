@@ -169,6 +169,18 @@ def test_slots_leave_the_state_after_their_day(spark, tmp_path):
     assert full == 12 and left < 2 * full
 
 
+def test_slots_of_a_day_share_one_state_value(spark, tmp_path):
+    """A day's slots are held together over batches: one state row and one timer for any number of slots."""
+    day = dt.date(2026, 3, 5)
+    rows = [(f"h{i:02}", i, f"case{i}", "j", day, f"{i % 15}:00", at(i), i // 25) for i in range(50)]
+    schema = "id STRING, seq BIGINT, case_id STRING, judge_id STRING, hearing_date DATE, slot STRING, ts TIMESTAMP, part INT"
+    batch, stream = as_stream(spark, rows, schema, tmp_path, "shared_day")
+    left = state_rows(S.schedule_stream_expiring(stream), "shared_day", tmp_path)
+    got = {(r.id, r.accepted, r.incumbent_case) for r in spark.table("shared_day").collect()}
+    assert got == {(r.id, r.accepted, r.incumbent_case) for r in H.schedule(batch).collect()}
+    assert sum(1 for r in got if r[1]) == 15 and left < 15
+
+
 def test_late_rows_are_counted_once(spark, tmp_path):
     out = str(tmp_path / "late")
     write = V.late_sink(out, "1 minute", "1 minute")
