@@ -120,6 +120,30 @@ def test_rule_table_without_key_and_without_rules(spark):
     assert U.term_hits(frame.limit(0).withColumn("k", F.lit(1)), U.rule_terms(table), "k").count() == 0
 
 
+def test_rule_terms_are_looked_for_in_distinct_units(spark):
+    texts = [(1, "theron eau\nof the"), (2, "eau  of"), (3, "heron\tof"), (4, " of "), (5, "xof thex"), (6, "eau\u00a0of"), (7, None)]
+    terms = ["hero", "eau\nof", "eau  of", "of", " of", "of ", "of the", " ", "u of", "eau\u00a0o", ""]
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    table = spark.createDataFrame([(t,) for t in terms], "term string")
+    for match in ("substring", "word"):
+        got = {tuple(r) for r in U.term_hits(frame, table, "doc_id", match=match).collect()}
+        edge = (r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])") if match == "word" else ("", "")
+        assert got == {(k, t) for k, x in texts for t in terms if re.search(edge[0] + re.escape(t) + edge[1], x or "")}
+    units = spark.createDataFrame([("theron",), ("of",)], "unit string")
+    assert [tuple(r) for r in U._unit_hits(units, table.where("term in ('hero', 'heroes')"), 3).collect()] == [("theron", "hero")]
+
+
+def test_equal_rules_and_rules_of_one_hit_meet_no_texts(spark):
+    """Many rules that share a frequent term, and copies of them, give a text one row for that term."""
+    rules = [(k, ["an", f"word{k % 50}"]) for k in range(1, 1001)]
+    table = spark.createDataFrame(rules, "ord int, terms array<string>")
+    kept = U._earliest(U.rule_terms(table))
+    assert sorted(r.ord for r in kept.select("ord").distinct().collect()) == list(range(1, 51))
+    hits = spark.createDataFrame([(d, "an") for d in range(100)] + [(7, "word9"), (8, "word3")], "doc_id long, term string")
+    best = {r.doc_id: tuple(r[1]) for r in U._best_rules(hits, kept, "doc_id").collect()}
+    assert best == {d: {7: (2, -9), 8: (2, -3)}.get(d, (1, -1)) for d in range(100)}
+
+
 # ---- roster --------------------------------------------------------------------
 def test_contenders_hold_every_chosen_judge(spark):
     rng = random.Random(9)
