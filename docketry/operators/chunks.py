@@ -5,13 +5,18 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketry.functions import hashing as H
 from docketry.functions import lexicon as L
 from docketry.functions import text as X
+from docketry.plans import tokens as W
 
+FEATURES = (
+    "tokens array<string>, counts array<int>, first array<smallint>, second array<smallint>, length int, norm double"
+)
 # fixed values: window, overlap, minimum length, weight of the second hash
 CHUNK_WORDS = 110
 CHUNK_OVERLAP = 24
@@ -92,9 +97,8 @@ def is_low_quality(c: X.ColumnLike, prose: str = L.PROSE_MARKERS, squashed: bool
     """
 
     def too_thin(t: Column) -> Column:
-        # Each match runs from three letters to the end of its word: one per such word.
-        plain = F.regexp_count(t, F.lit(f"[a-z]{{3,}}[^ ]*"))
-        return (F.length(t) < 85) | (plain < 12)
+        # Twelve words with three letters: each step runs from the letters to the end of the word.
+        return (F.length(t) < 85) | ~t.rlike(r"(?s)^(?:(?>.*?[a-z]{3})[^ ]*+){12}")
 
     def listed(raw: Column) -> Column:
         return (
@@ -194,26 +198,15 @@ def with_features(chunks: DataFrame, rules: ChunkRules = ChunkRules()) -> DataFr
     """Token, frequency, length, bucket and norm columns of a chunk table."""
     stop = list(rules.stop)
 
-    # Three steps, so that a reader of one feature does not pay for the others.
-    counted = chunks.select(
-        "*",
-        X.let(
-            X.without(X.words("text"), stop),
-            lambda w: F.struct(F.array_distinct(w).alias("tokens"), X.frequencies(w).alias("token_freq")),
-        ).alias("__w"),
-    ).select(*chunks.columns, "__w.tokens", "__w.token_freq")
-    out = counted.select(
-        "*",
-        # The vector also covers the title.
-        X.let(
-            F.array_union(X.tokens("title", stop), F.col("tokens")),
-            lambda t: F.struct(H.buckets(t, H.SEED_A).alias("first"), H.buckets(t, H.SEED_B).alias("second")),
-        ).alias("sparse"),
-    )
+    @F.arrow_udf(FEATURES)
+    def measured(titles: pa.Array, texts: pa.Array) -> pa.Array:
+        return W.features(titles, texts, pa.array(stop, pa.string()), SECOND_WEIGHT)
+
+    # The vector also covers the title.
+    out = chunks.select("*", measured(F.lower(X.blank("title")), F.lower(X.blank("text"))).alias("__w"))
     return out.select(
-        "*",
-        F.aggregate(F.map_values("token_freq"), F.lit(0), lambda s, n: s + n).alias("length"),
-        F.sqrt(H.squared_norm(F.col("sparse.first"), F.col("sparse.second"), SECOND_WEIGHT)).alias("norm"),
+        *chunks.columns, "__w.tokens", F.map_from_arrays("__w.tokens", "__w.counts").alias("token_freq"),
+        F.struct("__w.first", "__w.second").alias("sparse"), "__w.length", "__w.norm",
     )
 
 

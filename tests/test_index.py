@@ -2,6 +2,7 @@
 
 import math
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -174,3 +175,25 @@ def test_norms_of_long_texts(spark):
     many = spark.range(1).select(F.array_repeat(F.lit(7).cast("smallint"), 5000).alias("a"))
     got = many.select(H.squared_norm(F.col("a"), F.col("a"), 0.45).alias("n")).first().n
     assert abs(got - (5000 * 1.45) ** 2) < 1e-3
+
+
+def test_token_features_equal_the_expressions(spark):
+    """Runs end with their row, repeats and titles count, and the batch kernel equals the column builders."""
+    from docketry.functions import hashing as H
+    from docketry.functions import text as X
+    from docketry.plans import tokens as W
+
+    stop = ["the", "and"]
+    texts = ["", "abc", "abc de fgh the", "fghé12abéABC", None, "a" * 3000 + " zz9 and zz9", "xyz", "İstanbul KKk abc"]
+    frame = spark.createDataFrame([(i, "The Abc new", t) for i, t in enumerate(texts)], "id long, title string, text string")
+    rules = C.ChunkRules(stop=tuple(stop))
+    both = F.array_union(X.tokens("title", stop), X.tokens("text", stop))
+    want = frame.select(
+        "id", X.tokens("text", stop).alias("tokens"), X.frequencies(X.without(X.words("text"), stop)).alias("token_freq"),
+        H.buckets(both, H.SEED_A).alias("first"), H.buckets(both, H.SEED_B).alias("second"))
+    want = want.withColumn("norm", F.sqrt(H.squared_norm(F.col("first"), F.col("second"), C.SECOND_WEIGHT)))
+    got = C.with_features(frame, rules).select("id", "tokens", "token_freq", "sparse.first", "sparse.second", "norm")
+    assert sorted(map(tuple, got.collect()), key=lambda r: r[0]) == sorted(map(tuple, want.collect()), key=lambda r: r[0])
+    assert all(r.length == sum(r.token_freq.values()) for r in C.with_features(frame, rules).collect())
+    owner, found = W.words(pa.array(["no", "aab", "ccd"]).slice(1))
+    assert list(owner) == [0, 1] and found.to_pylist() == ["aab", "ccd"]
