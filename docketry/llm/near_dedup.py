@@ -36,6 +36,8 @@ from docketry.llm.graph import components
 from docketry.llm.names import unused
 from docketry.plans.tables import stored
 
+# Links that one task writes in a step of the components
+ROWS_A_TASK = 200_000
 _SIGNED = "id bigint, hi bigint, lo bigint, n_shingles bigint, sig binary, bands array<bigint>"
 
 
@@ -257,7 +259,7 @@ def _late_links(near: DataFrame, docs: DataFrame, sigs: DataFrame, p: NearDedup)
     few pivots rule out most pairs; all others are counted on the full sets. Pairs of
     components that a link has joined already are passed over.
     """
-    clusters = components(near.select(F.col("root").alias("u"), F.col("other").alias("v")))
+    clusters = components(near.select(F.col("root").alias("u"), F.col("other").alias("v")), ROWS_A_TASK)
     members = stored(near.select("id", "root").distinct().join(
         clusters.select(F.col("node").alias("root"), F.col("root").alias("cluster")), "root"), "near-clusters")
     cells = _cells(members, "cluster", p.block).join(docs.toDF("id", "text"), "id").join(sigs.select("id", "sig"), "id")
@@ -324,7 +326,7 @@ def near_components(docs: DataFrame, p: NearDedup = NearDedup()) -> DataFrame:
     pairs = stored(_likely(star_pairs(members, p.salts), sigs, p), "near-pairs")
     texts = docs.where("id is not null")
     links = stored(_links(pairs, texts, p), "near-links")
-    roots = stored(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "near-roots")
+    roots = stored(components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), ROWS_A_TASK), "near-roots")
     shared = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     crowded = members.join(stored(shared, "near-shared"), "key", "left_semi")
     near = stored(_open(crowded, roots, sigs, p), "near-alike")
@@ -332,7 +334,7 @@ def near_components(docs: DataFrame, p: NearDedup = NearDedup()) -> DataFrame:
     repeated = _repeated_ids(full, classes)
     stars = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
     edges = stars.union(more.select(F.col("a").alias("u"), F.col("b").alias("v"))).union(repeated)
-    roots = stored(components(edges), "near-roots")
+    roots = stored(components(edges, ROWS_A_TASK), "near-roots")
     rows = signed.select("id", "hi", "lo", "n_shingles").join(classes, ["hi", "lo"], "left").join(
         roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
     return rows.select(

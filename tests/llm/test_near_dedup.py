@@ -108,3 +108,28 @@ def test_alike_components_without_a_link(spark):
     for block in (1024, 16):
         found = N.near_components(spark.createDataFrame(rows, "i long, t string"), N.NearDedup(shingle=4, block=block)).collect()
         assert {r.id: r.component_id for r in found} == brute(rows, 4, 80)[0]
+
+
+def test_component_steps_write_what_their_rows_need(spark, monkeypatch):
+    """With many shuffle partitions a step of few links is one task, not one a partition."""
+    from docketry.llm import graph, near_dedup
+
+    seen, real = [], graph.stored
+
+    def noted(rows, name):
+        seen.append((name, rows.rdd.getNumPartitions()))
+        return real(rows, name)
+
+    monkeypatch.setattr(graph, "stored", noted)
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    words = [f"w{i}" for i in range(60)]
+    rows = [(g * 10 + i, " ".join([*words[:50], f"g{g}", f"x{i}"])) for g in range(3) for i in range(3)]
+    try:
+        for key, value in (("spark.sql.shuffle.partitions", "7"), ("spark.sql.adaptive.enabled", "false")):
+            spark.conf.set(key, value)
+        near_dedup.near_components(spark.createDataFrame(rows, "id long, text string"), near_dedup.NearDedup(shingle=4)).collect()
+    finally:
+        for key, value in kept.items():
+            spark.conf.set(key, value)
+    steps = [n for name, n in seen if name in ("links-low", "links-large")]
+    assert steps and set(steps) == {1}
