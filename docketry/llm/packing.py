@@ -44,6 +44,8 @@ class Encoder:
 
     REMEMBERED = 700_000
     LONGEST = 48
+    # Words that go through the tokenizer as one text
+    TOGETHER = 2_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -57,6 +59,22 @@ class Encoder:
         found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in found]
 
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of each of the words, those of a blank and letters in one text of many, as they stand in a text anyway."""
+        lettered = [x for x in words if x[:1] == " " and x[1:].isalpha()]
+        known: dict[str, bytes] = {}
+        for at in range(0, len(lettered), self.TOGETHER):
+            part = lettered[at:at + self.TOGETHER]
+            found = self.tokenizer.encode("".join(part), add_special_tokens=False)
+            ids, owner = np.array(found.ids, "<u4").tobytes(), np.array(found.word_ids, np.int64)
+            starts = np.flatnonzero(np.diff(owner, prepend=-1)) * 4
+            # One part of the text per word, or the tokenizer sees other letters.
+            if len(starts) == len(part):
+                known.update(zip(part, map(ids.__getitem__, map(slice, starts.tolist(), [*starts[1:].tolist(), len(ids)])), strict=True))
+        others = [x for x in words if x not in known]
+        known.update(zip(others, self.encode(others), strict=True))
+        return [known[x] for x in words]
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > self.REMEMBERED:
             self.known = {}
@@ -70,7 +88,7 @@ class Encoder:
         missing = {x for own in parts if own for x in own if x not in self.known}
         pairs = {x: m.groups() for x in missing if (m := _WORD_AND_SIGNS.fullmatch(x))}
         alone = [x for x in missing.difference(pairs).union(*pairs.values()) if x not in self.known]
-        new = dict(zip(alone, self.encode(alone), strict=True))
+        new = dict(zip(alone, self.encode_words(alone), strict=True))
         for x, (word, signs) in pairs.items():
             new[x] = (new.get(word) or self.known[word]) + (new.get(signs) or self.known[signs])
         self.known.update((k, v) for k, v in new.items() if len(k) <= self.LONGEST)

@@ -83,3 +83,16 @@ def test_sequences_hold_the_ids(spark):
     rows = K.sequences(K.packed_documents(docs, PATH)).collect()
     assert len(rows) == 1 and len(rows[0].members) == 4 and len(rows[0].ids) == 4 * rows[0].length
     assert K.sequences(K.packed_documents(docs.limit(0), PATH)).collect() == []
+
+
+def test_words_encoded_together_have_the_ids_of_each():
+    import public_tokenizers
+
+    from docketry.llm.packing import Encoder
+
+    words = [" the", " é", " ǅab", " x́y", " कि", "the", " 12ab", " a1", " b's", " ²b", " ªb", " Ɤa", " \U0001e900b", " ", ""]
+    words += [f" {a}{b}" for a in "abcxyz" for b in ("tion", "ment", "qq", "é")]
+    one = Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert one.encode_words(words) == one.encode(words)
+    one.TOGETHER = 3
+    assert one.encode_words(words) == one.encode(words)
