@@ -6,6 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +16,7 @@ from docketry.functions import lexicon as L
 from docketry.functions import text as X
 from docketry.operators.triage import triage
 from docketry.plans import blocks as P
+from docketry.plans import tokens as W
 from docketry.plans.sizing import SMALL_ROWS, fits
 from docketry.plans.tables import stored
 
@@ -322,6 +324,16 @@ def rank_judges(cases: DataFrame, judges: DataFrame, k: int = 1, seed: str = "se
     return _ranked(cases, judges, k, seed, limit).drop("wanted")
 
 
+def _seed_hash(seed: Column) -> Column:
+    """``hashing.rolling31`` for seeds that may be whole texts."""
+
+    @F.arrow_udf("bigint")
+    def hashed(seeds: pa.Array) -> pa.Array:
+        return W.rolling31(seeds)
+
+    return hashed(seed)
+
+
 def _ranked(cases: DataFrame, judges: DataFrame, k: int = 1, seed: str = "seed", limit: int = SMALL_ROWS) -> DataFrame:
     """Best ``k`` judges per case, by score, then lower utilisation, then name.
 
@@ -333,7 +345,7 @@ def _ranked(cases: DataFrame, judges: DataFrame, k: int = 1, seed: str = "seed",
     roster = _fewest(contenders(_roster_columns(judges), k), k, limit)
     queue = cases.select(
         "case_id", "category", "severity", "risk",
-        H.rolling31(F.concat(X.blank(seed), F.lit(":"))).alias("seed_hash"),
+        _seed_hash(F.concat(X.blank(seed), F.lit(":"))).alias("seed_hash"),
     )
     kept = ["case_id", "severity", "risk", F.col("category").alias("wanted")]
     if fits(roster, limit):

@@ -59,6 +59,17 @@ def fnv1a(tokens: pa.Array, seed: int) -> np.ndarray:
     return back
 
 
+def rolling31(texts: pa.Array) -> pa.Array:
+    """``hashing.rolling31`` of whole texts, a text at a time."""
+    longest = int(pc.max(pc.utf8_length(texts)).as_py() or 0)
+    power = np.cumprod(np.concatenate([[1], np.full(longest, 31)]).astype(np.uint32), dtype=np.uint32)[:-1][::-1]
+    out = np.zeros(len(texts), np.int64)
+    for i, text in enumerate(texts.to_pylist()):
+        signs = np.frombuffer((text or "").encode("utf-32-le"), np.uint32)
+        out[i] = int((signs * power[longest - len(signs):]).sum(dtype=np.uint32))
+    return pa.array(out)
+
+
 def _lists(owner: np.ndarray, rows: int, values: pa.Array) -> pa.Array:
     offsets = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=rows))]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), values)

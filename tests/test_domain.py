@@ -266,3 +266,15 @@ def test_bookings(spark):
     assert {(r.id, r.accepted, r.incumbent_case) for r in S.schedule(h).collect()} == {
         ("h1", True, None), ("h2", False, "a"), ("h3", True, None), ("h4", True, None)}
     assert {(r.id, r.other_case) for r in S.room_conflicts(h).collect()} == {("h1", "b"), ("h2", "a"), ("h3", "b")}
+
+
+def test_seeds_may_be_whole_texts(spark):
+    texts = ["", "case 1:Justice A", "Straße 𝒜\n" * 3_000, None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t STRING").select(H.rolling31("t").alias("a"), J._seed_hash(X.blank("t")).alias("b"))
+    assert all(r.a == r.b for r in rows.collect())
+    # The hash of a seed is not an expression over its signs, one array entry each.
+    queue = spark.createDataFrame([(1, "Criminal", "High", 50, texts[2])], "case_id INT, category STRING, severity STRING, risk INT, seed STRING")
+    judge = [("j1", "A", "High Court", "Criminal", 5, 10, 1, "Available", "")]
+    judges = spark.createDataFrame(judge, "id STRING, name STRING, court_level STRING, category STRING, years_of_experience INT, case_load_capacity INT, current_case_load INT, availability STRING, district STRING")
+    plan = J.rank_judges(queue, judges)._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(split(" not in plan
