@@ -5,15 +5,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from docketry.functions import lexicon as L
 from docketry.functions import text as X
+from docketry.plans import prose as P
 
 NUMERIC_YES = rf"^(?:1|1\.0)$|{X.word_re(r'decision\s*:\s*1(?:\.0)?', True)}"
 NUMERIC_NO = rf"^(?:0|0\.0)$|{X.word_re(r'decision\s*:\s*0(?:\.0)?', True)}"
-NOISE_MARKERS = r"(?i)cited|decision|judge|issue|filter|[{}\[\]']"
 JUDGMENT_CHARS = 320
 
 
@@ -33,10 +34,20 @@ def judgment_excerpt(full_text: X.ColumnLike, decision: X.ColumnLike, summary: X
         ]
         return F.trim(F.substring(F.coalesce(*found, source), 1, JUDGMENT_CHARS))
 
+    if P.plain_words(anchors):
+        wanted = tuple(anchors)
+
+        @F.arrow_udf("string")
+        def quoted(texts: pa.Array) -> pa.Array:
+            return P.quoted(texts, wanted, JUDGMENT_CHARS)
+
+        read = F.nullif(quoted(X.blank(full_text)), F.lit(""))
+    else:
+        read = X.let(X.squash(full_text), lambda s: F.when(s != "", from_text(s)))
     given = X.squash(decision)
     stand_in = F.coalesce(F.nullif(X.squash(summary), F.lit("")), F.lit("Judgment text unavailable."))
     return F.when(F.length(given) > 2, F.substring(given, 1, JUDGMENT_CHARS)).otherwise(
-        X.let(X.squash(full_text), lambda s: F.when(s == "", stand_in).otherwise(from_text(s)))
+        F.coalesce(read, stand_in)
     )
 
 
@@ -99,9 +110,15 @@ def final_verdict(outcome: X.ColumnLike, title: X.ColumnLike) -> Column:
 
 def case_type(c: X.ColumnLike, variant: str = "import", rules: Sequence[tuple[str, str]] | None = None) -> Column:
     """Type by the first matching pattern of a rule list (plain substrings, no word edges)."""
-    return X.first_rule(
-        F.lower(X.blank(c)), rules or L.CASE_TYPE_RULES[variant], L.CASE_TYPE_DEFAULT[variant]
-    )
+    rules, default = tuple(rules or L.CASE_TYPE_RULES[variant]), L.CASE_TYPE_DEFAULT[variant]
+    if not P.portable(rules):
+        return X.first_rule(F.lower(X.blank(c)), rules, default)
+
+    @F.arrow_udf("string")
+    def typed(texts: pa.Array) -> pa.Array:
+        return P.labels(texts, rules, default)
+
+    return typed(X.blank(c))
 
 
 def similarity(title: X.ColumnLike, issues: X.ColumnLike, decision: X.ColumnLike, citation: X.ColumnLike) -> Column:
@@ -187,40 +204,23 @@ def verdict_signal(c: X.ColumnLike, signals: Sequence[tuple[int, str]] = tuple(L
 
 def summary(c: X.ColumnLike, cues: Sequence[tuple[int, str]] = tuple(L.SUMMARY_CUES)) -> Column:
     """Three best sentences by cue words, at most 420 characters; equal scores keep text order."""
+    cues = tuple(cues)
 
-    def best(text: Column) -> Column:
-        sentences = F.filter(
-            F.transform(F.split(text, rf"(?<=[.!?]){X.SPACE}+"), lambda s: F.trim(s)),
-            lambda s: (F.length(s) > 25) & ~s.rlike(L.SUMMARY_JUNK),
-        )
+    @F.arrow_udf("string")
+    def summed_up(texts: pa.Array) -> pa.Array:
+        return P.summaries(texts, cues)
 
-        def ranked(s: Column, i: Column) -> Column:
-            low = F.lower(s)
-            points = [F.when(low.rlike(p), n).otherwise(0) for n, p in cues]
-            points.append(F.when(low.rlike(X.word_re(r"\d+\.\d+")), -2).otherwise(0))
-            names = low.rlike(rf"v\.{X.SPACE}") & (F.regexp_count(low, F.lit(r"v\.")) >= 3)
-            points.append(F.when(names, -2).otherwise(0))
-            return F.struct((-reduce(lambda a, b: a + b, points)).alias("p"), i.alias("i"), s.alias("s"))
-
-        top = F.transform(F.slice(F.sort_array(F.transform(sentences, ranked)), 1, 3), lambda r: r["s"])
-        plain = F.trim(F.regexp_replace(F.substring(text, 1, 260), r"[{}'\"]", ""))
-        return X.let(
-            F.array_join(top, " "),
-            lambda j: F.when(j != "", F.trim(F.substring(j, 1, 420)))
-            .when(F.length(plain) < 30, F.lit(L.SUMMARY_FALLBACK))
-            .otherwise(plain),
-        )
+    return summed_up(X.blank(c))
 
-    # The passes leave text without any marker untouched.
-    cleaned = X.let(
-        X.blank(c),
-        lambda t: X.squash(
-            F.when(t.rlike(NOISE_MARKERS), X.scrub(t, [(p, " ") for p in L.SUMMARY_NOISE])).otherwise(t)
-        ),
-    )
-    return X.let(
-        cleaned, lambda t: F.when(F.length(t) < 20, F.lit(L.SUMMARY_FALLBACK)).otherwise(best(t))
-    )
+
+def squashed(c: X.ColumnLike) -> Column:
+    """``X.squash`` for whole texts."""
+
+    @F.arrow_udf("string")
+    def squash(texts: pa.Array) -> pa.Array:
+        return P.squashed(texts)
+
+    return squash(X.blank(c))
 
 
 def display_text(c: X.ColumnLike) -> Column:

@@ -278,3 +278,42 @@ def test_seeds_may_be_whole_texts(spark):
     judges = spark.createDataFrame(judge, "id STRING, name STRING, court_level STRING, category STRING, years_of_experience INT, case_load_capacity INT, current_case_load INT, availability STRING, district STRING")
     plan = J.rank_judges(queue, judges)._jdf.queryExecution().optimizedPlan().toString()
     assert "aggregate(split(" not in plan
+
+
+TEXTS = [
+    None, "", " \n", "İncome tax\x0bof article\x0b12", "ARTICLE 12 and the LEASE", "income\x85tax; INCOME.TAX", "no rule here, a loſs", "the writ of mandamus",
+    "The court held that 1.5 acres go. Und der Rest?  Judge: X; Issues: a long question of who pays the rest of it. CITED cases: {a} b",
+    "in the matter of the whole thing 1999. the v. x v. y v. z sentence is a long one! 12 . 13 \x00 the und ther sch, a long sentence. C-x] a long one goes here now.",
+    "é" * 400 + " held that " + "𝒜b " * 300, "a'b' , 'c': 12.5 [x] {y} Filter: zzz; the sentence is here and there, for as long as it takes.",
+]
+
+
+def test_types_by_rules_equal_the_patterns(spark):
+    rows = spark.createDataFrame([(t,) for t in TEXTS], "t STRING")
+    for variant, rules in L.CASE_TYPE_RULES.items():
+        plain = X.first_rule(F.lower(X.blank("t")), rules, L.CASE_TYPE_DEFAULT[variant])
+        typed = rows.select(plain.alias("a"), E.case_type("t", variant).alias("b"))
+        # Whole texts go through the rules in Arrow columns.
+        assert "ArrowEvalPython" in typed.select("b")._jdf.queryExecution().executedPlan().toString()
+        assert all(r.a == r.b for r in typed.collect())
+    looks = [("A", r"(?<![a-z])tax\b"), ("B", "[l]ease")]
+    assert [r.b for r in rows.select(E.case_type("t", "import", looks).alias("b")).collect()][3:5] == ["A", "B"]
+
+
+def test_excerpts_equal_the_patterns(spark):
+    rows = spark.createDataFrame([(t,) for t in TEXTS], "t STRING")
+    anchors = ("held that", "the|und", "lease")
+    same = (*anchors, r"no\Wsuch")
+    got = rows.select(*[E.judgment_excerpt("t", F.lit(""), F.lit("s"), a).alias(n) for n, a in (("a", anchors), ("b", same))]).collect()
+    assert all(r.a == r.b for r in got) and got[10].a.startswith("held that 𝒜b") and got[0].a == "s"
+
+
+def test_summaries_of_odd_texts(spark):
+    cues = ((3, "the|und"), (2, "sch"))
+    got = [r.s for r in spark.createDataFrame([(t,) for t in TEXTS], "t STRING").coalesce(1).select(E.summary("t", cues).alias("s")).collect()]
+    assert got[:3] == [L.SUMMARY_FALLBACK] * 3
+    assert got[8] == "; a long question of who pays the rest of it. The court held that 1.5 acres go."
+    assert got[9] == "13 the und ther sch, a long sentence. in the matter of the whole thing 1999. C-x a long one goes here now."
+    assert got[10] == "é" * 400 + " held that 𝒜b 𝒜b 𝒜b"
+    plan = spark.range(1).select(E.summary(F.lit("a")).alias("s"))._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan
