@@ -71,10 +71,9 @@ def import_records(records: DataFrame, ord_column: str | None = None, summary_ch
     title, issues = X.trim_wide("case_title"), X.trim_wide("issues")
     kind = E.case_type(F.concat_ws(" ", title, issues))
     lead = F.when((issues != "") & ~F.lower(issues).contains("section"), issues if summary_chars is None else F.substring(issues, 1, summary_chars))
-    body = F.concat_ws(
-        " ", *[F.nullif(X.trim_wide(c), F.lit("")) for c in ("judges_name_s", "issues", "decision", "cited_cases")]
-    )
-    return records.select(
+    body = F.concat_ws(" ", *[X.blank(c) for c in ("judges_name_s", "issues", "decision", "cited_cases")])
+    # Told by the first sign of the body, which is not squashed for it.
+    return records.filter((F.length(title) > 0) & body.rlike(f"[^{X.SPACE_CLASS}\\u0000]")).select(
         order.cast("bigint").alias("ord"),
         F.concat(F.lit("IN-SC-"), F.when(F.length(number) >= 6, number).otherwise(F.lpad(number, 6, "0"))).alias("case_id"),
         title.alias("title"),
@@ -84,7 +83,7 @@ def import_records(records: DataFrame, ord_column: str | None = None, summary_ch
         X.trim_wide("citation").alias("citation"),
         kind.alias("case_type"),
         F.concat_ws(". ", title, F.concat(kind, F.lit(" case")), lead).alias("summary"),
-        X.squash(body).alias("full_text"),
+        E.squashed(body).alias("full_text"),
         F.lit("").alias("source_url"),
         F.lit("import").alias("source_name"),
-    ).filter((F.length("title") > 0) & (F.length("full_text") > 0))
+    )

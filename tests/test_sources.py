@@ -182,6 +182,17 @@ def test_import_ids_do_not_depend_on_partitions(spark):
     assert sorted(r.case_id for r in unordered) == [f"IN-SC-{i + 1:06d}" for i in range(40)]
 
 
+def test_import_bodies_are_squashed_once(spark):
+    rows = [(1, " A ", None, "\u00a0 x\ty ", "a\x00\n b  ", ""), (2, "B", "", " \n\x00\u3000", "", None), (3, " ", "", "x", "", "")]
+    records = spark.createDataFrame(rows, "n INT, case_title STRING, judges_name_s STRING, issues STRING, decision STRING, cited_cases STRING").withColumns(
+        {"citation": F.lit(""), "date_of_judgment": F.lit("")})
+    got = S.import_records(records, "n")
+    # Untitled rows and those without a sign in the body go after they are numbered.
+    assert [(r.ord, r.title, r.full_text) for r in got.collect()] == [(0, "A", "x y a b")]
+    plan = got.select("ord", "full_text")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(coalesce(decision") == 0 and plan.count("squash(") == 1
+
+
 def test_a_hot_key_is_joined_where_its_rows_lie(spark, capsys):
     from docketry.plans.hot import join_by_key
 
