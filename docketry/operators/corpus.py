@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -120,17 +121,16 @@ def text_filter(cases: DataFrame, query: str, columns: Sequence[str] = (
     """Rows whose joined fields contain every blank-separated term of the query."""
     parts = [F.array_join(F.col(c), " ") if dict(cases.dtypes)[c].startswith("array") else X.blank(F.col(c).cast("string"))
              for c in columns]
-    blob = F.lower(F.concat_ws(" ", *parts))
-    out = cases
-    for term in query.strip().lower().split():
-        out = out.filter(blob.contains(term))
-    return out
+    terms = query.strip().lower().split()
+    # The fields are joined once for all terms.
+    holds = X.let(F.lower(F.concat_ws(" ", *parts)), lambda blob: reduce(lambda a, b: a & b, [blob.contains(t) for t in terms], F.lit(True)))
+    return cases.filter(holds) if terms else cases
 
 
 def facet_filter(cases: DataFrame, court: str = "All Courts", kind: str = "All Types",
                  location: str = "All Locations", query: str = "", **kwargs) -> DataFrame:
     """Facets on derived court level, type bucket and place, plus a text filter."""
-    out = text_filter(cases, query, **kwargs) if query.strip() else cases
+    out = cases
     levels = [name for name, _ in L.COURT_LEVELS]
     if court != "All Courts":
         out = out.filter(A.court_level("court") == court if court in levels else F.col("court") == court)
@@ -138,7 +138,8 @@ def facet_filter(cases: DataFrame, court: str = "All Courts", kind: str = "All T
         out = out.filter(A.type_bucket("type") == kind)
     if location != "All Locations":
         out = out.filter(A.court_location("court") == location)
-    return out
+    # Texts are read last, for the rows that are left.
+    return text_filter(out, query, **kwargs) if query.strip() else out
 
 
 def citation_table(documents: DataFrame, text: str = "text") -> DataFrame:

@@ -317,3 +317,11 @@ def test_summaries_of_odd_texts(spark):
     assert got[10] == "é" * 400 + " held that 𝒜b 𝒜b 𝒜b"
     plan = spark.range(1).select(E.summary(F.lit("a")).alias("s"))._jdf.queryExecution().executedPlan().toString()
     assert "ArrowEvalPython" in plan
+
+
+def test_texts_are_joined_once_and_after_the_facets(spark, cases):
+    raw = cases.select("id", "title", "summary", "why_match", "court", "type", "year", "tags")
+    got = K.facet_filter(raw, court="High Court", kind="Civil", query="land petition")
+    assert [r.id for r in got.collect()] == ["c2"]
+    found = got._jdf.queryExecution().optimizedPlan().toString().split("\n")[1]
+    assert "Filter" in found and found.count("concat_ws") == 1 and found.index("high") < found.index("concat_ws")
