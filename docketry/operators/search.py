@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ from docketry.functions import hashing as H
 from docketry.functions import lexicon as L
 from docketry.functions import text as X
 from docketry.plans import blocks as P
+from docketry.plans import prose as T
+from docketry.plans import tokens as W
 
 # fixed values: score weights and limits
 SECOND_WEIGHT = 0.5
@@ -50,12 +54,27 @@ def prepare_queries(q: pd.DataFrame) -> dict:
     }
 
 
+def _hashed(texts: pa.Array) -> np.ndarray:
+    """``hashed_matrix`` of lower-cased texts."""
+    owner, tokens = W.words(texts)
+    coded = tokens.dictionary_encode()
+    code = coded.indices.to_numpy(zero_copy_only=False)
+    out = np.zeros((len(texts), H.DIMS))
+    for seed, weight in ((H.SEED_A, 1.0), (H.SEED_B, SECOND_WEIGHT)):
+        buckets = (W.fnv1a(coded.dictionary, seed) % np.uint64(H.DIMS)).astype(np.int64)
+        out += weight * P.add_up(owner, buckets[code], out.shape)
+    return out
+
+
 def scorer(w_term: float, w_vector: float):
     def score(state: dict, rows: P.Rows, floors: np.ndarray | None = None) -> np.ndarray:
-        hits = P.owner_counts(state["matcher"].rows(rows.lists("words")), state["asked_by"], (len(rows), state["n"]))
+        blob = rows.arrow("blob")
+        words = pc.split_pattern_regex(blob, T.SPACES)
+        owner = np.repeat(np.arange(len(blob)), pc.list_value_length(words).to_numpy(zero_copy_only=False))
+        hits = P.owner_counts(state["matcher"].rows((owner, words.flatten())), state["asked_by"], (len(rows), state["n"]))
         total = w_term * hits + rows["base"].to_numpy(float)[:, None]
         if w_vector:
-            mine = P.hashed_lists(rows, "first", "second", SECOND_WEIGHT, H.DIMS)
+            mine = _hashed(blob)
             total = total + w_vector * P.cosine_matrix(mine, state["vectors"])
         return np.where(total > 0, total, -np.inf)
 
@@ -86,11 +105,8 @@ def search_cases(queries: DataFrame, cases: DataFrame, k: int = 5, offline: bool
     )
     base = F.col("similarity") * w_sim + F.coalesce("priority_score", F.lit(0)) * w_pri + bonus
     carry = ["ord", "id", "title", "court", "year", "similarity", "type", "summary", "judgment", "tags", "final_verdict"]
-    rows = cases.select(
-        *carry, base.alias("base"),
-        F.array_distinct(F.split(blob, f"{X.SPACE}+")).alias("words"),
-        _vectors(blob).alias("v"),
-    ).select(*carry, "base", "words", "v.first", "v.second")
+    # Words and vectors of the cases are told in the tasks that score them.
+    rows = cases.select(*carry, base.alias("base"), blob.alias("blob"))
     found = P.top_rows(
         rows, features, prepare_queries, scorer(w_term, w_vector), k, carry, floor=-1e9, max_queries=max_queries
     )

@@ -16,7 +16,9 @@ import pyarrow.compute as pc
 
 from docketry.functions import lexicon as L
 
-_WIDE = r"\t\n\x0B\f\r\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}\x00"
+_WHITE = r"\t\n\x0B\f\r\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+SPACES = f"[ {_WHITE}]+"
+_WIDE = _WHITE + r"\x00"
 # Runs of white space other than one blank, which stays as it is.
 _RUN = rf"[{_WIDE}][ {_WIDE}]*| [ {_WIDE}]+"
 # Text that the rules of the dialects read alike: no groups with flags or looks, no classes, no edges.

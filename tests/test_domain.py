@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -325,3 +326,16 @@ def test_texts_are_joined_once_and_after_the_facets(spark, cases):
     assert [r.id for r in got.collect()] == ["c2"]
     found = got._jdf.queryExecution().optimizedPlan().toString().split("\n")[1]
     assert "Filter" in found and found.count("concat_ws") == 1 and found.index("high") < found.index("concat_ws")
+
+
+def test_case_vectors_are_told_in_the_tasks(spark, cases):
+    low = ["", "the court court of 1999", "ab é der straße x12", "land " * 900]
+    tokens = spark.createDataFrame([(i, t) for i, t in enumerate(low)], "i INT, t STRING").orderBy("i").select(Q._vectors(F.col("t")).alias("v")).collect()
+    plain = Q.P.hashed_matrix([r.v.first for r in tokens], [r.v.second for r in tokens], Q.SECOND_WEIGHT, H.DIMS)
+    assert (Q._hashed(pa.array(["x", *low]).slice(1)) == plain).all()
+    queries = spark.createDataFrame([(1, "murder bail"), (2, "LAND deed")], "query_id LONG, text STRING")
+    for offline in (False, True):
+        found = Q.search_cases(queries, cases, 3, offline)
+        assert [r.id for r in found.where("rank = 1").orderBy("query_id").collect()] == ["c3", "c2"]
+        # No case is hashed sign by sign, and light search hashes none.
+        assert "aggregate(split(" not in found._jdf.queryExecution().optimizedPlan().toString()
