@@ -39,7 +39,7 @@ def judgment_excerpt(full_text: X.ColumnLike, decision: X.ColumnLike, summary: X
 
         @F.arrow_udf("string")
         def quoted(texts: pa.Array) -> pa.Array:
-            return P.quoted(texts, wanted, JUDGMENT_CHARS)
+            return P.by_turns(lambda t: P.quoted(t, wanted, JUDGMENT_CHARS), texts)
 
         read = F.nullif(quoted(X.blank(full_text)), F.lit(""))
     else:
@@ -116,7 +116,7 @@ def case_type(c: X.ColumnLike, variant: str = "import", rules: Sequence[tuple[st
 
     @F.arrow_udf("string")
     def typed(texts: pa.Array) -> pa.Array:
-        return P.labels(texts, rules, default)
+        return P.by_turns(lambda t: P.labels(t, rules, default), texts)
 
     return typed(X.blank(c))
 
@@ -208,7 +208,7 @@ def summary(c: X.ColumnLike, cues: Sequence[tuple[int, str]] = tuple(L.SUMMARY_C
 
     @F.arrow_udf("string")
     def summed_up(texts: pa.Array) -> pa.Array:
-        return P.summaries(texts, cues)
+        return P.by_turns(lambda t: P.summaries(t, cues), texts)
 
     return summed_up(X.blank(c))
 
@@ -218,7 +218,7 @@ def squashed(c: X.ColumnLike) -> Column:
 
     @F.arrow_udf("string")
     def squash(texts: pa.Array) -> pa.Array:
-        return P.squashed(texts)
+        return P.by_turns(P.squashed, texts)
 
     return squash(X.blank(c))
 

@@ -8,7 +8,7 @@ dialects find the same.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +32,14 @@ def _texts(column: pa.Array) -> pa.Array:
     return pc.fill_null(column.cast(pa.string()), "")
 
 
+# Texts of a batch that are worked on at a time, as a step holds several copies of them.
+TURN = 1_000
+
+
+def by_turns(work: Callable[[pa.Array], pa.Array], column: pa.Array) -> pa.Array:
+    return pa.concat_arrays([work(column.slice(at, TURN)) for at in range(0, max(1, len(column)), TURN)])
+
+
 def lowered(column: pa.Array) -> pa.Array:
     """Lower case; the one letter that becomes two is done apart."""
     return pc.utf8_lower(pc.replace_substring(column, "\u0130", "i\u0307"))

@@ -18,6 +18,7 @@ from docketry.operators import roster as J
 from docketry.operators import schedule as S
 from docketry.operators import search as Q
 from docketry.operators import triage as T
+from docketry.plans import prose as P
 
 
 def one(spark, column, **values):
@@ -339,3 +340,13 @@ def test_case_vectors_are_told_in_the_tasks(spark, cases):
         assert [r.id for r in found.where("rank = 1").orderBy("query_id").collect()] == ["c3", "c2"]
         # No case is hashed sign by sign, and light search hashes none.
         assert "aggregate(split(" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_long_batches_take_turns():
+    texts = pa.array([f"the  case {i}. A sentence of more than a few words und so on." for i in range(2_500)])
+    cues = ((3, "the|und"),)
+    for work in (P.squashed, lambda t: P.summaries(t, cues), lambda t: P.quoted(t, ["und"], 20), lambda t: P.labels(t, [("A", "case 7")], "B")):
+        seen = []
+        got = P.by_turns(lambda t: seen.append(len(t)) or work(t), texts)
+        assert got.equals(work(texts)) and seen == [1_000, 1_000, 500]
+        assert len(P.by_turns(work, texts.slice(0, 0))) == 0
