@@ -207,21 +207,25 @@ REL_SIGNALS = [(2, "the|und|que"), (1, "der")]
 
 def user_documents(spark, sf_dir):
     """Turns of the conversations are the uploaded documents."""
-    return table(spark, sf_dir, "conversations").select(
+    return texts(spark, sf_dir, "conversations").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), F.lit("upload").alias("file_name"), "text"
     )
 
 
+def signals_of(spark, sf_dir):
+    return D.document_signals(user_documents(spark, sf_dir), REL_TYPES, REL_SIGNALS, ("with",))
+
+
 def related(spark, sf_dir):
     c = stored(cases(spark, sf_dir).drop("raw_judgment"), "cases")
-    return D.related_cases(D.document_signals(user_documents(spark, sf_dir), REL_TYPES, REL_SIGNALS, ("with",)), c).select(
+    return D.related_cases(signals_of(spark, sf_dir), c).select(
         "doc_id", "rank", "id", "score", "overlap", "similarity", "reason"
     )
 
 
 def sections(spark, sf_dir):
     c = stored(cases(spark, sf_dir).drop("raw_judgment"), "cases")
-    signals = D.document_signals(user_documents(spark, sf_dir), REL_TYPES, REL_SIGNALS, ("with",))
+    signals = signals_of(spark, sf_dir)
     return D.section_table(signals, D.related_cases(signals, c), c).select(
         "doc_id", "section_no", "section", "suspected_type", F.array_join("highlights", "|").alias("highlights"),
         F.size("matches").alias("n_matches"),
@@ -230,7 +234,7 @@ def sections(spark, sf_dir):
 
 def analysed(spark, sf_dir):
     c = stored(cases(spark, sf_dir).drop("raw_judgment"), "cases")
-    signals = D.document_signals(user_documents(spark, sf_dir), REL_TYPES, REL_SIGNALS, ("with",))
+    signals = signals_of(spark, sf_dir)
     table_rows = D.section_table(signals, D.related_cases(signals, c), c)
     return D.collect_matches(table_rows).select("doc_id", "title", "section", "match_no", "similarity")
 
