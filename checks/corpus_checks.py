@@ -225,7 +225,7 @@ def related(spark, sf_dir):
 
 def sections(spark, sf_dir):
     c = stored(cases(spark, sf_dir).drop("raw_judgment"), "cases")
-    signals = signals_of(spark, sf_dir)
+    signals = stored(signals_of(spark, sf_dir), "signals")
     return D.section_table(signals, D.related_cases(signals, c), c).select(
         "doc_id", "section_no", "section", "suspected_type", F.array_join("highlights", "|").alias("highlights"),
         F.size("matches").alias("n_matches"),
