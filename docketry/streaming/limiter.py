@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -143,35 +144,43 @@ def schedule_stream(requests: DataFrame, expire_ms: int | None = None) -> DataFr
     )
 
 
+# Judges of a day that are guarded together: a call, a state value and a timer each, however many judges there are.
+DAY_GROUPS = 512
+
+
 class ExpiringGuard(StatefulProcessor):
-    """The slot guard for all slots of a judge's day, which leave the state together: a call, a state value and a timer
-    per day instead of one per slot. The timer is at the end of the day and ``keep_ms`` more."""
+    """The slot guard for a day's slots of a group of judges, which leave the state together. The timer is at the end of
+    the day and ``keep_ms`` more. A key is (day, group)."""
 
     def __init__(self, keep_ms: int):
         self.keep_ms = keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.holders = handle.getValueState("holders", "slots ARRAY<STRING>, ids ARRAY<STRING>, cases ARRAY<STRING>")
+        self.holders = handle.getValueState(
+            "holders", "judges ARRAY<STRING>, slots ARRAY<STRING>, ids ARRAY<STRING>, cases ARRAY<STRING>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["seq", "id"])
-        known = self.holders.get() if self.holders.exists() else None
-        held = {} if known is None else dict(zip(known[0], zip(known[1], known[2])))
-        before = len(held)
-        out = []
-        for slot, row_id, case_id in zip(batch["slot"], batch["id"], batch["case_id"]):
-            holder = held.setdefault(slot, (row_id, case_id))
-            mine = holder[0] == row_id
-            out.append((*key, slot, row_id, case_id, mine, None if mine else holder[1]))
-        if len(held) > before:
-            self.holders.update((list(held), [h[0] for h in held.values()], [h[1] for h in held.values()]))
+        fields = ["judge_id", "slot", "id", "case_id"]
+        batch = pd.concat(list(rows)).sort_values(["seq", "id"])[fields]
+        known = self.holders.get()
+        held = pd.DataFrame(dict(zip(fields, known or ([],) * 4)), dtype=object)
+        both = pd.concat([held, batch], ignore_index=True)
+        codes = both.groupby(["judge_id", "slot"], sort=False, dropna=False).ngroup().to_numpy()
+        # The first of a slot keeps it; those that are held stand before all rows, in the order of their slots.
+        first = np.unique(codes, return_index=True)[1]
+        ids, cases = both["id"].to_numpy(object), both["case_id"].to_numpy(object)
+        if len(first) > len(held):
+            self.holders.update(tuple(both[c].to_numpy(object)[first].tolist() for c in fields))
         if known is None:
-            day = pd.Timestamp(key[1], tz="UTC")
+            day = pd.Timestamp(key[0], tz="UTC")
             self.handle.registerTimer(int(day.timestamp() * 1000) + 86_400_000 + self.keep_ms)
-        yield pd.DataFrame(
-            out, columns=["judge_id", "hearing_date", "slot", "id", "case_id", "accepted", "incumbent_case"]
-        )
+        holder = first[codes[len(held):]]
+        mine = ids[holder] == ids[len(held):]
+        yield pd.DataFrame({
+            "judge_id": batch["judge_id"].to_numpy(object), "hearing_date": key[0], "slot": batch["slot"].to_numpy(object),
+            "id": batch["id"].to_numpy(object), "case_id": batch["case_id"].to_numpy(object), "accepted": mine,
+            "incumbent_case": np.where(mine, None, cases[holder])})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.holders.clear()
@@ -184,5 +193,7 @@ class ExpiringGuard(StatefulProcessor):
 def schedule_stream_expiring(requests: DataFrame, lateness: str = "10 minutes", keep_ms: int = 0) -> DataFrame:
     """``schedule_stream`` over requests with an event time ``ts``: a slot leaves the state when the watermark has
     passed its day, after which no request for it is in time."""
-    return requests.withWatermark("ts", lateness).groupBy("judge_id", "hearing_date").transformWithStateInPandas(
+    grouped = requests.withWatermark("ts", lateness).withColumn(
+        "__group", F.pmod(F.xxhash64("judge_id"), F.lit(DAY_GROUPS)).cast("int"))
+    return grouped.groupBy("hearing_date", "__group").transformWithStateInPandas(
         statefulProcessor=ExpiringGuard(keep_ms), outputStructType=SLOT_OUT, outputMode="Append", timeMode="EventTime")

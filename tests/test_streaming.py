@@ -1,6 +1,8 @@
 import datetime as dt
 import json
+from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -181,6 +183,29 @@ def test_slots_of_a_day_share_one_state_value(spark, tmp_path):
     assert sum(1 for r in got if r[1]) == 15 and left < 15
 
 
+def test_judges_of_a_group_are_guarded_in_one_call():
+    """A call holds the day of many judges, with one state value and one timer, and equals a loop over their rows."""
+    state, timers = [], []
+    holders = SimpleNamespace(get=lambda: state[-1] if state else None, update=state.append, exists=lambda: bool(state))
+    guard = S.ExpiringGuard(7)
+    guard.init(SimpleNamespace(getValueState=lambda *_: holders, registerTimer=timers.append))
+    day, held = dt.date(2026, 3, 5), {}
+    for part in range(2):
+        frame = pd.DataFrame([
+            (f"j{i % 4}" if i % 7 else None, day, f"{i % 3}:00", f"h{i % 50}", f"case{i}", 99 - i) for i in range(part * 40, part * 40 + 60)],
+            columns=["judge_id", "hearing_date", "slot", "id", "case_id", "seq"])
+        want = []
+        for r in frame.sort_values(["seq", "id"]).itertuples():
+            holder = held.setdefault((r.judge_id, r.slot), (r.id, r.case_id))
+            want.append((r.judge_id, day, r.slot, r.id, r.case_id, holder[0] == r.id, None if holder[0] == r.id else holder[1]))
+        got = pd.concat(list(guard.handleInputRows((day, 0), iter([frame[:25], frame[25:]]), None)))
+        assert [tuple(r) for r in got.itertuples(index=False)] == want
+    assert len(timers) == 1 and len(state) == 1 and set(zip(*state[0][:2])) == set(held)
+    # A batch without a new slot leaves the state as it is.
+    list(guard.handleInputRows((day, 0), iter([frame]), None))
+    assert len(state) == 1
+
+
 def test_late_rows_are_counted_once(spark, tmp_path):
     out = str(tmp_path / "late")
     write = V.late_sink(out, "1 minute", "1 minute")
