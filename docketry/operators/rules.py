@@ -1,5 +1,8 @@
 """Matching texts with a table of rules of any number of rows.
 
+``match_rule_table`` ships rules in blocks to the texts (see ``rule_scan``). ``term_hits`` gives the pairs of a
+text and a term themselves, and ``_best_rules`` the best rules of such pairs, by joins.
+
 A term without white space lies inside one unit, a run of a text without white space, so terms are looked
 for in the distinct units of all texts, and a text has the terms of its units. There, a term can only lie in a
 unit that holds all its q-grams, so it is filed under the gram that fewest units hold. A term with white
@@ -16,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketry.functions import text as X
+from docketry.operators.rule_scan import best_rules
 from docketry.plans.tables import stored
 
 GRAM = 3
@@ -144,8 +148,8 @@ def match_rule_table(texts: DataFrame, rules: DataFrame, key: str, column: str =
     """
     default = default or {"ord": None, "sections": [], "domain": "Criminal", "severity": "Medium", "public_risk": False}
     terms = stored(_earliest(rule_terms(rules)), "rule-terms")
-    best = _best_rules(stored(term_hits(texts, terms, key, column, match), "hits"), terms, key)
-    chosen = best.select(key, F.col("__best.n").cast("int").alias("rule_hits"), (-F.col("__best.back")).cast("int").alias("ord"))
+    chosen = best_rules(texts, terms, key, column, match).select(
+        key, F.col("n").cast("int").alias("rule_hits"), F.col("ord").cast("int").alias("ord"))
     rule = F.struct(
         F.col("ord").cast("int").alias("ord"), F.col("sections").cast("array<string>").alias("sections"), F.col("domain"),
         F.col("severity"), F.col("public_risk").cast("boolean").alias("public_risk"))
