@@ -7,8 +7,8 @@ A summary bounds the score of every chunk of its block from above.
 
 1. Summaries are scored in their tasks, and the best few blocks of every query are its seeds.
 2. The chunks of the seeds are scored; a query's k-th best score is its floor.
-3. Only blocks whose bound reaches the floor are scored besides. The chunk table meets a short list of
-   queries per block, so token maps stay where they are as long as that list can be broadcast.
+3. Only blocks whose bound reaches the floor are scored besides. The chunk table meets a bit per query
+   and block, so token maps stay where they are as long as these bits can be broadcast.
 
 The result equals that of scoring every chunk. Queries are packed in parts of ``max_queries``, each a
 run of its own. ``report`` tells how many blocks each query scored and skipped.
@@ -38,6 +38,8 @@ from docketry.plans.tables import stored
 # Chunks of a block as a power of two, blocks scored first
 BLOCK_BITS = 6
 SEED_BLOCKS = 3
+# Pairs of row and query scored per pair that is asked for, before blocks are scored one by one; bytes of lists that are broadcast
+IN_VAIN, LISTS_BYTES = 4, 64 << 20
 
 
 @dataclass(frozen=True)
@@ -110,55 +112,112 @@ def hybrid_bounds(state: dict, blocks: P.Rows, floors: np.ndarray | None = None)
     return np.where(bound + R.SLACK < state["min_score"], -np.inf, bound)
 
 
+# Chunks and more of their columns to rows that are scored
+Shaped = Callable[[DataFrame, Sequence[str]], DataFrame]
+
+
 # ---- search --------------------------------------------------------------------
-def _needed(blocks: DataFrame, packed, prepare: P.Prepare, bound: P.Score, query_type: T.DataType) -> DataFrame:
-    """``block, query_id`` of every pair whose bound reaches the query's floor."""
+def _places(queries: pd.DataFrame) -> dict:
+    """Place of each query in a packed frame; of equal ids the last counts."""
+    return {q: i for i, q in enumerate(queries["query_id"])}
+
+
+def _asked(bits: bytes, n: int) -> np.ndarray:
+    """The queries of a block's list, a bit per packed query."""
+    return np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8), count=n))
+
 
-    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("query_id", query_type)])
+def _needed(blocks: DataFrame, packed, seeds: dict[int, list], prepare: P.Prepare, bound: P.Score) -> DataFrame:
+    """``block, asked`` of every block that some query needs: its bound reaches the query's floor, and it is no seed of it."""
+    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("asked", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries = packed.value
         state, floors = prepare(queries), queries["floor"].to_numpy(float)
+        place = _places(queries)
+        single = np.zeros(len(queries), bool)
+        single[list(place.values())] = True
         step = max(1, P.SCORE_CELLS // max(1, len(queries)))
         for batch in map(P.Rows, batches):
             for part in batch.parts(step):
                 bounds = bound(state, part, None)
-                r, q = np.nonzero((bounds + R.SLACK >= floors[None, :]) & np.isfinite(bounds))
-                yield from P.as_batches(pd.DataFrame(
-                    {"block": part["block"].to_numpy()[r], "query_id": queries["query_id"].to_numpy()[q]}), schema)
+                mask = (bounds + R.SLACK >= floors[None, :]) & np.isfinite(bounds) & single
+                numbers = part["block"].to_numpy()
+                for row, block in enumerate(numbers.tolist()):
+                    if block in seeds:
+                        mask[row, [place[q] for q in seeds[block]]] = False
+                some = np.flatnonzero(mask.any(axis=1))
+                bits = [row.tobytes() for row in np.packbits(mask[some], axis=1)]
+                yield from P.as_batches(pd.DataFrame({"block": numbers[some], "asked": bits}), schema)
 
     return blocks.mapInArrow(run, schema)
 
 
-def _score_blocks(rows: DataFrame, asked: DataFrame, packed, prepare: P.Prepare, score: P.Score, k: int,
+def _counted(lists: DataFrame, packed, query_type: T.DataType) -> DataFrame:
+    """``query_id, n``: the blocks that ask for each query, as sums of a task."""
+    schema = T.StructType([T.StructField("query_id", query_type), T.StructField("n", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries = packed.value
+        total = np.zeros(len(queries), np.int64)
+        for batch in batches:
+            for bits in batch.column(0).to_pylist():
+                total[_asked(bits, len(queries))] += 1
+        yield from P.as_batches(pd.DataFrame({"query_id": queries["query_id"], "n": total})[total > 0], schema)
+
+    return lists.select("asked").mapInArrow(run, schema)
+
+
+def score_asked(batches: Iterator[P.Rows], queries: pd.DataFrame, prepare: P.Prepare, score: P.Score, k: int,
+                carry: Sequence[str]) -> pd.DataFrame:
+    """Best ``k`` rows per query among the rows whose block's list ``asked`` holds the query.
+
+    Queries are packed for all blocks of a part together, unless most pairs of its rows and queries would be in vain.
+    """
+    best = P.BestRows(queries["query_id"].to_numpy(), k, carry, -1e9)
+    if "floor" in queries:
+        best.floor = queries["floor"].to_numpy(float).copy()
+    step = max(1, P.SCORE_CELLS // max(1, len(queries)))
+    known: tuple[bytes | None, dict] = (None, {})
+
+    def scored(part: P.Rows, columns: np.ndarray) -> np.ndarray:
+        nonlocal known
+        if known[0] != columns.tobytes():
+            known = columns.tobytes(), prepare(queries.iloc[columns].reset_index(drop=True))
+        return np.round(score(known[1], part, best.floor[columns]), 9)
+
+    for batch in batches:
+        for part in batch.parts(step):
+            scores = np.full((len(part), len(queries)), -np.inf)
+            lists = [(members, _asked(part.arrow("asked")[int(members[0])].as_py(), len(queries))) for members in
+                     pd.Series(part["block"].to_numpy()).groupby(part["block"].to_numpy(), sort=False).indices.values()]
+            wanted = np.zeros(scores.shape, bool)
+            for members, columns in lists:
+                wanted[np.ix_(members, columns)] = True
+            every = np.flatnonzero(wanted.any(axis=0))
+            if len(part) * len(every) <= IN_VAIN * np.count_nonzero(wanted):
+                scores[:, every] = scored(part, every)
+                scores[~wanted] = -np.inf
+            else:
+                for members, columns in lists:
+                    scores[np.ix_(members, columns)] = scored(part.take(members), columns)
+            best.offer(part, scores)
+    return best.result()
+
+
+def _score_blocks(chunks: DataFrame, shaped: Shaped, lists: DataFrame, n_lists: int, packed, prepare: P.Prepare, score: P.Score, k: int,
                   carry: Sequence[str], query_type: T.DataType) -> DataFrame:
     """Best ``k`` rows per query and task among the rows of the blocks that the query asks for."""
-    schema = T.StructType([T.StructField("query_id", query_type), *[rows.schema[c] for c in carry],
+    schema = T.StructType([T.StructField("query_id", query_type), *[chunks.schema[c] for c in carry],
                            T.StructField("score", T.DoubleType())])
-    lists = asked.groupBy("block").agg(F.collect_set("query_id").alias("asked"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries = packed.value
-        place = {q: i for i, q in enumerate(queries["query_id"])}
-        best = P.BestRows(queries["query_id"].to_numpy(), k, carry, -1e9)
-        if "floor" in queries:
-            best.floor = queries["floor"].to_numpy(float).copy()
-        step = max(1, P.SCORE_CELLS // max(1, len(queries)))
-        known: tuple[int | None, np.ndarray, dict] = (None, np.empty(0, int), {})
-        for batch in map(P.Rows, batches):
-            for part in batch.parts(step):
-                scores = np.full((len(part), len(queries)), -np.inf)
-                for block, members in pd.Series(part["block"].to_numpy()).groupby(part["block"].to_numpy(), sort=False).indices.items():
-                    if known[0] != block:
-                        asked_here = part.arrow("asked")[int(members[0])].as_py()
-                        columns = np.array(sorted(place[q] for q in asked_here))
-                        known = (block, columns, prepare(queries.iloc[columns].reset_index(drop=True)))
-                    found = score(known[2], part.take(members), best.floor[known[1]])
-                    scores[np.ix_(members, known[1])] = np.round(found, 9)
-                best.offer(part, scores)
-        yield from P.as_batches(best.result(), schema)
+        yield from P.as_batches(score_asked(map(P.Rows, batches), packed.value, prepare, score, k, carry), schema)
 
-    return rows.join(lists, "block").mapInArrow(run, schema)
+    # A bit per query keeps the lists short, so the rows stay where they are.
+    short = n_lists * (64 + len(packed.value) // 8) <= LISTS_BYTES
+    # Only chunks of asked blocks get the columns that scores read.
+    return shaped(chunks.join(F.broadcast(lists) if short else lists, "block"), ["block", "asked"]).mapInArrow(run, schema)
 
 
 def _top(scored: DataFrame, limits: DataFrame) -> DataFrame:
@@ -167,35 +226,46 @@ def _top(scored: DataFrame, limits: DataFrame) -> DataFrame:
     return ranked.join(F.broadcast(limits), "query_id").where("rank <= limit")
 
 
-def search(features: DataFrame, rows: DataFrame, blocks: DataFrame, prepare: P.Prepare, score: P.Score, bound: P.Score,
+def search(features: DataFrame, chunks: DataFrame, shaped: Shaped, blocks: DataFrame, prepare: P.Prepare, score: P.Score, bound: P.Score,
            k: int, carry: Sequence[str], max_queries: int = P.MAX_QUERIES, seeds: int = SEED_BLOCKS) -> Pruned:
     """Best ``limit`` rows per query (a column of ``features``, at most ``k``): ``query_id, *carry, score, rank, limit``.
 
-    ``rows`` has ``block, ord`` and what ``score`` reads, ``blocks`` has ``block`` and what ``bound`` reads.
+    ``shaped`` gives chunks the columns that ``score`` reads, ``blocks`` has ``block`` and what ``bound`` reads.
     """
     features = stored(features, "asked")
     parts = math.ceil(max(1, features.count()) / max_queries)
     if parts > 1:
         in_part = F.pmod(F.xxhash64("query_id"), F.lit(2 * parts))
-        found = [search(features.where(in_part == p), rows, blocks, prepare, score, bound, k, carry, max_queries, seeds)
+        found = [search(features.where(in_part == p), chunks, shaped, blocks, prepare, score, bound, k, carry, max_queries, seeds)
                  for p in range(2 * parts)]
         return Pruned(reduce(DataFrame.unionAll, [f.hits for f in found]), reduce(DataFrame.unionAll, [f.report for f in found]))
-    context = rows.sparkSession.sparkContext
+    context = chunks.sparkSession.sparkContext
     query_type = features.schema["query_id"].dataType
     limits = features.select("query_id", "limit")
     first = P.top_rows(blocks.withColumn("ord", F.col("block")), features, prepare, bound, seeds, ["ord"], floor=-1e9,
                        max_queries=2 * max_queries)
     first = stored(first.select(F.col("ord").alias("block"), "query_id"), "seeds")
     packed = context.broadcast(features.toPandas())
-    scored = stored(_score_blocks(rows, first, packed, prepare, score, k, carry, query_type), "seed-scores")
+    place = _places(packed.value)
+    seeded: dict[int, list] = {}
+    # At most ``seeds`` blocks per query.
+    for block, query in first.select("block", "query_id").toPandas().itertuples(index=False):
+        seeded.setdefault(int(block), []).append(query)
+    lists = []
+    for block, asking in seeded.items():
+        mask = np.zeros(len(packed.value), bool)
+        mask[[place[q] for q in asking]] = True
+        lists.append((block, bytearray(np.packbits(mask).tobytes())))
+    asked = chunks.sparkSession.createDataFrame(lists, "block bigint, asked binary")
+    scored = stored(_score_blocks(chunks, shaped, asked, len(lists), packed, prepare, score, k, carry, query_type), "seed-scores")
     floors = _top(scored, limits).where(F.col("rank") == F.col("limit")).select("query_id", F.col("score").alias("floor"))
     limited = features.join(floors, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(-1e9)))
     raised = context.broadcast(limited.toPandas())
-    needed = _needed(blocks, raised, prepare, bound, query_type).join(F.broadcast(first), ["block", "query_id"], "left_anti")
-    needed = stored(needed, "needed")
-    rest = _score_blocks(rows, needed, raised, prepare, score, k, carry, query_type)
+    needed = stored(_needed(blocks, raised, seeded, prepare, bound), "needed")
+    rest = _score_blocks(chunks, shaped, needed, needed.count(), raised, prepare, score, k, carry, query_type)
     hits = _top(scored.unionByName(rest), limits)
-    counted = first.unionAll(needed.select(*first.columns)).groupBy("query_id").agg(F.count("*").alias("scored"))
+    counted = first.select("query_id", F.lit(1).cast("bigint").alias("n")).unionByName(
+        _counted(needed, raised, query_type)).groupBy("query_id").agg(F.sum("n").alias("scored"))
     report = limits.join(F.broadcast(counted), "query_id", "left").select(
         "query_id", F.coalesce("scored", F.lit(0)).alias("scored"),
         (blocks.agg(F.count("*").alias("n")).scalar() - F.coalesce("scored", F.lit(0))).alias("skipped"))
@@ -209,8 +279,7 @@ def bm25_top(query_tokens: DataFrame, chunks: DataFrame, df: DataFrame, stats: D
     ``query_tokens`` has one row per query and distinct token.
     """
     features = M.token_features(query_tokens, df, stats).withColumn("limit", F.lit(k))
-    rows = M.scored_rows(chunks, ["block"])
-    return search(features, rows, _as_rows(blocks), M.prepare_tokens, M.score_rows, bm25_bounds, k, ["ord", "id"], max_queries)
+    return search(features, chunks, M.scored_rows, _as_rows(blocks), M.prepare_tokens, M.score_rows, bm25_bounds, k, ["ord", "id"], max_queries)
 
 
 def candidate_pool(queries: DataFrame, chunks: DataFrame, df: DataFrame, stats: DataFrame, blocks: DataFrame,
@@ -219,8 +288,7 @@ def candidate_pool(queries: DataFrame, chunks: DataFrame, df: DataFrame, stats:
     """``retrieve.candidate_pool`` by blocks: the same rows and columns."""
     features = R.with_rarity(R.query_features(queries, rules, default_k, default_min), df, stats).withColumn(
         "limit", F.greatest(F.col("top_k") * 6, F.lit(24)))
-    rows = R.scored_rows(chunks, ["block"])
-    found = search(features, rows, _as_rows(blocks), R.prepare_queries, R.score_rows, hybrid_bounds, R.POOL_MAX, ["ord"],
+    found = search(features, chunks, R.scored_rows, _as_rows(blocks), R.prepare_queries, R.score_rows, hybrid_bounds, R.POOL_MAX, ["ord"],
                    max_queries)
     pool = found.hits.join(F.broadcast(features.select("query_id", "top_k")), "query_id")
     return Pruned(R.with_chunks(pool, chunks), found.report)

@@ -3,6 +3,9 @@
 import random
 import re
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,6 +18,7 @@ from docketry.operators import retrieve as R
 from docketry.operators import roster as J
 from docketry.operators import rules as U
 from docketry.operators import triage as T
+from docketry.plans import blocks as P
 from docketry.sources import index_store as S
 
 KEEP = ["court", "year", "type", "final_verdict"]
@@ -83,6 +87,27 @@ def test_no_queries_and_no_hits(spark, index):
     assert N.bm25_top(tokens.limit(0), chunks, df, stats, blocks, 3).hits.count() == 0
 
 
+def test_blocks_share_their_packed_queries():
+    """Blocks that most queries ask for are scored together, those of few queries one by one, and unasked pairs never count."""
+    rng = np.random.default_rng(7)
+    n, size, q = 120, 6, 10
+    value = rng.random((n, q))
+    queries = pd.DataFrame({"query_id": range(100, 100 + q)})
+    for share, most in ((0.9, 1), (1.0, 1), (0.05, n)):
+        asked = rng.random((n // size, q)) < share
+        asked[0] = True
+        packs = []
+        prepare = lambda part: packs.append(len(part)) or part["query_id"].to_numpy() - 100
+        score = lambda state, rows, floors: value[np.ix_(rows["ord"].to_numpy(), state)]
+        batch = pa.table({"ord": np.arange(n), "block": np.arange(n) // size,
+                          "asked": [np.packbits(asked[b]).tobytes() for b in np.arange(n) // size]}).to_batches()[0]
+        got = N.score_asked(iter([P.Rows(batch)]), queries, prepare, score, 4, ["ord"])
+        masked = np.where(np.repeat(asked, size, axis=0), np.round(value, 9), -np.inf)
+        want = {(100 + j, o) for j in range(q) for o in np.argsort(-masked[:, j])[:4] if masked[o, j] > -np.inf}
+        assert set(zip(got["query_id"], got["ord"])) == want
+        assert len(packs) <= most
+
+
 # ---- rule tables ---------------------------------------------------------------
 def best_rule(text, rules, word):
     low = (text or "").lower()
